@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from .packing import op8_best_fit_packing
 from .token_counts import op10_token_counts
+from .toxicity import op2_toxicity
 
 QUERIES = {
+    "op2_toxicity": op2_toxicity,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op10_token_counts": op10_token_counts,
 }
