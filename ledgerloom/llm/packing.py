@@ -13,6 +13,7 @@ their length.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
@@ -26,42 +27,61 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import small_batches, stored, table
-from .transducer import ODD_SPACES, SPACE_RUN
+from .transducer import ODD_SPACES, SPACE_RUN, pretokens
 
 CAPACITY, END_ID = 4096, 1
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 #: Runs between white space whose ids a worker keeps, and rows of a length that are ranked in one group.
-MEMO_RUNS, RANK_ROWS = 250_000, 20_000
+MEMO_RUNS, RANK_ROWS = 600_000, 20_000
 
-_memo: dict[str, tuple] = {}
+_memo: dict[str, Encoder] = {}
 
 
-def encoder(path: str):
+class Encoder:
     """ids(texts): for each text its ids as little-endian unsigned 32-bit bytes.
 
-    White space always ends a token of this vocabulary, so each run between white space is encoded once
-    and kept; runs not met before go to the library together.
+    White space always ends a token of this vocabulary, and so does the end of a pre-token: each is
+    encoded once by the library and kept, as is each run between white space.
     """
-    if path not in _memo:
+
+    def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _memo[path] = (Tokenizer.from_file(path), {})
-    library, memo = _memo[path]
+        self.library = Tokenizer.from_file(path)
+        self.special = {t.content: np.asarray([i], "<u4").tobytes() for i, t in self.library.get_added_tokens_decoder().items()}
+        self.special_re = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
+        self.mark = os.path.commonprefix([*self.special])
+        self.runs: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
 
-    def ids(texts: list[str]) -> list[bytes]:
+    def ids(self, texts: list[str]) -> list[bytes]:
         split = [[x for x in SPACE_RUN.split(t) if x] if ODD_SPACES.search(t) else t.split() for t in texts]
-        if len(memo) > MEMO_RUNS:
-            memo.clear()
-        new = list({x for runs in split for x in runs if x not in memo})
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            for x, e in zip(part, library.encode_batch(part, add_special_tokens=False)):
-                memo[x] = np.asarray(e.ids, "<u4").tobytes()
-        get = memo.__getitem__
-        return [b"".join(map(get, runs)) for runs in split]
-
-    return ids
+        runs, words = self.runs, self.words
+        if len(runs) > MEMO_RUNS:
+            runs.clear()
+        if len(words) > MEMO_RUNS:
+            words.clear()
+        new = {x for s in split for x in s if x not in runs}
+        parts = {x: pretokens(x) for x in new if self.mark not in x}
+        unknown = list({w for ws in parts.values() for w in ws if w not in words})
+        for i in range(0, len(unknown), 4096):
+            part = unknown[i : i + 4096]
+            words.update({w: np.asarray(e.ids, "<u4").tobytes() for w, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False))})
+        get = words.__getitem__
+        for x, ws in parts.items():
+            runs[x] = get(ws[0]) if len(ws) == 1 else b"".join(map(get, ws))
+        for x in new - parts.keys():  # special strings, taken out before anything else
+            runs[x] = b"".join([self.special[p] if p in self.special else np.asarray(self.library.encode(p, add_special_tokens=False).ids, "<u4").tobytes() for p in self.special_re.split(x) if p])
+        get = runs.__getitem__
+        return [b"".join(map(get, s)) for s in split]
+
+
+def encoder(path: str) -> Encoder:
+    """One per worker process."""
+    if path not in _memo:
+        _memo[path] = Encoder(path)
+    return _memo[path]
 
 
 def pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
@@ -75,7 +95,7 @@ def pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabula
     last = np.asarray([end_id], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = encoder(vocabulary)
+        ids = encoder(vocabulary).ids
         for b in batches:
             rows: list[tuple] = []
             for k, data in enumerate(ids(b.column(1).to_pylist())):

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from .jaccard_join import op1_ngram_jaccard_join
 from .packing import op8_best_fit_packing
 from .token_counts import op10_token_counts
 from .toxicity import op2_toxicity
 
 QUERIES = {
+    "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_toxicity": op2_toxicity,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op10_token_counts": op10_token_counts,

@@ -46,6 +46,17 @@ def byte_symbols() -> list[str]:
     return out
 
 
+def pretokens(text: str) -> list[str]:
+    """The normalised pre-tokens of a run without special strings."""
+    if text.isascii() and not ODD_SPACES.search(text):
+        return ASCII_PRETOKEN.findall(text.lower())
+    plain = unicodedata.normalize("NFC", text)
+    low = plain.lower()
+    if "\u03c2" in low:  # the vocabulary's lower-casing knows no final sigma
+        low = "".join([c.lower() for c in plain])
+    return [w for piece in SPACE_RUN.split(low) for w in PRETOKEN.findall(piece)]
+
+
 class Transducer:
     def __init__(self, path: str) -> None:
         with open(path, encoding="utf-8") as f:
@@ -166,16 +177,6 @@ class Transducer:
             self.words[text] = total
         return total
 
-    def pretokens(self, text: str) -> list[str]:
-        """The normalised pre-tokens of a run without special strings."""
-        if text.isascii() and not ODD_SPACES.search(text):
-            return ASCII_PRETOKEN.findall(text.lower())
-        plain = unicodedata.normalize("NFC", text)
-        low = plain.lower()
-        if "\u03c2" in low:  # the vocabulary's lower-casing knows no final sigma
-            low = "".join([c.lower() for c in plain])
-        return [w for piece in SPACE_RUN.split(low) for w in PRETOKEN.findall(piece)]
-
     def run(self, text: str) -> int:
         """Tokens of a run of text without white space."""
         found = self.runs.get(text)
@@ -183,7 +184,7 @@ class Transducer:
             parts = self.special_re.split(text) if self.mark in text else [text]
             found, words = len(parts) - 1, self.words
             for part in parts:
-                for w in self.pretokens(part):
+                for w in pretokens(part):
                     n = words.get(w)
                     found += self.word(w) if n is None else n
             if len(self.runs) > MEMO_RUNS:
