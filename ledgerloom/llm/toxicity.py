@@ -23,6 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -197,26 +198,35 @@ class Model:
         return np.stack([total / size, total / np.sqrt(size)])
 
 
-def models(rows: pd.DataFrame) -> tuple[Model, dict[int, Model]]:
-    """The model of all folds, and that without each fold."""
-    by = {k: (x["gram"].to_numpy(), x["history"].to_numpy(), x["n"].to_numpy()) for k, x in rows.groupby("kind")}
-    none = (np.zeros(0, int), np.zeros(0, int), np.zeros(0, int))
-    shared = Model.tables(*by.get(-1, none))
+class Counts:
+    """The collected tables as compressed columns, so that what is broadcast is small; models are built where they are used, once."""
 
-    def of(folds: list[int]) -> Model:
-        top = []
-        for y in (0, 1):
-            parts = [by.get(y * FOLDS + f, none) for f in folds]
-            n = np.zeros(TABLE, np.int64)
-            past = np.zeros(TABLE, np.int64)
-            for g, h, c in parts:
-                np.add.at(n, g, c)
-                past[g] = h
-            i = np.flatnonzero(n)
-            top.append(Model.tables(i, past[i], n[i]))
-        return Model(shared, top)
+    def __init__(self, rows: pd.DataFrame) -> None:
+        self.kinds = {int(k): [zlib.compress(np.ascontiguousarray(x[c].to_numpy(), "<i4").tobytes(), 1) for c in ("gram", "history", "n")] for k, x in rows.sort_values("gram").groupby("kind")}
+        self.built: dict[int | None, Model] = {}
 
-    return of([*range(FOLDS)]), {f: of([x for x in range(FOLDS) if x != f]) for f in range(FOLDS)}
+    def __getstate__(self) -> dict:
+        return {"kinds": self.kinds, "built": {}}
+
+    def columns(self, kind: int) -> list[np.ndarray]:
+        return [np.frombuffer(zlib.decompress(c), "<i4") for c in self.kinds.get(kind, [zlib.compress(b"")] * 3)]
+
+    def model(self, without: int | None = None) -> Model:
+        """The model of all folds but one."""
+        if without not in self.built:
+            top = []
+            for y in (0, 1):
+                n, past = np.zeros(TABLE, np.int64), np.zeros(TABLE, np.int64)
+                for f in range(FOLDS):
+                    if f != without:
+                        g, h, c = self.columns(y * FOLDS + f)
+                        np.add.at(n, g, c)
+                        past[g] = h
+                i = np.flatnonzero(n)
+                top.append(Model.tables(i, past[i], n[i]))
+            shared = next(iter(self.built.values())).shared if self.built else Model.tables(*self.columns(-1))
+            self.built[without] = Model(shared, top)
+        return self.built[without]
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 50) -> np.ndarray:
@@ -243,38 +253,37 @@ def labelled(labels: DataFrame, max_labelled: int = MAX_LABELLED, held_out: int
     return rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
 
 
-def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, held_out: int | None = 2) -> tuple[Model, np.ndarray]:
-    """The model, and the weights of its calibration. docs: doc_id, text; labels: doc_id, toxic (0 or 1)."""
+def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, held_out: int | None = 2) -> tuple[Broadcast, np.ndarray]:
+    """The broadcast counts of the model, and the weights of its calibration. docs: doc_id, text; labels: doc_id, toxic (0 or 1)."""
     spark = docs.sparkSession
     small_batches(spark)
     sample = F.broadcast(stored(labelled(labels, max_labelled, held_out), "labelled"))  # at most max_labelled rows
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     marked = docs.join(sample, "doc_id", "left").select("text", "toxic", "fold")
     vocabulary = stored(word_counts(marked), "words")
-    model, without = models(cells(vocabulary).toPandas())  # at most 9 * TABLE rows
-    shared = spark.sparkContext.broadcast(without)
+    shared = spark.sparkContext.broadcast(Counts(cells(vocabulary).toPandas()))  # at most 9 * TABLE rows
 
     def evidence(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             x = np.zeros((2, len(b)))
             for f in set(b["fold"]):
                 on = (b["fold"] == f).to_numpy()
-                x[:, on] = shared.value[f].documents(b["text"][on].tolist())
+                x[:, on] = shared.value.model(f).documents(b["text"][on].tolist())
             yield pd.DataFrame({"a": x[0], "b": x[1], "toxic": b["toxic"]})
 
     rows = docs.join(sample, "doc_id").select("text", "toxic", "fold").mapInPandas(evidence, "a double, b double, toxic int").toPandas()
-    return model, logistic(rows[["a", "b"]].to_numpy().T, rows["toxic"].to_numpy(float))
+    return shared, logistic(rows[["a", "b"]].to_numpy().T, rows["toxic"].to_numpy(float))
 
 
-def score(docs: DataFrame, trained: tuple[Model, np.ndarray], text: str = "text", out: str = "score") -> DataFrame:
+def score(docs: DataFrame, trained: tuple[Broadcast, np.ndarray], text: str = "text", out: str = "score") -> DataFrame:
     """docs with the toxicity of each whole text in column `out`, from 0 to 1. Null and empty texts get the score of no evidence."""
     spark = docs.sparkSession
     small_batches(spark)
-    shared = spark.sparkContext.broadcast(trained)
+    shared, w = trained
 
     @F.pandas_udf("double")
     def of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        model, w = shared.value
+        model = shared.value.model()
         for s in texts:
             yield pd.Series(1 / (1 + np.exp(-np.clip(w[:-1] @ model.documents(s.tolist()) + w[-1], -30, 30))))
 
