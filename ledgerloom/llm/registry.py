@@ -3,17 +3,23 @@
 from __future__ import annotations
 
 from .jaccard_join import op1_ngram_jaccard_join
+from .media import op6_media_columns
 from .merkle import op7_merkle_fingerprints
+from .mixing import op3_mixing
 from .packing import op8_best_fit_packing
 from .span_dedup import op4_substring_dedup
 from .suffix_dedup import op9_suffix_array_dedup
 from .token_counts import op10_token_counts
 from .toxicity import op2_toxicity
+from .warc import op5_warc
 
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_toxicity": op2_toxicity,
+    "op3_mixing": op3_mixing,
     "op4_substring_dedup": op4_substring_dedup,
+    "op5_warc": op5_warc,
+    "op6_media_columns": op6_media_columns,
     "op7_merkle_fingerprints": op7_merkle_fingerprints,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
