@@ -216,7 +216,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             yield pa.RecordBatch.from_arrays([*(keep.column(c) for c in ("rep", "copies", "cluster", "blocks", "own")), pa.array([g for _, g in rows], pa.binary())], names=["rep", "copies", "cluster", "blocks", "own", "grams"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    held = docs.join(met, docs["doc_id"] == met["rep"]).select("rep", "key", "copies", "cluster", "blocks", "own", "text")
+    held = docs.join(met.hint("merge"), docs["doc_id"] == met["rep"]).select("rep", "key", "copies", "cluster", "blocks", "own", "text")
     sets = held.mapInArrow(grams, f"rep {kind}, copies long, cluster {kind}, blocks int, own int, grams binary")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     sets = sets.select("*", other).select(
