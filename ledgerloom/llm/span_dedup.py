@@ -85,7 +85,7 @@ def span_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", span
 
     spans = rows.mapInArrow(find, f"doc_id {kind}, version int, hash long, first int, end int")
     places = spans.groupBy("hash").agg(F.min(F.struct("doc_id", "first")).alias("keep"), F.max(F.struct("doc_id", "first")).alias("m")).where("keep != m or (keep is null) != (m is null)").select("hash", "keep")
-    later = spans.join(places, "hash").where(~F.struct("doc_id", "first").eqNullSafe(F.col("keep")))
+    later = spans.join(places.hint("merge"), "hash").where(~F.struct("doc_id", "first").eqNullSafe(F.col("keep")))
     covered = later.groupBy("doc_id", "version").agg(F.collect_set(F.struct("first", "end")).alias("covered"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,7 +110,7 @@ def span_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", span
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(c[0], pa.string()), pa.array(c[1], pa.string()), pa.array(c[2], pa.int64()), pa.array(c[3], pa.int64())], names=["doc_id", "text", "kept", "n_sentences", "n_removed"])
 
     bodies = rows.mapInArrow(pack, f"doc_id {kind}, version int, body binary").alias("d")
-    met = bodies.join(covered.alias("c"), F.expr("d.doc_id <=> c.doc_id and d.version = c.version"), "left").select("d.doc_id", "d.body", "c.covered")
+    met = bodies.join(covered.alias("c").hint("merge"), F.expr("d.doc_id <=> c.doc_id and d.version = c.version"), "left").select("d.doc_id", "d.body", "c.covered")
     return met.mapInArrow(cut, f"doc_id {kind}, text string, kept string, n_sentences long, n_removed long")
 
 

@@ -262,7 +262,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_
     parts = shuffle_parts(spark)
     blocks = anchored_blocks(docs, length, gram)
     anchors = blocks.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("block").alias("a"), F.max("block").alias("b")).where("n > 1").select("anchor", (F.col("a") != F.col("b")).alias("mixed"))
-    met = stored(blocks.join(anchors, "anchor"), "blocks")
+    met = stored(blocks.join(anchors.hint("merge"), "anchor"), "blocks")
     classes = met.groupBy("anchor", "block", "mixed").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "start", "last", "place")).alias("r"))
     classes = stored(classes, "classes")
     # 2. blocks equal to another
@@ -282,7 +282,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_
             c = list(zip(*out)) if out else [[]] * 8
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(c, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_(), pa.binary()))], names=["anchor", "doc", "start", "last", "place", "twice", "hot", "bytes"])
 
-    bodies = packed_texts(docs).join(lists, "doc").select("doc", "body", "blocks").mapInArrow(cut, "anchor long, doc long, start int, last int, place int, twice boolean, hot boolean, bytes binary")
+    bodies = packed_texts(docs).join(lists.hint("merge"), "doc").select("doc", "body", "blocks").mapInArrow(cut, "anchor long, doc long, start int, last int, place int, twice boolean, hot boolean, bytes binary")
     bodies = stored(bodies, "bodies")
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -342,7 +342,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([z.compress(x) for x in b.column(1).to_pylist()], pa.binary())], names=["doc", "doc_id", "body"])
 
     texts = bodies.mapInArrow(pack, f"doc long, doc_id {kind}, body binary")
-    return texts.join(lists, "doc", "left").select("doc_id", "body", "spans").mapInArrow(apply, f"doc_id {kind}, data binary, kept binary, spans array<struct<start:int,end:int>>")
+    return texts.join(lists.hint("merge"), "doc", "left").select("doc_id", "body", "spans").mapInArrow(apply, f"doc_id {kind}, data binary, kept binary, spans array<struct<start:int,end:int>>")
 
 
 def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
