@@ -8,6 +8,7 @@ import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 #: Rows handed to a Python worker at once; small, as single texts can be very long.
 ARROW_ROWS = 256
@@ -50,3 +51,9 @@ def small_batches(spark: SparkSession) -> None:
 
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+def schema_of(df: DataFrame, ddl: str, *passed: str) -> T.StructType:
+    """The fields of ddl, and those of df by name that are passed on as they are."""
+    fields = [*T.StructType.fromDDL(ddl).fields] if ddl else []
+    return T.StructType([*(T.StructField(c, df.schema[c].dataType) for c in passed), *fields])

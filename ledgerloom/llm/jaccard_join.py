@@ -68,8 +68,8 @@ def key_of(grams: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(grams.tobytes())
 
 
-def signatures(docs: DataFrame, n: int, bands: int, rows: int = ROWS) -> DataFrame:
-    """(doc_id, key, n_grams, bands) of docs (doc_id, text); bands is null for an empty set."""
+def signatures(docs: DataFrame, n: int, bands: int, rows: int = ROWS, carry: bool = False) -> DataFrame:
+    """(doc_id, key, n_grams, bands) of docs (doc_id, text), with carry also version, a hash of the text; bands is null for an empty set."""
     factors = np.random.default_rng(1).integers(1, 1 << 63, bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -87,9 +87,10 @@ def signatures(docs: DataFrame, n: int, bands: int, rows: int = ROWS) -> DataFra
                     h = mixed(h * np.uint64(0x100000001B3) + m[:, r])
                 for i, x in zip(full, h.T.astype(np.int64)):
                     out[i] = x
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([key_of(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int32()), pa.array(out, pa.list_(pa.int64()))], names=["doc_id", "key", "n_grams", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([key_of(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int32()), pa.array(out, pa.list_(pa.int64())), b.column(2)], names=["doc_id", "key", "n_grams", "bands", "version"])
 
-    return docs.mapInArrow(sign, f"doc_id {kind}, key binary, n_grams int, bands array<long>")
+    signed = docs.select("doc_id", "text", F.xxhash64("text").alias("version")).mapInArrow(sign, f"doc_id {kind}, key binary, n_grams int, bands array<long>, version long")
+    return signed if carry else signed.drop("version")
 
 
 def linked(a: list[np.ndarray], b: list[np.ndarray] | None, threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -200,6 +201,14 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     parts = shuffle_parts(spark)
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     signed = stored(signatures(docs.where("doc_id is not null"), n, bands_for(threshold, recall)), "signatures")
+    facts = class_facts(docs, signed, n, threshold, parts)
+    out = signed.select("doc_id", "key").join(facts, "key").select("doc_id", "class_id", "n_links")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return out.unionAll(docs.where("doc_id is null").select("doc_id", F.lit(None).cast(kind).alias("class_id"), F.lit(0).cast("long").alias("n_links")))
+
+
+def class_facts(docs: DataFrame, signed: DataFrame, n: int, threshold: float, parts: int) -> DataFrame:
+    """(key, class_id, n_links) of each distinct n-gram set in signed, the signatures of docs (doc_id, text)."""
     classes = stored(signed.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n_grams").alias("n_grams"), F.first("bands").alias("bands")), "classes")
     buckets = classes.where("bands is not null").select("rep", F.posexplode("bands").alias("band", "hash"))
     least = buckets.groupBy("band", "hash").agg(F.min("rep").alias("v"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
@@ -227,16 +236,25 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     links = found.where("other is null").groupBy(F.col("node").alias("rep")).agg(F.sum("links").alias("links"))
     edges = found.where("other is not null").select(F.greatest("node", "other").alias("u"), F.least("node", "other").alias("v"))
     labels = components(edges).select(F.col("node").alias("rep"), "class")
-    facts = classes.join(links, "rep", "left").join(labels, "rep", "left").select("key", F.coalesce("class", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    out = signed.select("doc_id", "key").join(facts, "key").select("doc_id", "class_id", "n_links")
-    return out.unionAll(docs.where("doc_id is null").select("doc_id", F.lit(None).cast(kind).alias("class_id"), F.lit(0).cast("long").alias("n_links")))
+    return classes.join(links, "rep", "left").join(labels, "rep", "left").select("key", F.coalesce("class", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+
 
+def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """One row of docs for each class of near_duplicates: that of the class's least doc_id.
 
-def keep_first(docs: DataFrame, **options) -> DataFrame:
-    """docs without the documents whose class has an earlier one (rows without doc_id stay; of rows that repeat the class's doc_id and have its text all stay)."""
-    found = near_duplicates(docs, **options)
-    drop = found.where("doc_id != class_id").select("doc_id").distinct()
-    return docs.join(drop, "doc_id", "left_anti").select(*docs.columns)
+    Of rows that repeat doc_id and text one stays; rows that repeat the class's doc_id with other texts stay. Rows
+    without doc_id stay, one for each text.
+    """
+    spark = docs.sparkSession
+    small_batches(spark)
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    version = lambda c: F.xxhash64(F.coalesce(c, F.lit("")))
+    signed = stored(signatures(rows.where("doc_id is not null"), n, bands_for(threshold, recall), carry=True), "signatures")
+    facts = class_facts(rows, signed, n, threshold, shuffle_parts(spark))
+    later = signed.join(facts, "key").where("doc_id != class_id").select(F.col("doc_id").alias("_id"), F.col("version").alias("_version"))
+    marked = docs.withColumn("_v", version(F.col(text)))
+    kept = marked.join(later.hint("merge"), (F.col(doc_id) == F.col("_id")) & (F.col("_v") == F.col("_version")), "left_anti")
+    return kept.dropDuplicates([doc_id, "_v"]).select(*docs.columns)
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,14 +11,14 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, stored, table
+from .common import schema_of, small_batches, stored, table
 
 WORD = re.compile(r"\w+")
 CELLS = 1 << 15
@@ -94,20 +94,22 @@ def fit_classifier(docs: DataFrame, labelled: DataFrame, domains: int, max_label
     return Classifier(counts, sizes)
 
 
-def memberships(docs: DataFrame, classifier: Classifier, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, posteriors): n_tokens counts words between white space; an empty text has 0 and the prior."""
+def memberships(docs: DataFrame, classifier: Classifier, doc_id: str = "doc_id", text: str = "text", carry: Sequence[str] = ()) -> DataFrame:
+    """(doc_id, n_tokens, posteriors) and the columns named in carry: n_tokens counts words between white space; an empty text has 0 and the prior."""
     spark = docs.sparkSession
     small_batches(spark)
     known = spark.sparkContext.broadcast(classifier)
-    kind = docs.schema[doc_id].dataType.simpleString()
+    rest = F.struct(*(F.col(c) for c in carry)) if carry else F.struct(F.lit(0))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"), rest.alias("rest"))
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(1).to_pylist()
             p = known.value.posteriors(texts)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(t.split()) for t in texts], pa.int64()), pa.array(list(p), pa.list_(pa.float64()))], names=["doc_id", "n_tokens", "posteriors"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([len(t.split()) for t in texts], pa.int64()), pa.array(list(p), pa.list_(pa.float64()))], names=["doc_id", "rest", "n_tokens", "posteriors"])
 
-    return docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).mapInArrow(of, f"doc_id {kind}, n_tokens long, posteriors array<double>")
+    out = rows.mapInArrow(of, schema_of(rows, "n_tokens long, posteriors array<double>", "doc_id", "rest"))
+    return out.select("doc_id", "n_tokens", "posteriors", *(F.col("rest")[c].alias(c) for c in carry))
 
 
 def rate(posteriors: Column, steps: list[list[float]]) -> Column:
@@ -143,7 +145,7 @@ def fit_rates(members: DataFrame, weights: list[float], budget: float | str = "s
     if budget == "supply":
         budget = float(have.sum())
     elif budget == "cover":
-        budget = float((have / np.maximum(share, 1e-12)).max())
+        budget = float((have[share > 0] / share[share > 0]).max())
     goal = share * budget
     steps: list[list[float]] = []
     for _ in range(rounds):
@@ -156,14 +158,14 @@ def fit_rates(members: DataFrame, weights: list[float], budget: float | str = "s
     return steps, goal.tolist()
 
 
-def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float] = WEIGHTS, budget: float | str = "supply", max_labelled: int = MAX_LABELLED) -> DataFrame:
-    """(doc_id, n_tokens, posteriors, rate) of each row of docs (doc_id, text).
+def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float] = WEIGHTS, budget: float | str = "supply", max_labelled: int = MAX_LABELLED, carry: Sequence[str] = ()) -> DataFrame:
+    """(doc_id, n_tokens, posteriors, rate) of each row of docs (doc_id, text), and its columns named in carry.
 
     weights: of each of DOMAINS. If documents of a domain don't exist at all its target can't be met and the rest of the
     fit is as near as nonnegative rates allow. An empty table gives an empty one.
     """
     classifier = fit_classifier(docs, domain_labels(labels), len(DOMAINS), max_labelled)
-    members = stored(memberships(docs, classifier), "memberships")
+    members = stored(memberships(docs, classifier, carry=carry), "memberships")
     steps, _ = fit_rates(members, [weights[d] for d in DOMAINS], budget)
     return members.withColumn("rate", rate(F.col("posteriors"), steps))
 

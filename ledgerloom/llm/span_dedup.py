@@ -8,7 +8,7 @@ sentences; at every other place they are covered, and covered sentences go.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +16,7 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import small_batches, table
 
@@ -55,8 +56,8 @@ def spans_of(words: np.ndarray, hashes: np.ndarray, least: int) -> list[tuple[in
     return [(xxhash.xxh3_64_intdigest(data[8 * i : 8 * j]) - (1 << 63), i, j) for i, j in pairs.T.tolist()]
 
 
-def span_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", span_words: int = SPAN_WORDS) -> DataFrame:
-    """(doc_id, text, kept, n_sentences, n_removed) of each row of docs.
+def span_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", span_words: int = SPAN_WORDS, carry: Sequence[str] = ()) -> DataFrame:
+    """(doc_id, text, kept, n_sentences, n_removed) of each row of docs, and its columns named in carry.
 
     kept is the text without covered sentences, all other bytes as they were. Null texts are empty; a text under
     span_words words has no span and stays. Rows that repeat doc_id and text are one document to each other (none is
@@ -66,8 +67,9 @@ def span_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", span
     spark = docs.sparkSession
     small_batches(spark)
     kind = docs.schema[doc_id].dataType.simpleString()
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    rows = rows.select("doc_id", F.hash("text").alias("version"), "text")
+    rest = F.struct(*(F.col(c) for c in carry)) if carry else F.struct(F.lit(0))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), rest.alias("rest"))
+    rows = rows.select("doc_id", F.hash("text").alias("version"), "text", "rest")
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -83,7 +85,7 @@ def span_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", span
             k = pa.array(at, pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0).take(k), b.column(1).take(k), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int32())], names=["doc_id", "version", "hash", "first", "end"])
 
-    spans = rows.mapInArrow(find, f"doc_id {kind}, version int, hash long, first int, end int")
+    spans = rows.drop("rest").mapInArrow(find, f"doc_id {kind}, version int, hash long, first int, end int")
     places = spans.groupBy("hash").agg(F.min(F.struct("doc_id", "first")).alias("keep"), F.max(F.struct("doc_id", "first")).alias("m")).where("keep != m or (keep is null) != (m is null)").select("hash", "keep")
     later = spans.join(places.hint("merge"), "hash").where(~F.struct("doc_id", "first").eqNullSafe(F.col("keep")))
     covered = later.groupBy("doc_id", "version").agg(F.collect_set(F.struct("first", "end")).alias("covered"))
@@ -91,7 +93,7 @@ def span_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", span
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdCompressor(level=3)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([z.compress(t.encode("utf-8", "surrogatepass")) for t in b.column(2).to_pylist()], pa.binary())], names=["doc_id", "version", "body"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([z.compress(t.encode("utf-8", "surrogatepass")) for t in b.column(2).to_pylist()], pa.binary()), b.column(3)], names=["doc_id", "version", "body", "rest"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdDecompressor()
@@ -107,11 +109,13 @@ def span_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", span
                 off = np.cumsum(gone)[:-1] > 0
                 out.append((t, "".join(p for p, o in zip(pieces, off) if not o) if off.any() else t, len(pieces), int(off.sum())))
             c = list(zip(*out)) if out else [[]] * 4
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(c[0], pa.string()), pa.array(c[1], pa.string()), pa.array(c[2], pa.int64()), pa.array(c[3], pa.int64())], names=["doc_id", "text", "kept", "n_sentences", "n_removed"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(c[0], pa.string()), pa.array(c[1], pa.string()), pa.array(c[2], pa.int64()), pa.array(c[3], pa.int64()), b.column(3)], names=["doc_id", "text", "kept", "n_sentences", "n_removed", "rest"])
 
-    bodies = rows.mapInArrow(pack, f"doc_id {kind}, version int, body binary").alias("d")
-    met = bodies.join(covered.alias("c").hint("merge"), F.expr("d.doc_id <=> c.doc_id and d.version = c.version"), "left").select("d.doc_id", "d.body", "c.covered")
-    return met.mapInArrow(cut, f"doc_id {kind}, text string, kept string, n_sentences long, n_removed long")
+    passed = T.StructType([T.StructField("rest", rows.schema["rest"].dataType)])
+    bodies = rows.mapInArrow(pack, T.StructType(T.StructType.fromDDL(f"doc_id {kind}, version int, body binary").fields + passed.fields)).alias("d")
+    met = bodies.join(covered.alias("c").hint("merge"), F.expr("d.doc_id <=> c.doc_id and d.version = c.version"), "left").select("d.doc_id", "d.body", "c.covered", "d.rest")
+    out = met.mapInArrow(cut, T.StructType(T.StructType.fromDDL(f"doc_id {kind}, text string, kept string, n_sentences long, n_removed long").fields + passed.fields))
+    return out.select("doc_id", "text", "kept", "n_sentences", "n_removed", *(F.col("rest")[c].alias(c) for c in carry))
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,10 +30,12 @@ from pyspark.sql import functions as F
 from .common import small_batches, stored, table
 
 WORD = re.compile(r"[^\W\d_]+")
-ORDER, TABLE, DISCOUNT = 6, 1 << 20, 0.75
+ORDER, TABLE, DISCOUNT = 6, 1 << 21, 0.75
 MAX_LABELLED, FOLDS, THRESHOLD = 65_536, 4, 0.3
 #: Words longer than this are read in pieces of it; distinct words that a task holds before it hands them on; words whose evidence a worker keeps.
 WORD_CHARS, FLUSH_WORDS, MEMO_WORDS = 64, 200_000, 300_000
+#: Distinct words whose n-grams a task counts, and slices of the table that are packed apart.
+TASK_WORDS, SLICES = 400_000, 16
 #: The part of a document's evidence that is prior: words added to its length.
 PRIOR_WORDS = 8.0
 #: Observations of the shared distribution that each history of a class starts with.
@@ -124,6 +126,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
 def cells(vocabulary: DataFrame) -> DataFrame:
     """(kind, gram, history, n0..): the model's tables, kind -1 the shared lower orders, else class * FOLDS + fold; at most a row for each kind and gram cell."""
     kinds = 2 * FOLDS
+    tasks = max(1, -(-vocabulary.count() // TASK_WORDS))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shared, top = np.zeros(TABLE, np.int64), np.zeros((kinds, TABLE), np.int32)
@@ -149,7 +152,26 @@ def cells(vocabulary: DataFrame) -> DataFrame:
                 x = i[j : j + 50_000]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), kind), pa.int32()), pa.array(x, pa.int32()), pa.array(p[x], pa.int32()), pa.array(row[x], pa.int64())], names=["kind", "gram", "history", "n"])
 
-    return vocabulary.mapInArrow(count, "kind int, gram int, history int, n long").groupBy("kind", "gram").agg(F.max("history").alias("history"), F.sum("n").alias("n"))
+    # a task holds the whole table: few of them, as each hands on its cells
+    return vocabulary.coalesce(tasks).mapInArrow(count, "kind int, gram int, history int, n long").groupBy("kind", "gram").agg(F.max("history").alias("history"), F.sum("n").alias("n"))
+
+
+def packed(rows: DataFrame) -> DataFrame:
+    """(kind, gram, history, n): the columns of slices of the cells, each as compressed 32-bit numbers (counts up to 2**31 - 1)."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [x for x in (np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in b.columns]) for b in batches) if x.size]
+        if not held:
+            return
+        m = np.concatenate(held, 1)
+        m = m[:, np.lexsort((m[1], m[0]))]
+        kinds = np.unique(m[0])
+        parts = [m[1:, slice(*np.searchsorted(m[0], [k, k + 1]))] for k in kinds]
+        blobs = [[zlib.compress(np.minimum(x[i], (1 << 31) - 1).astype("<i4").tobytes(), 1) for x in parts] for i in range(3)]
+        yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), *(pa.array(b, pa.binary()) for b in blobs)], names=["kind", "gram", "history", "n"])
+
+    sliced = rows.repartition(SLICES, (F.col("gram") % SLICES).alias("slice")).select("kind", "gram", "history", "n")
+    return sliced.mapInArrow(pack, "kind int, gram binary, history binary, n binary")
 
 
 class Model:
@@ -201,22 +223,25 @@ class Model:
 class Counts:
     """The collected tables as compressed columns, so that what is broadcast is small; models are built where they are used, once."""
 
-    def __init__(self, rows: pd.DataFrame) -> None:
-        self.kinds = {int(k): [zlib.compress(np.ascontiguousarray(x[c].to_numpy(), "<i4").tobytes(), 1) for c in ("gram", "history", "n")] for k, x in rows.sort_values("gram").groupby("kind")}
+    def __init__(self, slices: list) -> None:
+        self.kinds: dict[int, list[tuple[bytes, bytes, bytes]]] = {}
+        for r in slices:
+            self.kinds.setdefault(r["kind"], []).append((bytes(r["gram"]), bytes(r["history"]), bytes(r["n"])))
         self.built: dict[int | None, Model] = {}
 
     def __getstate__(self) -> dict:
         return {"kinds": self.kinds, "built": {}}
 
     def columns(self, kind: int) -> list[np.ndarray]:
-        return [np.frombuffer(zlib.decompress(c), "<i4") for c in self.kinds.get(kind, [zlib.compress(b"")] * 3)]
+        parts = self.kinds.get(kind, [])
+        return [np.concatenate([np.zeros(0, "<i4"), *(np.frombuffer(zlib.decompress(x[i]), "<i4") for x in parts)]) for i in range(3)]
 
     def model(self, without: int | None = None) -> Model:
         """The model of all folds but one."""
         if without not in self.built:
             top = []
             for y in (0, 1):
-                n, past = np.zeros(TABLE, np.int64), np.zeros(TABLE, np.int64)
+                n, past = np.zeros(TABLE, np.int64), np.zeros(TABLE, np.int32)
                 for f in range(FOLDS):
                     if f != without:
                         g, h, c = self.columns(y * FOLDS + f)
@@ -261,7 +286,7 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     marked = docs.join(sample, "doc_id", "left").select("text", "toxic", "fold")
     vocabulary = stored(word_counts(marked), "words")
-    shared = spark.sparkContext.broadcast(Counts(cells(vocabulary).toPandas()))  # at most 9 * TABLE rows
+    shared = spark.sparkContext.broadcast(Counts(packed(cells(vocabulary)).collect()))  # at most 9 * SLICES rows, of TABLE cells for each kind
 
     def evidence(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
