@@ -1,6 +1,441 @@
-"""Queries of the statement-analytics operators and their SQL."""
+"""Queries of the statement-analytics operators over the driver's tables, and the SQL that expresses them."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import text as T
+from .operators import analytics as A
+from .operators import classify as C
+from .operators import normalize as N
+from .operators import parse as P
+from .operators import records as R
+from .sources import tables as S
+from .streaming import ingest as I
+
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
+
+#: Common table expressions of the oracles.
+TXN = f"with txn as ({S.TRANSACTION_SQL.format(orders='orders')})"
+RULE = """case when description = 'TRENDYOL YEMEK' then 'food' when description like 'MIGROS%' then 'groceries' when description like 'SHELL%' then 'fuel'
+ when description like 'TURKCELL%' then 'telecom' when description like 'AMAZON%' then 'shopping' else 'other' end"""
+CAT = f"{TXN}, cat as (select *, case when direction = 'credit' then 'income_or_refund' else {RULE} end as category from txn)"
+FEAT = """, feat as (select *, coalesce(installment_total > 1, false) as has_installment, coalesce(original_currency <> currency, false) as is_foreign, confidence < 0.7 as is_low,
+ isodow(txn_date) >= 6 as is_weekend from txn)"""
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql is not None:
+            SQL[name] = sql
+        return f
+
+    return add
+
+
+def txn(spark: SparkSession, d: str) -> DataFrame:
+    return S.transactions(spark, d)
+
+
+def money(c: str):
+    return F.col(c).cast("double")
+
+
+@query("category_summary", f"""{CAT}, s as (select input_id, category, count(*) as transaction_count, sum(amount) as t from cat where direction = 'debit' group by all)
+select input_id, category, transaction_count, cast(t as double) as total_amount, round(cast(t as double) / cast(sum(t) over (partition by input_id) as double), 4) as share_of_spend from s""")
+def category_summary(spark, d):
+    return A.category_summary(A.categorized(txn(spark, d))).withColumn("total_amount", money("total_amount"))
+
+
+@query("category_method_counts", f"{CAT} select case when direction = 'credit' then 'direction' when category = 'other' then 'fallback' else 'rule' end as method, category, count(*) as n from cat group by all")
+def category_method_counts(spark, d):
+    return A.categorized(txn(spark, d)).groupBy("method", "category").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("regex_theta_join_first_match", f"{TXN} select input_id, seq, {RULE} as category from txn")
+def regex_theta_join(spark, d):
+    return A.first_rule_by_join(txn(spark, d), S.taxonomy(spark))
+
+
+@query("txn_features", f"""{TXN}{FEAT} select input_id, seq, strftime(date_trunc('month', txn_date), '%Y-%m-%d') as month, cast(isodow(txn_date) - 1 as int) as weekday, is_weekend,
+ cast(case when direction = 'debit' then amount else 0 end as double) as spend, cast(case when direction = 'credit' then -amount else amount end as double) as signed_amount,
+ round(ln(1 + cast(amount as double)), 6) as log_amount, has_installment, is_foreign as is_foreign_currency, is_low as is_low_confidence, validation_status = 'invalid' as is_invalid from feat""")
+def txn_features(spark, d):
+    f = A.features(txn(spark, d))
+    return f.select("input_id", "seq", F.date_format("month", "yyyy-MM-dd").alias("month"), F.col("weekday").cast("int").alias("weekday"), "is_weekend", money("spend").alias("spend"), money("signed_amount").alias("signed_amount"), F.round("log_amount", 6).alias("log_amount"), "has_installment", "is_foreign_currency", "is_low_confidence", "is_invalid")
+
+
+@query("debit_credit_summary", f"""{TXN} select input_id, count(*) as transaction_count, cast(sum(case when direction = 'debit' then amount else 0 end) as double) as total_debit,
+ cast(sum(case when direction = 'credit' then amount else 0 end) as double) as total_credit, count(*) filter (validation_status = 'invalid') as invalid_count, count(*) filter (validation_status = 'warning') as warning_count from txn group by input_id""")
+def debit_credit_summary(spark, d):
+    s = N.summary(txn(spark, d).withColumnRenamed("txn_date", "date"))
+    return s.select("input_id", "transaction_count", money("total_debit").alias("total_debit"), money("total_credit").alias("total_credit"), "invalid_count", "warning_count")
+
+
+@query("distinct_currencies", f"{TXN} select input_id, array_to_string(list_sort(list_distinct(list(coalesce(original_currency, currency)))), ',') as currencies from txn group by input_id")
+def distinct_currencies(spark, d):
+    rows = txn(spark, d).withColumn("currency", F.coalesce("original_currency", "currency")).withColumnRenamed("txn_date", "date")
+    return N.summary(rows).select("input_id", F.array_join("currencies", ",").alias("currencies"))
+
+
+@query("primary_currency_mode", f"""{TXN}, c as (select input_id, coalesce(original_currency, currency) as cur, count(*) as n, min((txn_date, description, amount)) as f from txn group by all)
+select input_id, cur as primary_currency from c qualify row_number() over (partition by input_id order by n desc, f, cur) = 1""")
+def primary_currency_mode(spark, d):
+    rows = txn(spark, d).withColumn("currency", F.coalesce("original_currency", "currency")).withColumnRenamed("txn_date", "date")
+    return N.primary_currency(rows)
+
+
+DUP = f"{TXN}, dup as (select * from txn union all select input_id, seq + 1000000000, txn_date, description, amount, currency, original_currency, direction, installment_total, case when seq % 2 = 0 then confidence + 0.005 else confidence end, validation_status from txn where seq % 3 = 0)"
+
+
+def doubled(spark, d) -> DataFrame:
+    rows = txn(spark, d)
+    again = rows.where("seq % 3 = 0").withColumn("confidence", F.expr("case when seq % 2 = 0 then confidence + 0.005 else confidence end")).withColumn("seq", F.col("seq") + 1000000000)
+    return rows.unionByName(again)
+
+
+@query("dedup_keep_best", f"""{DUP} select input_id, seq, strftime(txn_date, '%Y-%m-%d') as date, cast(amount as double) as amount, round(confidence, 4) as confidence from dup
+qualify row_number() over (partition by input_id, txn_date, description, amount, currency, direction order by confidence desc, seq) = 1""")
+def dedup_keep_best(spark, d):
+    rows = doubled(spark, d).withColumnRenamed("txn_date", "date").withColumn("merchant", F.col("description"))
+    return N.keep_best(rows).select("input_id", "seq", F.date_format("date", "yyyy-MM-dd").alias("date"), money("amount").alias("amount"), F.round("confidence", 4).alias("confidence"))
+
+
+@query("union_dedup_keep_last", f"""{TXN}, u as (select *, 0 as role, seq // 2 as k from txn where seq % 4 <> 0 union all select *, 1, seq // 2 from txn where seq % 3 <> 0)
+select input_id, k as transaction_key, seq, role from u qualify row_number() over (partition by input_id, k order by role desc, seq desc) = 1""")
+def union_dedup_keep_last(spark, d):
+    rows = txn(spark, d).withColumn("transaction_key", F.expr("seq div 2"))
+    out = A.union_keep_last(rows.where("seq % 4 <> 0").withColumn("role", F.lit(0)), rows.where("seq % 3 <> 0").withColumn("role", F.lit(1)), "transaction_key")
+    return out.select("input_id", "transaction_key", "seq", "role")
+
+
+@query("transaction_id_hash", f"{TXN} select input_id, seq, 'txn_' || substr(sha256(concat_ws('|', strftime(txn_date, '%Y-%m-%d'), case when description like 'TRENDYOL%' then 'TRENDYOL' else description end, cast(amount as varchar), currency, direction)), 1, 16) as transaction_id from txn")
+def transaction_id_hash(spark, d):
+    return txn(spark, d).select("input_id", "seq", N.transaction_id(F.col("txn_date"), T.merchant_name(F.col("description")), F.col("amount"), F.col("currency"), F.col("direction")).alias("transaction_id"))
+
+
+@query("merchant_alias", f"""{TXN} select description, case when description like '%TRENDYOL%' then 'TRENDYOL' else description end as merchant, case when description like '%TRENDYOL%' then 0.98e0 else 0.9e0 end as confidence, count(*) as n from txn group by all""")
+def merchant_alias(spark, d):
+    name = T.merchant_name(F.col("description"))
+    return txn(spark, d).select("description", name.alias("merchant"), T.merchant_confidence(F.col("description"), name).alias("confidence")).groupBy("description", "merchant", "confidence").agg(F.count(F.lit(1)).alias("n"))
+
+
+RAW = """raw as (select input_id, seq, case when seq % 11 = 0 then '31.02.2024' when seq % 2 = 0 then strftime(txn_date, '%d.%m.%Y') else strftime(txn_date, '%Y-%m-%d') end as date_text,
+ case when seq % 13 = 0 then null when seq % 17 = 0 then 0 else amount end as amount, case when seq % 5 = 0 then 'TL' when seq % 19 = 0 then 'XQQ' when seq % 23 = 0 then null else 'TRY' end as currency,
+ case when seq % 29 = 0 then 'A' else description end as description, direction, confidence, case when seq % 7 = 0 then 9 end as current, installment_total as total from txn)"""
+
+
+def raw(spark, d) -> DataFrame:
+    return txn(spark, d).select("input_id", "seq", F.expr("case when seq % 11 = 0 then '31.02.2024' when seq % 2 = 0 then date_format(txn_date, 'dd.MM.yyyy') else date_format(txn_date, 'yyyy-MM-dd') end").alias("date"), F.expr("case when seq % 13 = 0 then null when seq % 17 = 0 then 0 else amount end").alias("amount"), F.expr("case when seq % 5 = 0 then 'TL' when seq % 19 = 0 then 'XQQ' when seq % 23 = 0 then null else 'TRY' end").alias("currency"), F.expr("case when seq % 29 = 0 then 'A' else description end").alias("description"), "direction", "confidence", F.expr("case when seq % 7 = 0 then 9 end").alias("installment_current"), F.col("installment_total"))
+
+
+WARN = f"""{TXN}, {RAW}, w as (select *, concat_ws(',', case when seq % 11 = 0 then 'missing_or_invalid_date' end, case when amount is null then 'missing_amount' when amount <= 0 then 'non_positive_amount' end,
+ case when currency is null then 'missing_currency' when currency = 'XQQ' then 'invalid_currency' end, case when length(description) < 2 then 'missing_or_short_description' end, case when current > total then 'invalid_installment_current_gt_total' end) as warnings from raw),
+st as (select *, case when seq % 11 = 0 or coalesce(amount, 0) <= 0 then 'invalid' when warnings <> '' then 'warning' else 'valid' end as validation_status from w)"""
+
+
+@query("validate_warnings", f"{WARN} select input_id, seq, warnings, validation_status from st")
+def validate_warnings(spark, d):
+    return N.normalized(raw(spark, d)).select("input_id", "seq", F.array_join("warnings", ",").alias("warnings"), "validation_status")
+
+
+SCORE = f"""{WARN}, sc as (select input_id, seq, validation_status, confidence * 0.40e0 + ((case when seq % 11 = 0 then 0.0e0 else 0.25e0 end) + 0.25e0 + 0.15e0 + 0.15e0 + (case when description like '%TRENDYOL%' then 0.98e0 when length(description) < 3 then 0.7e0 else 0.9e0 end) * 0.20e0) * 0.25e0
+ + (case when seq % 11 = 0 then 0.8e0 else 1.0e0 end) * 0.20e0 + (case validation_status when 'valid' then 1.0e0 when 'warning' then 0.65e0 else 0.25e0 end) * 0.15e0 as s from st)"""
+
+
+@query("row_scores", f"{SCORE} select input_id, seq, cast(round(cast(s as decimal(18,10)), 4) as double) as score, validation_status from sc")
+def row_scores(spark, d):
+    return N.scores(N.normalized(raw(spark, d))).select("input_id", "seq", "score", "validation_status")
+
+
+@query("score_summary", f"{SCORE} select input_id, count(*) filter (validation_status = 'invalid') as invalid_count, count(*) filter (validation_status = 'warning') as warning_count, count(*) filter (validation_status = 'invalid') = 0 as validation_passed, cast(round(cast(avg(cast(round(cast(s as decimal(18,10)), 4) as double)) as decimal(18,10)), 4) as double) as overall_confidence from sc group by input_id")
+def score_summary(spark, d):
+    return N.score_summary(N.scores(N.normalized(raw(spark, d)))).select("input_id", "invalid_count", "warning_count", "validation_passed", "overall_confidence")
+
+
+@query("profile_labels", f"""{CAT}{FEAT.replace('from txn', 'from cat')}, p as (select input_id, count(*) as n, round(count(*) filter (has_installment) / count(*), 4) as ir, round(count(*) filter (is_foreign) / count(*), 4) as fr, round(cast(sum(amount) as double) / count(*), 2) as av, cast(max(amount) as double) as mx from feat where direction = 'debit' group by input_id),
+ c as (select input_id, category, sum(amount) as t, round(cast(sum(amount) as double) / cast(sum(sum(amount)) over (partition by input_id) as double), 4) as sh from cat where direction = 'debit' group by input_id, category qualify row_number() over (partition by input_id order by t desc, category) = 1),
+ l as (select input_id, concat_ws(',', case when sh >= 0.40 then (case category when 'food' then 'Yeme İçme' when 'groceries' then 'Market' when 'fuel' then 'Akaryakıt' when 'telecom' then 'İletişim' when 'shopping' then 'Alışveriş' else 'Diğer' end) || '_heavy_spender' end, case when ir >= 0.35 then 'installment_heavy_spender' end, case when fr >= 0.20 then 'international_spender' end, case when mx >= av * 3 and n >= 3 then 'large_purchase_sensitive' end) as labels, n, ir, fr from p join c using (input_id))
+select input_id, case when labels = '' then 'balanced_spender' else labels end as labels, n, ir as installment_ratio, fr as foreign_ratio from l""")
+def profile_labels(spark, d):
+    p = A.profile(A.categorized(A.features(txn(spark, d))))
+    return p.select("input_id", F.array_join("labels", ",").alias("labels"), "n", "installment_ratio", "foreign_ratio")
+
+
+FLAGS = ", fl as (select *, cast(amount as double) as x, (case when is_foreign then 0.12 else 0 end) + (case when has_installment then 0.05 else 0 end) + (case when is_low then 0.18 else 0 end) + (case when validation_status <> 'valid' then 0.18 else 0 end) as bonus from feat where direction = 'debit')"
+ROBUST = f"""{TXN}{FEAT}{FLAGS}, m as (select *, median(x) over (partition by input_id) as med, count(*) over (partition by input_id) as n from fl), a as (select *, median(abs(x - med)) over (partition by input_id) as mad from m),
+ z as (select *, case when mad > 0 then abs(x - med) / (mad * 1.4826) end as z from a), s as (select *, least(1.0, bonus + case when mad > 0 and z >= 3.5 then least(0.70, z / 10) when mad = 0 and n >= 3 and x > med * 3 then 0.55 else 0 end) as score from z)"""
+
+
+@query("robust_mad_anomaly", f"{ROBUST} select input_id, seq, round(cast(score as double), 4) as score from s where cast(score as double) >= 0.25")
+def robust_mad_anomaly(spark, d):
+    return A.robust_anomalies(A.features(txn(spark, d))).select("input_id", "seq", "score")
+
+
+TAIL = "greatest(-ln(cume_dist() over (partition by input_id order by {c})), -ln(cume_dist() over (partition by input_id order by {c} desc)))"
+ECDF = f"""{TXN}{FEAT}{FLAGS}, many as (select input_id from fl group by input_id having count(*) >= 8), both_ as (select *, 0 as now, ln(1 + x) as lg from fl semi join many using (input_id) union all select *, 1, ln(1 + x) from fl semi join many using (input_id)),
+ t as (select *, {' + '.join(TAIL.format(c=c) for c in ('lg', 'cast(has_installment as int)', 'cast(is_foreign as int)', 'cast(is_low as int)', 'cast(is_weekend as int)'))} as r from both_), r as (select *, round(r, 9) as raw from t where now = 1),
+ mm as (select *, min(raw) over (partition by input_id) as lo, max(raw) over (partition by input_id) as hi from r), s as (select *, least(1.0, (case when hi > lo then (raw - lo) / (hi - lo) else 0 end) + cast(bonus as double)) as score from mm)"""
+
+
+def ecdf(spark, d) -> DataFrame:
+    rows = A.features(txn(spark, d))
+    many = rows.where("direction = 'debit'").groupBy("input_id").agg(F.count(F.lit(1)).alias("c")).where("c >= 8").select("input_id")
+    rows = rows.join(many, "input_id", "left_semi")
+    return A.ecdf_anomalies(rows, rows)
+
+
+@query("ecdf_anomaly", f"{ECDF} select input_id, seq, round(score, 4) as score from s where score >= 0.40")
+def ecdf_anomaly(spark, d):
+    return ecdf(spark, d).select("input_id", "seq", "score")
+
+
+@query("severity_histogram", f"{ROBUST} select case when score >= 0.70 then 'high' when score >= 0.45 then 'medium' else 'low' end as severity, count(*) as n from (select round(cast(score as double), 4) as score from s where cast(score as double) >= 0.25) group by all")
+def severity_histogram(spark, d):
+    return A.robust_anomalies(A.features(txn(spark, d))).groupBy("severity").agg(F.count(F.lit(1)).alias("n"))
+
+
+MONTHLY = f"""{TXN}, sp as (select input_id, currency, date_trunc('month', txn_date) as m, cast(sum(amount) as double) as spend from txn where direction = 'debit' and validation_status <> 'invalid' group by all),
+ span as (select input_id, currency, min(m) as a, max(m) as b from sp group by all), cal as (select input_id, currency, unnest(generate_series(a::timestamp, b::timestamp, interval 1 month)) as m from span),
+ mon as (select cal.input_id, cal.currency, cal.m, coalesce(sp.spend, 0) as spend from cal left join sp on cal.input_id = sp.input_id and cal.currency = sp.currency and cal.m = sp.m::timestamp)"""
+
+
+@query("monthly_spend_gapfill", f"{MONTHLY} select input_id, currency, strftime(m, '%Y-%m-%d') as month, spend from mon")
+def monthly_spend_gapfill(spark, d):
+    return A.monthly_spend(A.features(txn(spark, d))).select("input_id", "currency", F.date_format("month", "yyyy-MM-dd").alias("month"), "spend")
+
+
+FORE = f"""{MONTHLY}, r as (select *, row_number() over (partition by input_id order by m desc) as r, count(*) over (partition by input_id) as n from mon),
+ f as (select input_id, currency, max(n) as months, sum(greatest(least(n, 6) - r + 1, 0) * spend) / sum(greatest(least(n, 6) - r + 1, 0)) as wa, min(spend) as lo, max(spend) as hi from r group by all),
+ fc as (select *, round(case when hi <= 0 then 0 else least(greatest(wa, lo * 0.5), hi * 1.5) end, 2) as predicted from f)"""
+
+
+@query("weighted_moving_average", f"{FORE} select input_id, months, round(wa, 2) as weighted_average from fc")
+def weighted_moving_average(spark, d):
+    return A.forecast(A.monthly_spend(A.features(txn(spark, d)))).select("input_id", "months", "weighted_average")
+
+
+@query("forecast_clamped", f"{FORE} select input_id, predicted, round(least(0.35 + months * 0.06, 0.65), 4)::double as confidence from fc")
+def forecast_clamped(spark, d):
+    return A.forecast(A.monthly_spend(A.features(txn(spark, d)))).select("input_id", "predicted", "confidence")
+
+
+@query("ar_forecast")
+def ar_forecast(spark, d):
+    return A.ar_forecast(A.monthly_spend(A.features(txn(spark, d))))
+
+
+OPT = f"{FORE}, o as (select input_id, currency, months_ as months, round(50000.0 / months_, 2)::double as monthly_amount, predicted from fc, (select unnest(generate_series(1, 12)) as months_)), opt as (select *, case when predicted > 0 then monthly_amount / predicted end as b from o)"
+
+
+def options(spark, d) -> DataFrame:
+    f = A.forecast(A.monthly_spend(A.features(txn(spark, d))))
+    return A.installment_options(f, f.select("input_id", F.lit(50000.0).alias("amount"), "currency", F.lit(12).alias("max_months")))
+
+
+@query("installment_options", f"{OPT} select input_id, months::int as months, monthly_amount, round(b, 4) as burden_ratio, case when b <= 0.15 then 'low' when b <= 0.30 then 'medium' else 'high' end as risk_level from opt")
+def installment_options(spark, d):
+    return options(spark, d).drop("currency")
+
+
+@query("installment_recommended", f"{OPT}, k as (select *, case when b <= 0.15 then 0 else 1 end as worse from opt) select input_id, months::int as recommended_months, monthly_amount from k qualify row_number() over (partition by input_id order by worse, case when worse = 0 then months else -months end) = 1")
+def installment_recommended(spark, d):
+    return A.recommended(options(spark, d)).select("input_id", "recommended_months", "monthly_amount")
+
+
+@query("quality_penalty", f"""{TXN}, q as (select input_id, avg(confidence) as o, count(*) as n, count(*) filter (confidence < 0.7e0) as lo, count(*) filter (validation_status = 'invalid') as iv from txn group by input_id)
+select input_id, n - iv as usable, lo as low_count, iv as invalid_count, cast(round(cast(greatest(0.0e0, least(1.0e0, cast(round(cast(o as decimal(18,10)), 4) as double) - lo / n * 0.20e0 - iv / n * 0.35e0)) as decimal(18,10)), 4) as double) as analysis_confidence from q""")
+def quality_penalty(spark, d):
+    return A.quality(txn(spark, d)).select("input_id", "usable", "low_count", "invalid_count", "analysis_confidence")
+
+
+@query("latest_record_per_key", "select o_custkey, o_orderkey, o_totalprice from orders qualify row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey desc) = 1")
+def latest_record_per_key(spark, d):
+    return R.latest(S.table(spark, d, "orders"), "o_custkey", "o_orderdate", "o_orderkey").select("o_custkey", "o_orderkey", "o_totalprice")
+
+
+@query("gate_semi_anti_join", "select c_custkey, exists (select 1 from orders where o_custkey = c_custkey and o_orderstatus = 'P') as ready from customer")
+def gate_semi_anti_join(spark, d):
+    good, bad = R.ready(S.table(spark, d, "customer").withColumnRenamed("c_custkey", "k"), S.table(spark, d, "orders").withColumnRenamed("o_custkey", "k"), "k", "o_orderstatus = 'P'")
+    return good.select(F.col("k").alias("c_custkey"), F.lit(True).alias("ready")).unionAll(bad.select("k", F.lit(False)))
+
+
+@query("statement_line_roundtrip", f"{TXN} select input_id, seq, strftime(txn_date, '%Y-%m-%d') as date, description || case when direction = 'credit' then ' IADE' else '' end as description, cast(amount as double) as amount, 'TRY' as currency, direction, case when installment_total is not null then 1 end::int as current, installment_total::int as total, case when installment_total is not null then 0.98 else 0.95 end::double as confidence from txn")
+def statement_line_roundtrip(spark, d):
+    found, _ = P.extract(S.statement_lines(txn(spark, d)))
+    return found.select("input_id", F.col("line_no").alias("seq"), F.date_format("date", "yyyy-MM-dd").alias("date"), "description", F.col("price").alias("amount"), "currency", "direction", "installment.current", "installment.total", "confidence")
+
+
+@query("candidate_line_merge", f"""{TXN}, t as (select input_id, seq, strftime(txn_date, '%d/%m/%Y') as dt, description, replace(cast(amount as varchar), '.', ',') || ' TL' as a from txn)
+select input_id, seq * 2 as line_no, dt || ' ' || description as text, 0 as merged from t union all select input_id, seq * 2, dt || ' ' || description || ' ' || a, 1 from t union all select input_id, min(seq * 2 + 1), a, 0 from t group by input_id, a""")
+def candidate_line_merge(spark, d):
+    t = txn(spark, d)
+    amount = F.concat(F.replace(F.col("amount").cast("string"), F.lit("."), F.lit(",")), F.lit(" TL"))
+    two = F.array(F.struct((F.col("seq") * 2).alias("line_no"), F.concat_ws(" ", F.date_format("txn_date", "dd/MM/yyyy"), "description").alias("text")), F.struct((F.col("seq") * 2 + 1).alias("line_no"), amount.alias("text")))
+    lines = t.select("input_id", F.lit(1).alias("page"), F.explode(two).alias("l")).select("input_id", "l.line_no", "page", "l.text")
+    return P.candidates(lines).select("input_id", "line_no", "text", "merged")
+
+
+@query("money_parse", f"{TXN} select input_id, seq, cast(amount as double) as plain, cast(amount as double) as european, -cast(amount as double) as negative, floor(cast(amount as double)) as thousands from txn")
+def money_parse(spark, d):
+    t, a = txn(spark, d), F.col("amount")
+    us = F.format_number(a, 2)
+    eu = F.translate(us, ",.", ".,")
+    whole = F.replace(F.format_number(F.floor(a), 0), F.lit(","), F.lit("."))
+    return t.select("input_id", "seq", T.money_number(us).alias("plain"), T.money_number(eu).alias("european"), T.money_number(F.concat(F.lit("-"), eu)).alias("negative"), F.when(a < 1000, F.floor(a).cast("double")).otherwise(T.money_number(whole)).alias("thousands"))
+
+
+@query("date_parse", f"{TXN} select input_id, seq, strftime(txn_date, '%Y-%m-%d') as dotted, strftime(txn_date, '%Y-%m-%d') as iso, strftime(txn_date, '%Y-%m-%d') as named, cast(null as varchar) as impossible from txn")
+def date_parse(spark, d):
+    months = ["Ocak", "Subat", "Mart", "Nisan", "Mayis", "Haziran", "Temmuz", "Agustos", "Eylul", "Ekim", "Kasim", "Aralik"]
+    name = F.element_at(F.array(*(F.lit(m) for m in months)), F.month("txn_date"))
+    out = lambda c: F.date_format(T.find_date(c)["date"], "yyyy-MM-dd")
+    return txn(spark, d).select("input_id", "seq", out(F.concat(F.lit("x "), F.date_format("txn_date", "dd.MM.yyyy"))).alias("dotted"), out(F.concat(F.date_format("txn_date", "yyyy-MM-dd"), F.lit(" y"))).alias("iso"), out(F.concat_ws(" ", F.dayofmonth("txn_date"), name, F.year("txn_date"))).alias("named"), out(F.concat(F.lit("31.02."), F.year("txn_date"))).alias("impossible"))
+
+
+@query("direction_keywords", "select conv_id, turn, case when contains(lower(text), 'iade') or contains(lower(text), 'alacak') or contains(lower(text), 'refund') or contains(lower(text), 'cashback') or contains(lower(text), 'odeme') or contains(lower(text), 'ödeme') then 'credit' else 'debit' end as direction from conversations")
+def direction_keywords(spark, d):
+    return S.table(spark, d, "conversations").select("conv_id", "turn", T.direction(F.col("text")).alias("direction"))
+
+
+@query("document_currency_mode", f"{TXN}, c as (select input_id, case when seq % 3 = 0 then 'USD' else 'TRY' end as cur, count(*) as n, min(seq) as f from txn group by all) select input_id, cur as document_currency from c qualify row_number() over (partition by input_id order by n desc, f) = 1")
+def document_currency_mode(spark, d):
+    lines = txn(spark, d).select("input_id", F.col("seq").alias("line_no"), F.expr("concat('12,50 ', case when seq % 3 = 0 then 'USD' else '₺' end)").alias("text"))
+    return P.document_currency(lines)
+
+
+PAGES = """select cast(l_orderkey as varchar) as input_id, l_linenumber as page, cast(l_quantity * 12 as int) as char_count, cast(l_quantity * 2 as int) as word_count, l_discount * 10 as image_area, 1.0 as page_area from lineitem"""
+
+
+@query("pdf_kind_decision", f"""with p as ({PAGES}), f as (select input_id, avg(char_count) as c, avg(case when char_count >= 80 then 1.0 else 0 end) as t, avg(case when image_area >= 0.65 then 1.0 else 0 end) as i, sum(image_area) / count(*) as g from p group by input_id)
+select input_id, case when c >= 300 and t >= 0.6 then 'real_pdf' when c < 80 and i >= 0.6 then 'scanned_pdf' when t > 0.15 and i > 0.15 then 'hybrid_pdf' when g > 0.5 and c < 150 then 'scanned_pdf' else 'unknown' end as kind from f""")
+def pdf_kind_decision(spark, d):
+    pages = S.table(spark, d, "lineitem").select(F.col("l_orderkey").cast("string").alias("input_id"), F.col("l_linenumber").alias("page"), (F.col("l_quantity") * 12).cast("int").alias("char_count"), (F.col("l_quantity") * 2).cast("int").alias("word_count"), (F.col("l_discount") * 10).alias("image_area"), F.lit(1.0).alias("page_area"))
+    return C.pdf_features(pages).select("input_id", C.pdf_kind()["kind"].alias("kind"))
+
+
+IMAGES = """select p_partkey, case p_partkey % 3 when 0 then 'image/png' when 1 then 'image/jpeg' else 'image/webp' end as mime, p_partkey % 5 = 0 as exif_present, cast(case when p_partkey % 5 = 0 then p_partkey % 4 else 0 end as int) as camera_exif_tag_count,
+ cast(700 + p_partkey % 700 as int) as width, cast(1300 + p_partkey % 1900 as int) as height, cast(p_size * 30 as double) as blur_score, p_size / 400.0 as edge_density, p_partkey % 7 = 0 as has_document_contour, p_size / 100.0 as max_contour_area_ratio, p_size / 200.0 as axis_aligned_line_score from {part}"""
+
+
+@query("image_kind_votes", f"""with im as ({IMAGES.format(part='part')}), v as (select p_partkey, cast((case when mime in ('image/png', 'image/webp') then 1.5 else 0 end) + (case when camera_exif_tag_count < 2 and exif_present and camera_exif_tag_count = 0 then 0.5 else 0 end) + (case when not exif_present then 0.7 else 0 end)
+ + (case when edge_density >= 0.10 then 0.7 else 0 end) + (case when least(width, height) >= 720 and least(width, height) < 1300 and greatest(width, height) >= 1400 and greatest(width, height) < 3000 then 0.8 else 0 end) + (case when blur_score >= 1000 then 2.0 when blur_score >= 500 then 1.2 else 0 end)
+ + (case when axis_aligned_line_score >= 0.20 then 1.5 when axis_aligned_line_score >= 0.08 then 0.8 else 0 end) + (case when round(width / height, 4) between 0.40 and 0.60 then 1.2 when round(width / height, 4) between 1.7 and 2.4 then 1.0 else 0 end) as double) as s,
+ cast((case when mime = 'image/jpeg' then 0.8 else 0 end) + (case when camera_exif_tag_count >= 2 then 3.0 else 0 end) + (case when blur_score < 150 then 1.0 else 0 end) + (case when has_document_contour then 2.5 else 0 end) + (case when max_contour_area_ratio >= 0.35 then 1.0 else 0 end) as double) as k from im)
+select p_partkey, round(s, 4) as screenshot_score, round(k, 4) as camera_score, case when round(s, 6) > round(k, 6) then 'screenshot' else 'camera_photo' end as kind from v""")
+def image_kind_votes(spark, d):
+    rows = C.image_kind(spark.sql(IMAGES.format(part="{part}"), part=S.table(spark, d, "part")))
+    return rows.select("p_partkey", F.round("screenshot_score", 4).alias("screenshot_score"), F.round("camera_score", 4).alias("camera_score"), F.when(F.round("screenshot_score", 6) > F.round("camera_score", 6), "screenshot").otherwise("camera_photo").alias("kind"))
+
+
+READY = """select p_partkey, cast(p_size * 15 as double) as blur_score, cast(60 + p_partkey % 200 as double) as brightness, cast(p_partkey % 110 as double) as contrast, p_size / 200.0 as foreground_density, cast(p_partkey % 120 as int) as component_count,
+ cast(p_partkey % 500 as double) as avg_component_area, p_size / 250.0 as border_artifact_score, p_size / 160.0 as edge_density, (p_partkey % 50) / 100.0 as dark_pixel_ratio, (p_partkey % 90) / 100.0 as bright_pixel_ratio from {part}"""
+
+
+@query("ocr_readiness_score", f"""with r as ({READY.format(part='part')}) select p_partkey, round(cast(greatest(0, least(1, (case when blur_score >= 500 then 0.20 when blur_score >= 180 then 0.12 else 0.04 end) + (case when brightness between 80 and 235 then 0.15 else 0.06 end) + (case when contrast between 30 and 95 then 0.20 else 0.08 end)
+ + (case when foreground_density between 0.01 and 0.22 then 0.20 else 0.07 end) + (case when component_count >= 80 then 0.15 when component_count >= 20 then 0.08 else 0 end) + (case when avg_component_area between 3 and 400 then 0.10 else 0.04 end) + (case when border_artifact_score <= 0.08 then 0.10 when border_artifact_score <= 0.18 then 0.04 else -0.08 end))) as double), 4) as readiness from r""")
+def ocr_readiness_score(spark, d):
+    return spark.sql(READY.format(part="{part}"), part=S.table(spark, d, "part")).select("p_partkey", F.round(C.readiness(), 4).alias("readiness"))
+
+
+@query("image_quality_score", f"""with r as ({READY.format(part='part')}) select p_partkey, round(cast(least(1, (case when blur_score >= 500 then 0.25 when blur_score >= 200 then 0.15 else 0.05 end) + (case when brightness between 70 and 200 then 0.20 else 0.08 end) + (case when contrast >= 45 then 0.25 when contrast >= 25 then 0.15 else 0.05 end)
+ + (case when edge_density between 0.02 and 0.25 then 0.20 else 0.08 end) + (case when dark_pixel_ratio < 0.35 and bright_pixel_ratio < 0.70 then 0.10 else 0.04 end)) as double), 4) as quality from r""")
+def image_quality_score(spark, d):
+    return spark.sql(READY.format(part="{part}"), part=S.table(spark, d, "part")).select("p_partkey", F.round(C.quality(), 4).alias("quality"))
+
+
+VARIANTS = "select cast(l_orderkey as varchar(20)) as input_id, 1 as page, case l_linenumber % 4 when 0 then 'ocr_grayscale' when 1 then 'thresholded_bw' when 2 then 'original' else 'other' end as variant, 6 as psm, l_linenumber as ord, round(l_quantity, 0) as ocr_score, l_linenumber % 3 = 0 as is_preferred from {lineitem}"
+
+
+@query("variant_select_top1", f"""with v as ({VARIANTS.format(lineitem='lineitem')}), s as (select *, round(ocr_score + (case when contains(variant, 'grayscale') then 100 when contains(variant, 'original') then 80 when contains(variant, 'threshold') then 55 else 60 end) / 100 + case when is_preferred then 0.15 else 0 end, 4) as f from v)
+select input_id, variant, f as final_score from s qualify row_number() over (partition by input_id order by f desc, ord) = 1""")
+def variant_select_top1(spark, d):
+    rows = spark.sql(VARIANTS.format(lineitem="{lineitem}"), lineitem=S.table(spark, d, "lineitem"))
+    return C.best_variant(rows).select("input_id", "variant", "final_score")
+
+
+@query("ocr_words_to_lines")
+def ocr_words_to_lines(spark, d):
+    rows = S.table(spark, d, "lineitem").select(F.col("l_orderkey").cast("string").alias("input_id"), F.lit(1).alias("page"), F.lit("original").alias("variant"), F.lit(6).alias("psm"), F.concat(F.lit("w"), F.col("l_partkey")).alias("text"), (F.col("l_partkey") % 500).cast("int").alias("left"), (F.col("l_quantity") * 2).cast("int").alias("top"), F.lit(30).alias("width"), F.lit(10).alias("height"), F.lit(90.0).alias("conf"))
+    return P.words_to_lines(P.ocr_words(rows))
+
+
+@query("cosine_topk", """with e as (select vec_id, label, cast(embedding as double[]) as v from embeddings), refs as (select min(vec_id) as ref_id from e group by label), r as (select ref_id, v from refs join e on ref_id = vec_id),
+ s as (select e.vec_id, ref_id, round(list_cosine_similarity(e.v, r.v), 6) as similarity from e, r) select vec_id, ref_id, round(similarity, 3) as similarity, cast(row_number() over (partition by vec_id order by similarity desc, ref_id) as int) as rank from s qualify rank <= 2""")
+def cosine_topk(spark, d):
+    e = S.table(spark, d, "embeddings")
+    refs = e.groupBy("label").agg(F.min_by(F.struct(F.col("vec_id").alias("ref_id"), "embedding"), "vec_id").alias("r")).select("r.*")
+    return A.similar_categories(e, refs, floor=-1.0).withColumn("similarity", F.round("similarity", 3))
+
+
+@query("intent_detect", """select conv_id, turn, case when contains(lower(text), 'kategori') or contains(lower(text), 'en çok') then 'category_question' when contains(lower(text), 'anomali') or contains(lower(text), 'şüpheli') then 'anomaly_question'
+ when contains(lower(text), 'taksit') or contains(lower(text), 'kaç ay') then 'installment_question' when contains(lower(text), 'tahmin') or contains(lower(text), 'gelecek ay') then 'forecast_question' else 'general_statement_question' end as intent from conversations""")
+def intent_detect(spark, d):
+    return S.table(spark, d, "conversations").select("conv_id", "turn", T.intent(F.col("text")).alias("intent"))
+
+
+@query("events_json_props", "select event_type, cast(json_extract_string(props, '$.k') as varchar) as k, count(*) as n, round(sum(value), 4) as total from events group by all")
+def events_json_props(spark, d):
+    return S.table(spark, d, "events").groupBy("event_type", F.get_json_object("props", "$.k").alias("k")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
+@query("events_tumbling_window", "select strftime(date_trunc('day', ts), '%Y-%m-%d') as day, event_type, count(*) as n, round(sum(value), 4) as total from events group by all")
+def events_tumbling_window(spark, d):
+    return I.tumbling(S.table(spark, d, "events")).select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@query("events_session_window", """with g as (select user_id, ts, case when ts - lag(ts) over (partition by user_id order by ts) < interval 1 day then 0 else 1 end as b from events), s as (select *, sum(b) over (partition by user_id order by ts rows unbounded preceding) as s from g)
+select user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') as session_start, count(*) as n from s group by user_id, s""")
+def events_session_window(spark, d):
+    return I.sessions(S.table(spark, d, "events")).select("user_id", F.date_format("session_start", "yyyy-MM-dd HH:mm:ss").alias("session_start"), "n")
+
+
+@query("rollup_category_month", f"{CAT} select category, strftime(date_trunc('month', txn_date), '%Y-%m') as month, count(*) as n, cast(sum(amount) as double) as total from cat group by rollup (category, month)")
+def rollup_category_month(spark, d):
+    rows = A.categorized(txn(spark, d)).withColumn("month", F.date_format("txn_date", "yyyy-MM"))
+    return rows.rollup("category", "month").agg(F.count(F.lit(1)).alias("n"), F.sum("amount").cast("double").alias("total"))
+
+
+@query("routing_lookup", """with k as (select event_id, case event_id % 7 when 0 then 'real_pdf' when 1 then 'scanned_pdf' when 2 then 'hybrid_pdf' when 3 then 'screenshot' when 4 then 'camera_photo' when 5 then 'unknown' else 'unsupported' end as kind from events)
+select event_id, kind, case kind when 'real_pdf' then 'pdf.real.extract_text' when 'scanned_pdf' then 'pdf.scanned.ocr' when 'hybrid_pdf' then 'pdf.hybrid.extract_and_ocr' when 'screenshot' then 'image.screenshot.ocr' when 'camera_photo' then 'image.camera_photo.preprocessing' when 'unknown' then 'manual_review' else 'unsupported' end as route,
+ kind in ('scanned_pdf', 'hybrid_pdf', 'screenshot', 'camera_photo') as ocr, kind in ('scanned_pdf', 'hybrid_pdf', 'camera_photo') as preprocessing from k""")
+def routing_lookup(spark, d):
+    kind = F.element_at(F.array(*(F.lit(k) for k in ("real_pdf", "scanned_pdf", "hybrid_pdf", "screenshot", "camera_photo", "unknown", "unsupported"))), (F.col("event_id") % 7 + 1).cast("int"))
+    rows = S.table(spark, d, "events").select("event_id", kind.alias("kind"))
+    return rows.select("event_id", "kind", C.route(F.col("kind")).alias("route"), C.needs_ocr(F.col("kind")).alias("ocr"), C.needs_preprocessing(F.col("kind")).alias("preprocessing"))
+
+
+@query("mime_sniff", """select doc_id, case doc_id % 5 when 0 then 'application/pdf' when 1 then 'image/jpeg' when 2 then 'image/png' when 3 then 'image/webp' else 'application/octet-stream' end as mime, case when doc_id % 5 = 4 then 'unsupported_type' end as reject_reason from documents""")
+def mime_sniff(spark, d):
+    heads = F.array(*(F.lit(x) for x in ("255044462D312E37", "FFD8FFE000104A46", "89504E470D0A1A0A", "524946460000000057454250", "00")))
+    content = F.concat(F.unhex(F.element_at(heads, (F.col("doc_id") % 5 + 1).cast("int"))), F.encode("text", "utf-8"))
+    rows = S.table(spark, d, "documents").select("doc_id", F.octet_length("text").cast("long").alias("n"), S.mime(content).alias("mime"))
+    return rows.select("doc_id", "mime", S.reject_reason(F.col("n"), F.col("mime")).alias("reject_reason"))
+
+
+@query("preferred_output", f"""with v as ({VARIANTS.format(lineitem='lineitem')}), s as (select input_id, variant, ord, is_preferred as is_candidate, ocr_score / 50 as readiness from v), b as (select input_id, variant as preferred from s qualify row_number() over (partition by input_id order by is_candidate desc, readiness desc, ord) = 1),
+ a as (select input_id, round(avg(readiness), 4) as mean_readiness, count(*) as n_variants from s group by input_id) select input_id, preferred, mean_readiness, n_variants, mean_readiness >= 0.35 as is_ready from a join b using (input_id)""")
+def preferred_output(spark, d):
+    rows = spark.sql(VARIANTS.format(lineitem="{lineitem}"), lineitem=S.table(spark, d, "lineitem"))
+    return C.preferred_output(rows.select("input_id", "variant", "ord", F.col("is_preferred").alias("is_candidate"), (F.col("ocr_score") / 50).alias("readiness")))
+
+
+@query("anomaly_detector_switch", f"{TXN}, n as (select input_id, count(*) filter (direction = 'debit') as c from txn group by input_id) select case when c >= 8 then 'ecdf' else 'robust' end as detector, count(*) as documents from n group by all")
+def anomaly_detector_switch(spark, d):
+    n = txn(spark, d).groupBy("input_id").agg(F.count_if(F.col("direction") == "debit").alias("c"))
+    return n.groupBy(F.when(F.col("c") >= 8, "ecdf").otherwise("robust").alias("detector")).agg(F.count(F.lit(1)).alias("documents"))
+
+
+@query("executive_summary")
+def executive_summary(spark, d):
+    from .plans.analyze import analyze
+
+    return analyze(txn(spark, d))["summary"]
+
+
+@query("health", "select 1 as ok")
+def health(spark, d):
+    return spark.sql("select 1 as ok")
