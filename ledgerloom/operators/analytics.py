@@ -10,7 +10,8 @@ from pyspark.sql.window import Window
 from ..functions import fixed, taxonomy
 from ..functions import text as T
 
-DOC = Window.partitionBy("input_id")
+def per_document():
+    return Window.partitionBy("input_id")
 
 
 def features(txn: DataFrame) -> DataFrame:
@@ -57,7 +58,7 @@ def first_rule_by_join(txn: DataFrame, rules: DataFrame) -> DataFrame:
 def category_summary(rows: DataFrame) -> DataFrame:
     """Debits by category: count, total, share of the document's spending."""
     out = rows.where("direction = 'debit'").groupBy("input_id", "category").agg(F.count(F.lit(1)).alias("transaction_count"), F.sum("amount").alias("total_amount"))
-    return out.withColumn("share_of_spend", F.round(F.col("total_amount").cast("double") / F.sum("total_amount").over(DOC).cast("double"), 4))
+    return out.withColumn("share_of_spend", F.round(F.col("total_amount").cast("double") / F.sum("total_amount").over(per_document()).cast("double"), 4))
 
 
 def similar_categories(vectors: DataFrame, references: DataFrame, k: int = 2, floor: float = 0.0) -> DataFrame:
@@ -103,8 +104,8 @@ def severity(score: Column) -> Column:
 def robust_anomalies(rows: DataFrame) -> DataFrame:
     """Debits whose distance from the document's median, in median absolute deviations, or whose flags reach the cutoff."""
     x = F.col("amount").cast("double")
-    rows = with_flags(rows.where("direction = 'debit'")).withColumn("_x", x).withColumn("_med", F.median("_x").over(DOC)).withColumn("_n", F.count(F.lit(1)).over(DOC))
-    rows = rows.withColumn("_mad", F.median(F.abs(F.col("_x") - F.col("_med"))).over(DOC))
+    rows = with_flags(rows.where("direction = 'debit'")).withColumn("_x", x).withColumn("_med", F.median("_x").over(per_document())).withColumn("_n", F.count(F.lit(1)).over(per_document()))
+    rows = rows.withColumn("_mad", F.median(F.abs(F.col("_x") - F.col("_med"))).over(per_document()))
     z = F.when(F.col("_mad") > 0, F.abs(F.col("_x") - F.col("_med")) / (F.col("_mad") * 1.4826))
     high = F.coalesce(z >= fixed.ROBUST_Z, (F.col("_mad") == 0) & (F.col("_n") >= 3) & (F.col("_x") > F.col("_med") * 3))
     score = F.least(F.lit(1.0), F.col("bonus") + F.when(high, F.when(F.col("_mad") > 0, F.least(F.lit(0.70), z / 10)).otherwise(0.55)).otherwise(0.0))
@@ -119,11 +120,11 @@ def ecdf_anomalies(current: DataFrame, reference: DataFrame) -> DataFrame:
     score = F.lit(0.0)
     for c in columns:
         x = F.col(c).cast("double")
-        low, high = (F.cume_dist().over(DOC.orderBy(o)) for o in (x.asc(), x.desc()))
+        low, high = (F.cume_dist().over(per_document().orderBy(o)) for o in (x.asc(), x.desc()))
         both = both.withColumn(f"_t_{c}", F.greatest(-F.log(low), -F.log(high)))
         score = score + F.col(f"_t_{c}")
     rows = both.withColumn("_raw", F.round(score, 9)).where("_now").drop("_now", *(f"_t_{c}" for c in columns))
-    least, most = F.min("_raw").over(DOC), F.max("_raw").over(DOC)
+    least, most = F.min("_raw").over(per_document()), F.max("_raw").over(per_document())
     rows = with_flags(rows).withColumn("_s", F.when(most > least, (F.col("_raw") - least) / (most - least)).otherwise(0.0))
     total = F.least(F.col("_s") + F.col("bonus"), F.lit(1.0))
     rows = rows.withColumn("score", F.round(total, 4)).withColumn("flags", F.when(F.size("flags") > 0, F.col("flags")).otherwise(F.array(F.lit("ecdf_outlier_score"))))

@@ -66,9 +66,9 @@ def test_candidates_merge_until_an_amount_appears(spark):
 
 
 def test_amounts_of_several_currencies(spark):
-    lines = spark.createDataFrame([("d", 1, 1, "05/01/2025 AMAZON USD 3,20 100,00 TL")], "input_id string, line_no int, page int, text string")
+    lines = spark.createDataFrame([("d", 1, 1, "05/01/2025 AMAZON USD 3,20 100,00 TL"), ("d", 2, 1, "06/01/2025 BAKKAL 5,00 TL")], "input_id string, line_no int, page int, text string")
     found, _ = P.extract(lines)
-    r = found.first()
+    r = found.where("line_no = 1").first()
     assert (r["price"], r["currency"], r["original_price"], r["original_currency"]) == (100.0, "TRY", 3.2, "USD")
 
 
