@@ -215,6 +215,6 @@ def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     escaped = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit('"'), F.lit("&quot;"))
     pages = rows.select("doc_id", F.concat(F.lit("<article><p>"), escaped(F.substring_index("text", "\n", 1)), F.lit(f'</p><figure><img src="{PREFIX}'), F.sha2("payload", 256), F.lit('"><figcaption>'), escaped(caption), F.lit("</figcaption></figure></article>")).alias("html"))
     items = items_of(pages, "doc_id", "html").where("kind = 'media'").drop("text")
-    found = resolve(items, read_media(media))
+    found = resolve(items, stored(read_media(media), "features").hint("merge"))
     n_bytes = F.substring_index("caption", " ", 1).cast("long")
     return found.select("doc_id", n_bytes.alias("n_bytes"), "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")

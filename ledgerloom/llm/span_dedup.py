@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches, table
+from .common import small_batches, stored, table
 
 #: A run of sentences is a span once it has so many words (one very long sentence can be a run).
 SPAN_WORDS = 20
@@ -87,6 +87,7 @@ def span_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", span
 
     spans = rows.drop("rest").mapInArrow(find, f"doc_id {kind}, version int, hash long, first int, end int")
     places = spans.groupBy("hash").agg(F.min(F.struct("doc_id", "first")).alias("keep"), F.max(F.struct("doc_id", "first")).alias("m")).where("keep != m or (keep is null) != (m is null)").select("hash", "keep")
+    places = stored(places, "places")  # so that the join has plain shuffles on both sides, of which Spark splits the hot partitions
     later = spans.join(places.hint("merge"), "hash").where(~F.struct("doc_id", "first").eqNullSafe(F.col("keep")))
     covered = later.groupBy("doc_id", "version").agg(F.collect_set(F.struct("first", "end")).alias("covered"))
 

@@ -262,6 +262,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_
     parts = shuffle_parts(spark)
     blocks = anchored_blocks(docs, length, gram)
     anchors = blocks.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("block").alias("a"), F.max("block").alias("b")).where("n > 1").select("anchor", (F.col("a") != F.col("b")).alias("mixed"))
+    anchors = stored(anchors, "anchors")  # so that the join has plain shuffles on both sides, of which Spark splits the hot partitions
     met = stored(blocks.join(anchors.hint("merge"), "anchor"), "blocks")
     classes = met.groupBy("anchor", "block", "mixed").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "start", "last", "place")).alias("r"))
     classes = stored(classes, "classes")

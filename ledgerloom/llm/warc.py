@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_path, small_batches, table
+from .common import shared_path, small_batches, stored, table
 
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Records of a file, which a reader holds as one.
@@ -66,7 +66,8 @@ def capture_records(pages: DataFrame, page_id: str = "page_id", url: str = "url"
     rows = pages.where(F.col(page_id).isNotNull()).select(F.col(page_id).alias("page_id"), F.coalesce(F.col(url), F.lit("")).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html"))
     rows = rows.withColumn("sha", F.sha1(F.encode("html", "utf-8")))
     owners = rows.where(F.octet_length("html") >= min_bytes).groupBy("sha").agg(F.max("page_id").alias("owner"))
-    rows = rows.join(owners, "sha", "left").select("page_id", "url", "html", F.coalesce("owner", "page_id").alias("owner"))
+    owners = stored(owners, "owners")  # so that the join has plain shuffles on both sides, of which Spark splits the hot partitions
+    rows = rows.join(owners.hint("merge"), "sha", "left").select("page_id", "url", "html", F.coalesce("owner", "page_id").alias("owner"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -164,7 +165,7 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = records.select("record_id", "type", "concurrent_to", "refers_to", F.when(F.col("type") == "metadata", F.col("payload").cast("string")).alias("fields"), F.when(F.col("type") == "response", F.octet_length("payload")).cast("long").alias("n"), F.when(F.col("type") == "response", base32(F.sha1("payload"))).alias("digest"))
     captures = assemble(records)
     page = lambda c: F.regexp_extract(c, r"(\d+|-\d+)\D*$", 1).cast("long")
-    captures = captures.select("record_id", page(F.col("metadata.fields")).alias("page_id"), "response.*")
-    originals = captures.where("type = 'response'").dropDuplicates(["record_id"]).select(F.col("record_id").alias("refers_to"), F.col("n").alias("of_n"), F.col("digest").alias("of_digest"))
-    out = captures.join(originals, "refers_to", "left")
+    captures = stored(captures.select("record_id", page(F.col("metadata.fields")).alias("page_id"), "response.*"), "captures")
+    originals = stored(captures.where("type = 'response'").dropDuplicates(["record_id"]), "originals").select(F.col("record_id").alias("refers_to"), F.col("n").alias("of_n"), F.col("digest").alias("of_digest"))
+    out = captures.join(originals.hint("merge"), "refers_to", "left")
     return out.select("page_id", F.coalesce("n", "of_n").alias("payload_bytes"), F.coalesce("digest", "of_digest").alias("payload_digest"), F.col("type").alias("record_type"), page(F.col("refers_to")).alias("refers_to"))
