@@ -88,3 +88,28 @@ MAX_UPLOAD_BYTES = 50 * 1024 * 1024
 
 # Words of a question and its intent, first match wins.
 INTENTS = [("category_question", ["kategori", "en çok"]), ("anomaly_question", ["anomali", "şüpheli"]), ("installment_question", ["taksit", "kaç ay"]), ("forecast_question", ["tahmin", "gelecek ay"])]
+
+# Sentences of reports and answers.
+SAYINGS = {
+    "top_category": "Harcamalarınızın en büyük bölümü %s kategorisinde (%%%s).",
+    "profile": "Harcama profiliniz: %s.",
+    "some_anomalies": "İncelemeye değer %d işlem dikkat çekiyor.",
+    "no_anomaly": "Dikkat çeken olağan dışı bir işlem görünmüyor.",
+    "forecast": "Gelecek dönem için tahmini harcamanız yaklaşık %s %s.",
+    "installment": "Planladığınız alışveriş için %d ay taksit uygun bir seçenek olarak öne çıkıyor.",
+    "answer_category": "En çok harcama yaptığınız kategori %s; bu kategori toplam harcamanızın yaklaşık %%%s'ini oluşturuyor.",
+    "answer_anomalies": "İncelemenizde fayda olan %d işlem var. En dikkat çekeni: %s",
+    "answer_no_anomaly": "Olağan dışı görünen bir işlem tespit edilmedi.",
+    "answer_installment": "Planladığınız alışveriş için %d ay taksit uygun görünüyor.",
+    "answer_no_installment": "Taksit önerisi sunabilmem için alışveriş tutarını (purchase_scenario) paylaşmanız gerekiyor.",
+    "answer_no_forecast": "Tahmin üretebilmem için yeterli geçmiş dönem verisi yok.",
+    "answer_general": "Size kategori dağılımınız, harcama profiliniz, dikkat çeken işlemler, harcama tahmininiz ve taksit seçenekleri hakkında yardımcı olabilirim.",
+}
+
+# Image variants of each kind: (variant, purpose, for OCR, operations).
+VARIANTS = {
+    "screenshot": [("normalized_original", "color_preservation", True, ["normalize_original"]), ("ocr_grayscale", "primary_ocr", True, ["grayscale", "soft_contrast_enhancement"])],
+    "camera_photo": [("normalized_original", "color_preservation", True, ["normalize_original"]), ("enhanced_grayscale", "primary_ocr", True, ["grayscale", "deskew", "contrast_enhancement"]), ("thresholded", "secondary_ocr", True, ["grayscale", "deskew", "contrast_enhancement", "adaptive_threshold", "small_noise_removal"])],
+    "scanned_pdf": [("rendered_original", "fallback_ocr", True, ["rendered_original"]), ("enhanced_grayscale", "primary_ocr", True, ["grayscale", "deskew", "contrast_enhancement"]), ("thresholded", "secondary_ocr", True, ["grayscale", "deskew", "contrast_enhancement", "adaptive_threshold", "small_noise_removal"])],
+}
+MAX_VARIANTS = 4

@@ -215,18 +215,3 @@ def quality(rows: DataFrame) -> DataFrame:
     value = F.col("overall") - F.col("low_count") / F.col("n") * 0.20 - F.col("invalid_count") / F.col("n") * 0.35
     out = out.withColumn("analysis_confidence", T.rounded(F.greatest(F.lit(0.0), F.least(F.lit(1.0), value))))
     return out.withColumn("status", F.when((F.col("invalid_count") > 0) | (F.col("analysis_confidence") < 0.55), "partial").otherwise("completed")).drop("n")
-
-
-def executive_summary(profiles: DataFrame, anomaly_rows: DataFrame, forecasts: DataFrame) -> DataFrame:
-    """(input_id, sentences): what a report opens with."""
-    counted = anomaly_rows.groupBy("input_id").agg(F.count(F.lit(1)).alias("anomaly_count"))
-    rows = profiles.join(counted, "input_id", "left").join(forecasts.select("input_id", F.col("predicted").alias("_p"), F.col("currency").alias("_cur")), "input_id", "left")
-    sentences = F.array_compact(
-        F.array(
-            F.format_string("En çok harcama %s kategorisinde (%%%s).", F.col("primary_category"), F.format_number(F.col("primary_share") * 100, 1)),
-            F.concat(F.lit("Profil: "), F.array_join("labels", ", "), F.lit(".")),
-            F.when(F.col("anomaly_count") > 0, F.format_string("%d işlem incelenmeli.", "anomaly_count")).otherwise("Olağan dışı işlem tespit edilmedi."),
-            F.when(F.col("_p").isNotNull(), F.format_string("Gelecek dönem tahmini harcama %s %s.", F.format_number("_p", 2), F.col("_cur"))),
-        )
-    )
-    return rows.select("input_id", sentences.alias("sentences"))

@@ -7,6 +7,7 @@ from typing import Protocol
 from pyspark.sql import DataFrame
 
 from ..operators import analytics as A
+from ..operators import report
 
 
 class TextProvider(Protocol):
@@ -25,8 +26,11 @@ def analyze(current: DataFrame, history: DataFrame | None = None, scenarios: Dat
     monthly = A.monthly_spend(reference)
     forecasts = A.forecast(monthly)
     profiles, found = A.profile(rows), A.anomalies(now, reference)
-    out = {"transactions": rows, "categories": A.category_summary(rows), "profile": profiles, "anomalies": found, "monthly": monthly, "forecast": forecasts, "quality": A.quality(now), "summary": A.executive_summary(profiles, found, forecasts)}
+    out = {"transactions": rows, "categories": A.category_summary(rows), "profile": profiles, "anomalies": found, "monthly": monthly, "forecast": forecasts, "quality": A.quality(now)}
     if scenarios is not None:
         out["options"] = A.installment_options(forecasts, scenarios)
         out["recommended"] = A.recommended(out["options"])
+    out["facts"] = report.facts(profiles, found, forecasts, out.get("recommended"))
+    out["summary"] = report.summary(out["facts"])
+    out["context"] = report.context(out["categories"], found)
     return out

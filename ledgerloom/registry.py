@@ -10,7 +10,9 @@ from .operators import analytics as A
 from .operators import classify as C
 from .operators import normalize as N
 from .operators import parse as P
+from .operators import preprocess as X
 from .operators import records as R
+from .operators import report
 from .sources import tables as S
 from .streaming import ingest as I
 
@@ -436,6 +438,45 @@ def executive_summary(spark, d):
     return analyze(txn(spark, d))["summary"]
 
 
+KIND = "case event_id % 6 when 0 then 'real_pdf' when 1 then 'scanned_pdf' when 2 then 'hybrid_pdf' when 3 then 'screenshot' when 4 then 'camera_photo' else 'unknown' end"
+
+
+def kinds(spark, d) -> DataFrame:
+    return S.table(spark, d, "events").select(F.col("event_id").cast("string").alias("input_id"), F.expr(KIND).alias("kind"), "event_id")
+
+
+@query("preprocessing_variants", f"""with k as (select cast(event_id as varchar) as input_id, {KIND} as kind from events) select input_id, kind, case kind when 'real_pdf' then 'native_pdf_text' when 'unknown' then 'manual_review' else 'ocr_multi_variant' end as method,
+ case when kind in ('real_pdf', 'screenshot') then 'low' when kind = 'unknown' then 'high' else 'medium' end as risk, case when kind in ('scanned_pdf', 'hybrid_pdf', 'camera_photo') then 3 when kind = 'screenshot' then 2 else 0 end as n_variants from k""")
+def preprocessing_variants(spark, d):
+    rows = X.plan(kinds(spark, d))
+    n = X.variants(rows.select("input_id", F.lit(1).alias("page"), "kind")).groupBy("input_id").agg(F.count(F.lit(1)).cast("int").alias("n"))
+    return rows.join(n, "input_id", "left").select("input_id", "kind", "method", "risk", F.coalesce("n", F.lit(0)).alias("n_variants"))
+
+
+@query("extraction_gate", f"""with k as (select cast(event_id as varchar) as input_id, {KIND} as kind, event_id from events) select input_id, kind, case when kind <> 'real_pdf' then 'wrong_kind' when event_id % 4 = 0 then 'not_preprocessed' when event_id % 9 = 0 then 'not_ready' end as refused,
+ case when kind = 'real_pdf' and event_id % 4 <> 0 and event_id % 9 <> 0 then case when event_id % 5 = 0 then 'prepared/' else 'raw/' end || input_id end as path from k""")
+def extraction_gate(spark, d):
+    k = kinds(spark, d)
+    done = k.where("event_id % 4 <> 0").select("input_id", F.lit("native_pdf_text").alias("method"), (F.col("event_id") % 9 != 0).alias("is_ready"), F.when(F.col("event_id") % 5 == 0, F.concat(F.lit("prepared/"), "input_id")).alias("preferred_url"))
+    return X.extraction_gate(k.select("input_id", F.concat(F.lit("raw/"), "input_id").alias("storage_url")), k, done)
+
+
+@query("report_answers")
+def report_answers(spark, d):
+    from .plans.analyze import analyze
+
+    t = txn(spark, d)
+    asked = t.select("input_id").distinct().select("input_id", F.explode(F.array(*(F.lit(q) for q in ("En çok hangi kategori?", "Anomali var mı?", "Gelecek ay tahmin nedir?", "Taksit?", "Merhaba")))).alias("question"))
+    return report.answers(asked, analyze(t)["facts"])
+
+
+@query("chat_context")
+def chat_context(spark, d):
+    from .plans.analyze import analyze
+
+    return analyze(txn(spark, d))["context"]
+
+
 @query("health", "select 1 as ok")
 def health(spark, d):
     return spark.sql("select 1 as ok")

@@ -6,7 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import analytics as A
+from ledgerloom.operators import classify as C
+from ledgerloom.operators import preprocess as X
 from ledgerloom.operators import records as R
+from ledgerloom.operators import report
 from ledgerloom.plans.analyze import analyze
 from ledgerloom.streaming import ingest as I
 
@@ -36,7 +39,12 @@ def test_contract_fixture(contract):
     assert abs(sum(r["share_of_spend"] for r in got["categories"].collect()) - 1) < 1e-3
     r = got["recommended"].first()
     assert (r["recommended_months"], r["risk_level"]) == (4, "low")
-    assert len(got["summary"].first()["sentences"]) == 4
+    assert len(got["summary"].first()["sentences"]) == 5
+    assert got["summary"].first()["sentences"][3] == "Gelecek dönem için tahmini harcamanız yaklaşık 1,970.00 TRY."
+    asked = contract.sparkSession.createDataFrame([("x", "en çok ne?"), ("x", "anomali var mı"), ("x", "merhaba")], "input_id string, question string")
+    said = {r["intent"]: r["answer"] for r in report.answers(asked, got["facts"]).collect()}
+    assert said["anomaly_question"].endswith("SHELL AKARYAKIT (1,200.00 TRY) işlemi dikkat çekiyor: Alışılmışın üzerinde tutar.")
+    assert len(got["context"].first()["lines"]) == 4
 
 
 def test_empty_document(spark):
@@ -80,3 +88,29 @@ def test_stream_windows_close_after_the_watermark(spark, tmp_path):
     q = stream.writeStream.format("memory").queryName("closed").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
     q.awaitTermination()
     assert all(r["n"] == 24 for r in spark.table("closed").collect())
+
+
+def test_image_metrics(spark):
+    import numpy as np
+
+    g = np.full((60, 80), 250, np.uint8)
+    g[10:14, 10:20] = 0
+    g[14, 20] = 0  # touches by a corner
+    g[40:42, 40:42] = 0
+    g[50, 70] = 0  # one pixel is no component
+    rows = spark.createDataFrame([("a", 80, 60, bytearray(g.tobytes())), ("b", 3, 3, bytearray(b"xx"))], "input_id string, width int, height int, pixels binary")
+    got = {r["input_id"]: r for r in X.image_metrics(rows).withColumn("readiness", C.readiness()).collect()}
+    assert (got["a"]["component_count"], got["a"]["avg_component_area"]) == (2, 22.5)
+    assert got["a"]["foreground_density"] == round(46 / 4800, 4) and got["a"]["border_artifact_score"] == 0
+    assert 0 <= got["a"]["readiness"] <= 1 and got["b"]["blur_score"] is None
+
+
+def test_plans_variants_and_gates(spark):
+    kinds = spark.createDataFrame([("p", "real_pdf"), ("s", "screenshot"), ("c", "scanned_pdf"), ("u", "unknown")], "input_id string, kind string")
+    assert {(r["input_id"], r["method"], r["is_ready"]) for r in X.plan(kinds).collect()} == {("p", "native_pdf_text", True), ("s", "ocr_multi_variant", None), ("c", "ocr_multi_variant", None), ("u", "manual_review", False)}
+    v = X.variants(kinds.crossJoin(spark.createDataFrame([(1,), (2,)], "page int")))
+    assert v.groupBy("input_id").count().where("input_id = 'c' and count = 6 or input_id = 's' and count = 4").count() == 2
+    inputs = spark.createDataFrame([("p", "url"), ("s", "url"), ("u", "url"), ("n", "url")], "input_id string, storage_url string")
+    done = spark.createDataFrame([("p", "native_pdf_text", True, None), ("s", "ocr_multi_variant", False, "x")], "input_id string, method string, is_ready boolean, preferred_url string")
+    assert {(r["input_id"], r["refused"], r["path"]) for r in X.extraction_gate(inputs, kinds, done).collect()} == {("p", None, "url"), ("s", "wrong_kind", None), ("u", "wrong_kind", None), ("n", "not_classified", None)}
+    assert {(r["input_id"], r["refused"]) for r in X.extraction_gate(inputs, kinds, done, native=False).collect()} >= {("s", "not_ready")}
