@@ -24,8 +24,22 @@ def currency_tokens() -> list[str]:
     return sorted({*iso_codes(), *fixed.CURRENCY_SIGNS}, key=lambda t: (-len(t), t))
 
 
+def joined_pattern(words: list[str]) -> str:
+    """One pattern for all words, shared beginnings once, longer words first: a match fails after a character or two."""
+    heads: dict[str, list[str]] = {}
+    for w in words:
+        if w:
+            heads.setdefault(w[0], []).append(w[1:])
+    if not heads:
+        return ""
+    parts = [re.escape(h) + joined_pattern(rest) for h, rest in sorted(heads.items())]
+    body = parts[0] if len(parts) == 1 and "" not in words else "(?:" + "|".join(parts) + ")"
+    return body + "?" if "" in words else body
+
+
+@cache
 def currency_pattern() -> str:
-    return "(?:" + "|".join(re.escape(t).replace("\\ ", " ") for t in currency_tokens()) + ")"
+    return joined_pattern(currency_tokens())
 
 
 def rounded(c: Column, digits: int = 4) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -75,11 +77,13 @@ def parsed(lines: DataFrame, currencies: DataFrame, date_mode: str = "strict") -
         F.when(T.is_noise(F.col("clean")), "noise").when(F.col("found_date").isNull(), "no_date").when(F.size("money") == 0, "no_amount").when(F.col("description") == "", "no_description")
     )
     confidence = F.round(F.least(F.lit(0.75) + F.when(F.length("description") >= 3, 0.20).otherwise(0.0) + F.when(F.col("installment.current").isNotNull(), 0.03).otherwise(0.0), F.lit(0.98)), 2)
-    return rows.select(
+    # exploded as one struct: filters on its fields stay above, and each line is parsed once
+    one = F.struct(
         "input_id", "line_no", "page", "text", reject.alias("reject_reason"), F.col("found_date.date").alias("date"), "description", F.abs(F.col("_price.amount")).alias("price"), F.col("_price.currency").alias("currency"),
         F.abs(F.when(split, F.col("installment.total_amount")).when(several, other["amount"])).alias("original_price"), F.when(split, F.col("_price.currency")).when(several, other["currency"]).alias("original_currency"),
         "installment", T.direction(F.col("clean")).alias("direction"), confidence.alias("confidence"),
     )
+    return rows.select(F.explode(F.array(one)).alias("_t")).select("_t.*")
 
 
 def extract(lines: DataFrame, date_mode: str = "strict") -> tuple[DataFrame, DataFrame]:
@@ -117,12 +121,12 @@ def ocr_words(raw: DataFrame) -> DataFrame:
 def words_to_lines(words: DataFrame) -> DataFrame:
     """Lines of each (input_id, page, variant, psm): words by (y0, x0) join the nearest group whose moving centre is within the tolerance.
 
-    The centre moves with each word, so a page's words are taken in turn; a group is one page, never a whole document.
+    The centre moves with each word, so a page's words are taken in turn. Pages are dealt out by key and
+    streamed in order; a task holds one page's words.
     """
     keys = ["input_id", "page", "variant", "psm"]
 
-    def group(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = sorted(zip(*(pdf[c].tolist() for c in ("y0", "x0", "y1", "x1", "text", "confidence"))), key=lambda w: w[:2])
+    def lines_of(key: tuple, rows: list[tuple]) -> Iterator[tuple]:
         heights = sorted(max(1, w[2] - w[0]) for w in rows)
         tolerance = max(6, heights[len(heights) // 2] * 0.55)
         lines: list[list] = []  # sum of centres, words
@@ -134,13 +138,30 @@ def words_to_lines(words: DataFrame) -> DataFrame:
                 near = (0.0, len(lines) - 1)
             lines[near[1]][0] += c
             lines[near[1]][1].append(w)
-        out = []
-        for _, words in sorted(lines, key=lambda line: line[0] / len(line[1])):
-            words.sort(key=lambda w: w[1])
-            text = " ".join(" ".join(w[4] for w in words).split())
+        n = 0
+        for _, group in sorted(lines, key=lambda line: line[0] / len(line[1])):
+            group.sort(key=lambda w: w[1])
+            text = " ".join(" ".join(w[4] for w in group).split())
             if text:
-                out.append((*key, len(out), text, min(w[1] for w in words), min(w[0] for w in words), max(w[3] for w in words), max(w[2] for w in words), round(sum(w[5] for w in words) / len(words), 4), len(words)))
+                yield (*key, n, text, min(w[1] for w in group), min(w[0] for w in group), max(w[3] for w in group), max(w[2] for w in group), round(sum(w[5] for w in group) / len(group), 4), len(group))
+                n += 1
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, held = None, []
+        for b in batches:
+            out: list[tuple] = []
+            for row in zip(*(b[c].tolist() for c in b.columns)):
+                if row[:4] != at and held:
+                    out += lines_of(at, held)
+                    held = []
+                at = row[:4]
+                held.append(row[4:])
+            yield frame(out)
+        if held:
+            yield frame(list(lines_of(at, held)))
+
+    def frame(out: list[tuple]) -> pd.DataFrame:
         return pd.DataFrame(out, columns=[*keys, "line_no", "text", "x0", "y0", "x1", "y1", "ocr_confidence", "word_count"])
 
-    schema = "input_id string, page int, variant string, psm int, line_no int, text string, x0 int, y0 int, x1 int, y1 int, ocr_confidence double, word_count int"
-    return words.groupBy(*keys).applyInPandas(group, schema)
+    placed = words.repartition(*keys).sortWithinPartitions(*keys, "y0", "x0").select(*keys, "y0", "x0", "y1", "x1", "text", "confidence")
+    return placed.mapInPandas(run, "input_id string, page int, variant string, psm int, line_no int, text string, x0 int, y0 int, x1 int, y1 int, ocr_confidence double, word_count int")

@@ -272,7 +272,7 @@ def statement_line_roundtrip(spark, d):
 
 
 @query("candidate_line_merge", f"""{TXN}, t as (select input_id, seq, strftime(txn_date, '%d/%m/%Y') as dt, description, replace(cast(amount as varchar), '.', ',') || ' TL' as a from txn)
-select input_id, seq * 2 as line_no, dt || ' ' || description as text, 0 as merged from t union all select input_id, seq * 2, dt || ' ' || description || ' ' || a, 1 from t union all select input_id, min(seq * 2 + 1), a, 0 from t group by input_id, a""")
+select input_id, min(seq * 2) as line_no, dt || ' ' || description as text, 0 as merged from t group by input_id, text union all select input_id, seq * 2, dt || ' ' || description || ' ' || a, 1 from t union all select input_id, min(seq * 2 + 1), a, 0 from t group by input_id, a""")
 def candidate_line_merge(spark, d):
     t = txn(spark, d)
     amount = F.concat(F.replace(F.col("amount").cast("string"), F.lit("."), F.lit(",")), F.lit(" TL"))
