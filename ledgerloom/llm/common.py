@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,6 +38,21 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: How to empty what each operator's functions keep in a worker process, which Spark uses again for the next operator.
+_caches: dict[str, Callable[[], None]] = {}
+
+
+def kept_by(name: str, clear: Callable[[], None]) -> None:
+    _caches[name] = clear
+
+
+def only(name: str) -> None:
+    """Empties what other operators have kept in this worker: its memory is that of one operator."""
+    for other, clear in _caches.items():
+        if other != name:
+            clear()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

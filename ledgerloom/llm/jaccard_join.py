@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shuffle_parts, small_batches, stored, table
+from .common import kept_by, only, shuffle_parts, small_batches, stored, table
 from .components import components
 
 WORDS, THRESHOLD, RECALL, ROWS = 5, 0.8, 0.9995, 4
@@ -30,6 +30,7 @@ BLOCK_GRAMS, MATRIX_COLUMNS, MEMO_WORDS = 150_000, 4096, 500_000
 WORD = re.compile(r"\w+")
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _hashes: dict[str, int] = {}
+kept_by("jaccard_join", _hashes.clear)
 
 
 def bands_for(threshold: float, recall: float, rows: int = ROWS) -> int:
@@ -74,6 +75,7 @@ def signatures(docs: DataFrame, n: int, bands: int, rows: int = ROWS, carry: boo
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("jaccard_join")
         for b in batches:
             sets = [gram_set(t, n) for t in b.column(1).to_pylist()]
             full = [i for i, s in enumerate(sets) if len(s)]
@@ -219,6 +221,7 @@ def class_facts(docs: DataFrame, signed: DataFrame, n: int, threshold: float, pa
     met = met.join(sizes, "cluster").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("jaccard_join")
         for b in batches:
             rows = [(i, g.tobytes()) for i, (t, key) in enumerate(zip(b.column("text").to_pylist(), b.column("key").to_pylist())) if key_of(g := gram_set(t, n)) == key]
             keep = b.take(pa.array([i for i, _ in rows], pa.int64())) if len(rows) < b.num_rows else b

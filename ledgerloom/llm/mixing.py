@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import schema_of, small_batches, stored, table
+from .common import kept_by, only, schema_of, small_batches, stored, table
 
 WORD = re.compile(r"\w+")
 CELLS = 1 << 15
@@ -31,6 +31,7 @@ DOMAINS = ("good", "poor", "toxic")
 WEIGHTS = {"good": 0.80, "poor": 0.15, "toxic": 0.05}
 
 _cells: dict[str, int] = {}
+kept_by("mixing", _cells.clear)
 
 
 def cells_of(text: str) -> np.ndarray:
@@ -103,6 +104,7 @@ def memberships(docs: DataFrame, classifier: Classifier, doc_id: str = "doc_id",
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"), rest.alias("rest"))
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("mixing")
         for b in batches:
             texts = b.column(1).to_pylist()
             p = known.value.posteriors(texts)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import small_batches, stored, table
+from .common import kept_by, only, small_batches, stored, table
 from .transducer import ODD_SPACES, SPACE_RUN, pretokens
 
 CAPACITY, END_ID = 4096, 1
@@ -35,6 +35,7 @@ VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 MEMO_RUNS, RANK_ROWS = 600_000, 20_000
 
 _memo: dict[str, Encoder] = {}
+kept_by("packing", _memo.clear)
 
 
 class Encoder:
@@ -95,6 +96,7 @@ def pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabula
     last = np.asarray([end_id], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("packing")
         ids = encoder(vocabulary).ids
         for b in batches:
             rows: list[tuple] = []

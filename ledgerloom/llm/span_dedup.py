@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches, stored, table
+from .common import only, small_batches, stored, table
 
 #: A run of sentences is a span once it has so many words (one very long sentence can be a run).
 SPAN_WORDS = 20
@@ -72,6 +72,7 @@ def span_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", span
     rows = rows.select("doc_id", F.hash("text").alias("version"), "text", "rest")
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("span_dedup")
         for b in batches:
             at, cols = [], [[], [], []]
             for k, t in enumerate(b.column(2).to_pylist()):

@@ -9,13 +9,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table
+from .common import kept_by, only, small_batches, table
 from .transducer import Transducer
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 LIMIT = 2048
 
 _compiled: dict[str, Transducer] = {}
+kept_by("token_counts", _compiled.clear)
 
 
 def transducer(path: str) -> Transducer:
@@ -28,6 +29,7 @@ def transducer(path: str) -> Transducer:
 def token_counter(path: str, chunk_chars: int):
     @F.pandas_udf("long")
     def count(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        only("token_counts")
         t = transducer(path)
         for s in texts:
             yield pd.Series([t.count(x, chunk_chars) for x in s], dtype="int64")

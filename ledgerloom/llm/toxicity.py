@@ -27,7 +27,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, stored, table
+from .common import kept_by, only, small_batches, stored, table
 
 WORD = re.compile(r"[^\W\d_]+")
 ORDER, TABLE, DISCOUNT = 6, 1 << 21, 0.75
@@ -92,6 +92,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
     names = [f"c{y}{f}" for y in (0, 1) for f in range(FOLDS)]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("toxicity")
         seen: dict[str, None] = {}
         by: Counter = Counter()
 
@@ -177,8 +178,8 @@ def packed(rows: DataFrame) -> DataFrame:
 class Model:
     """The tables of shared backoff and of two classes; evidence(words) is log p(w | toxic) - log p(w | ordinary)."""
 
-    def __init__(self, shared: tuple, top: list[tuple]) -> None:
-        self.shared, self.top = shared, top
+    def __init__(self, shared: tuple, top: list[tuple], memo_words: int) -> None:
+        self.shared, self.top, self.memo_words = shared, top, memo_words
         self.memo: dict[str, float] = {}
 
     @staticmethod
@@ -209,7 +210,7 @@ class Model:
     def documents(self, texts: list[str]) -> np.ndarray:
         """Evidence of each text, by its length and by the root of its length; an empty one has none."""
         memo, split = self.memo, [words(t) for t in texts]
-        if len(memo) > MEMO_WORDS:
+        if len(memo) > self.memo_words:
             memo.clear()
         new = list({w for ws in split for w in ws if w not in memo})
         for i in range(0, len(new), 20_000):
@@ -220,6 +221,19 @@ class Model:
         return np.stack([total / size, total / np.sqrt(size)])
 
 
+#: Counts with models built in this worker.
+_live: list[Counts] = []
+
+
+def forget() -> None:
+    for c in _live:
+        c.built.clear()
+    _live.clear()
+
+
+kept_by("toxicity", forget)
+
+
 class Counts:
     """The collected tables as compressed columns, so that what is broadcast is small; models are built where they are used, once."""
 
@@ -238,7 +252,11 @@ class Counts:
 
     def model(self, without: int | None = None) -> Model:
         """The model of all folds but one."""
+        if without is None:  # the calibration is over: its models go
+            self.built = {k: m for k, m in self.built.items() if k is None}
         if without not in self.built:
+            if self not in _live:
+                _live.append(self)
             top = []
             for y in (0, 1):
                 n, past = np.zeros(TABLE, np.int64), np.zeros(TABLE, np.int32)
@@ -250,7 +268,7 @@ class Counts:
                 i = np.flatnonzero(n)
                 top.append(Model.tables(i, past[i], n[i]))
             shared = next(iter(self.built.values())).shared if self.built else Model.tables(*self.columns(-1))
-            self.built[without] = Model(shared, top)
+            self.built[without] = Model(shared, top, MEMO_WORDS if without is None else MEMO_WORDS // FOLDS)
         return self.built[without]
 
 
@@ -289,6 +307,7 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
     shared = spark.sparkContext.broadcast(Counts(packed(cells(vocabulary)).collect()))  # at most 9 * SLICES rows, of TABLE cells for each kind
 
     def evidence(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        only("toxicity")
         for b in batches:
             x = np.zeros((2, len(b)))
             for f in set(b["fold"]):
@@ -308,6 +327,7 @@ def score(docs: DataFrame, trained: tuple[Broadcast, np.ndarray], text: str = "t
 
     @F.pandas_udf("double")
     def of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        only("toxicity")
         model = shared.value.model()
         for s in texts:
             yield pd.Series(1 / (1 + np.exp(-np.clip(w[:-1] @ model.documents(s.tolist()) + w[-1], -30, 30))))
