@@ -8,34 +8,40 @@ log((1 - s) + s * p(word | toxic) / p(word | ordinary)), a toxic document being
 share s of its words. The difference of log-likelihoods, normalised by length and by the root of length,
 feeds a logistic calibration fitted on what training documents got from models without their own fold.
 
-Counts are exact over all rows; only the finished tables are hashed into `TABLE` cells, the fixed size
-of what is collected and broadcast. The class counts come from at most `max_labelled` labelled rows
-(least hash of doc_id first), which bounds the broadcast of labels.
+Counts are exact: a row for each n-gram, by its characters. The probability of an n-gram depends on the
+n-gram alone, so it is computed once for each, order by order; one join brings it to blocks of distinct
+words, which gives a word's evidence, and one more to blocks of documents. Nothing that grows with the
+corpus is collected, broadcast or held by one task. The class counts come from at most `max_labelled`
+labelled rows (least hash of doc_id first), which bounds the broadcast of labels.
 """
 
 from __future__ import annotations
 
+import contextlib
 import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark import Broadcast
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import kept_by, only, small_batches, stored, table
+from .common import only, schema_of, small_batches, stored, table
 
 WORD = re.compile(r"[^\W\d_]+")
-ORDER, TABLE, DISCOUNT = 6, 1 << 21, 0.75
+ORDER, DISCOUNT = 6, 0.75
 MAX_LABELLED, FOLDS, THRESHOLD = 65_536, 4, 0.3
-#: Words longer than this are read in pieces of it; distinct words that a task holds before it hands them on; words whose evidence a worker keeps.
-WORD_CHARS, FLUSH_WORDS, MEMO_WORDS = 64, 200_000, 300_000
-#: Distinct words whose n-grams a task counts, and slices of the table that are packed apart.
-TASK_WORDS, SLICES = 400_000, 16
+#: Words longer than this are read in pieces of it.
+WORD_CHARS = 64
+#: A block of documents ends when it has so many distinct words or characters.
+BLOCK_WORDS, BLOCK_CHARS = 200_000, 16_000_000
+#: Distinct words of a block of the vocabulary, and how many of them are read as n-grams at once.
+TASK_WORDS, STEP_WORDS = 100_000, 20_000
 #: The part of a document's evidence that is prior: words added to its length.
 PRIOR_WORDS = 8.0
 #: Observations of the shared distribution that each history of a class starts with.
@@ -43,9 +49,6 @@ STRENGTH = 20.0
 #: Share of a toxic document's words that are not ordinary; the rest of it is read as ordinary text.
 SHARE = 0.03
 
-_MUL = np.uint64(0x9E3779B97F4A7C15)
-
-
 def words(text: str) -> list[str]:
     """Lower-case words; very long ones in pieces."""
     found = WORD.findall(text.lower())
@@ -54,222 +57,244 @@ def words(text: str) -> list[str]:
     return found
 
 
-def mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * _MUL
-    return x ^ (x >> np.uint64(29))
+#: Counts by class (0, 1) and fold; models of all folds, and without each.
+COUNTS = [f"c{y}{f}" for y in (0, 1) for f in range(FOLDS)]
+MODELS = ["", *map(str, range(FOLDS))]
 
 
 class Grams:
-    """The n-grams of words, laid end to end: for each character but `^`, the cells of gram and history at each order from 1."""
+    """The n-grams of words, laid end to end: for each character but `^`, the number of its gram at each order from 1 (-1 where its word is too short)."""
 
     def __init__(self, ws: list[str]) -> None:
-        s = np.frombuffer("".join([f"^{w}$" for w in ws]).encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
+        self.s = np.frombuffer("".join([f"^{w}$" for w in ws]).encode("utf-32-le", "replace"), "<u4")
         size = np.array([len(w) + 2 for w in ws], np.int64)
         start = np.repeat(np.cumsum(size) - size, size)
-        within = np.arange(len(s)) - start
-        self.word = np.repeat(np.arange(len(ws)), size)[within > 0]
+        within = np.arange(len(self.s)) - start
         at = np.flatnonzero(within > 0)
+        self.word = np.repeat(np.arange(len(ws)), size)[at]
         self.depth = np.minimum(within[at], ORDER - 1)  # characters of history
-        self.gram, self.history = [], []
-        h = np.full(len(at), 7, np.uint64)  # the empty history
-        past = []
-        for k in range(ORDER):
-            past.append(h)
-            back = np.maximum(at - k - 1, 0)
-            h = mixed(h * np.uint64(1_000_003) + s[back] + np.uint64(1))
-        c = s[at]
+        chars, x = np.unique(self.s, return_inverse=True)
+        self.gram: list[np.ndarray] = []
+        self.ends: list[np.ndarray] = []  # where each distinct gram first ends
+        ident = np.zeros(len(at), np.int64)
         for k in range(ORDER):
-            self.history.append((past[k] % np.uint64(TABLE)).astype(np.int64))
-            self.gram.append((mixed(past[k] * np.uint64(31) + c + np.uint64(77)) % np.uint64(TABLE)).astype(np.int64))
-
-
-def fold_of(doc_id: object) -> int:
-    return zlib.crc32(str(doc_id).encode()) % FOLDS
-
-
-def word_counts(docs: DataFrame) -> DataFrame:
-    """(word, c0..): distinct words of docs (text, label or null, fold), with their counts by label and fold in labelled rows."""
-    names = [f"c{y}{f}" for y in (0, 1) for f in range(FOLDS)]
+            on = np.flatnonzero(self.depth >= k)
+            _, first, inverse = np.unique(ident[on] * len(chars) + x[at[on] - k], return_index=True, return_inverse=True)
+            ident = np.full(len(at), -1)
+            ident[on] = inverse
+            self.gram.append(ident)
+            self.ends.append(at[on][first])
+
+    def spelled(self, k: int) -> pa.Array:
+        """The distinct grams of k + 1 characters, by number."""
+        e = self.ends[k]
+        return pa.array(np.ascontiguousarray(self.s[e[:, None] + np.arange(-k, 1)]).view(f"<U{k + 1}").ravel(), pa.string()) if len(e) else pa.array([], pa.string())
+
+
+def bagged(docs: DataFrame, sample: DataFrame | None, text: str, keep: list[str]) -> DataFrame:
+    """keep, _toxic, _fold, _block, _bag, _words: documents in blocks. A bag has the numbers of a text's distinct words in its block and their counts; a block's first row lists the words, with counts by label and fold."""
+    rows = docs.withColumn("_text", F.coalesce(F.col(text), F.lit("")))
+    if sample is None:
+        rows = rows.withColumns({"_toxic": F.lit(None).cast("int"), "_fold": F.lit(None).cast("int")})
+    else:
+        rows = rows.join(sample.select(F.col("doc_id").alias("_doc"), F.col("toxic").alias("_toxic"), F.col("fold").alias("_fold")), F.col("doc_id") == F.col("_doc"), "left")
+    rows = rows.select(*keep, "_toxic", "_fold", "_text")
+    schema = schema_of(rows, "_block long, _bag binary, _words array<struct<word: string, " + ", ".join(f"{c}: long" for c in COUNTS) + ">>", *keep, "_toxic", "_fold")
+    names = schema.names
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only("toxicity")
-        seen: dict[str, None] = {}
-        by: Counter = Counter()
-
-        def flush() -> pa.RecordBatch:
-            keys = dict.fromkeys([*seen, *(w for w, _ in by)])
-            index = {w: i for i, w in enumerate(keys)}
-            m = np.zeros((len(names), len(index)), np.int64)
-            for (w, k), n in by.items():
-                m[k, index[w]] += n
-            seen.clear()
-            by.clear()
-            return pa.RecordBatch.from_arrays([pa.array(list(index), pa.string()), *map(pa.array, m)], names=["word", *names])
+        block = TaskContext.get().partitionId() << 32
+        held: list[tuple[list, list[bytes]]] = []
+        index: dict[str, int] = {}
+        labelled: list[tuple[int, np.ndarray, np.ndarray]] = []
+        chars = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            m = np.zeros((len(COUNTS), len(index)), np.int64)
+            for k, i, n in labelled:
+                m[k, i] += n
+            listed = pa.StructArray.from_arrays([pa.array(list(index), pa.string()), *map(pa.array, m)], ["word", *COUNTS])
+            for j, (columns, bags) in enumerate(held):
+                offsets = np.full(len(bags) + 1, 0 if j else len(listed), np.int32)
+                offsets[0] = 0
+                lists = pa.ListArray.from_arrays(pa.array(offsets), listed[:0] if j else listed)
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(np.full(len(bags), block)), pa.array(bags, pa.binary()), lists], names=names)
+            held.clear()
+            index.clear()
+            labelled.clear()
 
         for b in batches:
-            for text, label, fold in zip(*(c.to_pylist() for c in b.columns)):
-                ws = words(text)
-                if label is None:
-                    seen.update(dict.fromkeys(ws))
-                else:
-                    k = label * FOLDS + fold
-                    for w, n in Counter(ws).items():
-                        by[w, k] += n
-                if len(seen) + len(by) > FLUSH_WORDS:
-                    yield flush()
-        if seen or by:
-            yield flush()
-
-    schema = "word string, " + ", ".join(f"{n} long" for n in names)
-    return docs.mapInArrow(count, schema).groupBy("word").agg(*(F.sum(n).alias(n) for n in names))
-
-
-def cells(vocabulary: DataFrame) -> DataFrame:
-    """(kind, gram, history, n0..): the model's tables, kind -1 the shared lower orders, else class * FOLDS + fold; at most a row for each kind and gram cell."""
-    kinds = 2 * FOLDS
-    tasks = max(1, -(-vocabulary.count() // TASK_WORDS))
+            if not b.num_rows:
+                continue
+            *columns, toxic, fold, texts = b.columns
+            bags = []
+            for t, y, f in zip(texts.to_pylist(), toxic.to_pylist(), fold.to_pylist()):
+                bag = Counter(words(t))
+                i = np.array([index.setdefault(w, len(index)) for w in bag], "<i4")
+                n = np.fromiter(bag.values(), "<i4", len(bag))
+                if y is not None:
+                    labelled.append((y * FOLDS + f, i, n))
+                bags.append(zlib.compress(i.tobytes() + n.tobytes(), 1))
+                chars += len(t)
+            held.append(([*columns, toxic, fold], bags))
+            if len(index) > BLOCK_WORDS or chars > BLOCK_CHARS:
+                yield from flush()
+                block, chars = block + 1, 0
+        if held:
+            yield from flush()
+
+    return stored(rows.mapInArrow(count, schema), "bags")
+
+
+def listed(bags: DataFrame) -> DataFrame:
+    """block, at, word and its counts: the distinct words of each block."""
+    rows = bags.where(F.size("_words") > 0).select(F.col("_block").alias("block"), F.posexplode("_words").alias("at", "w"))
+    return rows.select("block", "at", "w.*")
+
+
+def vocabulary(rows: DataFrame) -> DataFrame:
+    """word, seen, counts, block: distinct words with their counts by label and fold, in blocks; the model counts words of which a row has seen = 1."""
+    found = stored(rows.groupBy("word").agg(F.max("seen").alias("seen"), *(F.sum(c).alias(c) for c in COUNTS)), "words")
+    blocks = max(1, -(-found.count() // TASK_WORDS))
+    return found.withColumn("block", F.pmod(F.xxhash64("word"), F.lit(blocks))).repartition(blocks, "block").sortWithinPartitions("block", "word")
+
+
+def grams(words_: DataFrame) -> DataFrame:
+    """block, gram, n, counts: the distinct n-grams of each block of words; n counts words, once for each n-gram in them, and counts only stand at longest n-grams."""
+
+    def read(block: int, ws: list[str], seen: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        g = Grams(ws)
+        for k in range(ORDER):
+            ident, size = g.gram[k], len(g.ends[k])
+            if not size:
+                continue
+            on, top = ident >= 0, g.depth == k
+            pair = np.unique(g.word[on] * size + ident[on])
+            shared = np.bincount(pair % size, seen[pair // size], size).astype(np.int64)
+            # sums of counts stay under 2**53
+            by = [np.bincount(ident[top], c[g.word[top]], size).astype(np.int64) if c.any() else np.zeros(size, np.int64) for c in n]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(size, block)), g.spelled(k), *map(pa.array, [shared, *by])], names=["block", "gram", "n", *COUNTS])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shared, top = np.zeros(TABLE, np.int64), np.zeros((kinds, TABLE), np.int32)
-        past = np.zeros(TABLE, np.int64)
-        top_past = np.zeros(TABLE, np.int64)
+        only("toxicity")
+        ws: list[str] = []
+        ns: list[np.ndarray] = []
+        block = None
         for b in batches:
-            g = Grams(b.column(0).to_pylist())
-            n = np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns[1:]])
-            for k in range(ORDER):
-                on = g.depth >= k
-                # an n-gram counts once for each distinct word
-                pair = np.unique(g.word[on] * TABLE + g.gram[k][on], return_index=True)[1]
-                np.add.at(shared, g.gram[k][on][pair], 1)
-                past[g.gram[k][on]] = g.history[k][on]
-            gram = np.choose(g.depth, g.gram)
-            top_past[gram] = np.choose(g.depth, g.history)
-            for k in np.flatnonzero(n.sum(1)):
-                w = n[k][g.word]
-                np.add.at(top[k], gram[w > 0], w[w > 0])
-        for kind, row, p in [(-1, shared, past), *((k, top[k], top_past) for k in range(kinds))]:
-            i = np.flatnonzero(row)
-            for j in range(0, len(i), 50_000):
-                x = i[j : j + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), kind), pa.int32()), pa.array(x, pa.int32()), pa.array(p[x], pa.int32()), pa.array(row[x], pa.int64())], names=["kind", "gram", "history", "n"])
-
-    # a task holds the whole table: few of them, as each hands on its cells
-    return vocabulary.coalesce(tasks).mapInArrow(count, "kind int, gram int, history int, n long").groupBy("kind", "gram").agg(F.max("history").alias("history"), F.sum("n").alias("n"))
-
-
-def packed(rows: DataFrame) -> DataFrame:
-    """(kind, gram, history, n): the columns of slices of the cells, each as compressed 32-bit numbers (counts up to 2**31 - 1)."""
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [x for x in (np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in b.columns]) for b in batches) if x.size]
-        if not held:
-            return
-        m = np.concatenate(held, 1)
-        m = m[:, np.lexsort((m[1], m[0]))]
-        kinds = np.unique(m[0])
-        parts = [m[1:, slice(*np.searchsorted(m[0], [k, k + 1]))] for k in kinds]
-        blobs = [[zlib.compress(np.minimum(x[i], (1 << 31) - 1).astype("<i4").tobytes(), 1) for x in parts] for i in range(3)]
-        yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), *(pa.array(b, pa.binary()) for b in blobs)], names=["kind", "gram", "history", "n"])
-
-    sliced = rows.repartition(SLICES, (F.col("gram") % SLICES).alias("slice")).select("kind", "gram", "history", "n")
-    return sliced.mapInArrow(pack, "kind int, gram binary, history binary, n binary")
-
-
-class Model:
-    """The tables of shared backoff and of two classes; evidence(words) is log p(w | toxic) - log p(w | ordinary)."""
-
-    def __init__(self, shared: tuple, top: list[tuple], memo_words: int) -> None:
-        self.shared, self.top, self.memo_words = shared, top, memo_words
-        self.memo: dict[str, float] = {}
-
-    @staticmethod
-    def tables(gram: np.ndarray, history: np.ndarray, n: np.ndarray) -> tuple:
-        counts, totals, kinds = (np.zeros(TABLE, np.float32) for _ in range(3))
-        np.add.at(counts, gram, n)
-        np.add.at(totals, history, n)
-        np.add.at(kinds, history, n > 0)
-        return counts, totals, kinds
-
-    @staticmethod
-    def smoothed(tables: tuple, gram: np.ndarray, history: np.ndarray, lower: np.ndarray, strength: float = 0.0) -> np.ndarray:
-        """Discounted counts, the freed mass and `strength` more observations spread as the lower order."""
-        c, total, kinds = tables[0][gram], tables[1][history], tables[2][history]
-        p = (np.maximum(c - DISCOUNT, 0) + (DISCOUNT * kinds + strength) * lower) / np.maximum(total + strength, 1e-9)
-        return np.where(total > 0, p, lower)
-
-    def evidence(self, ws: list[str]) -> np.ndarray:
-        g = Grams(ws)
-        lower = np.full(len(g.word), 1 / 512)
-        for k in range(ORDER):
-            lower = np.where(g.depth >= k, self.smoothed(self.shared, g.gram[k], g.history[k], lower), lower)
-        gram, history = np.choose(g.depth, g.gram), np.choose(g.depth, g.history)
-        ordinary, toxic = (np.log(np.maximum(self.smoothed(t, gram, history, lower, STRENGTH), 1e-9)) for t in self.top)
-        ratio = np.bincount(g.word, toxic - ordinary, len(ws))
-        return np.log1p(SHARE * np.expm1(np.clip(ratio, -50, 50)))
-
-    def documents(self, texts: list[str]) -> np.ndarray:
-        """Evidence of each text, by its length and by the root of its length; an empty one has none."""
-        memo, split = self.memo, [words(t) for t in texts]
-        if len(memo) > self.memo_words:
-            memo.clear()
-        new = list({w for ws in split for w in ws if w not in memo})
-        for i in range(0, len(new), 20_000):
-            memo.update(zip(new[i : i + 20_000], self.evidence(new[i : i + 20_000]).tolist()))
-        get = memo.__getitem__
-        total = np.array([sum(map(get, ws)) for ws in split])
-        size = np.array([len(ws) + PRIOR_WORDS for ws in split])
-        return np.stack([total / size, total / np.sqrt(size)])
-
-
-#: Counts with models built in this worker.
-_live: list[Counts] = []
-
-
-def forget() -> None:
-    for c in _live:
-        c.built.clear()
-    _live.clear()
-
-
-kept_by("toxicity", forget)
-
-
-class Counts:
-    """The collected tables as compressed columns, so that what is broadcast is small; models are built where they are used, once."""
-
-    def __init__(self, slices: list) -> None:
-        self.kinds: dict[int, list[tuple[bytes, bytes, bytes]]] = {}
-        for r in slices:
-            self.kinds.setdefault(r["kind"], []).append((bytes(r["gram"]), bytes(r["history"]), bytes(r["n"])))
-        self.built: dict[int | None, Model] = {}
-
-    def __getstate__(self) -> dict:
-        return {"kinds": self.kinds, "built": {}}
-
-    def columns(self, kind: int) -> list[np.ndarray]:
-        parts = self.kinds.get(kind, [])
-        return [np.concatenate([np.zeros(0, "<i4"), *(np.frombuffer(zlib.decompress(x[i]), "<i4") for x in parts)]) for i in range(3)]
-
-    def model(self, without: int | None = None) -> Model:
-        """The model of all folds but one."""
-        if without is None:  # the calibration is over: its models go
-            self.built = {k: m for k, m in self.built.items() if k is None}
-        if without not in self.built:
-            if self not in _live:
-                _live.append(self)
-            top = []
-            for y in (0, 1):
-                n, past = np.zeros(TABLE, np.int64), np.zeros(TABLE, np.int32)
-                for f in range(FOLDS):
-                    if f != without:
-                        g, h, c = self.columns(y * FOLDS + f)
-                        np.add.at(n, g, c)
-                        past[g] = h
-                i = np.flatnonzero(n)
-                top.append(Model.tables(i, past[i], n[i]))
-            shared = next(iter(self.built.values())).shared if self.built else Model.tables(*self.columns(-1))
-            self.built[without] = Model(shared, top, MEMO_WORDS if without is None else MEMO_WORDS // FOLDS)
-        return self.built[without]
+            blocks = b.column("block").to_numpy()
+            n = np.stack([b.column(c).to_numpy() for c in ["seen", *COUNTS]])
+            w = b.column("word").to_pylist()
+            edges = [0, *np.flatnonzero(np.diff(blocks)) + 1, len(blocks)]
+            for i, j in zip(edges, edges[1:]):
+                if i == j:
+                    continue
+                if ws and (blocks[i] != block or len(ws) >= STEP_WORDS):
+                    m = np.concatenate(ns, 1)
+                    yield from read(block, ws, m[0], m[1:])
+                    ws, ns = [], []
+                block = int(blocks[i])
+                ws += w[i:j]
+                ns.append(n[:, i:j])
+        if ws:
+            m = np.concatenate(ns, 1)
+            yield from read(block, ws, m[0], m[1:])
+
+    schema = "block long, gram string, n long, " + ", ".join(f"{c} long" for c in COUNTS)
+    return words_.select("block", "word", "seen", *COUNTS).mapInArrow(count, schema).groupBy("block", "gram").agg(*(F.sum(c).alias(c) for c in ["n", *COUNTS]))
+
+
+def smoothed(n: Column, total: Column, kinds: Column, lower: Column, strength: float = 0.0) -> Column:
+    """Discounted counts, the freed mass and `strength` more observations spread as the lower order; the lower order where the history wasn't seen."""
+    p = (F.greatest(n - DISCOUNT, F.lit(0.0)) + (kinds * DISCOUNT + strength) * lower) / F.greatest(total + strength, F.lit(1e-9))
+    return F.when(total > 0, p).otherwise(lower)
+
+
+def ratios(counted: DataFrame) -> DataFrame:
+    """gram, r, r0..: log p(last character | toxic) - log p(last character | ordinary) for each longest n-gram, by the model of all folds and those without one. counted: gram, n, counts."""
+    of = Window.partitionBy("history")
+    by = {f"{y}_{m}": sum(F.col(f"c{y}{f}") for f in range(FOLDS) if str(f) != m) for y in (0, 1) for m in MODELS}
+    rows = counted.groupBy("gram").agg(*(F.sum(c).alias(c) for c in ["n", *COUNTS]))
+    rows = rows.select("gram", F.expr("substring(gram, 1, length(gram) - 1)").alias("history"), F.expr("substring(gram, 2)").alias("suffix"), F.length("gram").alias("size"), F.col("n").alias("n_"), *(c.alias(f"n{k}") for k, c in by.items()))
+    sums = [x for k in ["_", *by] for x in (F.sum(f"n{k}").over(of).alias(f"t{k}"), F.sum((F.col(f"n{k}") > 0).cast("int")).over(of).alias(f"k{k}"))]
+    rows = stored(rows.select("*", *sums).drop("history"), "grams")
+
+    def level(found: DataFrame, lower: Column) -> DataFrame:
+        """gram, p by the shared counts, and the ratios."""
+        with_p = found.withColumn("p", smoothed(F.col("n_"), F.col("t_"), F.col("k_"), lower))
+        own = {k: F.log(F.greatest(smoothed(F.col(f"n{k}"), F.col(f"t{k}"), F.col(f"k{k}"), F.col("p"), STRENGTH), F.lit(1e-9))) for k in by}
+        return with_p.select("gram", "p", *((own[f"1_{m}"] - own[f"0_{m}"]).cast("float").alias(f"r{m}") for m in MODELS))
+
+    below = stored(level(rows.where("size = 1"), F.lit(1 / 512)), "level")
+    out = None
+    for k in range(2, ORDER + 1):
+        lower = below.select(F.col("gram").alias("suffix"), F.col("p").alias("lower")).hint("merge")
+        below = stored(level(rows.where(F.col("size") == k).join(lower, "suffix"), F.col("lower")), "level")
+        longest = below.where(LONGEST).drop("p")
+        out = longest if out is None else out.unionByName(longest)
+    return out
+
+
+#: n-grams with as long a history as the place in the word allows.
+LONGEST = f"length(gram) = {ORDER} or startswith(gram, '^')"
+
+
+def word_evidence(words_: DataFrame) -> DataFrame:
+    """word, e, e0..: log of the mixture's ratio for each word; without a fold only where that fold counted the word."""
+    counted = stored(grams(words_), "block-grams")
+    values = [f"r{m}" for m in MODELS]
+    links = counted.where(LONGEST).select("block", "gram").join(ratios(counted).hint("merge"), "gram").select("block", "gram", *values)
+    marks = [(F.col(f"c0{f}") + F.col(f"c1{f}") > 0).alias(f"has{f}") for f in range(FOLDS)]
+
+    def read(ws: pa.Table, found: pa.Table) -> pa.Table:
+        only("toxicity")
+        known = found.column("gram").cast(pa.string()).combine_chunks()
+        r = np.stack([found.column(c).to_numpy() for c in values])
+        listed_, out = ws.column("word").to_pylist(), []
+        for i in range(0, len(listed_), STEP_WORDS):
+            g = Grams(listed_[i : i + STEP_WORDS])
+            total = np.zeros((len(values), len(listed_[i : i + STEP_WORDS])))
+            for k in range(1, ORDER):
+                top = g.depth == k
+                if top.any():
+                    ids = np.unique(g.gram[k][top])
+                    row = np.zeros(len(g.ends[k]), np.int64)
+                    row[ids] = pc.index_in(g.spelled(k).take(pa.array(ids)), value_set=known).to_numpy()  # fails where one has no value
+                    row = row[g.gram[k][top]]
+                    for t, x in zip(total, r):
+                        t += np.bincount(g.word[top], x[row], len(t))
+            out.append(np.log1p(SHARE * np.expm1(np.clip(total, -50, 50))))
+        e = np.concatenate(out, 1) if out else np.zeros((len(values), 0))
+        masks = [np.zeros(len(listed_), bool), *(~ws.column(f"has{f}").to_numpy() for f in range(FOLDS))]
+        return pa.table([ws.column("word").cast(pa.string()), *(pa.array(x.astype(np.float32), mask=m) for x, m in zip(e, masks))], names=["word", *(f"e{m}" for m in MODELS)])
+
+    schema = "word string, " + ", ".join(f"e{m} float" for m in MODELS)
+    return stored(words_.select("block", "word", *marks).groupBy("block").cogroup(links.groupBy("block")).applyInArrow(read, schema), "word-evidence")
+
+
+def evidence(bags: DataFrame, of_words: DataFrame, keep: list[str]) -> DataFrame:
+    """keep, _toxic, _a, _b: evidence of each text by its length and by the root of its length (an empty one has none), and _fa, _fb from the model without its fold."""
+    own = [(F.col(f"c0{f}") + F.col(f"c1{f}") > 0).alias(f"own{f}") for f in range(FOLDS)]  # folds whose documents in the block have the word
+    joined = listed(bags).select("block", "at", "word", *own).join(of_words.hint("merge"), "word")
+    values = joined.select("block", "at", "e", *(F.when(F.col(f"own{f}"), F.col(f"e{f}")).alias(f"e{f}") for f in range(FOLDS)))
+    schema = schema_of(bags, "_a double, _b double, _fa double, _fb double", *keep, "_toxic")
+
+    def add(docs: pa.Table, found: pa.Table) -> pa.Table:
+        only("toxicity")
+        at = found.column("at").to_numpy()
+        e = np.zeros((len(MODELS), at.max() + 1 if len(at) else 0))
+        for row, m in zip(e, MODELS):
+            row[at] = np.nan_to_num(found.column(f"e{m}").to_numpy())
+        out = np.full((4, docs.num_rows), np.nan)
+        for j, (bag, fold) in enumerate(zip(docs.column("_bag").to_pylist(), docs.column("_fold").to_pylist())):
+            i, n = np.frombuffer(zlib.decompress(bag), "<i4").reshape(2, -1)
+            size = n.sum() + PRIOR_WORDS
+            for x, row in ((0, 0), *([] if fold is None else [(2, 1 + fold)])):
+                total = e[row][i] @ n
+                out[x : x + 2, j] = total / size, total / np.sqrt(size)
+        return pa.table([*(docs.column(c) for c in [*keep, "_toxic"]), *(pa.array(x) for x in out)], names=schema.names)
+
+    return stored(bags.select(*keep, "_toxic", "_fold", "_block", "_bag").groupBy("_block").cogroup(values.groupBy("block")).applyInArrow(add, schema), "evidence")
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 50) -> np.ndarray:
@@ -296,47 +321,60 @@ def labelled(labels: DataFrame, max_labelled: int = MAX_LABELLED, held_out: int
     return rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
 
 
-def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, held_out: int | None = 2) -> tuple[Broadcast, np.ndarray]:
-    """The broadcast counts of the model, and the weights of its calibration. docs: doc_id, text; labels: doc_id, toxic (0 or 1)."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    sample = F.broadcast(stored(labelled(labels, max_labelled, held_out), "labelled"))  # at most max_labelled rows
-    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    marked = docs.join(sample, "doc_id", "left").select("text", "toxic", "fold")
-    vocabulary = stored(word_counts(marked), "words")
-    shared = spark.sparkContext.broadcast(Counts(packed(cells(vocabulary)).collect()))  # at most 9 * SLICES rows, of TABLE cells for each kind
+@contextlib.contextmanager
+def shuffles_go(spark: SparkSession) -> Iterator[None]:
+    """Within it, what a finished job has shuffled leaves the disk: all that a later job reads is stored."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
-    def evidence(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        only("toxicity")
-        for b in batches:
-            x = np.zeros((2, len(b)))
-            for f in set(b["fold"]):
-                on = (b["fold"] == f).to_numpy()
-                x[:, on] = shared.value.model(f).documents(b["text"][on].tolist())
-            yield pd.DataFrame({"a": x[0], "b": x[1], "toxic": b["toxic"]})
 
-    rows = docs.join(sample, "doc_id").select("text", "toxic", "fold").mapInPandas(evidence, "a double, b double, toxic int").toPandas()
-    return shared, logistic(rows[["a", "b"]].to_numpy().T, rows["toxic"].to_numpy(float))
+class Trained(NamedTuple):
+    """What training leaves: tables, the weights of the calibration, and the evidence of the documents trained on."""
 
+    docs: DataFrame
+    text: str
+    keep: list[str]
+    counted: DataFrame
+    seen: DataFrame
+    weights: np.ndarray
 
-def score(docs: DataFrame, trained: tuple[Broadcast, np.ndarray], text: str = "text", out: str = "score") -> DataFrame:
-    """docs with the toxicity of each whole text in column `out`, from 0 to 1. Null and empty texts get the score of no evidence."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    shared, w = trained
 
-    @F.pandas_udf("double")
-    def of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        only("toxicity")
-        model = shared.value.model()
-        for s in texts:
-            yield pd.Series(1 / (1 + np.exp(-np.clip(w[:-1] @ model.documents(s.tolist()) + w[-1], -30, 30))))
+def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, held_out: int | None = 2, keep: list[str] | None = None) -> Trained:
+    """The model and its calibration. docs: doc_id, text; labels: doc_id, toxic (0 or 1); keep: the columns that score() of these docs returns (all)."""
+    small_batches(docs.sparkSession)
+    keep = docs.columns if keep is None else keep
+    sample = F.broadcast(stored(labelled(labels, max_labelled, held_out), "labelled"))  # at most max_labelled rows
+    with shuffles_go(docs.sparkSession):
+        bags = bagged(docs, sample, "text", keep)
+        counted = vocabulary(listed(bags).select("word", F.lit(1).alias("seen"), *COUNTS))
+        seen = evidence(bags, word_evidence(counted), keep)
+    rows = seen.where("_toxic is not null").select("_fa", "_fb", "_toxic").toPandas()
+    return Trained(docs, "text", keep, counted, seen, logistic(rows[["_fa", "_fb"]].to_numpy().T, rows["_toxic"].to_numpy(float)))
 
-    return docs.withColumn(out, of(F.coalesce(F.col(text), F.lit(""))))
+
+def score(docs: DataFrame, trained: Trained, text: str = "text", out: str = "score") -> DataFrame:
+    """docs with the toxicity of each whole text in column `out`, from 0 to 1. Null and empty texts get the score of no evidence."""
+    small_batches(docs.sparkSession)
+    if docs is trained.docs and text == trained.text:
+        keep, found = trained.keep, trained.seen
+    else:  # words that training didn't meet come in without counts: they are scored and change nothing
+        keep = docs.columns
+        with shuffles_go(docs.sparkSession):
+            bags = bagged(docs, None, text, keep)
+            more = listed(bags).select("word", F.lit(0).alias("seen"), *COUNTS)
+            found = evidence(bags, word_evidence(vocabulary(trained.counted.drop("block").unionByName(more))), keep)
+    w = [float(x) for x in trained.weights]
+    z = F.col("_a") * w[0] + F.col("_b") * w[1] + w[2]
+    return found.select(*keep, (F.lit(1.0) / (F.exp(-F.greatest(F.least(z, F.lit(30.0)), F.lit(-30.0))) + 1.0)).alias(out))
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    scored = score(docs, train(docs, table(spark, sf_dir, "labels")))
+    scored = score(docs, train(docs, table(spark, sf_dir, "labels"), keep=["doc_id"]))
     held = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

@@ -311,6 +311,46 @@ def test_toxicity_learns_from_its_folds_only(spark):
     assert none.count() == 0
 
 
+def test_toxicity_counts_each_ngram_apart(spark, monkeypatch):
+    """Against exact counts in dictionaries, with blocks of a few words; and texts with words that training didn't meet."""
+    rng = random.Random(12)
+    ws = sorted({"".join(rng.choice("abcdeé日") for _ in range(rng.randint(1, 9))) for _ in range(300)})
+    counts = {w: [rng.choice([0, 0, 0, 1, 2]) for _ in toxicity.COUNTS] for w in ws}
+    shared, top, kinds, total = collections.Counter(), collections.Counter(), collections.Counter(), collections.Counter()
+    places = {w: [[f"^{w}$"[i - k : i + 1] for k in range(min(i, 5) + 1)] for i in range(1, len(w) + 2)] for w in ws}
+    for w, at in places.items():
+        shared.update({g for gs in at for g in gs})
+        for gs in at:
+            for c, n in zip(toxicity.COUNTS, counts[w]):
+                top[int(c[1]), gs[-1]] += n
+    for key, table in (("", shared), *((y, {g: n for (z, g), n in top.items() if z == y}) for y in (0, 1))):
+        for g, n in table.items():
+            total[key, g[:-1]] += n
+            kinds[key, g[:-1]] += n > 0
+
+    def smooth(key, n, g, lower, strength=0.0):
+        t = total[key, g[:-1]]
+        return (max(n - 0.75, 0) + (0.75 * kinds[key, g[:-1]] + strength) * lower) / (t + strength) if t else lower
+
+    def wanted(w):
+        ratio = 0.0
+        for gs in places[w]:
+            p = 1 / 512
+            for g in gs:
+                p = smooth("", shared[g], g, p)
+            a, b = (smooth(y, top[y, gs[-1]], gs[-1], p, toxicity.STRENGTH) for y in (0, 1))
+            ratio += np.log(b) - np.log(a)
+        return np.log1p(toxicity.SHARE * np.expm1(ratio))
+
+    monkeypatch.setattr(toxicity, "TASK_WORDS", 70)
+    table = spark.createDataFrame([(w, 1, *counts[w]) for w in ws], "word string, seen int, " + ", ".join(f"{c} long" for c in toxicity.COUNTS))
+    got = {r["word"]: r["e"] for r in toxicity.word_evidence(toxicity.vocabulary(table)).collect()}
+    assert got == pytest.approx({w: wanted(w) for w in ws}, abs=1e-5)
+    more = table.select("word", "seen", *toxicity.COUNTS).unionByName(table.limit(1).withColumns({"word": F.lit("zzabcabc"), "seen": F.lit(0), **{c: F.lit(0).cast("long") for c in toxicity.COUNTS}}))
+    again = {r["word"]: r["e"] for r in toxicity.word_evidence(toxicity.vocabulary(more)).collect()}
+    assert np.isfinite(again.pop("zzabcabc")) and again == pytest.approx(got, abs=1e-6)
+
+
 def test_mixing_meets_its_targets(spark, docs, empty):
     rng = random.Random(9)
     rows = [(i, prose(rng, 50) + (" qqq zzz" * 5 if i % 3 == 0 else "") + (" bad bad" * 5 if i % 5 == 0 else "")) for i in range(120)]
