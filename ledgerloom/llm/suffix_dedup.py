@@ -1,4 +1,4 @@
-"""Exact substring removal by blockwise suffix sorting with a difference cover, and the query op9.
+"""Exact substring removal by anchored blocks and suffix sorting within buckets, and the query op9.
 
 Byte strings of `length` that start at two or more places are removed wherever they stand.
 
@@ -7,8 +7,8 @@ Byte strings of `length` that start at two or more places are removed wherever t
    block. An anchor that stands once in all texts can't be in a repeated window: its block is done.
 2. Blocks equal in all bytes are repeated as a whole.
 3. The suffixes and prefixes at one anchor, in blocks that differ, form a bucket. Buckets are sorted one at a
-   time, each truncated to the window: by the first `PERIOD` bytes, and ties by the precomputed ranks of a
-   difference-cover sample of the bucket. Neighbours' common lengths then name, for each place of the
+   time, each truncated to the window: by the first `PERIOD` bytes, and ties by prefix-doubled ranks of
+   one residue of a difference cover (all rows start at the anchor, so one shift serves). Neighbours' common lengths then name, for each place of the
    anchor in a window, what stands before and after it; windows with equal names are equal.
 4. An anchor with over `HOT_BLOCKS` different blocks is split into buckets of one 400-byte prefix each:
    windows are grouped by place and hash, which Spark sums before it shuffles. Nothing is dropped.
