@@ -1,53 +1,60 @@
 """Toxicity by class-conditional Kneser-Ney character models, and the query op2.
 
-A word is read as `^word$`, each character given up to five before it. The highest order (longest
-history) is counted per class over labelled documents; every lower order is shared: it counts in how
-many distinct words of the whole corpus an n-gram stands, so rare expressions of either class are
-smoothed by the same backoff. A document's evidence is the sum over its words of
-log((1 - s) + s * p(word | toxic) / p(word | ordinary)), a toxic document being ordinary text but for a
-share s of its words. The difference of log-likelihoods, normalised by length and by the root of length,
-feeds a logistic calibration fitted on what training documents got from models without their own fold.
-
-Counts are exact: a row for each n-gram, by its characters. The probability of an n-gram depends on the
-n-gram alone, so it is computed once for each, order by order; one join brings it to blocks of distinct
-words, which gives a word's evidence, and one more to blocks of documents. Nothing that grows with the
-corpus is collected, broadcast or held by one task. The class counts come from at most `max_labelled`
-labelled rows (least hash of doc_id first), which bounds the broadcast of labels.
+A word is read as `^word$`, each character given up to five before it. The highest order is counted for each
+class over the labelled sample. Every lower order is shared by the classes and is Kneser-Ney's continuation
+count over the **whole** corpus: in how many distinct longer n-grams an n-gram ends. Rare expressions of either
+class are smoothed by this same backoff.
+
+A history that the sample never shows gives both classes the same probability, and an n-gram it never shows
+after a known history differs by the history's freed mass alone. So the corpus is counted in full, but only
+n-grams and histories of the sample need a log-ratio; these are broadcast, and are bounded by the sample:
+at most `max_labelled` rows and `max_chars` characters of each class.
+
+A text's evidence is its log-likelihood as toxic less that as ordinary, by its length; twice more with toxic
+text read as ordinary but for a share of its words (a mixture by word), by the length and by its root. A
+logistic calibration of the three is fitted on what sampled documents get from models without their fold.
 """
 
 from __future__ import annotations
 
-import contextlib
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import only, schema_of, small_batches, stored, table
+from .common import kept_by, only, small_batches, stored, table
 
 WORD = re.compile(r"[^\W\d_]+")
 ORDER, DISCOUNT = 6, 0.75
-MAX_LABELLED, FOLDS, THRESHOLD = 65_536, 4, 0.3
+#: Bounds of the labelled sample: rows, and characters of each class.
+MAX_LABELLED, MAX_CHARS = 65_536, 8_000_000
+FOLDS, THRESHOLD = 4, 0.3
 #: Words longer than this are read in pieces of it.
 WORD_CHARS = 64
-#: A block of documents ends when it has so many distinct words or characters.
-BLOCK_WORDS, BLOCK_CHARS = 200_000, 16_000_000
-#: Distinct words of a block of the vocabulary, and how many of them are read as n-grams at once.
-TASK_WORDS, STEP_WORDS = 100_000, 20_000
-#: The part of a document's evidence that is prior: words added to its length.
+#: Distinct words that a task reads as n-grams at once, and whose evidence a worker keeps.
+STEP_WORDS, MEMO_WORDS = 100_000, 400_000
+#: Words added to a text's length: the part of its evidence that is prior.
 PRIOR_WORDS = 8.0
 #: Observations of the shared distribution that each history of a class starts with.
-STRENGTH = 20.0
+STRENGTH = 10.0
 #: Share of a toxic document's words that are not ordinary; the rest of it is read as ordinary text.
 SHARE = 0.03
+#: Probability of a character before anything is counted.
+UNIFORM = 1 / 512
+#: Chance of toxicity where no label is known, as half an observation.
+PRIOR = 0.05
+
+#: Counts by class (0, 1) and fold; models of all folds, and without each.
+COUNTS = [f"c{y}{f}" for y in (0, 1) for f in range(FOLDS)]
+MODELS = ["", *map(str, range(FOLDS))]
+_R = np.random.default_rng(2).integers(1, 1 << 63, ORDER, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
 
 def words(text: str) -> list[str]:
     """Lower-case words; very long ones in pieces."""
@@ -57,324 +64,287 @@ def words(text: str) -> list[str]:
     return found
 
 
-#: Counts by class (0, 1) and fold; models of all folds, and without each.
-COUNTS = [f"c{y}{f}" for y in (0, 1) for f in range(FOLDS)]
-MODELS = ["", *map(str, range(FOLDS))]
-
-
-class Grams:
-    """The n-grams of words, laid end to end: for each character but `^`, the number of its gram at each order from 1 (-1 where its word is too short)."""
+class Places:
+    """The characters of words to be predicted: for each its word, place, length of history, and 64-bit hashes of history and n-gram."""
 
     def __init__(self, ws: list[str]) -> None:
-        self.s = np.frombuffer("".join([f"^{w}$" for w in ws]).encode("utf-32-le", "replace"), "<u4")
+        self.s = np.frombuffer("".join([f"^{w}$" for w in ws]).encode("utf-32-le"), "<u4").astype(np.uint64)
         size = np.array([len(w) + 2 for w in ws], np.int64)
-        start = np.repeat(np.cumsum(size) - size, size)
-        within = np.arange(len(self.s)) - start
-        at = np.flatnonzero(within > 0)
-        self.word = np.repeat(np.arange(len(ws)), size)[at]
-        self.depth = np.minimum(within[at], ORDER - 1)  # characters of history
-        chars, x = np.unique(self.s, return_inverse=True)
-        self.gram: list[np.ndarray] = []
-        self.ends: list[np.ndarray] = []  # where each distinct gram first ends
-        ident = np.zeros(len(at), np.int64)
+        within = np.arange(len(self.s)) - np.repeat(np.cumsum(size) - size, size)
+        self.at = np.flatnonzero(within > 0)
+        self.word = np.repeat(np.arange(len(ws)), size)[self.at]
+        self.depth = np.minimum(within[self.at], ORDER - 1)
+        self.history, self.gram = self.hashes(self.at - 1, self.depth - 1), self.hashes(self.at, self.depth)
+
+    def hashes(self, at: np.ndarray, depth: np.ndarray) -> np.ndarray:
+        h = self.s[at] * _R[0]
+        for k in range(1, ORDER):
+            on = depth >= k
+            h[on] += self.s[at[on] - k] * _R[k]
+        return h
+
+    def spelled(self, rows: np.ndarray) -> pa.Array:
+        """The n-grams at the given places."""
+        start, size = self.at[rows] - self.depth[rows], self.depth[rows] + 1
+        i = np.arange(ORDER)
+        codes = np.where(i < size[:, None], self.s[np.minimum(start[:, None] + i, len(self.s) - 1)], 0)
+        return pa.array(np.ascontiguousarray(codes.astype("<u4")).view(f"<U{ORDER}").ravel(), pa.string())
+
+
+def string_hashes(grams: list[str]) -> np.ndarray:
+    """The hashes that Places gives to these n-grams of up to ORDER characters."""
+    out = np.zeros(len(grams), np.uint64)
+    if grams:
+        size = np.array([len(g) for g in grams])
+        codes = np.array(grams, f"<U{ORDER}").view("<u4").reshape(-1, ORDER).astype(np.uint64)
         for k in range(ORDER):
-            on = np.flatnonzero(self.depth >= k)
-            _, first, inverse = np.unique(ident[on] * len(chars) + x[at[on] - k], return_index=True, return_inverse=True)
-            ident = np.full(len(at), -1)
-            ident[on] = inverse
-            self.gram.append(ident)
-            self.ends.append(at[on][first])
-
-    def spelled(self, k: int) -> pa.Array:
-        """The distinct grams of k + 1 characters, by number."""
-        e = self.ends[k]
-        return pa.array(np.ascontiguousarray(self.s[e[:, None] + np.arange(-k, 1)]).view(f"<U{k + 1}").ravel(), pa.string()) if len(e) else pa.array([], pa.string())
-
-
-def bagged(docs: DataFrame, sample: DataFrame | None, text: str, keep: list[str]) -> DataFrame:
-    """keep, _toxic, _fold, _block, _bag, _words: documents in blocks. A bag has the numbers of a text's distinct words in its block and their counts; a block's first row lists the words, with counts by label and fold."""
-    rows = docs.withColumn("_text", F.coalesce(F.col(text), F.lit("")))
-    if sample is None:
-        rows = rows.withColumns({"_toxic": F.lit(None).cast("int"), "_fold": F.lit(None).cast("int")})
-    else:
-        rows = rows.join(sample.select(F.col("doc_id").alias("_doc"), F.col("toxic").alias("_toxic"), F.col("fold").alias("_fold")), F.col("doc_id") == F.col("_doc"), "left")
-    rows = rows.select(*keep, "_toxic", "_fold", "_text")
-    schema = schema_of(rows, "_block long, _bag binary, _words array<struct<word: string, " + ", ".join(f"{c}: long" for c in COUNTS) + ">>", *keep, "_toxic", "_fold")
-    names = schema.names
+            on = size > k
+            out[on] += codes[on, size[on] - 1 - k] * _R[k]
+    return out
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        only("toxicity")
-        block = TaskContext.get().partitionId() << 32
-        held: list[tuple[list, list[bytes]]] = []
-        index: dict[str, int] = {}
-        labelled: list[tuple[int, np.ndarray, np.ndarray]] = []
-        chars = 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            m = np.zeros((len(COUNTS), len(index)), np.int64)
-            for k, i, n in labelled:
-                m[k, i] += n
-            listed = pa.StructArray.from_arrays([pa.array(list(index), pa.string()), *map(pa.array, m)], ["word", *COUNTS])
-            for j, (columns, bags) in enumerate(held):
-                offsets = np.full(len(bags) + 1, 0 if j else len(listed), np.int32)
-                offsets[0] = 0
-                lists = pa.ListArray.from_arrays(pa.array(offsets), listed[:0] if j else listed)
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(np.full(len(bags), block)), pa.array(bags, pa.binary()), lists], names=names)
-            held.clear()
-            index.clear()
-            labelled.clear()
 
-        for b in batches:
-            if not b.num_rows:
-                continue
-            *columns, toxic, fold, texts = b.columns
-            bags = []
-            for t, y, f in zip(texts.to_pylist(), toxic.to_pylist(), fold.to_pylist()):
-                bag = Counter(words(t))
-                i = np.array([index.setdefault(w, len(index)) for w in bag], "<i4")
-                n = np.fromiter(bag.values(), "<i4", len(bag))
-                if y is not None:
-                    labelled.append((y * FOLDS + f, i, n))
-                bags.append(zlib.compress(i.tobytes() + n.tobytes(), 1))
-                chars += len(t)
-            held.append(([*columns, toxic, fold], bags))
-            if len(index) > BLOCK_WORDS or chars > BLOCK_CHARS:
-                yield from flush()
-                block, chars = block + 1, 0
-        if held:
-            yield from flush()
-
-    return stored(rows.mapInArrow(count, schema), "bags")
-
-
-def listed(bags: DataFrame) -> DataFrame:
-    """block, at, word and its counts: the distinct words of each block."""
-    rows = bags.where(F.size("_words") > 0).select(F.col("_block").alias("block"), F.posexplode("_words").alias("at", "w"))
-    return rows.select("block", "at", "w.*")
-
-
-def vocabulary(rows: DataFrame) -> DataFrame:
-    """word, seen, counts, block: distinct words with their counts by label and fold, in blocks; the model counts words of which a row has seen = 1."""
-    found = stored(rows.groupBy("word").agg(F.max("seen").alias("seen"), *(F.sum(c).alias(c) for c in COUNTS)), "words")
-    blocks = max(1, -(-found.count() // TASK_WORDS))
-    return found.withColumn("block", F.pmod(F.xxhash64("word"), F.lit(blocks))).repartition(blocks, "block").sortWithinPartitions("block", "word")
-
-
-def grams(words_: DataFrame) -> DataFrame:
-    """block, gram, n, counts: the distinct n-grams of each block of words; n counts words, once for each n-gram in them, and counts only stand at longest n-grams."""
-
-    def read(block: int, ws: list[str], seen: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-        g = Grams(ws)
-        for k in range(ORDER):
-            ident, size = g.gram[k], len(g.ends[k])
-            if not size:
-                continue
-            on, top = ident >= 0, g.depth == k
-            pair = np.unique(g.word[on] * size + ident[on])
-            shared = np.bincount(pair % size, seen[pair // size], size).astype(np.int64)
-            # sums of counts stay under 2**53
-            by = [np.bincount(ident[top], c[g.word[top]], size).astype(np.int64) if c.any() else np.zeros(size, np.int64) for c in n]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(size, block)), g.spelled(k), *map(pa.array, [shared, *by])], names=["block", "gram", "n", *COUNTS])
+def labelled(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_chars: int = MAX_CHARS, held_out: int | None = 2) -> DataFrame:
+    """(doc_id, toxic, fold, weight): the sample, one row for each doc_id, least hash first within both bounds.
+
+    Of a doc_id's labels the worst counts; rows with nulls and those of the fold `held_out` don't. weight: labelled
+    documents of the class (before the bound on characters) for each one sampled.
+    """
+    fold = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(FOLDS)).cast("int")
+    rows = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).withColumn("fold", fold)
+    if held_out is not None:
+        rows = rows.where(F.col("fold") != held_out)
+    few = stored(rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled), "labels")
+    chars = docs.select("doc_id", F.length("text").alias("n")).join(F.broadcast(few), "doc_id").groupBy("doc_id", "toxic", "fold").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+    # at most max_labelled rows in the two windows
+    by = Window.partitionBy("toxic")
+    rows = chars.select("*", F.sum("n").over(by.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)).alias("upto"), F.count(F.lit(1)).over(by).alias("all"))
+    kept = rows.where(F.col("upto") <= max_chars).withColumn("weight", F.col("all") / F.count(F.lit(1)).over(by))
+    return stored(kept.select("doc_id", "toxic", "fold", "weight"), "sample")
+
+
+def corpus_grams(docs: DataFrame, sample: DataFrame) -> DataFrame:
+    """gram, counts by class and fold: the longest n-grams of all words of the corpus; counts are of the sample's words."""
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id", "left")
+    rows = rows.select("text", (F.col("toxic") * FOLDS + F.col("fold")).cast("int").alias("code"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only("toxicity")
-        ws: list[str] = []
-        ns: list[np.ndarray] = []
-        block = None
+        seen: set[str] = set()
+        by: list[Counter] = [Counter() for _ in COUNTS]
+
+        def flush() -> pa.RecordBatch:
+            ws = list(seen)
+            p = Places(ws)
+            _, first, inverse = np.unique(p.gram, return_index=True, return_inverse=True)
+            columns = []
+            for c in by:
+                n = np.array([c.get(w, 0) for w in ws], np.int64) if c else None
+                columns.append(np.bincount(inverse, n[p.word], len(first)).astype(np.int64) if c else np.zeros(len(first), np.int64))
+                c.clear()
+            seen.clear()
+            return pa.RecordBatch.from_arrays([p.spelled(first), *map(pa.array, columns)], names=["gram", *COUNTS])
+
         for b in batches:
-            blocks = b.column("block").to_numpy()
-            n = np.stack([b.column(c).to_numpy() for c in ["seen", *COUNTS]])
-            w = b.column("word").to_pylist()
-            edges = [0, *np.flatnonzero(np.diff(blocks)) + 1, len(blocks)]
-            for i, j in zip(edges, edges[1:]):
-                if i == j:
-                    continue
-                if ws and (blocks[i] != block or len(ws) >= STEP_WORDS):
-                    m = np.concatenate(ns, 1)
-                    yield from read(block, ws, m[0], m[1:])
-                    ws, ns = [], []
-                block = int(blocks[i])
-                ws += w[i:j]
-                ns.append(n[:, i:j])
-        if ws:
-            m = np.concatenate(ns, 1)
-            yield from read(block, ws, m[0], m[1:])
-
-    schema = "block long, gram string, n long, " + ", ".join(f"{c} long" for c in COUNTS)
-    return words_.select("block", "word", "seen", *COUNTS).mapInArrow(count, schema).groupBy("block", "gram").agg(*(F.sum(c).alias(c) for c in ["n", *COUNTS]))
-
-
-def smoothed(n: Column, total: Column, kinds: Column, lower: Column, strength: float = 0.0) -> Column:
-    """Discounted counts, the freed mass and `strength` more observations spread as the lower order; the lower order where the history wasn't seen."""
-    p = (F.greatest(n - DISCOUNT, F.lit(0.0)) + (kinds * DISCOUNT + strength) * lower) / F.greatest(total + strength, F.lit(1e-9))
-    return F.when(total > 0, p).otherwise(lower)
-
-
-def ratios(counted: DataFrame) -> DataFrame:
-    """gram, r, r0..: log p(last character | toxic) - log p(last character | ordinary) for each longest n-gram, by the model of all folds and those without one. counted: gram, n, counts."""
-    of = Window.partitionBy("history")
-    by = {f"{y}_{m}": sum(F.col(f"c{y}{f}") for f in range(FOLDS) if str(f) != m) for y in (0, 1) for m in MODELS}
-    rows = counted.groupBy("gram").agg(*(F.sum(c).alias(c) for c in ["n", *COUNTS]))
-    rows = rows.select("gram", F.expr("substring(gram, 1, length(gram) - 1)").alias("history"), F.expr("substring(gram, 2)").alias("suffix"), F.length("gram").alias("size"), F.col("n").alias("n_"), *(c.alias(f"n{k}") for k, c in by.items()))
-    sums = [x for k in ["_", *by] for x in (F.sum(f"n{k}").over(of).alias(f"t{k}"), F.sum((F.col(f"n{k}") > 0).cast("int")).over(of).alias(f"k{k}"))]
-    rows = stored(rows.select("*", *sums).drop("history"), "grams")
-
-    def level(found: DataFrame, lower: Column) -> DataFrame:
-        """gram, p by the shared counts, and the ratios."""
-        with_p = found.withColumn("p", smoothed(F.col("n_"), F.col("t_"), F.col("k_"), lower))
-        own = {k: F.log(F.greatest(smoothed(F.col(f"n{k}"), F.col(f"t{k}"), F.col(f"k{k}"), F.col("p"), STRENGTH), F.lit(1e-9))) for k in by}
-        return with_p.select("gram", "p", *((own[f"1_{m}"] - own[f"0_{m}"]).cast("float").alias(f"r{m}") for m in MODELS))
-
-    below = stored(level(rows.where("size = 1"), F.lit(1 / 512)), "level")
-    out = None
-    for k in range(2, ORDER + 1):
-        lower = below.select(F.col("gram").alias("suffix"), F.col("p").alias("lower")).hint("merge")
-        below = stored(level(rows.where(F.col("size") == k).join(lower, "suffix"), F.col("lower")), "level")
-        longest = below.where(LONGEST).drop("p")
-        out = longest if out is None else out.unionByName(longest)
-    return out
+            for t, code in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                ws = words(t)
+                seen.update(ws)
+                if code is not None:
+                    by[code].update(ws)
+                if len(seen) > STEP_WORDS:
+                    yield flush()
+        if seen:
+            yield flush()
 
+    found = rows.mapInArrow(count, "gram string, " + ", ".join(f"{c} long" for c in COUNTS))
+    return stored(found.groupBy("gram").agg(*(F.sum(c).alias(c) for c in COUNTS)), "grams")
 
-#: n-grams with as long a history as the place in the word allows.
-LONGEST = f"length(gram) = {ORDER} or startswith(gram, '^')"
 
+def suffix(gram: Column, k: Column | int) -> Column:
+    """The last k characters."""
+    return F.substring(gram, -F.lit(k) if isinstance(k, int) else -k, F.lit(ORDER))
 
-def word_evidence(words_: DataFrame) -> DataFrame:
-    """word, e, e0..: log of the mixture's ratio for each word; without a fold only where that fold counted the word."""
-    counted = stored(grams(words_), "block-grams")
-    values = [f"r{m}" for m in MODELS]
-    links = counted.where(LONGEST).select("block", "gram").join(ratios(counted).hint("merge"), "gram").select("block", "gram", *values)
-    marks = [(F.col(f"c0{f}") + F.col(f"c1{f}") > 0).alias(f"has{f}") for f in range(FOLDS)]
 
-    def read(ws: pa.Table, found: pa.Table) -> pa.Table:
-        only("toxicity")
-        known = found.column("gram").cast(pa.string()).combine_chunks()
-        r = np.stack([found.column(c).to_numpy() for c in values])
-        listed_, out = ws.column("word").to_pylist(), []
-        for i in range(0, len(listed_), STEP_WORDS):
-            g = Grams(listed_[i : i + STEP_WORDS])
-            total = np.zeros((len(values), len(listed_[i : i + STEP_WORDS])))
-            for k in range(1, ORDER):
-                top = g.depth == k
-                if top.any():
-                    ids = np.unique(g.gram[k][top])
-                    row = np.zeros(len(g.ends[k]), np.int64)
-                    row[ids] = pc.index_in(g.spelled(k).take(pa.array(ids)), value_set=known).to_numpy()  # fails where one has no value
-                    row = row[g.gram[k][top]]
-                    for t, x in zip(total, r):
-                        t += np.bincount(g.word[top], x[row], len(t))
-            out.append(np.log1p(SHARE * np.expm1(np.clip(total, -50, 50))))
-        e = np.concatenate(out, 1) if out else np.zeros((len(values), 0))
-        masks = [np.zeros(len(listed_), bool), *(~ws.column(f"has{f}").to_numpy() for f in range(FOLDS))]
-        return pa.table([ws.column("word").cast(pa.string()), *(pa.array(x.astype(np.float32), mask=m) for x, m in zip(e, masks))], names=["word", *(f"e{m}" for m in MODELS)])
-
-    schema = "word string, " + ", ".join(f"e{m} float" for m in MODELS)
-    return stored(words_.select("block", "word", *marks).groupBy("block").cogroup(links.groupBy("block")).applyInArrow(read, schema), "word-evidence")
-
-
-def evidence(bags: DataFrame, of_words: DataFrame, keep: list[str]) -> DataFrame:
-    """keep, _toxic, _a, _b: evidence of each text by its length and by the root of its length (an empty one has none), and _fa, _fb from the model without its fold."""
-    own = [(F.col(f"c0{f}") + F.col(f"c1{f}") > 0).alias(f"own{f}") for f in range(FOLDS)]  # folds whose documents in the block have the word
-    joined = listed(bags).select("block", "at", "word", *own).join(of_words.hint("merge"), "word")
-    values = joined.select("block", "at", "e", *(F.when(F.col(f"own{f}"), F.col(f"e{f}")).alias(f"e{f}") for f in range(FOLDS)))
-    schema = schema_of(bags, "_a double, _b double, _fa double, _fb double", *keep, "_toxic")
-
-    def add(docs: pa.Table, found: pa.Table) -> pa.Table:
-        only("toxicity")
-        at = found.column("at").to_numpy()
-        e = np.zeros((len(MODELS), at.max() + 1 if len(at) else 0))
-        for row, m in zip(e, MODELS):
-            row[at] = np.nan_to_num(found.column(f"e{m}").to_numpy())
-        out = np.full((4, docs.num_rows), np.nan)
-        for j, (bag, fold) in enumerate(zip(docs.column("_bag").to_pylist(), docs.column("_fold").to_pylist())):
-            i, n = np.frombuffer(zlib.decompress(bag), "<i4").reshape(2, -1)
+def continuations(grams: DataFrame) -> DataFrame:
+    """gram, a, b: the shared model of lower orders (up to ORDER - 1 characters): p(gram) = a + b * p(gram without its first character)."""
+    ends = F.sequence(F.lit(2), F.length("gram"))
+    longer = grams.where("length(gram) >= 2").select(F.explode(F.transform(ends, lambda k: suffix(F.col("gram"), k))).alias("x")).distinct()
+    counts = longer.groupBy(F.expr("substring(x, 2)").alias("gram")).agg(F.count(F.lit(1)).alias("n"))
+    of = Window.partitionBy(F.expr("substring(gram, 1, length(gram) - 1)"))  # at most a row for each character of the alphabet
+    total = F.sum("n").over(of)
+    return counts.select("gram", ((F.col("n") - DISCOUNT) / total).alias("a"), (F.count(F.lit(1)).over(of) * DISCOUNT / total).alias("b"))
+
+
+def backoff(grams: DataFrame) -> DataFrame:
+    """The sample's n-grams with their counts and `lower`, the shared probability of their last character by the history without its first."""
+    known = grams.where(" + ".join(COUNTS) + " > 0")
+    pieces = known.select("gram", F.explode(F.sequence(F.lit(1), F.length("gram") - 1)).alias("k"))
+    found = pieces.withColumn("end", suffix(F.col("gram"), F.col("k"))).join(continuations(grams).select(F.col("gram").alias("end"), "a", "b").hint("merge"), "end")
+    steps = F.array_sort(F.collect_list(F.struct("k", "a", "b")))
+    lower = found.groupBy("gram").agg(F.aggregate(steps, F.lit(UNIFORM), lambda p, s: s["a"] + s["b"] * p).alias("lower"))
+    return known.join(lower.hint("merge"), "gram")
+
+
+def smoothed(n: Column, total: Column, kinds: Column, lower: Column) -> Column:
+    """Discounted counts of a class; the freed mass and STRENGTH more observations are spread as the lower order."""
+    return (F.greatest(n - DISCOUNT, F.lit(0.0)) + (kinds * DISCOUNT + STRENGTH) * lower) / (total + STRENGTH)
+
+
+def ratios(known: DataFrame, models: list[str] = MODELS) -> tuple[DataFrame, DataFrame]:
+    """(gram, r of each model) and (gram, r of each model): log p(last character | toxic) - log p(.. | ordinary) of the sample's n-grams, and of all others after each of its histories. known: gram, counts, lower."""
+    of = Window.partitionBy("history")
+    by = {f"{y}_{m}": sum(F.col(f"c{y}{f}") for f in range(FOLDS) if str(f) != m) for y in (0, 1) for m in models}
+    rows = known.select("gram", "lower", F.expr("substring(gram, 1, length(gram) - 1)").alias("history"), *(c.alias(f"n{k}") for k, c in by.items()))
+    sums = [x for k in by for x in (F.sum(f"n{k}").over(of).alias(f"t{k}"), F.sum((F.col(f"n{k}") > 0).cast("int")).over(of).alias(f"k{k}"))]
+    rows = rows.select("*", *sums)
+    own = {k: F.log(smoothed(F.col(f"n{k}"), F.col(f"t{k}"), F.col(f"k{k}"), F.col("lower"))) for k in by}
+    rest = {k: F.log((F.col(f"k{k}") * DISCOUNT + STRENGTH) / (F.col(f"t{k}") + STRENGTH)) for k in by}
+    ratio = lambda p: [(p[f"1_{m}"] - p[f"0_{m}"]).cast("float").alias(f"r{m}") for m in models]
+    rows = stored(rows, "ratios")
+    return rows.select("gram", *ratio(own)), rows.select(F.col("history").alias("gram"), *ratio(rest)).dropDuplicates(["gram"])
+
+
+class Ratios(NamedTuple):
+    """Sorted hashes of the sample's n-grams and histories, and their log-ratios, a row for each model."""
+
+    grams: np.ndarray
+    of_grams: np.ndarray
+    histories: np.ndarray
+    of_histories: np.ndarray
+
+    def evidence(self, ws: list[str]) -> np.ndarray:
+        """Plain evidence of each word, a row for each model."""
+        p = Places(ws)
+        out = np.zeros((len(self.of_grams), len(ws)))
+        if not len(self.grams):
+            return out
+        h = np.minimum(np.searchsorted(self.histories, p.history), len(self.histories) - 1)
+        on = self.histories[h] == p.history
+        h, gram, word = h[on], p.gram[on], p.word[on]
+        g = np.minimum(np.searchsorted(self.grams, gram), len(self.grams) - 1)
+        met = self.grams[g] == gram
+        for row, of_grams, of_histories in zip(out, self.of_grams, self.of_histories):
+            row += np.bincount(word, np.where(met, of_grams[g], of_histories[h]), len(ws))
+        return out
+
+
+def collected(tables: tuple[DataFrame, DataFrame], models: list[str]) -> Ratios:
+    """The tables of ratios() in arrays; their rows are bounded by the sample's characters."""
+    out: list[np.ndarray] = []
+    for t in tables:
+        found = t.select("gram", *(f"r{m}" for m in models)).toArrow()
+        h = string_hashes(found.column("gram").to_pylist())
+        order = np.argsort(h)
+        out += [h[order], np.stack([found.column(f"r{m}").to_numpy()[order] for m in models])]
+    return Ratios(*out)
+
+
+class Reader:
+    """features(): evidence of texts by a model; keeps that of words it has met."""
+
+    def __init__(self, known: Ratios) -> None:
+        self.known = known
+        self.index: dict[str, int] = {}
+        self.e = np.zeros((2, len(known.of_grams), 0))
+
+    def features(self, texts: list[str], model: list[int]) -> np.ndarray:
+        """(a row for each feature, a column for each text): mixture by length and by its root, plain by length."""
+        bags = [Counter(words(t)) for t in texts]
+        if len(self.index) > MEMO_WORDS:
+            self.index.clear()
+            self.e = self.e[:, :, :0]
+        new = list({w for b in bags for w in b if w not in self.index})
+        if new:
+            plain = np.concatenate([self.known.evidence(new[i : i + STEP_WORDS]) for i in range(0, len(new), STEP_WORDS)], 1)
+            part = np.log1p(SHARE * np.expm1(np.clip(plain, -50, 50)))
+            self.e = np.concatenate([self.e, np.stack([part, plain]).astype(np.float32)], 2)
+            self.index.update(zip(new, range(len(self.index), len(self.index) + len(new))))
+        out = np.zeros((3, len(texts)))
+        get = self.index.__getitem__
+        for j, (b, m) in enumerate(zip(bags, model)):
+            n = np.fromiter(b.values(), np.float64, len(b))
             size = n.sum() + PRIOR_WORDS
-            for x, row in ((0, 0), *([] if fold is None else [(2, 1 + fold)])):
-                total = e[row][i] @ n
-                out[x : x + 2, j] = total / size, total / np.sqrt(size)
-        return pa.table([*(docs.column(c) for c in [*keep, "_toxic"]), *(pa.array(x) for x in out)], names=schema.names)
+            part, plain = self.e[:, m, np.fromiter(map(get, b), np.int64, len(b))] @ n
+            out[:, j] = part / size, part / np.sqrt(size), plain / size
+        return out
+
+
+_readers: dict[int, Reader] = {}
+kept_by("toxicity", _readers.clear)
 
-    return stored(bags.select(*keep, "_toxic", "_fold", "_block", "_bag").groupBy("_block").cogroup(values.groupBy("block")).applyInArrow(add, schema), "evidence")
 
+def reader(known) -> Reader:
+    """One for each broadcast model and worker process; an older model's goes."""
+    if known.value is not getattr(_readers.get(0), "known", None):
+        _readers[0] = Reader(known.value)
+    return _readers[0]
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 50) -> np.ndarray:
+
+def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, ridge: float = 1e-3, rounds: int = 50) -> np.ndarray:
     """Weights of the rows of x, and the intercept, by Newton steps; without both classes the intercept alone."""
+    weight = np.ones(len(y)) if weight is None else weight
     if len(y) == 0 or y.min() == y.max():
-        return np.array([0.0] * len(x) + [float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)))])
+        ones = float((weight * y).sum())
+        return np.array([0.0] * len(x) + [float(np.log((ones + PRIOR / 2) / (weight.sum() - ones + (1 - PRIOR) / 2)))])
     scale = np.maximum(np.std(x, axis=1), 1e-12)
     m, w = np.concatenate([x / scale[:, None], np.ones((1, len(y)))]), np.zeros(len(x) + 1)
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(w @ m, -30, 30)))
-        step = np.linalg.solve((m * (p * (1 - p))) @ m.T + ridge * np.eye(len(w)), m @ (y - p) - ridge * w)
+        step = np.linalg.solve((m * (weight * p * (1 - p))) @ m.T + ridge * np.eye(len(w)), m @ (weight * (y - p)) - ridge * w)
         w += step
         if np.abs(step).max() < 1e-8:
             break
     return w / np.append(scale, 1.0)
 
 
-def labelled(labels: DataFrame, max_labelled: int = MAX_LABELLED, held_out: int | None = 2) -> DataFrame:
-    """(doc_id, toxic, fold): at most max_labelled rows outside the held-out fold, one for each doc_id (1 if any of its rows says so); rows with nulls don't count."""
-    fold = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(FOLDS)).cast("int")
-    rows = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).withColumn("fold", fold)
-    if held_out is not None:
-        rows = rows.where(F.col("fold") != held_out)
-    return rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
-
-
-@contextlib.contextmanager
-def shuffles_go(spark: SparkSession) -> Iterator[None]:
-    """Within it, what a finished job has shuffled leaves the disk: all that a later job reads is stored."""
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key, "false")
-    spark.conf.set(key, "true")
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
-
-
 class Trained(NamedTuple):
-    """What training leaves: tables, the weights of the calibration, and the evidence of the documents trained on."""
+    """The model of all folds, and the weights of the calibration."""
 
-    docs: DataFrame
-    text: str
-    keep: list[str]
-    counted: DataFrame
-    seen: DataFrame
+    ratios: Ratios
     weights: np.ndarray
 
 
-def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, held_out: int | None = 2, keep: list[str] | None = None) -> Trained:
-    """The model and its calibration. docs: doc_id, text; labels: doc_id, toxic (0 or 1); keep: the columns that score() of these docs returns (all)."""
-    small_batches(docs.sparkSession)
-    keep = docs.columns if keep is None else keep
-    sample = F.broadcast(stored(labelled(labels, max_labelled, held_out), "labelled"))  # at most max_labelled rows
-    with shuffles_go(docs.sparkSession):
-        bags = bagged(docs, sample, "text", keep)
-        counted = vocabulary(listed(bags).select("word", F.lit(1).alias("seen"), *COUNTS))
-        seen = evidence(bags, word_evidence(counted), keep)
-    rows = seen.where("_toxic is not null").select("_fa", "_fb", "_toxic").toPandas()
-    return Trained(docs, "text", keep, counted, seen, logistic(rows[["_fa", "_fb"]].to_numpy().T, rows["_toxic"].to_numpy(float)))
+def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_chars: int = MAX_CHARS, held_out: int | None = 2) -> Trained:
+    """The model and its calibration. docs: doc_id, text; labels: doc_id, toxic (0 or 1). Without labels every text gets PRIOR."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    sample = labelled(docs, labels, max_labelled, max_chars, held_out)
+    known = collected(ratios(backoff(corpus_grams(docs, sample))), MODELS)
+    of_folds = spark.sparkContext.broadcast(Ratios(known.grams, known.of_grams[1:], known.histories, known.of_histories[1:]))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("toxicity")
+        r = reader(of_folds)
+        for b in batches:
+            f = r.features(b.column(0).to_pylist(), b.column(2).to_pylist())
+            yield pa.RecordBatch.from_arrays([b.column(1), b.column(3), *map(pa.array, f)], names=["toxic", "weight", "a", "b", "c"])
+
+    sampled = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id")
+    # rows that repeat a doc_id count as one: at most max_labelled rows
+    sampled = sampled.groupBy("doc_id").agg(F.min(F.struct("text", "toxic", "fold", "weight")).alias("s")).select("s.*")
+    rows = sampled.select("text", "toxic", "fold", "weight").mapInArrow(read, "toxic int, weight double, a double, b double, c double").toPandas()
+    of_folds.unpersist()
+    return Trained(Ratios(known.grams, known.of_grams[:1], known.histories, known.of_histories[:1]), logistic(rows[["a", "b", "c"]].to_numpy().T, rows["toxic"].to_numpy(float), rows["weight"].to_numpy()))
 
 
 def score(docs: DataFrame, trained: Trained, text: str = "text", out: str = "score") -> DataFrame:
     """docs with the toxicity of each whole text in column `out`, from 0 to 1. Null and empty texts get the score of no evidence."""
-    small_batches(docs.sparkSession)
-    if docs is trained.docs and text == trained.text:
-        keep, found = trained.keep, trained.seen
-    else:  # words that training didn't meet come in without counts: they are scored and change nothing
-        keep = docs.columns
-        with shuffles_go(docs.sparkSession):
-            bags = bagged(docs, None, text, keep)
-            more = listed(bags).select("word", F.lit(0).alias("seen"), *COUNTS)
-            found = evidence(bags, word_evidence(vocabulary(trained.counted.drop("block").unionByName(more))), keep)
-    w = [float(x) for x in trained.weights]
-    z = F.col("_a") * w[0] + F.col("_b") * w[1] + w[2]
-    return found.select(*keep, (F.lit(1.0) / (F.exp(-F.greatest(F.least(z, F.lit(30.0)), F.lit(-30.0))) + 1.0)).alias(out))
+    spark = docs.sparkSession
+    small_batches(spark)
+    known, weights = spark.sparkContext.broadcast(trained.ratios), trained.weights
+
+    @F.pandas_udf("double")
+    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        only("toxicity")
+        r = reader(known)
+        for texts in batches:
+            z = weights[:-1] @ r.features(texts.tolist(), [0] * len(texts)) + weights[-1]
+            yield pd.Series(1 / (1 + np.exp(-np.clip(z, -30, 30))))
+
+    return docs.withColumn(out, scored(F.coalesce(F.col(text), F.lit(""))))
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    scored = score(docs, train(docs, table(spark, sf_dir, "labels"), keep=["doc_id"]))
+    scored = score(docs, train(docs, table(spark, sf_dir, "labels")))
     held = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

@@ -311,44 +311,67 @@ def test_toxicity_learns_from_its_folds_only(spark):
     assert none.count() == 0
 
 
-def test_toxicity_counts_each_ngram_apart(spark, monkeypatch):
-    """Against exact counts in dictionaries, with blocks of a few words; and texts with words that training didn't meet."""
+def test_toxicity_is_the_kneser_ney_model_of_plain_dictionaries(spark):
+    """Ratios of n-grams and histories, and the evidence of words met or not, against counts in dictionaries."""
     rng = random.Random(12)
-    ws = sorted({"".join(rng.choice("abcdeé日") for _ in range(rng.randint(1, 9))) for _ in range(300)})
-    counts = {w: [rng.choice([0, 0, 0, 1, 2]) for _ in toxicity.COUNTS] for w in ws}
-    shared, top, kinds, total = collections.Counter(), collections.Counter(), collections.Counter(), collections.Counter()
-    places = {w: [[f"^{w}$"[i - k : i + 1] for k in range(min(i, 5) + 1)] for i in range(1, len(w) + 2)] for w in ws}
-    for w, at in places.items():
-        shared.update({g for gs in at for g in gs})
-        for gs in at:
-            for c, n in zip(toxicity.COUNTS, counts[w]):
-                top[int(c[1]), gs[-1]] += n
-    for key, table in (("", shared), *((y, {g: n for (z, g), n in top.items() if z == y}) for y in (0, 1))):
-        for g, n in table.items():
-            total[key, g[:-1]] += n
-            kinds[key, g[:-1]] += n > 0
-
-    def smooth(key, n, g, lower, strength=0.0):
-        t = total[key, g[:-1]]
-        return (max(n - 0.75, 0) + (0.75 * kinds[key, g[:-1]] + strength) * lower) / (t + strength) if t else lower
-
-    def wanted(w):
-        ratio = 0.0
-        for gs in places[w]:
-            p = 1 / 512
-            for g in gs:
-                p = smooth("", shared[g], g, p)
-            a, b = (smooth(y, top[y, gs[-1]], gs[-1], p, toxicity.STRENGTH) for y in (0, 1))
-            ratio += np.log(b) - np.log(a)
-        return np.log1p(toxicity.SHARE * np.expm1(ratio))
-
-    monkeypatch.setattr(toxicity, "TASK_WORDS", 70)
-    table = spark.createDataFrame([(w, 1, *counts[w]) for w in ws], "word string, seen int, " + ", ".join(f"{c} long" for c in toxicity.COUNTS))
-    got = {r["word"]: r["e"] for r in toxicity.word_evidence(toxicity.vocabulary(table)).collect()}
-    assert got == pytest.approx({w: wanted(w) for w in ws}, abs=1e-5)
-    more = table.select("word", "seen", *toxicity.COUNTS).unionByName(table.limit(1).withColumns({"word": F.lit("zzabcabc"), "seen": F.lit(0), **{c: F.lit(0).cast("long") for c in toxicity.COUNTS}}))
-    again = {r["word"]: r["e"] for r in toxicity.word_evidence(toxicity.vocabulary(more)).collect()}
-    assert np.isfinite(again.pop("zzabcabc")) and again == pytest.approx(got, abs=1e-6)
+    word = lambda: "".join(rng.choice("abcdeé日") for _ in range(rng.randint(1, 9)))
+    rows = [(i, " ".join(word() for _ in range(rng.randint(0, 30)))) for i in range(80)] + [(80, None), (81, ""), (5, "abc abc")]
+    labels = {i: int(i % 3 == 0) for i in range(0, 60)}
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    marks = spark.createDataFrame(list(labels.items()), "doc_id long, toxic int")
+    grams = lambda w: [f"^{w}$"[max(0, i - 5) : i + 1] for i in range(1, len(w) + 2)]
+    counts = collections.defaultdict(collections.Counter)
+    distinct = set()
+    for i, t in rows:
+        for w in (t or "").split():
+            distinct.update(grams(w))
+            if i in labels and zlib.crc32(str(i).encode()) % 4 != 2:
+                counts[labels[i]].update(grams(w))
+    longer = {g[-k:] for g in distinct for k in range(2, len(g) + 1)}
+    ends = collections.Counter(g[1:] for g in longer)
+
+    def lower(g):
+        if not g:
+            return 1 / 512
+        beside = [n for x, n in ends.items() if x[:-1] == g[:-1]]
+        if x := [n for n in [ends[g]] if n]:
+            return (x[0] - 0.75 + 0.75 * len(beside) * lower(g[1:])) / sum(beside)
+        return (0.75 * len(beside) / sum(beside) if beside else 1) * lower(g[1:])
+
+    def own(y, g):
+        beside = [n for x, n in counts[y].items() if x[:-1] == g[:-1]]
+        return (max(counts[y][g] - 0.75, 0) + (0.75 * len(beside) + toxicity.STRENGTH) * lower(g[1:])) / (sum(beside) + toxicity.STRENGTH)
+
+    sample = toxicity.labelled(docs, marks)
+    assert {(r["doc_id"], r["weight"]) for r in sample.collect()} == {(i, 1.0) for i in labels if zlib.crc32(str(i).encode()) % 4 != 2}
+    known = toxicity.collected(toxicity.ratios(toxicity.backoff(toxicity.corpus_grams(docs, sample))), toxicity.MODELS)
+    ws = sorted({w for _, t in rows for w in (t or "").split()})[:150] + ["zz", "abcx", "aaaaaaaaaaaa"]
+    wanted = [sum(np.log(own(1, g)) - np.log(own(0, g)) for g in grams(w)) for w in ws]
+    assert known.evidence(ws)[0] == pytest.approx(wanted, abs=1e-4)
+    # the features: plain by length, and the mixture by length and its root
+    known = toxicity.Ratios(known.grams, known.of_grams[:1], known.histories, known.of_histories[:1])
+    text = " ".join(ws[:20] + ws[:5])
+    e = np.array(wanted[:20] + wanted[:5])
+    part, n = np.log1p(toxicity.SHARE * np.expm1(e)).sum(), 25 + toxicity.PRIOR_WORDS
+    assert toxicity.Reader(known).features([text, ""], [0, 0])[:, 0] == pytest.approx([part / n, part / n**0.5, e.sum() / n], abs=1e-4)
+    # bounds of the sample: rows, and characters of each class
+    assert toxicity.labelled(docs, marks, max_labelled=7).count() == 7
+    few = toxicity.labelled(docs, marks, max_chars=300).join(docs, "doc_id").groupBy("toxic").agg(F.sum(F.length("text")).alias("n"), F.sum("weight").alias("w")).collect()
+    assert len(few) == 2 and all(r["n"] <= 300 and r["w"] > 10 for r in few)
+
+
+def test_toxicity_of_odd_rows(spark, docs, texts, empty):
+    """Null, empty and very long texts, repeated rows, clashing columns, no labels."""
+    again = docs.unionByName(docs).unionByName(docs.where("doc_id = 48")).withColumn("score", F.lit("x"))
+    marks = spark.createDataFrame([(i, int(i % 2)) for i in range(20)] + [(3, 0)], "doc_id long, toxic int")
+    got = toxicity.score(again, toxicity.train(again, marks)).collect()
+    assert len(got) == 2 * len(texts) + 1 and all(0 <= r["score"] <= 1 for r in got)
+    by = collections.defaultdict(set)
+    for r in got:
+        by[r["doc_id"]].add(round(r["score"], 9))
+    assert all(len(x) == 1 for x in by.values()) and by[42] == by[43] == by[44]
+    none = toxicity.score(docs, toxicity.train(docs, marks.where("false"))).collect()
+    assert {round(r["score"], 6) for r in none} == {toxicity.PRIOR}
 
 
 def test_mixing_meets_its_targets(spark, docs, empty):
