@@ -1,13 +1,11 @@
 """Best-fit packing by a configuration linear program over the length histogram, and the query op8.
 
 The histogram has at most `capacity` lengths, whatever the corpus: it alone reaches the driver. The
-covering program over packing patterns is solved by multiplicative weights: lengths fall into classes
-of `width` tokens, each step prices the classes by their weights, finds the best pattern by a knapsack
-dynamic program and lowers the weights of what the pattern covers. The fractional pattern counts are
-rounded down and filled with exact lengths, largest first; what room is left in a sequence goes to the
-largest piece that fits (best fit), and the remaining pieces are packed by the same rule. The result
-is a short list of (exact pattern, repetitions), which turns into places by the pieces' ranks within
-their length.
+covering program over packing patterns is solved by multiplicative weights over classes of `width`
+tokens: each step prices the classes, finds the best pattern by a knapsack dynamic program and lowers
+the prices of what the pattern covers. The fractional patterns are rounded and filled with exact
+lengths by best fit; all sequences come from this. The result is a short list of (exact pattern,
+repetitions), which turns into places by the pieces' ranks within their length.
 """
 
 from __future__ import annotations
@@ -111,50 +109,70 @@ def pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabula
     return docs.mapInArrow(cut, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
-def priced_pattern(price: np.ndarray, room: int) -> list[int]:
-    """The multiset of classes (size k+1 at price[k]) of the highest price within room: unbounded knapsack by dynamic programming."""
-    best, pick = np.zeros(room + 1), np.zeros(room + 1, int)
-    for c in range(1, room + 1):
-        gain = price[:c] + best[c - 1 :: -1][:c] if c > 1 else price[:1].copy()
+def knapsack(price: np.ndarray, size: np.ndarray, room: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each room up to `room` the highest price of a multiset of classes (sizes ascending), and the class taken last (-1: none): dynamic programming."""
+    best, pick = np.zeros(room + 1), np.full(room + 1, -1)
+    fits = np.searchsorted(size, np.arange(room + 1), "right")
+    for c in range(int(size[0]), room + 1):
+        gain = best[c - size[: fits[c]]] + price[: fits[c]]
         k = int(gain.argmax())
         if gain[k] > best[c - 1]:
-            best[c], pick[c] = gain[k], k + 1
+            best[c], pick[c] = gain[k], k
         else:
             best[c] = best[c - 1]
-    found, c = [], room
-    while c > 0:
-        if pick[c]:
-            found.append(int(pick[c]))
-            c -= pick[c]
+    return best, pick
+
+
+def pattern_of(pick: np.ndarray, size: np.ndarray, room: int) -> np.ndarray:
+    """How often each class is in the knapsack's choice for `room`."""
+    out = np.zeros(len(size), np.int64)
+    while room > 0:
+        if pick[room] < 0:
+            room -= 1
         else:
-            c -= 1
-    return found
+            out[pick[room]] += 1
+            room -= int(size[pick[room]])
+    return out
 
 
-def fractional_patterns(demand: np.ndarray, room: int, eps: float = 0.2, steps: int = 3000) -> list[tuple[tuple[int, ...], float]]:
-    """Multiplicative weights for: as few patterns as possible that cover demand[k] pieces of class size k+1. Pattern counts, scaled to cover all once."""
-    there = demand > 0
-    weight, covered = np.where(there, 1.0, 0.0), np.zeros(len(demand))
-    used: dict[tuple[int, ...], float] = {}
-    goal = np.log(max(2, there.sum())) / eps**2
-    for _ in range(steps):
-        p = priced_pattern(np.where(there, weight / np.maximum(demand, 1), 0.0), room)
-        if not p:
-            break
-        k, n = np.unique(p, return_counts=True)
-        step = float((demand[k - 1] / n).min())
-        used[tuple(p)] = used.get(tuple(p), 0.0) + step
-        share = n * step / demand[k - 1]
-        covered[k - 1] += share
-        weight[k - 1] *= np.exp(-eps * share)
-        weight[there & (covered >= goal)] = 0.0
-        if weight.max() < 1e-250 or covered[there].min() >= goal:
-            break
-        weight /= weight.max()
-    least = max(float(covered[there].min()) if there.any() else 1.0, 1e-9)
-    if least < 0.5:  # stopped early: scale by the mean; rounding and best fit cover the rest
-        least = float(covered[there].mean())
-    return [(p, x / least) for p, x in used.items()]
+#: A pattern (indices of classes, ascending, with repetition) and how often it is used.
+Patterns = dict[tuple[int, ...], float]
+
+
+def configuration_program(size: np.ndarray, demand: np.ndarray, room: int, gap: float = 0.02, least_part: float = 1 / 500) -> tuple[float, float, Patterns]:
+    """(patterns in all, a lower bound of the program, use of each pattern): a fractional cover of demand[k] pieces of size[k].
+
+    Multiplicative weights: a class's price is its size, times exp(-10 * how far its cover is ahead of the mean). Each
+    step takes the pattern of the highest price and uses it until the first of its classes has `part` of its demand
+    more. Prices bound the program from below: their sum over the demand by the best pattern's price, for each
+    step and for their mean. The part is halved until cover and bound are within `gap`. Where the bound is not tight
+    enough for that, the search ends at `least_part`; the caller sees both values.
+    """
+    area = float((size * demand).sum())
+    bound, part, found = area / room, 0.1, (np.inf, {})
+    while True:
+        cover, used, mean = np.zeros(len(size)), {}, np.zeros(len(size))
+        total = 0.0
+        while cover.min() < 1 - 1e-9:
+            ahead = cover - (cover * size * demand).sum() / area
+            price = size / room * np.exp(np.clip(-10 * ahead, -30, 30))
+            price[cover >= 1] *= 1e-3
+            best, pick = knapsack(price, size, room)
+            bound = max(bound, float((demand * price).sum() / best[room]))
+            n = pattern_of(pick, size, room)
+            on = n > 0
+            step = part * float((demand[on] / n[on]).min())
+            cover[on] += step * n[on] / demand[on]
+            mean += step / best[room] * price
+            key = tuple(np.repeat(np.arange(len(size)), n).tolist())
+            used[key] = used.get(key, 0.0) + step
+            total += step
+        bound = max(bound, float((demand * mean).sum() / knapsack(mean, size, room)[0][room]))
+        if total < found[0]:
+            found = (total, used)
+        if found[0] <= (1 + gap) * bound or part <= least_part:
+            return found[0], bound, found[1]
+        part /= 2
 
 
 class Shelf:
@@ -186,40 +204,50 @@ class Shelf:
         return times
 
 
-def packed(counts: dict[int, int], capacity: int = CAPACITY, width: int = 32) -> list[tuple[dict[int, int], int]]:
-    """(pieces of each length in a sequence, such sequences): every piece is in one, none is over capacity."""
-
-    def rest(shelf: Shelf, found: list) -> list:
-        while shelf.sizes:
-            taken = {shelf.sizes[-1]: 1}
-            shelf.fill(taken, capacity - shelf.sizes[-1])
-            found.append((taken, shelf.take(taken, 1 << 60)))
-        return found
-
-    plain = rest(Shelf(counts), [])
-    room = capacity // width
-    demand = np.zeros(room)
+def classes_of(counts: dict[int, int], width: int, room: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes (in units of width, rounded up but at most room, ascending) and pieces of each."""
+    demand: dict[int, int] = {}
     for n, c in counts.items():
-        demand[min(room, -(-n // width)) - 1] += c
-    shelf, found = Shelf(counts), []
-    for p, x in sorted(fractional_patterns(demand, room), key=lambda y: (-y[1], y[0])):
-        quota = int(x)
-        while quota > 0:
+        k = min(room, -(-n // width))
+        demand[k] = demand.get(k, 0) + c
+    return np.array(sorted(demand), np.int64), np.array([demand[k] for k in sorted(demand)], float)
+
+
+def packed(counts: dict[int, int], capacity: int = CAPACITY, width: int = 32) -> list[tuple[dict[int, int], int]]:
+    """(pieces of each length in a sequence, such sequences): every piece is in one, none is over capacity.
+
+    The program's patterns, those with the largest pieces first, are rounded by carrying fractions on. Each slot but a
+    pattern's last gets the largest piece of its class, the last one the largest that fits the room left (best fit), and
+    so does what room remains. Pieces that rounding leaves over are packed by best fit.
+    """
+    if not counts:
+        return []
+    room = max(1, capacity // width)
+    size, demand = classes_of(counts, width, room)
+    _, _, used = configuration_program(size, demand, room)
+    shelf, found, carried = Shelf(counts), [], 0.0
+    for p, x in sorted(used.items(), key=lambda y: (-y[0][-1], -y[1], y[0])):
+        carried += x
+        quota = int(carried + 0.5)
+        carried -= quota
+        while quota > 0 and shelf.sizes:
             taken: dict[int, int] = {}
-            for k in sorted(p, reverse=True):
-                n = shelf.fit(min(k * width, capacity), taken)
-                if n > (k - 1) * width:
+            free = capacity
+            for i, k in enumerate(reversed(p)):
+                n = shelf.fit(free if i + 1 == len(p) else min(int(size[k]) * width, free), taken)
+                if n > (size[k] - 1) * width:
                     taken[n] = taken.get(n, 0) + 1
-            if not taken or len(taken) * 2 < len(set(p)):
-                break
-            free = capacity - sum(n * k for n, k in taken.items())
-            if free < 0:
-                break
+                    free -= n
             shelf.fill(taken, free)
+            if not taken:
+                break
             quota -= (t := shelf.take(taken, quota))
             found.append((taken, t))
-    rest(shelf, found)
-    return min(found, plain, key=lambda y: sum(t for _, t in y))
+    while shelf.sizes:
+        taken = {shelf.sizes[-1]: 1}
+        shelf.fill(taken, capacity - shelf.sizes[-1])
+        found.append((taken, shelf.take(taken, sum(counts.values()))))
+    return found
 
 
 def pack(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:

@@ -1,6 +1,7 @@
 """Each operator against a brute-force version on a small table with nulls, empty, long and repeated rows and clashing column names."""
 
 import base64
+import bisect
 import collections
 import hashlib
 import random
@@ -114,6 +115,40 @@ def test_packed_histograms():
                 used[n] += k * times
         assert used == counts
         assert sum(t for _, t in found) <= -(-sum(n * c for n, c in counts.items()) // 4096) * 1.03 + 1
+    assert packing.packed({}) == [] and sum(t for _, t in packing.packed({100: 5, 61: 7, 1: 3}, capacity=100)) == 12
+
+
+def test_configuration_program_meets_known_optima():
+    """Programs whose fractional optimum follows by hand; value and bound enclose it, two per cent apart."""
+    for counts, optimum in (({2500: 100}, 100), ({2500: 50, 1500: 70}, 60), ({4096: 3}, 3), ({1344: 9}, 3), ({3000: 8, 1000: 20}, 8 + 12 / 4), ({1300: 30, 2700: 10}, 10 + 20 / 3)):
+        value, bound, used = packing.configuration_program(*packing.classes_of(counts, 32, 128), 128)
+        assert bound <= optimum + 1e-9 <= value + 1e-6 and value <= 1.02 * bound
+        size, demand = packing.classes_of(counts, 32, 128)
+        cover = sum(x * np.bincount(p, minlength=len(size)) for p, x in used.items())
+        assert (cover >= demand - 1e-6).all() and all(sum(size[k] for k in p) <= 128 for p in used)
+
+
+def test_packing_needs_no_more_than_plain_best_fit():
+    """The program's sequences against best fit decreasing on exact lengths, and against the tokens."""
+    rng = random.Random(6)
+    for draw in (lambda: rng.randint(1, 4096), lambda: min(4096, int(rng.lognormvariate(6, 1.2)) + 1), lambda: rng.choice([900, 1500, 2100, 3000]) + rng.randint(0, 90)):
+        counts = collections.Counter(draw() for _ in range(6000))
+        tokens = -(-sum(n * c for n, c in counts.items()) // 4096)
+        used = sum(t for _, t in packing.packed(dict(counts)))
+        assert used >= tokens and used <= max(tokens + 2, 1.005 * best_fit_decreasing(counts))
+
+
+def best_fit_decreasing(counts):
+    rooms, opened = [], 0
+    for n in sorted(counts.elements(), reverse=True):
+        i = bisect.bisect_left(rooms, n)
+        if i < len(rooms):
+            left = rooms.pop(i) - n
+        else:
+            left, opened = 4096 - n, opened + 1
+        if left:
+            bisect.insort(rooms, left)
+    return opened
 
 
 def test_near_duplicates_equal_brute_force(docs, texts, empty):
