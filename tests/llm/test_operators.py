@@ -5,10 +5,12 @@ import bisect
 import collections
 import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import jaccard_join, media, merkle, mixing, packing, span_dedup, suffix_dedup, token_counts, toxicity, warc
@@ -254,6 +256,68 @@ def test_span_dedup_equals_brute_force(docs, texts, empty):
     assert span_dedup.span_dedup(empty).count() == 0
 
 
+def plain_fingerprint(text):
+    """The tree written out level by level, with cuts found by walking over lines."""
+    hashed = lambda x: xxhash.xxh3_64_hexdigest(x)
+    sections, lines = [[]], text.splitlines(keepends=True)
+    for i, line in enumerate(lines):
+        blank = line.endswith("\n") and not line[:-1].strip(" \t")
+        if i and lines[i - 1].endswith("\n") and (blank or line.lstrip("#").startswith(" ") and line.startswith("#")):
+            sections.append([])
+        sections[-1].append(line)
+    out = []
+    for s in sections:
+        paragraphs = []
+        for p in s:
+            found, sentence = [], ""
+            for m in re.finditer(r"[^.!?]*[.!?]+\s*|[^.!?]+", p):
+                sentence = m.group()
+                if sentence.count(" ") < 12 and len(sentence) <= 192:
+                    found.append(sentence)
+                    continue
+                part, n = "", 0
+                for w in re.findall(r"\S+\s*|\s+", sentence):
+                    part, n = part + w, n + 1
+                    if n == 24 or xxhash.xxh32_intdigest(w) % 12 == 0:
+                        found.append(part)
+                        part, n = "", 0
+                if part:
+                    found.append(part)
+            paragraphs.append((hashed(",".join(map(hashed, found))), [f"{hashed(x)}{len(x):x}" for x in found]))
+        out.append((hashed(",".join(h for h, _ in paragraphs)), paragraphs))
+    root = hashlib.sha256(",".join(h for h, _ in out).encode()).hexdigest()[:32]
+    return root + "/" + ";".join("|".join([h, *(",".join([k, *ls]) for k, ls in ps)]) for h, ps in out)
+
+
+def plain_rest(text, ranges):
+    gone = {i for a, b in ranges for i in range(a, b)}
+    return "".join(c for i, c in enumerate(text) if i not in gone)
+
+
+def test_merkle_comparison_is_ordered_and_locates_edits():
+    rng = random.Random(3)
+    parts = ["\n".join(prose(rng, 40) for _ in range(3)) + "\n" for _ in range(4)]
+    a = "\n".join(parts)
+    swapped = "\n".join([parts[1], parts[0], *parts[2:]])
+    assert merkle.likeness(merkle.fingerprint(a), merkle.fingerprint(a)) == 1.0 and merkle.edits(merkle.fingerprint(a), merkle.fingerprint(a)) == []
+    assert 0.3 < merkle.likeness(merkle.fingerprint(a), merkle.fingerprint(swapped)) < 0.95
+    for _ in range(40):
+        at = rng.randrange(len(a) - 40)
+        new = "".join(rng.choice("qx ") for _ in range(rng.randint(0, 30)))
+        b = a[:at] + new + a[at + 20 :]
+        found = merkle.edits(merkle.fingerprint(a), merkle.fingerprint(b))
+        assert found and found[0][0] <= at + 20 and found[-1][1] >= at and sum(q - p for p, q, _, _ in found) < len(a) / 3
+        assert plain_rest(a, [x[:2] for x in found]) == plain_rest(b, [x[2:] for x in found])
+        assert merkle.likeness(merkle.fingerprint(a), merkle.fingerprint(b)) > 0.7
+    assert merkle.likeness(merkle.fingerprint(a), merkle.fingerprint("zzz. " * 50)) == 0.0
+
+
+def test_merkle_of_repeated_and_null_ids(spark):
+    rows = [(1, "one"), (1, "two"), (None, "three"), (None, None), (2, "one"), (2, "one")]
+    got = merkle.fingerprints(spark.createDataFrame(rows, "doc_id long, text string").withColumn("fingerprint", F.lit(0))).collect()
+    assert sorted((str(r["doc_id"]), r["fingerprint"]) for r in got) == sorted((str(k), merkle.fingerprint(t or "")) for k, t in rows)
+
+
 def test_merkle_fingerprints(docs, texts, empty):
     got = {r["doc_id"]: r for r in merkle.fingerprints(docs).collect()}
     ids = sorted(texts, reverse=True)
@@ -264,7 +328,11 @@ def test_merkle_fingerprints(docs, texts, empty):
         r = got[k]
         assert r["n_chars"] == len(t) and r["edited_sha256"] == hashlib.sha256(e.encode()).hexdigest()
         assert r["fingerprint"] == merkle.fingerprint(t) and r["edited_fingerprint"] == merkle.fingerprint(e)
+        assert r["fingerprint"] == plain_fingerprint(t)
         assert r["near_edited"] == merkle.likeness(merkle.fingerprint(t), merkle.fingerprint(e)) and 0 <= r["near_next"] <= 1
+        same = plain_rest(t, [(x["start"], x["end"]) for x in r["edits"]]), plain_rest(e, [(x["edited_start"], x["edited_end"]) for x in r["edits"]])
+        assert same[0] == same[1] and (r["near_edited"] == 1.0) == (t == e)
+        assert r["near_edited"] == pytest.approx((len(same[0]) + len(same[1])) / (len(t) + len(e)) if t or e else 1.0)
     assert got[40]["fingerprint"] == got[11]["fingerprint"] != got[12]["fingerprint"]
     assert got[42]["fingerprint"] == got[43]["fingerprint"]
     assert merkle.likeness(got[21]["fingerprint"], got[41]["fingerprint"]) > 0.7
@@ -273,7 +341,7 @@ def test_merkle_fingerprints(docs, texts, empty):
 
 def test_blocks_of_neighbours_join_up(spark):
     table = spark.createDataFrame([(i * 7 % 101, f"text {i * 7 % 101}") for i in range(101)], "doc_id long, text string").repartition(3)
-    placed = merkle.with_next(table, block_rows=10)
+    placed = merkle.with_next(table, blocks=10)
     rows = collections.defaultdict(list)
     for r in placed.collect():
         rows[r["block"]].append((r["tail"], -r["doc_id"]))
