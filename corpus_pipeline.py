@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import jaccard_join, mixing, packing, span_dedup, toxicity
 from ledgerloom.llm.common import stored, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: Wanted shares of tokens, by what the labels table calls documents; no token of a toxic kind is asked for once more.
-WEIGHTS = {"good": 0.93, "poor": 0.07, "toxic": 0.0}
+#: Wanted shares of tokens, by the quality that the labels table gives documents that are not toxic.
+WEIGHTS = {"good": 0.93, "poor": 0.07}
 
 
 def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,19 +36,21 @@ def repeated_spans_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated by their fitted rates: the whole part, and once more if a hash of doc_id and text falls under the rest.
 
-    The budget is the least at which no wanted domain has to shrink, and each document stays at least once: mixing
-    adds copies of what is short and loses no clean document.
+    Rates are fitted under the bound that none is below 1, for the least budget at which no domain has to shrink: mixing
+    adds copies of what is short, meets its targets and loses no clean document.
     """
     rows = docs.select(*COLUMNS)
-    rated = mixing.mix(rows, table(spark, sf_dir, "labels"), WEIGHTS, budget="cover", carry=COLUMNS[1:])
+    domains = mixing.domain_labels(table(spark, sf_dir, "labels")).where(F.col("domain") < len(WEIGHTS))
+    rated = mixing.mix(rows, domains, WEIGHTS, budget="cover", least=1.0, carry=COLUMNS[1:])
     part = F.pmod(F.xxhash64("doc_id", "text", F.lit("mix")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    times = F.greatest(F.lit(1), F.floor(F.col("rate") + part).cast("int"))
-    return rated.withColumn("_n", times).withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*COLUMNS)
+    return rated.withColumn("_i", F.explode(F.sequence(F.lit(1), F.floor(F.col("rate") + part).cast("int")))).select(*COLUMNS)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents with their place in sequences of 4096 tokens."""
-    return packing.pack(stored(packing.pieces(docs), "pieces"))
+    """Pieces of the documents with their place in sequences of 4096 tokens; copy numbers the rows that mixing has repeated, from 0."""
+    found = packing.pack(stored(packing.pieces(docs), "pieces"))
+    same = Window.partitionBy("doc_id", "piece", "length", "ids_crc32").orderBy("sequence_id", "offset")
+    return found.withColumn("copy", F.row_number().over(same) - 1)
 
 
 STAGES = [

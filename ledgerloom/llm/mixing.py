@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator, Sequence
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -66,7 +67,7 @@ class Classifier:
         for i, t in enumerate(texts):
             c = cells_of(t)
             if len(c):
-                out[i] = self.word[c].mean(0) * (len(c) / (1 + len(c) / HALF_WORDS))
+                out[i] = self.word[c].mean(0, dtype=np.float64) * (len(c) / (1 + len(c) / HALF_WORDS))
         out += self.prior
         out = np.exp(out - out.max(1, keepdims=True))
         return out / out.sum(1, keepdims=True)
@@ -114,21 +115,31 @@ def memberships(docs: DataFrame, classifier: Classifier, doc_id: str = "doc_id",
     return out.select("doc_id", "n_tokens", "posteriors", *(F.col("rest")[c].alias(c) for c in carry))
 
 
-def rate(posteriors: Column, steps: list[list[float]]) -> Column:
-    """A document's rate after the steps: from 1, minus posterior * step, never below 0."""
-    start = F.lit(1.0)
+def rate(posteriors: Column, steps: list[list[float]], least: float = 0.0) -> Column:
+    """A document's rate after the steps: from max(1, least), minus posterior * step, never below `least`."""
+    start = F.lit(max(1.0, float(least)))
     if not steps:
         return start
     rows = F.array(*(F.array(*(F.lit(float(x)) for x in s)) for s in steps))
     dot = lambda s: F.aggregate(F.zip_with(posteriors, s, lambda p, x: p * x), F.lit(0.0), lambda a, x: a + x)
-    return F.aggregate(rows, start, lambda r, s: F.greatest(F.lit(0.0), r - dot(s)))
+    return F.aggregate(rows, start, lambda r, s: F.greatest(F.lit(float(least)), r - dot(s)))
 
 
-def fit_rates(members: DataFrame, weights: list[float], budget: float | str = "supply", rounds: int = 30, tolerance: float = 1e-6) -> tuple[list[list[float]], list[float]]:
-    """The steps for rate(), and the targets in tokens.
+class Fit(NamedTuple):
+    """Steps for rate(), targets in tokens, tokens reached, and whether they meet the targets."""
 
-    budget: tokens in all, "supply" for as many as there are, or "cover" for the least budget at which no domain is
-    wanted less than it is there, so that no document's rate needs to fall below 1.
+    steps: list[list[float]]
+    targets: list[float]
+    reached: list[float]
+    met: bool
+
+
+def fit_rates(members: DataFrame, weights: list[float], budget: float | str = "supply", least: float = 0.0, tolerance: float = 1e-6) -> Fit:
+    """Nonnegative rates, none below `least`, by projected-gradient least squares.
+
+    budget: tokens in all, "supply" for as many as there are, or "cover" for the least budget at which no wanted domain
+    has to shrink, so that no document's rate needs to fall below 1. The rounds end when the targets are met, or when
+    no step brings the squared gap down by half a per cent (the targets can't be met; `met` says so).
     """
     k = len(weights)
     share = np.array(weights, float) / sum(weights)
@@ -137,41 +148,49 @@ def fit_rates(members: DataFrame, weights: list[float], budget: float | str = "s
 
     def sums(steps: list[list[float]]) -> tuple[np.ndarray, np.ndarray]:
         r = F.col("r")
-        rows = members.withColumn("r", rate(F.col("posteriors"), steps))
-        on = F.when(r > 0, t).otherwise(0)
+        rows = members.withColumn("r", rate(F.col("posteriors"), steps, least))
+        on = F.when((r > least) | F.lit(not steps), t).otherwise(0)
         row = rows.agg(*(F.sum(r * t * x) for x in p), *(F.sum(on * p[i] * p[j]) for i in range(k) for j in range(k))).first()
         v = np.array([x or 0.0 for x in row])
         return v[:k], v[k:].reshape(k, k)
 
-    have, gram = sums([])
+    have, gram = whole = sums([])
     if budget == "supply":
         budget = float(have.sum())
     elif budget == "cover":
         budget = float((have[share > 0] / share[share > 0]).max())
     goal = share * budget
+    met = lambda x: bool(np.abs(x - goal).max() <= tolerance * max(budget, 1.0))
     steps: list[list[float]] = []
-    for _ in range(rounds):
-        miss = have - goal
-        if np.abs(miss).max() <= tolerance * max(budget, 1.0):
+    while not met(have):
+        # The gradient in the metric of the domains' overlap (the step that would close the gap were no rate to reach the bound), shorter if need be; else the plain gradient.
+        over = gram if np.trace(gram) > 0 else whole[1]
+        newton = np.linalg.solve(over + np.eye(k) * (1e-9 * np.trace(over) + 1e-12), have - goal)
+        plain = (have - goal) / max(float(np.linalg.eigvalsh(over)[-1]), 1e-12)
+        gap = float(((have - goal) ** 2).sum())
+        for step in (newton, newton / 4, newton / 32, 8 * plain, plain, plain / 8):
+            found = sums([*steps, step.tolist()])
+            if ((found[0] - goal) ** 2).sum() < 0.995 * gap:
+                break
+        else:
             break
-        # The gradient in the metric of the domains' overlap: the step that would close the gap were no rate to reach 0.
-        steps.append(np.linalg.solve(gram + np.eye(k) * (1e-9 * np.trace(gram) + 1e-12), miss).tolist())
-        have, gram = sums(steps)
-    return steps, goal.tolist()
+        steps.append(step.tolist())
+        have, gram = found
+    return Fit(steps, goal.tolist(), have.tolist(), met(have))
 
 
-def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float] = WEIGHTS, budget: float | str = "supply", max_labelled: int = MAX_LABELLED, carry: Sequence[str] = ()) -> DataFrame:
+def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float] = WEIGHTS, budget: float | str = "supply", least: float = 0.0, max_labelled: int = MAX_LABELLED, carry: Sequence[str] = ()) -> DataFrame:
     """(doc_id, n_tokens, posteriors, rate) of each row of docs (doc_id, text), and its columns named in carry.
 
-    weights: of each of DOMAINS. If documents of a domain don't exist at all its target can't be met and the rest of the
-    fit is as near as nonnegative rates allow. An empty table gives an empty one.
+    labelled: (doc_id, domain), domain being an index into weights. If documents of a domain don't exist at all its
+    target can't be met and the rest of the fit is as near as the rates allow. An empty table gives an empty one.
     """
-    classifier = fit_classifier(docs, domain_labels(labels), len(DOMAINS), max_labelled)
+    classifier = fit_classifier(docs, labelled, len(weights), max_labelled)
     members = stored(memberships(docs, classifier, carry=carry), "memberships")
-    steps, _ = fit_rates(members, [weights[d] for d in DOMAINS], budget)
-    return members.withColumn("rate", rate(F.col("posteriors"), steps))
+    fit = fit_rates(members, list(weights.values()), budget, least)
+    return members.withColumn("rate", rate(F.col("posteriors"), fit.steps, least))
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    mixed = mix(table(spark, sf_dir, "documents"), domain_labels(table(spark, sf_dir, "labels")))
     return mixed.select("doc_id", "n_tokens", *(F.col("posteriors")[i].alias(f"p_{d}") for i, d in enumerate(DOMAINS)), "rate")

@@ -1,8 +1,9 @@
 """Substring dedup by sliding sentence spans, and the query op4.
 
-Every run of consecutive sentences that just reaches `SPAN_WORDS` words, from each sentence on and back from
-each, is hashed. The first place of each hash over all documents (least doc_id, then least sentence) keeps its
-sentences; at every other place they are covered, and covered sentences go.
+Every run of at least two consecutive sentences that just reaches `SPAN_WORDS` words, from each sentence on and back
+from each, is hashed (128 bits, so that unequal runs don't meet: at 10^13 runs by a chance of 10^-13). A sentence of
+more than `UNIT_WORDS` words counts as several. The first place of each hash over all documents (least doc_id, then
+least sentence) keeps its sentences; at every other place they are covered, and covered sentences go.
 """
 
 from __future__ import annotations
@@ -20,40 +21,52 @@ from pyspark.sql import types as T
 
 from .common import only, small_batches, stored, table
 
-#: A run of sentences is a span once it has so many words (one very long sentence can be a run).
-SPAN_WORDS = 20
+#: A run of sentences is a span once it has so many words and sentences.
+SPAN_WORDS, SPAN_SENTENCES = 20, 2
+#: Words after which a longer sentence is cut into another one.
+UNIT_WORDS = 12
 
 SENTENCE = re.compile(r"[^.!?\n]*(?:[.!?]+\s*|\n\s*)|[^.!?\n]+")
+WORD = re.compile(r"\s*\S+\s*|\s+")
 
 
-def sentences(text: str) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Pieces that make up the text, the words of each and its hash without case and spacing; a piece without words belongs to the one before (at the start: to the next)."""
+def units(sentence: str) -> list[str]:
+    """A sentence, or the parts of one that has over twice UNIT_WORDS words."""
+    if len(sentence) < 4 * UNIT_WORDS or len(sentence.split()) <= 2 * UNIT_WORDS:
+        return [sentence]
+    ws = WORD.findall(sentence)
+    return ["".join(ws[i : i + UNIT_WORDS]) for i in range(0, len(ws), UNIT_WORDS)]
+
+
+def sentences(text: str) -> tuple[list[str], np.ndarray, bytes]:
+    """Pieces that make up the text, the words of each and its 16-byte hash without case and spacing, joined; a piece without words belongs to the one before (at the start: to the next)."""
     pieces: list[str] = []
     words: list[list[str]] = []
-    for p in SENTENCE.findall(text):
-        w = p.lower().split()
-        if pieces and (not w or not words[-1]):
-            pieces[-1] += p
-            words[-1] += w
-        else:
-            pieces.append(p)
-            words.append(w)
-    return pieces, np.array([len(w) for w in words], np.int64), np.array([xxhash.xxh3_64_intdigest(" ".join(w)) for w in words], np.uint64)
-
-
-def spans_of(words: np.ndarray, hashes: np.ndarray, least: int) -> list[tuple[int, int, int]]:
-    """(hash, first, end) of the shortest runs with at least `least` words from each sentence on and back from each."""
+    for sentence in SENTENCE.findall(text):
+        for p in units(sentence):
+            w = p.lower().split()
+            if pieces and (not w or not words[-1]):
+                pieces[-1] += p
+                words[-1] += w
+            else:
+                pieces.append(p)
+                words.append(w)
+    return pieces, np.array([len(w) for w in words], np.int64), b"".join([xxhash.xxh3_128_digest(" ".join(w)) for w in words])
+
+
+def spans_of(words: np.ndarray, hashes: bytes, least: int, sentences_: int = SPAN_SENTENCES) -> tuple[np.ndarray, np.ndarray]:
+    """(hash as two numbers, a row each; first and end, a row each) of the shortest runs with at least `least` words and `sentences_` sentences from each sentence on and back from each."""
     total = np.concatenate([[0], np.cumsum(words)])
     n = len(words)
     first = np.arange(n)
-    end = np.searchsorted(total, total[:-1] + least, "left")
+    end = np.maximum(np.searchsorted(total, total[:-1] + least, "left"), first + sentences_)
     on = end <= n
     last = np.arange(1, n + 1)
-    begin = np.searchsorted(total, total[1:] - least, "right") - 1
+    begin = np.minimum(np.searchsorted(total, total[1:] - least, "right") - 1, last - sentences_)
     back = begin >= 0
     pairs = np.unique(np.concatenate([np.stack([first[on], end[on]]), np.stack([begin[back], last[back]])], 1), axis=1)
-    data = hashes.tobytes()
-    return [(xxhash.xxh3_64_intdigest(data[8 * i : 8 * j]) - (1 << 63), i, j) for i, j in pairs.T.tolist()]
+    digests = b"".join([xxhash.xxh3_128_digest(hashes[16 * i : 16 * j]) for i, j in pairs.T.tolist()])
+    return np.frombuffer(digests, "<i8").reshape(-1, 2), pairs.T
 
 
 def span_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", span_words: int = SPAN_WORDS, carry: Sequence[str] = ()) -> DataFrame:
@@ -69,27 +82,27 @@ def span_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", span
     kind = docs.schema[doc_id].dataType.simpleString()
     rest = F.struct(*(F.col(c) for c in carry)) if carry else F.struct(F.lit(0))
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), rest.alias("rest"))
-    rows = rows.select("doc_id", F.hash("text").alias("version"), "text", "rest")
+    rows = rows.select("doc_id", F.xxhash64("text").alias("version"), "text", "rest")
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only("span_dedup")
         for b in batches:
-            at, cols = [], [[], [], []]
+            at, keys, places = [], [np.zeros((0, 2), np.int64)], [np.zeros((0, 2), np.int64)]
             for k, t in enumerate(b.column(2).to_pylist()):
                 _, words, hashes = sentences(t)
                 if words.sum() >= span_words:
-                    for h, i, j in spans_of(words, hashes, span_words):
-                        at.append(k)
-                        cols[0].append(h)
-                        cols[1].append(i)
-                        cols[2].append(j)
-            k = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(k), b.column(1).take(k), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int32())], names=["doc_id", "version", "hash", "first", "end"])
-
-    spans = rows.drop("rest").mapInArrow(find, f"doc_id {kind}, version int, hash long, first int, end int")
-    places = spans.groupBy("hash").agg(F.min(F.struct("doc_id", "first")).alias("keep"), F.max(F.struct("doc_id", "first")).alias("m")).where("keep != m or (keep is null) != (m is null)").select("hash", "keep")
+                    h, p = spans_of(words, hashes, span_words)
+                    at.append(np.full(len(h), k))
+                    keys.append(h)
+                    places.append(p)
+            k = pa.array(np.concatenate(at) if at else np.zeros(0, np.int64), pa.int64())
+            h, p = np.concatenate(keys), np.concatenate(places).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(k), b.column(1).take(k), *(pa.array(np.ascontiguousarray(x)) for x in (h[:, 0], h[:, 1], p[:, 0], p[:, 1]))], names=["doc_id", "version", "hash", "more", "first", "end"])
+
+    spans = rows.drop("rest").mapInArrow(find, f"doc_id {kind}, version long, hash long, more long, first int, end int")
+    places = spans.groupBy("hash", "more").agg(F.min(F.struct("doc_id", "first")).alias("keep"), F.max(F.struct("doc_id", "first")).alias("m")).where("keep != m or (keep is null) != (m is null)").select("hash", "more", "keep")
     places = stored(places, "places")  # so that the join has plain shuffles on both sides, of which Spark splits the hot partitions
-    later = spans.join(places.hint("merge"), "hash").where(~F.struct("doc_id", "first").eqNullSafe(F.col("keep")))
+    later = spans.join(places.hint("merge"), ["hash", "more"]).where(~F.struct("doc_id", "first").eqNullSafe(F.col("keep")))
     covered = later.groupBy("doc_id", "version").agg(F.collect_set(F.struct("first", "end")).alias("covered"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,7 +127,7 @@ def span_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", span
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(c[0], pa.string()), pa.array(c[1], pa.string()), pa.array(c[2], pa.int64()), pa.array(c[3], pa.int64()), b.column(3)], names=["doc_id", "text", "kept", "n_sentences", "n_removed", "rest"])
 
     passed = T.StructType([T.StructField("rest", rows.schema["rest"].dataType)])
-    bodies = rows.mapInArrow(pack, T.StructType(T.StructType.fromDDL(f"doc_id {kind}, version int, body binary").fields + passed.fields)).alias("d")
+    bodies = rows.mapInArrow(pack, T.StructType(T.StructType.fromDDL(f"doc_id {kind}, version long, body binary").fields + passed.fields)).alias("d")
     met = bodies.join(covered.alias("c").hint("merge"), F.expr("d.doc_id <=> c.doc_id and d.version = c.version"), "left").select("d.doc_id", "d.body", "c.covered", "d.rest")
     out = met.mapInArrow(cut, T.StructType(T.StructType.fromDDL(f"doc_id {kind}, text string, kept string, n_sentences long, n_removed long").fields + passed.fields))
     return out.select("doc_id", "text", "kept", "n_sentences", "n_removed", *(F.col("rest")[c].alias(c) for c in carry))

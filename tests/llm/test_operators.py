@@ -233,29 +233,76 @@ def test_sorted_bucket_is_the_suffix_order():
     assert {(a - b) % 32 for a in cover for b in cover} == set(range(32))
 
 
-def test_span_dedup_equals_brute_force(docs, texts, empty):
+def plain_sentences(text):
+    """Sentence by sentence, character by character; long ones in parts of 12 words; parts without words go to a neighbour."""
+    cut, at = [], 0
+    while at < len(text):
+        end = at
+        while end < len(text) and text[end] not in ".!?\n":
+            end += 1
+        if end < len(text) and text[end] == "\n":
+            end += 1
+        else:
+            while end < len(text) and text[end] in ".!?":
+                end += 1
+        while end < len(text) and text[end].isspace() and text[end - 1] not in "x" and (text[at:end].strip(" ")[-1:] in (".", "!", "?", "\n", "") or text[end - 1].isspace()):
+            end += 1
+        cut.append(text[at:end])
+        at = end
+    parts = []
+    for s in cut:
+        ws = re.findall(r"\s*\S+\s*", s) if s.strip() else [s]
+        parts += [s] if len(ws) <= 24 else ["".join(ws[i : i + 12]) for i in range(0, len(ws), 12)]
+    out = []
+    for p in parts:
+        if out and (not p.strip() or not out[-1].strip()):
+            out[-1] += p
+        else:
+            out.append(p)
+    return out
+
+
+def plain_dedup(texts):
+    """What stays of each text, by dictionaries over the words of runs."""
     first, info = {}, {}
     for k in sorted(texts):
-        pieces, words, hashes = span_dedup.sentences(texts[k] or "")
-        assert "".join(pieces) == (texts[k] or "")
+        pieces = plain_sentences(texts[k] or "")
+        keys = [tuple(p.lower().split()) for p in pieces]
         spans = []
         for i in range(len(pieces)):
-            for ends in ([(i, j) for j in range(i + 1, len(pieces) + 1)], [(j, i + 1) for j in range(i, -1, -1)]):
-                hit = next((e for e in ends if words[e[0] : e[1]].sum() >= 20), None)
+            for ends in ([(i, j) for j in range(i + 2, len(pieces) + 1)], [(j, i + 1) for j in range(i - 1, -1, -1)]):
+                hit = next((e for e in ends if sum(map(len, keys[e[0] : e[1]])) >= 20), None)
                 if hit:
-                    spans.append((tuple(hashes[hit[0] : hit[1]]), *hit))
+                    spans.append((tuple(keys[hit[0] : hit[1]]), *hit))
         info[k] = pieces, spans
         for key, i, _ in spans:
             first[key] = min(first.get(key, (k, i)), (k, i))
-    for r in span_dedup.span_dedup(docs, carry=["lang"]).collect():
-        pieces, spans = info[r["doc_id"]]
-        off = {x for key, i, j in spans if first[key] != (r["doc_id"], i) for x in range(i, j)}
-        assert r["kept"] == "".join(p for n, p in enumerate(pieces) if n not in off)
-        assert r["n_removed"] == len(off) and r["lang"] == "en"
-    assert info[9][1] and info[40][1]
+    out = {}
+    for k, (pieces, spans) in info.items():
+        off = {x for key, i, j in spans if first[key] != (k, i) for x in range(i, j)}
+        out[k] = "".join(p for n, p in enumerate(pieces) if n not in off), len(pieces), len(off)
+    return out
+
+
+def test_span_dedup_equals_brute_force(docs, texts, empty):
+    for t in texts.values():
+        assert span_dedup.sentences(t or "")[0] == plain_sentences(t or "") and "".join(plain_sentences(t or "")) == (t or "")
+    wanted = plain_dedup(texts)
+    got = {r["doc_id"]: (r["kept"], r["n_sentences"], r["n_removed"]) for r in span_dedup.span_dedup(docs, carry=["lang"]).collect()}
+    assert got == wanted and wanted[9][2] and wanted[40][2]
     assert span_dedup.span_dedup(empty).count() == 0
 
 
+def test_span_dedup_of_repeated_and_null_ids(spark):
+    rng = random.Random(2)
+    a, b, c = (". ".join(prose(rng, 12).replace(".", "").replace("\n", " ") for _ in range(4)) + "." for _ in range(3))
+    rows = [(None, a), (1, a), (1, a), (1, b), (2, b), (2, None), (None, None), (3, c + " " + c), (3, "")]
+    got = span_dedup.span_dedup(spark.createDataFrame(rows, "doc_id long, text string").withColumn("kept", F.lit(1)), carry=["kept"]).toDF("doc_id", "text", "left", "n_sentences", "n_removed", "kept").collect()
+    left = sorted((str(r["doc_id"]), r["text"], r["left"]) for r in got)
+    # a row without doc_id is before all others; rows that repeat doc_id and text are one document to each other
+    assert left == sorted([("None", a, a), ("1", a, ""), ("1", a, ""), ("1", b, b), ("2", b, ""), ("2", "", ""), ("None", "", ""), ("3", c + " " + c, c + " "), ("3", "", "")])
+
+
 def plain_fingerprint(text):
     """The tree written out level by level, with cuts found by walking over lines."""
     hashed = lambda x: xxhash.xxh3_64_hexdigest(x)
@@ -480,12 +527,53 @@ def test_toxicity_of_odd_rows(spark, docs, texts, empty):
 def test_mixing_meets_its_targets(spark, docs, empty):
     rng = random.Random(9)
     rows = [(i, prose(rng, 50) + (" qqq zzz" * 5 if i % 3 == 0 else "") + (" bad bad" * 5 if i % 5 == 0 else "")) for i in range(120)]
-    table = spark.createDataFrame(rows + [(900, None), (901, "")], "doc_id long, text string")
-    labels = spark.createDataFrame([(i, int(i % 3 != 0), int(i % 5 == 0)) for i in range(0, 120, 2)] + [(None, 1, 1), (7, None, 1)], "doc_id long, quality int, toxic int")
-    got = mixing.mix(table, labels, {"good": 0.5, "poor": 0.3, "toxic": 0.2}).collect()
+    table = spark.createDataFrame(rows + [(900, None), (901, "")] + rows[:3], "doc_id long, text string")
+    labels = mixing.domain_labels(spark.createDataFrame([(i, int(i % 3 != 0), int(i % 5 == 0)) for i in range(0, 120, 2)] + [(None, 1, 1), (7, None, 1)], "doc_id long, quality int, toxic int"))
+    wanted = {"good": 0.5, "poor": 0.3, "toxic": 0.2}
+    got = mixing.mix(table, labels, wanted).collect()
     total = sum(r["n_tokens"] for r in got)
-    for k, w in enumerate((0.5, 0.3, 0.2)):
+    for k, w in enumerate(wanted.values()):
         assert sum(r["rate"] * r["n_tokens"] * r["posteriors"][k] for r in got) == pytest.approx(w * total, rel=1e-3)
-    assert min(r["rate"] for r in got) >= 0 and all(abs(sum(r["posteriors"]) - 1) < 1e-9 for r in got)
+    assert len(got) == 125 and min(r["rate"] for r in got) >= 0 and all(abs(sum(r["posteriors"]) - 1) < 1e-9 for r in got)
+    up = mixing.mix(table, labels, wanted, budget="cover", least=1.0).collect()
+    share = np.array([sum(r["rate"] * r["n_tokens"] * r["posteriors"][k] for r in up) for k in range(3)])
+    assert min(r["rate"] for r in up) >= 1 and share / share.sum() == pytest.approx([0.5, 0.3, 0.2], rel=1e-3)
     assert mixing.mix(empty, labels).count() == 0
     assert mixing.mix(table.where("doc_id >= 900"), labels.where("false")).count() == 2
+
+
+def test_mixing_classifier_is_naive_bayes(spark, docs, texts):
+    """Posteriors against the formula over dictionaries."""
+    labels = {i: i % 3 for i in range(0, 40, 2)}
+    marks = spark.createDataFrame(list(labels.items()), "doc_id long, domain int")
+    found = mixing.fit_classifier(docs, marks, 3)
+    cell = lambda w: zlib.crc32(w.encode()) % mixing.CELLS
+    words = lambda t: re.findall(r"\w+", (t or "").lower())
+    counts = [collections.Counter(cell(w) for i, d in labels.items() if d == k for w in words(texts[i])) for k in range(3)]
+    n = [sum(c.values()) for c in counts]
+    docs_of = [sum(d == k for d in labels.values()) for k in range(3)]
+    for i in (1, 3, 11, 41, 47):
+        ws = words(texts[i])
+        z = []
+        for k in range(3):
+            z.append(np.log((docs_of[k] + 1) / (sum(docs_of) + 3)))
+            e = [np.log((counts[k][cell(w)] + 200 * (sum(c[cell(w)] for c in counts) + 1) / (sum(n) + mixing.CELLS) * mixing.CELLS / 1000) / (n[k] + 200 * mixing.CELLS / 1000)) for w in ws]
+            z[-1] += sum(e) / len(ws) * len(ws) / (1 + len(ws) / mixing.HALF_WORDS)
+        p = np.exp(np.array(z) - max(z))
+        assert found.posteriors([texts[i]])[0] == pytest.approx(p / p.sum(), abs=1e-4)
+
+
+def test_mixing_rates_are_the_least_squares_solution(spark):
+    """Against projected gradient descent in plain numpy; targets that can't be met are said to be unmet."""
+    rng = np.random.default_rng(4)
+    p = rng.dirichlet([0.4, 0.4, 0.4], 60)
+    t = rng.integers(1, 50, 60)
+    members = spark.createDataFrame([(i, int(n), x.tolist()) for i, (n, x) in enumerate(zip(t, p))], "doc_id long, n_tokens long, posteriors array<double>")
+    fit = mixing.fit_rates(members, [0.1, 0.2, 0.7])
+    assert fit.met and fit.reached == pytest.approx(fit.targets, rel=1e-4) and fit.targets == pytest.approx([0.1 * t.sum(), 0.2 * t.sum(), 0.7 * t.sum()])
+    bound = mixing.fit_rates(members, [0.0, 0.2, 0.8], least=1.0)
+    goal = np.array(bound.targets)
+    r, a = np.ones(60), p * t[:, None]
+    for _ in range(200_000):
+        r = np.maximum(1.0, r - a @ (r @ a - goal) / (a**2).sum())
+    assert not bound.met and ((np.array(bound.reached) - goal) ** 2).sum() <= 1.1 * ((r @ a - goal) ** 2).sum() + 1e-6

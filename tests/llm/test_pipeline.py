@@ -1,9 +1,11 @@
 """The pipeline's stages on a small corpus, and its effects on planted cases."""
 
+import collections
 import random
 
 import corpus_pipeline
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.test_operators import prose
 
@@ -44,6 +46,33 @@ def test_stages(spark, corpus):
     assert holders == [min(x for x in (10, 20, 30) if x in deduped)]
     assert {r["doc_id"] for r in kept["mixing"]} == {r["doc_id"] for r in kept["substring_dedup"]}
     assert {r["doc_id"] for r in kept["best_fit_packing"]} == {r["doc_id"] for r in kept["mixing"]}
+    pieces = [(r["doc_id"], r["piece"], r["copy"]) for r in kept["best_fit_packing"]]
+    copies = collections.Counter(r["doc_id"] for r in kept["mixing"])
+    assert len(pieces) == len(set(pieces)) and {(k, c) for k, _, c in pieces} == {(k, c) for k, n in copies.items() for c in range(n)}
+
+
+def test_mixing_stage_meets_its_weights(spark, corpus):
+    """Expected tokens by the rates of the stage, none of them under 1, against the weights."""
+    d, _ = corpus
+    docs, labels = (spark.read.parquet(f"{d}/{x}.parquet") for x in ("documents", "labels"))
+    domains = corpus_pipeline.mixing.domain_labels(labels).where("domain < 2")
+    rated = corpus_pipeline.mixing.mix(docs, domains, corpus_pipeline.WEIGHTS, budget="cover", least=1.0).collect()
+    tokens = [sum(r["rate"] * r["n_tokens"] * r["posteriors"][k] for r in rated) for k in range(2)]
+    assert min(r["rate"] for r in rated) >= 1 and [x / sum(tokens) for x in tokens] == pytest.approx([0.93, 0.07], abs=1e-4)
+
+
+def test_stages_take_odd_rows(spark, corpus):
+    """Repeated rows, a doc_id with two texts, no doc_id, very long texts, columns with clashing names."""
+    d, _ = corpus
+    rng = random.Random(4)
+    docs = spark.read.parquet(f"{d}/documents.parquet").where("doc_id between 1 and 12")
+    more = spark.createDataFrame([(1, prose(rng, 60), "en", "s", 0), (None, prose(rng, 50), None, None, None), (99, prose(rng, 9000), "en", "s", 1)], docs.schema)
+    docs = docs.unionByName(docs).unionByName(more).withColumns({"rate": F.lit("x"), "score": F.lit(1), "class_id": F.lit(None).cast("int"), "copy": F.lit(7), "key": F.lit(2)})
+    for name, stage in corpus_pipeline.STAGES:
+        out = corpus_pipeline.stored(stage(spark, docs, d), "odd")
+        ids = {r["doc_id"] for r in out.select("doc_id").distinct().collect()}
+        assert {1, 99, None} <= ids, name
+        docs = out.withColumns({"rate": F.lit("x"), "score": F.lit(1), "copy": F.lit(7), "key": F.lit(2)})
 
 
 def test_run_on_empty_tables(spark, corpus, tmp_path):
