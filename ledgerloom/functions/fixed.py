@@ -38,7 +38,7 @@ MERCHANT_ALIASES = {
 }
 
 # Words of a merchant text that say nothing about it.
-MERCHANT_NOISE = "pos harcama i̇şyeri isyeri işyeri ref referans terminal tutar tl try kart provizyon onay taksit".split()
+MERCHANT_NOISE = ["pos", "harcama", "i̇şyeri", "isyeri", "işyeri", "ref", "referans", "terminal", "tutar", "tl", "try", "kart", "provizyon", "onay", "taksit"]
 
 # The taxonomy in its order: category, label, subcategory, patterns (each between word bounds).
 TAXONOMY = [
@@ -62,6 +62,28 @@ TAXONOMY = [
     ("payment", "Kart Ödemesi", "card_payment", ["kart ödeme", "kart odeme", "ödemeniz için teşekkür", "odemeniz icin tesekkur"]),
     ("other", "Diğer", "uncategorized", []),
 ]
+# Examples of each subcategory.
+EXAMPLES = {
+    "flight_transport": ["PEGASUS", "TURKISH AIRLINES", "THY", "WIZZ AIR", "SUNEXPRESS", "AJET", "OBILET.COM", "ENUYGUN", "uçak bileti", "otobüs bileti"],
+    "delivery_restaurant": ["TRENDYOL YEMEK", "YEMEKSEPETI", "GETIR YEMEK", "MIGROS YEMEK", "STARBUCKS", "MCDONALDS", "BURGER KING", "DOMINOS", "KFC", "RESTAURANT", "CAFE"],
+    "supermarket": ["MIGROS", "BIM", "A101", "SOK", "CARREFOURSA", "MACROCENTER", "METRO MARKET", "FILE", "HAKMAR", "TARImkredI KOOP", "GETIR", "BANABI"],
+    "gas_station": ["SHELL", "BP", "OPET", "PETROL OFISI", "TOTAL", "AYTEMIZ", "LUKOIL", "MOIL", "akaryakit"],
+    "ride_hailing_transit": ["UBER", "BITAKSI", "MARTI", "IETT", "METRO ISTANBUL", "ISTANBULKART", "HGS", "OGS", "OTOPARK", "ISPARK"],
+    "pharmacy_medical": ["ECZANE", "HASTANE", "ACIBADEM", "MEDICAL PARK", "MLP CARE", "MEMORIAL", "LABORATUVAR", "DIS KLINIGI"],
+    "apparel": ["LC WAIKIKI", "ZARA", "H&M", "KOTON", "DEFACTO", "MAVI", "BOYNER", "PULL&BEAR", "BERSHKA", "DECATHLON"],
+    "gaming_digital": ["PLAYSTATION", "STEAM", "NETFLIX", "SPOTIFY", "BLUTV", "EXXEN", "DISNEY PLUS", "YOUTUBE PREMIUM"],
+    "mobile_internet": ["TURKCELL", "VODAFONE", "TURK TELEKOM", "TURKNET", "SUPERONLINE", "MILLENICOM"],
+    "digital_subscription": ["ICLOUD", "GOOGLE ONE", "GOOGLE STORAGE", "MICROSOFT 365", "ADOBE", "AMAZON PRIME", "LINKEDIN PREMIUM"],
+    "electronics": ["MEDIA MARKT", "MEDIAMARKT", "TEKNOSA", "VATAN BILGISAYAR", "APPLE STORE"],
+    "marketplace_retail": ["AMAZON", "TRENDYOL", "HEPSIBURADA", "N11", "CICEKSEPETI", "BKMKITAP", "KITAP"],
+    "hotel_stay": ["HOTEL", "OTEL", "BOOKING", "AIRBNB", "KONAKLAMA"],
+    "education_course": ["UNIVERSITE", "UDEMY", "KURS", "DIL OKULU", "OKUL TAKSIT"],
+    "insurance_premium": ["SIGORTA", "KASKO", "DASK", "BES", "TRAFIK SIGORTASI"],
+    "tax_public_payment": ["VERGI DAIRESI", "SGK", "ELEKTRIK FATURASI", "SU FATURASI", "DOGALGAZ", "IGDAS"],
+    "banking_fee_atm": ["ATM NAKIT CEKME", "PARA CEKME", "HAVALE", "EFT", "FAST", "KOMISYON", "HESAP ISLETIM UCRETI", "FAIZ"],
+    "card_payment": ["KART ODEMESI", "ODEMENIZ ICIN TESEKKUR EDERIZ"],
+    "uncategorized": ["OTHER"],
+}
 INCOME = ("income_or_refund", "Gelir ve İade")
 
 # Flags of a transaction and what each adds to its anomaly score, with the words of the message.
@@ -112,4 +134,6 @@ VARIANTS = {
     "camera_photo": [("normalized_original", "color_preservation", True, ["normalize_original"]), ("enhanced_grayscale", "primary_ocr", True, ["grayscale", "deskew", "contrast_enhancement"]), ("thresholded", "secondary_ocr", True, ["grayscale", "deskew", "contrast_enhancement", "adaptive_threshold", "small_noise_removal"])],
     "scanned_pdf": [("rendered_original", "fallback_ocr", True, ["rendered_original"]), ("enhanced_grayscale", "primary_ocr", True, ["grayscale", "deskew", "contrast_enhancement"]), ("thresholded", "secondary_ocr", True, ["grayscale", "deskew", "contrast_enhancement", "adaptive_threshold", "small_noise_removal"])],
 }
+NATIVE_OPERATIONS = ["preserve_original_pdf", "skip_image_rendering", "skip_ocr"]
+PREVIEW = ("page_preview", "debug_preview", False, ["grayscale_preview", "light_contrast_enhancement"])
 MAX_VARIANTS = 4

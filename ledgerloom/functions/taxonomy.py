@@ -8,19 +8,38 @@ from pyspark.sql import functions as F
 from . import fixed
 
 
+def folded(text: Column) -> Column:
+    """Lower case with one form of i, s and k each, so that patterns need no look at case."""
+    return F.lower(F.translate(text, "İıſ\u212a", "iisk"))
+
+
 def pattern(words: list[str]) -> str | None:
-    """One pattern for all of a subcategory's, each between word bounds, without case."""
-    return r"(?iuU)\b(?:" + "|".join(words) + r")\b" if words else None
+    """One pattern for all of a subcategory's, each between word bounds, for folded text."""
+    return r"(?U)\b(?:" + "|".join(words).replace("ı", "i") + r")\b" if words else None
 
 
 def rule(text: Column) -> Column:
     """struct(category, subcategory, confidence, method) of the first subcategory, in taxonomy order, with a pattern in text; null without one."""
-    out = None
-    for c, _, sub, words in fixed.TAXONOMY:
-        if words:
-            hit = F.struct(F.lit(c).alias("category"), F.lit(sub).alias("subcategory"), F.lit(0.94).alias("confidence"), F.lit("rule").alias("method"))
-            out = F.when(text.rlike(pattern(words)), hit) if out is None else out.when(text.rlike(pattern(words)), hit)
-    return out
+
+    def first(low: Column) -> Column:
+        out = None
+        for c, _, sub, words in fixed.TAXONOMY:
+            if words:
+                hit = F.struct(F.lit(c).alias("category"), F.lit(sub).alias("subcategory"), F.lit(0.94).alias("confidence"), F.lit("rule").alias("method"))
+                out = F.when(low.rlike(pattern(words)), hit) if out is None else out.when(low.rlike(pattern(words)), hit)
+        return out
+
+    return F.transform(F.array(folded(text)), first)[0]  # bound by transform: the text is folded once
+
+
+def allowed_categories() -> list[str]:
+    """Categories in the taxonomy's order, each once."""
+    return list(dict.fromkeys(c for c, *_ in fixed.TAXONOMY))
+
+
+def reference_texts() -> list[tuple[str, str, str]]:
+    """(category, subcategory, text): what a classifier by similarity embeds for each subcategory."""
+    return [(c, sub, f"category={c}; subcategory={sub}; examples={', '.join(fixed.EXAMPLES[sub])}") for c, _, sub, _ in fixed.TAXONOMY]
 
 
 def label(category: Column) -> Column:

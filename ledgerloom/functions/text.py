@@ -59,22 +59,40 @@ def without_artifacts(c: Column) -> Column:
     return collapse(c)
 
 
-def for_matching(c: Column) -> Column:
-    """Lower case, dotless i as i, no-break space as space. (Compatibility forms: see nfkc.)"""
-    return F.translate(F.lower(c), "ı ", "i ")
-
-
-def nfkc():
-    """A UDF that composes compatibility characters; for texts that have any."""
+@cache
+def compatibility_forms() -> tuple[str, str, str]:
+    """What NFKC changes, by rule from Unicode's tables: a pattern of the sequences (a character, or a letter and a combining mark), `from\x02to\x01...` for str_to_map, and a cheap pattern that any such text meets."""
+    import sys
     import unicodedata
 
-    import pandas as pd
+    nfkc = lambda x: unicodedata.normalize("NFKC", x)
+    known = [c for c in map(chr, range(0xA0, sys.maxunicode + 1)) if unicodedata.category(c) not in ("Cs", "Cn", "Co")]
+    single = [c for c in known if unicodedata.decomposition(c).startswith("<") and nfkc(c) != c]
+    pairs = {unicodedata.normalize("NFD", c) for c in known if not unicodedata.decomposition(c).startswith("<")}
+    pairs = sorted(p for p in pairs if len(p) == 2 and 0x300 <= ord(p[1]) <= 0x36F and len(nfkc(p)) == 1)
+    ranges, codes = [], sorted(map(ord, single))
+    for c in codes:
+        if ranges and ranges[-1][1] == c - 1:
+            ranges[-1][1] = c
+        else:
+            ranges.append([c, c])
+    spelled = "".join(rf"\x{{{x:X}}}-\x{{{y:X}}}" if x < y else rf"\x{{{x:X}}}" for x, y in ranges)
+    few = "".join(c for c in single if ord(c) < 0x180)
+    return rf"(?:[{spelled}]|.[\u0300-\u036f])", "\x01".join(f"{x}\x02{nfkc(x)}" for x in [*single, *pairs]), rf"[{few}]|[^\x00-\u017f]"
+
+
+def composed(c: Column) -> Column:
+    """c in NFKC: compatibility characters (full-width letters, ligatures) by their plain ones, a letter and its mark as one character. Texts without any stay untouched."""
+    pattern, table, rare = compatibility_forms()
+    forms = F.str_to_map(F.lit(table), F.lit("\x01"), F.lit("\x02"))  # a constant of the plan
+    parts = F.transform(F.regexp_extract_all(c, F.lit(f"(?s){pattern}|."), F.lit(0)), lambda x: F.coalesce(F.try_element_at(forms, x), x))
+    # what may be such a character is cheap to see; Latin letters are not
+    return F.when(c.rlike(rare) & c.rlike(pattern), F.array_join(parts, "")).otherwise(c)
 
-    @F.pandas_udf("string")
-    def compose(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
 
-    return compose
+def for_matching(c: Column) -> Column:
+    """Lower case, dotless i as i, no-break space as space, compatibility forms composed."""
+    return composed(F.translate(F.lower(c), "ı\u00a0", "i "))
 
 
 def contains_any(c: Column, words: list[str]) -> Column:
@@ -157,10 +175,17 @@ def find_money(c: Column) -> Column:
     raws = F.regexp_extract_all(c, F.lit(pattern), F.lit(0))
 
     def one(raw: Column) -> Column:
-        before, amount, after = (F.regexp_extract(raw, pattern, i) for i in (1, 2, 3))
-        return F.struct(raw.alias("raw"), money_number(amount).alias("amount"), F.coalesce(currency(F.nullif(before, F.lit(""))), currency(F.nullif(after, F.lit("")))).alias("currency"))
+        # the groups, parted by a character that no amount holds, in one match
+        parts = F.split(F.regexp_replace(raw, pattern, "$1\x01$2\x01$3"), "\x01")
+        return F.transform(F.array(parts), lambda p: F.struct(raw.alias("raw"), money_number(p[1]).alias("amount"), F.coalesce(currency(F.nullif(p[0], F.lit(""))), currency(F.nullif(p[2], F.lit("")))).alias("currency")))[0]
 
-    return F.transform(raws, one)
+    # a line without digits before two decimals has no amount: that is cheap to see
+    return F.when(has_amount(c), F.transform(raws, one)).otherwise(F.array().cast("array<struct<raw:string,amount:double,currency:string>>"))
+
+
+def has_amount(c: Column) -> Column:
+    """Whether find_money() finds any: currencies around an amount are optional."""
+    return F.coalesce(c.rlike(fixed.AMOUNT), F.lit(False))
 
 
 def find_installment(c: Column) -> Column:
@@ -179,11 +204,16 @@ def find_installment(c: Column) -> Column:
 
 
 def direction(c: Column) -> Column:
-    return F.when(contains_any(for_matching(c), fixed.CREDIT_WORDS), "credit").otherwise("debit")
+    return F.when(matching_any(c, fixed.CREDIT_WORDS), "credit").otherwise("debit")
 
 
 def is_noise(c: Column) -> Column:
-    return contains_any(for_matching(c), fixed.NOISE_WORDS)
+    return matching_any(c, fixed.NOISE_WORDS)
+
+
+def matching_any(c: Column, words: list[str]) -> Column:
+    # bound by transform: the text is prepared once for all words
+    return F.transform(F.array(for_matching(c)), lambda x: contains_any(x, words))[0]
 
 
 def strip_edges(c: Column) -> Column:
@@ -218,7 +248,10 @@ def merchant_text(c: Column) -> Column:
 
 
 def intent(c: Column) -> Column:
-    low, out = F.lower(c), None
-    for name, words in fixed.INTENTS:
-        out = F.when(contains_any(low, words), name) if out is None else out.when(contains_any(low, words), name)
-    return out.otherwise("general_statement_question")
+    def first(low: Column) -> Column:
+        out = None
+        for name, words in fixed.INTENTS:
+            out = F.when(contains_any(low, words), name) if out is None else out.when(contains_any(low, words), name)
+        return out.otherwise("general_statement_question")
+
+    return F.transform(F.array(F.lower(c)), first)[0]

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -28,6 +27,23 @@ def features(txn: DataFrame) -> DataFrame:
     })
 
 
+def with_ids(txn: DataFrame, role: str) -> DataFrame:
+    """txn with a transaction_id in each row: its own, else txn_ and 16 digits of the SHA-256 of role, place in the document (by seq, from 0) and fields, so that history and current rows without identifiers don't meet."""
+    own = F.nullif(F.col("transaction_id"), F.lit("")) if "transaction_id" in txn.columns else F.lit(None).cast("string")
+    place = F.row_number().over(per_document().orderBy("seq")) - 1
+    amount = F.regexp_replace(F.col("amount").cast("decimal(18,2)").cast("string"), r"(\.\d)0$", "$1")
+    fields = (F.lit(role), place.cast("string"), F.col("txn_date").cast("string"), F.col("description"), amount, F.col("currency"), F.col("direction"))
+    made = F.concat(F.lit("txn_"), F.substring(F.sha2(F.concat_ws("|", *(F.coalesce(x, F.lit("None")) for x in fields)), 256), 1, 16))
+    return txn.withColumn("transaction_id", F.coalesce(own, made))
+
+
+def merchant_of(txn: DataFrame) -> Column:
+    """The merchant of rows with a struct `merchant`: the first of normalized, display_name, raw and the description that isn't empty; the description where there is no struct."""
+    if "merchant" not in txn.columns:
+        return F.col("description")
+    return F.coalesce(*(F.nullif(F.col(f"merchant.{x}"), F.lit("")) for x in ("normalized", "display_name", "raw")), F.col("description"))
+
+
 def union_keep_last(history: DataFrame, current: DataFrame, key: str = "transaction_id") -> DataFrame:
     """History and current rows; of equal keys in a document the last stays, current after history, by seq."""
     rows = history.withColumn("_role", F.lit(0)).unionByName(current.withColumn("_role", F.lit(1)))
@@ -48,11 +64,26 @@ def categorized(txn: DataFrame, similar: DataFrame | None = None) -> DataFrame:
     return out.select(*txn.columns, F.col("_p.category").alias("category"), F.col("_p.subcategory").alias("subcategory"), F.col("_p.confidence").alias("category_confidence"), F.col("_p.method").alias("method")).drop("_near", "similarity")
 
 
+#: Rows of a dimension that may be broadcast, or travel as one array.
+DIMENSION_ROWS = 10_000
+
+
+def small(dimension: DataFrame) -> bool:
+    """Whether a table has at most DIMENSION_ROWS rows; it counts no further."""
+    return dimension.limit(DIMENSION_ROWS + 1).count() <= DIMENSION_ROWS
+
+
 def first_rule_by_join(txn: DataFrame, rules: DataFrame) -> DataFrame:
-    """The same first match as taxonomy.rule, as a theta join with the rules (ord, category, pattern): for rule sets that are data. rules must be a small dimension."""
+    """The same first match as taxonomy.rule, as a theta join with the rules (ord, category, pattern for folded text): for rule sets that are data.
+
+    Distinct descriptions meet the rules, each once. More than DIMENSION_ROWS rules are an error: all would meet all.
+    """
+    if not small(rules):
+        raise ValueError(f"more than {DIMENSION_ROWS} rules")
     rules = rules.where("pattern is not null").select("ord", F.col("category").alias("rule_category"), "pattern")
-    met = txn.join(F.broadcast(rules), F.expr("description rlike pattern"), "left")  # the taxonomy: 18 rows
-    return met.groupBy("input_id", "seq").agg(F.coalesce(F.min_by("rule_category", "ord"), F.lit("other")).alias("category"))
+    texts = txn.select("description").distinct().withColumn("_low", taxonomy.folded(F.col("description")))
+    met = texts.join(F.broadcast(rules), F.expr("_low rlike pattern")).groupBy("description").agg(F.min_by("rule_category", "ord").alias("category"))
+    return txn.select("input_id", "seq", "description").join(met, "description", "left").select("input_id", "seq", F.coalesce("category", F.lit("other")).alias("category"))
 
 
 def category_summary(rows: DataFrame) -> DataFrame:
@@ -62,7 +93,9 @@ def category_summary(rows: DataFrame) -> DataFrame:
 
 
 def similar_categories(vectors: DataFrame, references: DataFrame, k: int = 2, floor: float = 0.0) -> DataFrame:
-    """(vec_id, ref_id, similarity, rank): the k references of the highest cosine for each vector. references are the taxonomy's, a small dimension: they travel as one array."""
+    """(vec_id, ref_id, similarity, rank): the k references of the highest cosine for each vector. references are the taxonomy's: they travel as one array; more than DIMENSION_ROWS are an error."""
+    if not small(references):
+        raise ValueError(f"more than {DIMENSION_ROWS} references")
     norm = lambda a: F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + x * x))
     unit = lambda a: F.transform(a.cast("array<double>"), lambda x: x / norm(a.cast("array<double>")))
     refs = references.select(F.struct("ref_id", unit(F.col("embedding")).alias("v")).alias("r")).agg(F.array_sort(F.collect_list("r")).alias("refs"))
@@ -127,7 +160,7 @@ def ecdf_anomalies(current: DataFrame, reference: DataFrame) -> DataFrame:
     least, most = F.min("_raw").over(per_document()), F.max("_raw").over(per_document())
     rows = with_flags(rows).withColumn("_s", F.when(most > least, (F.col("_raw") - least) / (most - least)).otherwise(0.0))
     total = F.least(F.col("_s") + F.col("bonus"), F.lit(1.0))
-    rows = rows.withColumn("score", F.round(total, 4)).withColumn("flags", F.when(F.size("flags") > 0, F.col("flags")).otherwise(F.array(F.lit("ecdf_outlier_score"))))
+    rows = rows.withColumn("score", F.round(total, 4)).withColumn("flags", F.when(F.size("flags") > 0, F.col("flags")).otherwise(F.array(F.lit("pyod_outlier_score"))))
     return rows.where(total >= fixed.ECDF_CUTOFF).drop("_raw", "_s").withColumn("severity", severity(F.col("score")))
 
 
@@ -165,27 +198,35 @@ def forecast(monthly: DataFrame, lookback: int = 6) -> DataFrame:
     return out.withColumn("predicted", F.round(value, 2)).withColumn("weighted_average", F.round("weighted_average", 2)).withColumn("confidence", F.round(F.least(F.lit(0.35) + F.col("months") * 0.06, F.lit(0.65)), 4)).withColumn("method", F.lit("weighted_moving_average")).drop("_lo", "_hi")
 
 
-def ar_forecast(monthly: DataFrame, lags: int = 3, min_months: int = 6) -> DataFrame:
-    """Closed-form ridge autoregression on standardised lags for series of at least min_months months, blended 0.6 to 0.4 with the weighted average. A substitute for a trained encoder, with a label of its own."""
-    import numpy as np
-
-    def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf.sort_values("month")["spend"].to_numpy(float)
-        out = pd.DataFrame(columns=["input_id", "currency", "months", "predicted", "confidence", "method"])
-        if len(x) < min_months:
-            return out
-        sd = x.std() or 1.0
-        z = (x - x.mean()) / sd
-        m = np.stack([z[i : len(z) - lags + i] for i in range(lags)] + [np.ones(len(z) - lags)], 1)
-        beta = np.linalg.solve(m.T @ m + 0.1 * np.eye(lags + 1), m.T @ z[lags:])
-        model = float(np.append(z[-lags:], 1.0) @ beta) * sd + x.mean()
-        recent = x[-6:]
-        blended = 0.6 * model + 0.4 * float(np.average(recent, weights=np.arange(1, len(recent) + 1)))
-        value = 0.0 if x.max() <= 0 else min(max(blended, x.min() * 0.5), x.max() * 1.5)
-        out.loc[0] = [*key, len(x), round(value, 2), round(min(0.65 + len(x) * 0.025, 0.90), 4), "ar_moving_average_ensemble"]
-        return out
-
-    return monthly.groupBy("input_id", "currency").applyInPandas(fit, "input_id string, currency string, months long, predicted double, confidence double, method string")
+def ar_forecast(monthly: DataFrame, lags: int = 3, min_months: int = 6, ridge: float = 0.1) -> DataFrame:
+    """Closed-form ridge autoregression on standardised lags for series of at least min_months months, blended 0.6 to 0.4 with the weighted average. A substitute for a trained encoder, with a label of its own.
+
+    Lags are windows, the normal equations sums by series, solved by elimination in columns.
+    """
+    keys = ["input_id", "currency"]
+    of = Window.partitionBy(*keys)
+    by = of.orderBy("month")
+    x = F.col("spend")
+    rows = monthly.withColumns({"_n": F.count(F.lit(1)).over(of), "_mean": F.avg(x).over(of), "_sd": F.stddev_pop(x).over(of), "_lo": F.min(x).over(of), "_hi": F.max(x).over(of), "_back": F.row_number().over(of.orderBy(F.desc("month")))})
+    rows = rows.where(F.col("_n") >= min_months).withColumn("_sd", F.when(F.col("_sd") > 0, F.col("_sd")).otherwise(1.0)).withColumn("_z", (x - F.col("_mean")) / F.col("_sd"))
+    names = [f"_l{i}" for i in range(lags)]  # oldest first
+    rows = rows.withColumns({c: F.lag("_z", lags - i).over(by) for i, c in enumerate(names)}).withColumns({f"_next{i}": F.lag("_z", lags - 1 - i).over(by) for i in range(lags)})
+    terms = [*(F.col(c) for c in names), F.lit(1.0)]
+    size = lags + 1
+    there = F.col(names[0]).isNotNull()
+    recent = F.when(F.col("_back") <= 6, 7 - F.col("_back") - F.greatest(F.lit(0), 6 - F.col("_n"))).otherwise(0)
+    sums = {f"m{i}{j}": F.sum(F.when(there, terms[i] * terms[j])) for i in range(size) for j in range(i, size)} | {f"v{i}": F.sum(F.when(there, terms[i] * F.col("_z"))) for i in range(size)}
+    facts = {c: F.first(f"_{c}") for c in ("n", "mean", "sd", "lo", "hi")} | {f"next{i}": F.max(F.when(F.col("_back") == 1, F.col(f"_next{i}"))) for i in range(lags)} | {"recent": F.sum(recent * x) / F.sum(recent)}
+    out = rows.groupBy(*keys).agg(*(c.alias(n) for n, c in (sums | facts).items()))
+    out = out.withColumns({f"m{i}{i}": F.col(f"m{i}{i}") + ridge for i in range(size)})
+    for k in range(size):  # eliminate below the diagonal: what is left stays symmetric
+        out = out.withColumns({f"m{i}{j}": F.col(f"m{i}{j}") - F.col(f"m{k}{i}") * F.col(f"m{k}{j}") / F.col(f"m{k}{k}") for i in range(k + 1, size) for j in range(i, size)} | {f"v{i}": F.col(f"v{i}") - F.col(f"m{k}{i}") * F.col(f"v{k}") / F.col(f"m{k}{k}") for i in range(k + 1, size)})
+    for i in reversed(range(size)):
+        out = out.withColumn(f"b{i}", (F.col(f"v{i}") - sum((F.col(f"m{i}{j}") * F.col(f"b{j}") for j in range(i + 1, size)), F.lit(0.0))) / F.col(f"m{i}{i}"))
+    model = (sum((F.col(f"next{i}") * F.col(f"b{i}") for i in range(lags)), F.lit(0.0)) + F.col(f"b{lags}")) * F.col("sd") + F.col("mean")
+    blended = 0.6 * model + 0.4 * F.col("recent")
+    value = F.when(F.col("hi") <= 0, 0.0).otherwise(F.least(F.greatest(blended, F.col("lo") * 0.5), F.col("hi") * 1.5))
+    return out.select(*keys, F.col("n").alias("months"), F.round(value, 2).alias("predicted"), F.round(F.least(F.lit(0.65) + F.col("n") * 0.025, F.lit(0.90)), 4).alias("confidence"), F.lit("ar_moving_average_ensemble").alias("method"))
 
 
 def risk(ratio: Column) -> Column:

@@ -32,6 +32,31 @@ def pdf_kind() -> Column:
     )
 
 
+def classified(inputs: DataFrame, pdfs: DataFrame, images: DataFrame) -> DataFrame:
+    """(input_id, kind, confidence, needs_ocr, needs_preprocessing, routing_key, warnings) of inputs (input_id, mime, open_error).
+
+    By type: PDFs by their page features (of pdf_features; unopened ones, and those without pages, are unknown with no
+    confidence and the reason as warning), images by their votes (rows of image_kind), all else is unsupported.
+    """
+    from ..sources.tables import is_image, is_pdf
+
+    p = pdfs.withColumn("_p", pdf_kind()).select("input_id", "_p", "page_count")
+    i = images.select("input_id", F.struct("kind", "confidence", "warnings").alias("_i"))
+    rows = inputs.join(p, "input_id", "left").join(i, "input_id", "left")
+    said = lambda *codes: F.array_compact(F.array(*(F.lit(c) if isinstance(c, str) else c for c in codes)))
+    made = lambda kind, conf, warnings: F.struct(kind.alias("kind"), conf.cast("double").alias("confidence"), warnings.alias("warnings"))
+    reason = F.when(F.col("open_error").isNotNull(), F.concat(F.lit("Could not open PDF: "), "open_error")).when(F.coalesce("page_count", F.lit(0)) == 0, "PDF has zero pages")
+    found = (
+        F.when(is_pdf(F.col("mime")) & reason.isNotNull(), made(F.lit("unknown"), F.lit(0.0), said(reason)))
+        .when(is_pdf(F.col("mime")), made(F.col("_p.kind"), F.col("_p.confidence"), said(F.col("_p.warning"))))
+        .when(is_image(F.col("mime")) & F.col("_i").isNotNull(), made(F.col("_i.kind"), F.col("_i.confidence"), F.col("_i.warnings")))
+        .when(is_image(F.col("mime")), made(F.lit("unknown"), F.lit(0.0), said("image_classification_failed", "low_confidence_image_classification")))
+        .otherwise(made(F.lit("unsupported"), F.lit(0.0), said("unsupported_mime_type")))
+    )
+    kind = F.col("_f.kind")
+    return rows.withColumn("_f", found).select("input_id", kind.alias("kind"), F.col("_f.confidence").alias("confidence"), needs_ocr(kind).alias("needs_ocr"), needs_preprocessing(kind).alias("needs_preprocessing"), route(kind).alias("routing_key"), F.col("_f.warnings").alias("warnings"))
+
+
 def _points(*terms: tuple[Column, float]) -> Column:
     return sum((F.when(c, F.lit(x)).otherwise(F.lit(0.0)) for c, x in terms), F.lit(0.0))
 
@@ -60,11 +85,15 @@ def image_votes() -> tuple[Column, Column]:
 
 
 def image_kind(df: DataFrame) -> DataFrame:
-    """df with screenshot_score, camera_score, kind and confidence; a tie is a camera photo."""
+    """df with screenshot_score, camera_score, kind, confidence and warnings; a tie is a camera photo, no vote at all unknown."""
     s, k = image_votes()
     df = df.withColumn("screenshot_score", s).withColumn("camera_score", k)
     total = F.col("screenshot_score") + F.col("camera_score")
-    return df.withColumn("kind", F.when(F.col("screenshot_score") > F.col("camera_score"), "screenshot").otherwise("camera_photo")).withColumn("confidence", F.when(total > 0, F.greatest("screenshot_score", "camera_score") / total).otherwise(0.5))
+    df = df.withColumn("kind", F.when(total <= 0, "unknown").when(F.col("screenshot_score") > F.col("camera_score"), "screenshot").otherwise("camera_photo"))
+    df = df.withColumn("confidence", F.when(total > 0, F.round(F.greatest("screenshot_score", "camera_score") / total, 4)).otherwise(0.0))
+    exact = F.when(total > 0, F.greatest("screenshot_score", "camera_score") / total).otherwise(0.0)
+    said = (F.when(total <= 0, "image_classification_failed"), F.when(exact < 0.65, "low_confidence_image_classification"), F.when((F.col("blur_score") < 80) & (F.col("kind") == "camera_photo"), "possible_blurry_camera_photo"))
+    return df.withColumn("warnings", F.array_compact(F.array(*said)))
 
 
 def route(kind: Column) -> Column:

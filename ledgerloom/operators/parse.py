@@ -22,7 +22,7 @@ def candidates(lines: DataFrame, date_mode: str = "strict") -> DataFrame:
     rows = lines.select("input_id", "line_no", "page", "text", *(nxt(c, k).alias(f"{c}{k}") for k in (1, 2) for c in ("page", "text")))
     one = T.collapse(F.concat_ws(" ", "text", "text1"))
     two = T.collapse(F.concat_ws(" ", "text", "text1", "text2"))
-    bare = lambda c: F.size(T.find_money(c)) == 0
+    bare = lambda c: ~T.has_amount(c)
     open_ = T.find_date(F.col("text"), date_mode).isNotNull() & bare(F.col("text"))
     first = open_ & F.col("page1").eqNullSafe(F.col("page"))
     second = first & F.col("page2").eqNullSafe(F.col("page")) & bare(one)
@@ -95,7 +95,7 @@ def extract(lines: DataFrame, date_mode: str = "strict") -> tuple[DataFrame, Dat
 def extraction_summary(txn: DataFrame) -> DataFrame:
     money = lambda d: F.round(F.sum(F.when(F.col("direction") == d, F.col("price").cast("decimal(18,2)")).otherwise(F.lit(0).cast("decimal(18,2)"))), 2)
     return txn.groupBy("input_id").agg(
-        F.count(F.lit(1)).alias("transaction_count"), F.count_if(F.col("confidence") < 0.70).alias("low_confidence_count"), F.round(F.avg("confidence"), 4).alias("average_confidence"), money("debit").alias("total_debit"), money("credit").alias("total_credit")
+        F.count(F.lit(1)).alias("transaction_count"), F.count_if(F.col("confidence") < 0.70).alias("low_confidence_count"), T.rounded(F.avg("confidence")).alias("average_confidence"), money("debit").alias("total_debit"), money("credit").alias("total_credit")
     )
 
 
@@ -103,6 +103,28 @@ def ocr_confidence(base: Column, ocr: Column, words: Column) -> Column:
     return F.round(F.least(base * 0.78 + F.greatest(F.lit(0.0), F.least(ocr, F.lit(1.0))) * 0.18 + F.when(words >= 3, 0.04).otherwise(0.0), F.lit(0.98)), 2)
 
 
+def parsed_ocr(lines: DataFrame, currencies: DataFrame, date_mode: str = "strict") -> DataFrame:
+    """OCR lines (input_id, page, line_no, text, ocr_confidence, word_count) with the fields of parsed(); a transaction's confidence weighs that of its line and words in."""
+    known = lines.select("input_id", "page", "line_no", F.col("ocr_confidence").alias("_ocr"), F.col("word_count").alias("_words"))
+    rows = parsed(lines.select("input_id", "page", "line_no", "text"), currencies, date_mode).join(known, ["input_id", "page", "line_no"])
+    return rows.withColumn("confidence", ocr_confidence(F.col("confidence"), F.col("_ocr"), F.col("_words"))).drop("_ocr", "_words")
+
+
+def extract_ocr(lines: DataFrame, outputs: DataFrame, date_mode: str = "strict") -> tuple[DataFrame, DataFrame]:
+    """Transactions and rejected lines of the best variant of each page.
+
+    lines: as words_to_lines() gives them, for all variants; outputs (input_id, page, variant, ord, is_preferred):
+    the images that were read. Each page goes on with the variant and mode of the highest final score.
+    """
+    from .classify import best_variant
+
+    scored = variant_scores(lines, date_mode).join(outputs.select("input_id", "page", "variant", "ord", "is_preferred"), ["input_id", "page", "variant"])
+    best = best_variant(scored).select("input_id", "page", "variant", "psm")
+    chosen = lines.join(best, ["input_id", "page", "variant", "psm"], "left_semi")
+    rows = parsed_ocr(chosen, document_currency(chosen, "ocr"), date_mode)
+    return rows.where("reject_reason is null").drop("reject_reason"), rows.where("reject_reason is not null")
+
+
 def variant_scores(lines: DataFrame, date_mode: str = "strict") -> DataFrame:
     """(input_id, page, variant, psm, ocr_score) of OCR lines (text, ocr_confidence)."""
     dated, money = T.find_date(F.col("text"), date_mode).isNotNull(), F.size(T.find_money(F.col("text")))

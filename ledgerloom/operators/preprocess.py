@@ -32,6 +32,31 @@ def variants(pages: DataFrame) -> DataFrame:
     return pages.withColumn("_v", F.explode(picked)).select(*pages.columns, "_v.*")
 
 
+def preview_variants(pages: DataFrame) -> DataFrame:
+    """pages (input_id, page, kind) of native PDFs with the variant made for looking at, never for OCR."""
+    v = fixed.PREVIEW
+    made = F.struct(F.lit(0).alias("ord"), F.lit(v[0]).alias("variant"), F.lit(v[1]).alias("purpose"), F.lit(v[2]).alias("is_candidate"), F.array(*(F.lit(x) for x in v[3])).alias("operations"))
+    return pages.where("kind = 'real_pdf'").withColumn("_v", made).select(*pages.columns, "_v.*")
+
+
+def results(inputs: DataFrame, outputs: DataFrame) -> DataFrame:
+    """The record of preprocessing for inputs (input_id, kind, page_count): plan, preferred output, operations, mean readiness and whether extraction can start.
+
+    outputs (input_id, page, ord, variant, is_candidate, operations, readiness): the variants made. Native PDFs are taken
+    as they are; other kinds than those of plan() are skipped with a warning.
+    """
+    from .classify import preferred_output
+
+    rows = plan(inputs).join(preferred_output(outputs).withColumnRenamed("is_ready", "ready_"), "input_id", "left").join(operations(outputs), "input_id", "left")
+    native, known = F.col("kind") == "real_pdf", F.col("is_ready").isNull() | (F.col("kind") == "real_pdf")
+    return rows.select(
+        "input_id", "kind", F.when(native, "completed").when(F.coalesce("n_variants", F.lit(0)) > 0, "completed").otherwise("skipped").alias("status"), "output_type", "method", "risk", F.when(known, F.col("page_count")).otherwise(0).alias("page_count"),
+        F.when(native, "original_pdf").otherwise(F.col("preferred")).alias("preferred"), F.when(native, F.array(*(F.lit(x) for x in fixed.NATIVE_OPERATIONS))).otherwise(F.coalesce("operations", F.array().cast("array<string>"))).alias("operations"),
+        F.when(~native, F.col("mean_readiness")).alias("mean_readiness"), F.when(native, True).otherwise(F.coalesce(F.col("ready_"), F.lit(False))).alias("is_ready"),
+        F.when(~known, F.array(F.lit("unsupported_source_kind_for_preprocessing"))).otherwise(F.array().cast("array<string>")).alias("warnings"),
+    )
+
+
 def operations(rows: DataFrame) -> DataFrame:
     """Per document, all operations of its variants, distinct and sorted."""
     return rows.groupBy("input_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("operations")))).alias("operations"))
@@ -97,6 +122,47 @@ def metrics(grey: np.ndarray) -> dict[str, float]:
     return {k: v if k == "component_count" else round(float(v), 4) for k, v in values.items()}
 
 
+def edges(grey: np.ndarray, low: int = 80, high: int = 200) -> np.ndarray:
+    """Edge pixels: gradients by 3 x 3 differences (sums of absolute values), thinned along their direction, those over `high` and what is joined to them over `low`."""
+    p = np.pad(grey.astype(np.int64), 1, mode="edge")
+    gx = p[:-2, 2:] + 2 * p[1:-1, 2:] + p[2:, 2:] - p[:-2, :-2] - 2 * p[1:-1, :-2] - p[2:, :-2]
+    gy = p[2:, :-2] + 2 * p[2:, 1:-1] + p[2:, 2:] - p[:-2, :-2] - 2 * p[:-2, 1:-1] - p[:-2, 2:]
+    size = np.pad(np.abs(gx) + np.abs(gy), 1)
+    at = lambda i, j: size[1 + i : size.shape[0] - 1 + i, 1 + j : size.shape[1] - 1 + j]
+    ax, ay, own = np.abs(gx), np.abs(gy), at(0, 0)
+    flat, steep = ay * 1.0 < ax * np.tan(np.pi / 8), ay * 1.0 > ax * np.tan(3 * np.pi / 8)
+    rising = (gx < 0) != (gy < 0)
+    peak = np.where(flat, (own > at(0, -1)) & (own >= at(0, 1)), np.where(steep, (own > at(-1, 0)) & (own >= at(1, 0)), np.where(rising, (own > at(-1, 1)) & (own > at(1, -1)), (own > at(-1, -1)) & (own > at(1, 1)))))
+    weak = peak & (own > low)
+    found = weak & (own > high)
+    while True:  # grows by a pixel a turn
+        q = np.pad(found, 1)
+        near = np.logical_or.reduce([q[1 + i : q.shape[0] - 1 + i, 1 + j : q.shape[1] - 1 + j] for i in (-1, 0, 1) for j in (-1, 0, 1)])
+        grown = weak & near
+        if (grown == found).all():
+            return found
+        found = grown
+
+
+def quality_metrics(images: DataFrame) -> DataFrame:
+    """images (input_id, width, height, pixels: 8-bit grey samples) with the columns that classify.quality() reads. Pixels of the wrong number give nulls."""
+    names = ["blur_score", "brightness", "contrast", "edge_density", "dark_pixel_ratio", "bright_pixel_ratio"]
+
+    def one(g: np.ndarray) -> tuple:
+        m = metrics(g)
+        return (m["blur_score"], m["brightness"], m["contrast"], *(round(float(x.mean()), 4) for x in (edges(g), g < 30, g > 225)))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for k, w, h, px in zip(b["input_id"], b["width"], b["height"], b["pixels"]):
+                ok = px is not None and w * h == len(px) > 0
+                rows.append((k, w, h, *(one(np.frombuffer(px, np.uint8).reshape(h, w)) if ok else [None] * 6)))
+            yield pd.DataFrame(rows, columns=["input_id", "width", "height", *names])
+
+    return images.select("input_id", "width", "height", "pixels").mapInPandas(run, "input_id string, width int, height int, " + ", ".join(f"{n} double" for n in names))
+
+
 def image_metrics(images: DataFrame) -> DataFrame:
     """images (input_id, width, height, pixels: 8-bit grey samples) with the columns that classify.readiness() reads. Pixels of the wrong number give nulls."""
     names = ["blur_score", "brightness", "contrast", "foreground_density", "component_count", "avg_component_area", "border_artifact_score"]

@@ -12,7 +12,7 @@ S = fixed.SAYINGS
 
 
 def percent(share: Column) -> Column:
-    return F.round(share * 100, 1).cast("string")
+    return F.round(share.cast("decimal(6,4)") * 100, 1).cast("decimal(6,1)").cast("string")
 
 
 def amount(c: Column) -> Column:

@@ -2,31 +2,24 @@
 
 from __future__ import annotations
 
-from typing import Protocol
-
 from pyspark.sql import DataFrame
 
 from ..operators import analytics as A
 from ..operators import report
 
 
-class TextProvider(Protocol):
-    """A language model that may rewrite texts; none is part of this package."""
-
-    def is_available(self) -> bool: ...
-
-    def generate_text(self, system_prompt: str, user_prompt: str) -> str | None: ...
-
-
 def analyze(current: DataFrame, history: DataFrame | None = None, scenarios: DataFrame | None = None) -> dict[str, DataFrame]:
-    """current, history: transactions as features() takes them; scenarios: (input_id, amount, currency, max_months)."""
-    now = A.features(current)
-    reference = now if history is None else A.union_keep_last(A.features(history), now, "seq")
+    """current, history: transactions as features() takes them, with a transaction_id or without; scenarios: (input_id, amount, currency, max_months).
+
+    The reference that forecasts and outliers are measured by is history and current, of equal identifiers in a document the last.
+    """
+    now = A.features(A.with_ids(current, "current"))
+    reference = now if history is None else A.union_keep_last(A.features(A.with_ids(history, "history")), now)
     rows = A.categorized(now)
     monthly = A.monthly_spend(reference)
     forecasts = A.forecast(monthly)
     profiles, found = A.profile(rows), A.anomalies(now, reference)
-    out = {"transactions": rows, "categories": A.category_summary(rows), "profile": profiles, "anomalies": found, "monthly": monthly, "forecast": forecasts, "quality": A.quality(now)}
+    out = {"transactions": rows, "reference": reference, "categories": A.category_summary(rows), "profile": profiles, "anomalies": found, "monthly": monthly, "forecast": forecasts, "quality": A.quality(now)}
     if scenarios is not None:
         out["options"] = A.installment_options(forecasts, scenarios)
         out["recommended"] = A.recommended(out["options"])

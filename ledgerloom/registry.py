@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .functions import text as T
 from .operators import analytics as A
@@ -225,11 +226,6 @@ def forecast_clamped(spark, d):
     return A.forecast(A.monthly_spend(A.features(txn(spark, d)))).select("input_id", "predicted", "confidence")
 
 
-@query("ar_forecast")
-def ar_forecast(spark, d):
-    return A.ar_forecast(A.monthly_spend(A.features(txn(spark, d))))
-
-
 OPT = f"{FORE}, o as (select input_id, currency, months_ as months, round(50000.0 / months_, 2)::double as monthly_amount, predicted from fc, (select unnest(generate_series(1, 12)) as months_)), opt as (select *, case when predicted > 0 then monthly_amount / predicted end as b from o)"
 
 
@@ -425,19 +421,6 @@ def preferred_output(spark, d):
     return C.preferred_output(rows.select("input_id", "variant", "ord", F.col("is_preferred").alias("is_candidate"), (F.col("ocr_score") / 50).alias("readiness")))
 
 
-@query("anomaly_detector_switch", f"{TXN}, n as (select input_id, count(*) filter (direction = 'debit') as c from txn group by input_id) select case when c >= 8 then 'ecdf' else 'robust' end as detector, count(*) as documents from n group by all")
-def anomaly_detector_switch(spark, d):
-    n = txn(spark, d).groupBy("input_id").agg(F.count_if(F.col("direction") == "debit").alias("c"))
-    return n.groupBy(F.when(F.col("c") >= 8, "ecdf").otherwise("robust").alias("detector")).agg(F.count(F.lit(1)).alias("documents"))
-
-
-@query("executive_summary")
-def executive_summary(spark, d):
-    from .plans.analyze import analyze
-
-    return analyze(txn(spark, d))["summary"]
-
-
 KIND = "case event_id % 6 when 0 then 'real_pdf' when 1 then 'scanned_pdf' when 2 then 'hybrid_pdf' when 3 then 'screenshot' when 4 then 'camera_photo' else 'unknown' end"
 
 
@@ -461,22 +444,254 @@ def extraction_gate(spark, d):
     return X.extraction_gate(k.select("input_id", F.concat(F.lit("raw/"), "input_id").alias("storage_url")), k, done)
 
 
-@query("report_answers")
-def report_answers(spark, d):
+ANOM = f"""{TXN}, robust_ as ({ROBUST} select input_id, seq, round(cast(score as double), 4) as score, 'robust' as detector, concat_ws(', ', case when is_foreign then 'Yabancı para işlemi' end, case when has_installment then 'Taksitli işlem' end,
+  case when is_low then 'Düşük veri güveni' end, case when validation_status <> 'valid' then 'Doğrulama uyarısı' end, case when mad > 0 and z >= 3.5 or mad = 0 and n >= 3 and x > med * 3 then 'Alışılmışın üzerinde tutar' end) as reasons from s where cast(score as double) >= 0.25 and n < 8),
+ ecdf_ as ({ECDF.replace(", both_ as (select *, 0 as now, ln(1 + x) as lg from fl semi join many using (input_id) union all select *, 1, ln(1 + x) from fl semi join many using (input_id))", ", both_ as (select *, 1 as now, ln(1 + x) as lg from fl semi join many using (input_id) union all select *, 0, ln(1 + x) from fl semi join many using (input_id))")}
+  select input_id, seq, round(score, 4) as score, 'ecdf' as detector, case when bonus = 0 then 'İstatistiksel sapma' else concat_ws(', ', case when is_foreign then 'Yabancı para işlemi' end, case when has_installment then 'Taksitli işlem' end, case when is_low then 'Düşük veri güveni' end, case when validation_status <> 'valid' then 'Doğrulama uyarısı' end) end from s where score >= 0.40),
+ anom as (select a.*, t.description, t.amount, t.currency, t.description || ' (' || format('{{:,.2f}}', cast(t.amount as double)) || ' ' || t.currency || ') işlemi dikkat çekiyor: ' || reasons || '.' as message from (from robust_ union all from ecdf_) a join txn t using (input_id, seq))"""
+
+
+def analysis(spark, d) -> dict[str, DataFrame]:
     from .plans.analyze import analyze
 
-    t = txn(spark, d)
-    asked = t.select("input_id").distinct().select("input_id", F.explode(F.array(*(F.lit(q) for q in ("En çok hangi kategori?", "Anomali var mı?", "Gelecek ay tahmin nedir?", "Taksit?", "Merhaba")))).alias("question"))
-    return report.answers(asked, analyze(t)["facts"])
+    return analyze(txn(spark, d))
+
+
+@query("anomaly_detector_switch", f"{ANOM} select detector, case when score >= 0.70 then 'high' when score >= 0.45 then 'medium' else 'low' end as severity, count(*) as n, round(sum(score), 3) as total from anom group by all")
+def anomaly_detector_switch(spark, d):
+    rows = A.features(txn(spark, d))
+    return A.anomalies(rows, rows).groupBy("detector", "severity").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("score"), 3).alias("total"))
+
+
+@query("anomaly_messages", f"{ANOM} select input_id, seq, detector, message from anom")
+def anomaly_messages(spark, d):
+    found = analysis(spark, d)["anomalies"]
+    return found.select("input_id", "seq", "detector", A.anomaly_message(F.col("description"), F.col("amount"), F.col("currency"), F.col("flags")).alias("message"))
 
 
-@query("chat_context")
+FACTS = f"""{ANOM}, profile_ as (select * from ({{profile}})), fore_ as ({FORE} select input_id, currency, predicted from fc), cats as ({CAT}, s as (select input_id, category, sum(amount) as t from cat where direction = 'debit' group by all)
+  select input_id, category, t, round(cast(t as double) / cast(sum(t) over (partition by input_id) as double), 4) as sh from s), main as (select input_id, sh, case category when 'food' then 'Yeme İçme' when 'groceries' then 'Market' when 'fuel' then 'Akaryakıt' when 'telecom' then 'İletişim' when 'shopping' then 'Alışveriş' else 'Diğer' end as label from cats qualify row_number() over (partition by input_id order by t desc, category) = 1),
+ cnt as (select input_id, count(*) as n, max_by(message, (score, -seq)) as worst from anom group by input_id), said as (select p.input_id, label, cast(round(cast(sh as decimal(6,4)) * 100, 1) as varchar) as pct, labels, coalesce(cnt.n, 0) as n, worst, format('{{:,.2f}}', predicted) || ' ' || currency as next
+  from profile_ p join main using (input_id) left join cnt using (input_id) left join fore_ using (input_id))""".replace("{profile}", SQL["profile_labels"])
+
+
+@query("executive_summary", f"""{FACTS} select input_id, concat_ws(chr(10), 'Harcamalarınızın en büyük bölümü ' || label || ' kategorisinde (%' || pct || ').', 'Harcama profiliniz: ' || replace(labels, ',', ', ') || '.',
+ case when n > 0 then 'İncelemeye değer ' || n || ' işlem dikkat çekiyor.' else 'Dikkat çeken olağan dışı bir işlem görünmüyor.' end, 'Gelecek dönem için tahmini harcamanız yaklaşık ' || next || '.') as summary from said""")
+def executive_summary(spark, d):
+    return analysis(spark, d)["summary"].select("input_id", F.array_join("sentences", "\n").alias("summary"))
+
+
+@query("report_answers", f"""{FACTS}, every as (select distinct input_id from txn), q as (select input_id, unnest(['En çok hangi kategori?', 'Anomali var mı?', 'Gelecek ay tahmin nedir?', 'Taksit?', 'Merhaba']) as question from every)
+select input_id, question, case question when 'En çok hangi kategori?' then 'category_question' when 'Anomali var mı?' then 'anomaly_question' when 'Gelecek ay tahmin nedir?' then 'forecast_question' when 'Taksit?' then 'installment_question' else 'general_statement_question' end as intent,
+ case when question = 'En çok hangi kategori?' and label is not null then 'En çok harcama yaptığınız kategori ' || label || '; bu kategori toplam harcamanızın yaklaşık %' || pct || chr(39) || 'ini oluşturuyor.' when question = 'Anomali var mı?' and n > 0 then 'İncelemenizde fayda olan ' || n || ' işlem var. En dikkat çekeni: ' || worst
+ when question = 'Anomali var mı?' then 'Olağan dışı görünen bir işlem tespit edilmedi.' when question = 'Taksit?' then 'Taksit önerisi sunabilmem için alışveriş tutarını (purchase_scenario) paylaşmanız gerekiyor.' when question = 'Gelecek ay tahmin nedir?' and next is not null then 'Gelecek dönem için tahmini harcamanız yaklaşık ' || next || '.'
+ when question = 'Gelecek ay tahmin nedir?' then 'Tahmin üretebilmem için yeterli geçmiş dönem verisi yok.' else 'Size kategori dağılımınız, harcama profiliniz, dikkat çeken işlemler, harcama tahmininiz ve taksit seçenekleri hakkında yardımcı olabilirim.' end as answer from q left join said using (input_id)""")
+def report_answers(spark, d):
+    asked = txn(spark, d).select("input_id").distinct().select("input_id", F.explode(F.array(*(F.lit(q) for q in ("En çok hangi kategori?", "Anomali var mı?", "Gelecek ay tahmin nedir?", "Taksit?", "Merhaba")))).alias("question"))
+    return report.answers(asked, analysis(spark, d)["facts"])
+
+
+@query("chat_context", f"""{FACTS}, l as (select input_id, 0 as part, row_number() over (partition by input_id order by t desc, category) as r, category || ' (' || cast(round(cast(sh as decimal(6,4)) * 100, 1) as varchar) || '%)' as line from cats
+ union all select input_id, 1, row_number() over (partition by input_id order by score desc, seq), description || ': ' || format('{{:,.2f}}', cast(amount as double)) || ' ' || currency || ' (' || case when score >= 0.70 then 'high' when score >= 0.45 then 'medium' else 'low' end || ')' from anom)
+select input_id, string_agg(line, chr(10) order by part, r) as lines from l where r <= 3 group by input_id""")
 def chat_context(spark, d):
+    return analysis(spark, d)["context"].select("input_id", F.array_join("lines", "\n").alias("lines"))
+
+
+@query("ar_forecast", f"""{MONTHLY}, st as (select *, count(*) over w as n, avg(spend) over w as mean, stddev_pop(spend) over w as sd, min(spend) over w as lo, max(spend) over w as hi, row_number() over (partition by input_id order by m desc) as back from mon window w as (partition by input_id)),
+ z as (select *, (spend - mean) / case when sd > 0 then sd else 1 end as z from st where n >= 6), l as (select *, lag(z, 3) over w as a, lag(z, 2) over w as b, lag(z, 1) over w as c from z window w as (partition by input_id order by m)),
+ g as (select input_id, any_value(currency) as currency, any_value(n) as n, any_value(mean) as mean, any_value(sd) as sd, any_value(lo) as lo, any_value(hi) as hi, max(case when back = 1 then b end) as x1, max(case when back = 1 then c end) as x2, max(case when back = 1 then z end) as x3, sum(greatest(7 - back, 0) * spend) / sum(greatest(7 - back, 0)) as recent,
+  sum(a * a) + 0.1e0 as aa, sum(a * b) as ab, sum(a * c) as ac, sum(a) as a1, sum(b * b) + 0.1e0 as bb, sum(b * c) as bc, sum(b) filter (a is not null) as b1, sum(c * c) filter (a is not null) + 0.1e0 as cc, sum(c) filter (a is not null) as c1, count(a) + 0.1e0 as k, sum(a * z) as az, sum(b * z) filter (a is not null) as bz, sum(c * z) filter (a is not null) as cz, sum(z) filter (a is not null) as z1,
+  sum(b * b) filter (a is not null) + 0.1e0 as bb_, sum(b * c) filter (a is not null) as bc_ from l group by input_id),
+ -- Cramer's rule: without the intercept's row and column first, as k > 0
+ r as (select *, aa - a1 * a1 / k as p, ab - a1 * b1 / k as q, ac - a1 * c1 / k as s, bb_ - b1 * b1 / k as t, bc_ - b1 * c1 / k as u, cc - c1 * c1 / k as v, az - a1 * z1 / k as f, bz - b1 * z1 / k as h, cz - c1 * z1 / k as i from g),
+ dt as (select *, p * (t * v - u * u) - q * (q * v - u * s) + s * (q * u - t * s) as d from r),
+ be as (select *, (f * (t * v - u * u) - q * (h * v - u * i) + s * (h * u - t * i)) / d as e1, (p * (h * v - u * i) - f * (q * v - u * s) + s * (q * i - h * s)) / d as e2, (p * (t * i - h * u) - q * (q * i - h * s) + f * (q * u - t * s)) / d as e3 from dt),
+ y as (select *, (x1 * e1 + x2 * e2 + x3 * e3 + (z1 - a1 * e1 - b1 * e2 - c1 * e3) / k) * case when sd > 0 then sd else 1 end + mean as model from be)
+select input_id, currency, n as months, round(case when hi <= 0 then 0 else least(greatest(0.6e0 * model + 0.4e0 * recent, lo * 0.5), hi * 1.5) end, 2)::double as predicted, round(least(0.65e0 + n * 0.025e0, 0.90e0), 4)::double as confidence, 'ar_moving_average_ensemble' as method from y""")
+def ar_forecast(spark, d):
+    return A.ar_forecast(A.monthly_spend(A.features(txn(spark, d))))
+
+
+HIST = """hist as (select * exclude (seq), row_number() over (partition by input_id order by seq) - 1 as seq from txn where seq % 3 <> 0), cur as (select * exclude (seq), row_number() over (partition by input_id order by seq) - 1 as seq from txn where seq % 3 = 0)"""
+
+
+@query("history_union", f"""{TXN}, {HIST}, u as (select 'history' as role, * from hist union all select 'current', * from cur)
+select input_id, 'txn_' || substr(sha256(concat_ws('|', role, seq, strftime(txn_date, '%Y-%m-%d'), description, regexp_replace(cast(amount as varchar), '(\\.[0-9])0$', '\\1'), currency, direction)), 1, 16) as transaction_id, seq, cast(amount as double) as amount from u""")
+def history_union(spark, d):
+    from .plans.analyze import analyze
+
+    of = txn(spark, d)
+    place = F.row_number().over(Window.partitionBy("input_id").orderBy("seq")) - 1
+    history, current = (of.where(c).withColumn("_p", place.cast("long")).drop("seq").withColumnRenamed("_p", "seq") for c in ("seq % 3 <> 0", "seq % 3 = 0"))
+    return analyze(current, history)["reference"].select("input_id", "transaction_id", "seq", money("amount").alias("amount"))
+
+
+@query("history_forecast", f"{FORE} select input_id, months, predicted from fc")
+def history_forecast(spark, d):
+    """History and current rows split a document whose rows number from 0 in each: the forecast is that of all."""
     from .plans.analyze import analyze
 
-    return analyze(txn(spark, d))["context"]
+    of = txn(spark, d)
+    place = F.row_number().over(Window.partitionBy("input_id").orderBy("seq")) - 1
+    history, current = (of.where(c).withColumn("_p", place.cast("long")).drop("seq").withColumnRenamed("_p", "seq") for c in ("seq % 3 <> 0", "seq % 3 = 0"))
+    return analyze(current, history)["forecast"].select("input_id", "months", "predicted")
+
+
+@query("merchant_fallback", f"{TXN} select input_id, seq, case when seq % 4 = 0 then 'N' || seq when seq % 4 = 1 then 'D' || seq when seq % 4 = 2 then 'R' || seq else description end as merchant from txn")
+def merchant_fallback(spark, d):
+    rows = txn(spark, d).withColumn("merchant", F.expr("case when seq % 8 = 7 then null else named_struct('raw', case when seq % 4 <= 2 then concat('R', seq) else '' end, 'normalized', case when seq % 4 = 0 then concat('N', seq) else '' end, 'display_name', case when seq % 4 <= 1 then concat('D', seq) end) end"))
+    return rows.select("input_id", "seq", A.merchant_of(rows).alias("merchant"))
+
+
+@query("categorized_by_similarity", f"""{CAT}, c as (select *, seq % 3 = 0 and category = 'other' as asked, round(seq % 100 / 100.0, 2)::double as similarity from cat)
+select input_id, seq, case when asked and similarity >= 0.52 then 'education' else category end as category, case when direction = 'credit' then 0.97 when category <> 'other' then 0.94 when asked and similarity >= 0.52 then least(0.90, similarity) else 0.35 end::double as confidence,
+ case when direction = 'credit' then 'direction' when category <> 'other' then 'rule' when asked and similarity >= 0.52 then 'embedding' else 'fallback' end as method from c""")
+def categorized_by_similarity(spark, d):
+    t = txn(spark, d)
+    near = t.where("seq % 3 = 0").select("input_id", "seq", F.lit("education").alias("category"), F.round(F.col("seq") % 100 / 100, 2).alias("similarity"))
+    return A.categorized(t, near).select("input_id", "seq", "category", F.col("category_confidence").alias("confidence"), "method")
+
+
+@query("mime_predicates", "select doc_id, doc_id % 5 = 0 as pdf, doc_id % 5 in (1, 2, 3) as image from documents")
+def mime_predicates(spark, d):
+    kind = F.element_at(F.array(*(F.lit(x) for x in ("application/pdf", "image/jpeg", "image/png", "image/webp", "application/octet-stream"))), (F.col("doc_id") % 5 + 1).cast("int"))
+    return S.table(spark, d, "documents").select("doc_id", S.is_pdf(kind).alias("pdf"), S.is_image(kind).alias("image"))
+
+
+@query("page_lines", """with l as (select doc_id, string_split(text, chr(10)) as parts from documents), u as (select doc_id, unnest(parts) as line, unnest(range(len(parts))) as line_no from l)
+select doc_id, cast(line_no as int) as line_no, trim(regexp_replace(replace(replace(replace(line, 'bosluk', ' '), 'BOŞLUK', ' '), '□', ' '), '\\s+', ' ', 'g')) as text from u where trim(regexp_replace(replace(replace(replace(line, 'bosluk', ' '), 'BOŞLUK', ' '), '□', ' '), '\\s+', ' ', 'g')) <> ''""")
+def page_lines(spark, d):
+    return S.lines_of(S.table(spark, d, "documents"), "doc_id")
+
+
+@query("engine_fallback", "select input_id, engine_rank, line from (select l_orderkey as input_id, l_linenumber % 3 as engine_rank, l_partkey as line, min(l_linenumber % 3) over (partition by l_orderkey) as best from lineitem) where engine_rank = best")
+def engine_fallback(spark, d):
+    return S.first_engine(S.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("input_id"), (F.col("l_linenumber") % 3).alias("engine_rank"), F.col("l_partkey").alias("line")))
+
+
+@query("image_extraction_gate", f"""with k as (select cast(event_id as varchar) as input_id, {KIND} as kind, event_id from events) select input_id, kind, case when kind in ('real_pdf', 'unknown') then 'wrong_kind' when event_id % 5 = 0 then 'not_preprocessed' when event_id % 9 = 0 then 'not_ready' when event_id % 7 = 0 then 'wrong_method' end as refused,
+ case when kind not in ('real_pdf', 'unknown') and event_id % 5 <> 0 and event_id % 9 <> 0 and event_id % 7 <> 0 then 'prepared/' || input_id end as path from k""")
+def image_extraction_gate(spark, d):
+    k = kinds(spark, d)
+    done = k.where("event_id % 5 <> 0").select("input_id", F.when(F.col("event_id") % 7 == 0, "native_pdf_text").otherwise("ocr_multi_variant").alias("method"), (F.col("event_id") % 9 != 0).alias("is_ready"), F.concat(F.lit("prepared/"), "input_id").alias("preferred_url"))
+    return X.extraction_gate(k.select("input_id", F.concat(F.lit("raw/"), "input_id").alias("storage_url")), k, done, native=False)
+
+
+@query("chat_target", "select conv_id as analysis_id, turn, case when turn % 3 = 0 then 'given' when conv_id % 2 = 0 then 'stored ' || conv_id end as analysis from conversations")
+def chat_target(spark, d):
+    c = S.table(spark, d, "conversations")
+    asked = c.select(F.col("conv_id").alias("analysis_id"), "turn", F.when(F.col("turn") % 3 == 0, "given").alias("analysis"))
+    kept = c.where("conv_id % 2 = 0").select(F.col("conv_id").alias("analysis_id"), F.concat(F.lit("stored "), "conv_id").alias("analysis")).distinct()
+    return report.chat_target(asked, kept)
+
+
+@query("classification_dispatch", """with k as (select p_partkey as id, cast(p_partkey as varchar) as input_id, p_partkey % 5 as t from part), c as (select *, case when t = 0 and id % 3 = 0 then 'unopened' when t = 0 and id % 3 = 1 then 'no pages' when t = 0 then 'pdf' when t in (1, 2) then 'image' when t = 3 then 'unread' else 'else' end as c from k)
+select input_id, case c when 'pdf' then 'real_pdf' when 'image' then case when t = 1 then 'camera_photo' else 'screenshot' end when 'else' then 'unsupported' else 'unknown' end as kind, case c when 'pdf' then 0.94 when 'image' then case when t = 1 then 1.0 else 0.8611 end else 0 end::double as confidence,
+ c = 'image' as needs_ocr, c = 'image' and t = 1 as needs_preprocessing, case c when 'pdf' then 'pdf.real.extract_text' when 'image' then case when t = 1 then 'image.camera_photo.preprocessing' else 'image.screenshot.ocr' end when 'else' then 'unsupported' else 'manual_review' end as routing_key,
+ case c when 'unopened' then 'Could not open PDF: bad' when 'no pages' then 'PDF has zero pages' when 'unread' then 'image_classification_failed,low_confidence_image_classification' when 'else' then 'unsupported_mime_type' when 'image' then case when t = 1 then 'possible_blurry_camera_photo' else '' end else '' end as warnings from c""")
+def classification_dispatch(spark, d):
+    k = S.table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_partkey").cast("string").alias("input_id"), (F.col("p_partkey") % 5).alias("t"))
+    inputs = k.select("input_id", F.expr("case t when 0 then 'application/pdf' when 1 then 'image/jpeg' when 2 then 'image/png' when 3 then 'image/webp' else 'text/plain' end").alias("mime"), F.expr("case when t = 0 and id % 3 = 0 then 'bad' end").alias("open_error"))
+    pages = k.where("t = 0 and id % 3 = 2").select("input_id", F.lit(1).alias("page"), F.lit(400).alias("char_count"), F.lit(60).alias("word_count"), F.lit(0.0).alias("image_area"), F.lit(1.0).alias("page_area"))
+    images = k.where("t in (1, 2)").select("input_id", F.expr("case t when 1 then 'image/jpeg' else 'image/png' end").alias("mime"), F.col("t").isin(1).alias("exif_present"), F.expr("case t when 1 then 5 else 0 end").alias("camera_exif_tag_count"), F.expr("case t when 1 then 4000 else 720 end").alias("width"), F.expr("case t when 1 then 3000 else 1480 end").alias("height"), F.expr("case t when 1 then 60.0d else 1200.0d end").alias("blur_score"), F.lit(0.05).alias("edge_density"), (F.col("t") == 1).alias("has_document_contour"), F.expr("case t when 1 then 0.1d else 0.5d end").alias("max_contour_area_ratio"), F.lit(0.01).alias("axis_aligned_line_score"))
+    out = C.classified(inputs, C.pdf_features(pages), C.image_kind(images))
+    return out.withColumn("warnings", F.array_join("warnings", ","))
+
+
+@query("preprocessing_results", f"""with k as (select cast(event_id as varchar) as input_id, event_id, {KIND} as kind from events), c as (select *, kind not in ('real_pdf', 'unknown') as imaged, event_id % 10 / 10.0 as q from k)
+select input_id, kind, case when kind = 'unknown' then 'skipped' else 'completed' end as status, case when kind = 'unknown' then 0 else 2 end as page_count, case when kind = 'real_pdf' then 'original_pdf' when kind = 'screenshot' then 'ocr_grayscale' when imaged then 'thresholded' end as preferred,
+ case kind when 'real_pdf' then 'preserve_original_pdf,skip_image_rendering,skip_ocr' when 'screenshot' then 'grayscale,normalize_original,soft_contrast_enhancement' when 'camera_photo' then 'adaptive_threshold,contrast_enhancement,deskew,grayscale,normalize_original,small_noise_removal' when 'unknown' then '' else 'adaptive_threshold,contrast_enhancement,deskew,grayscale,rendered_original,small_noise_removal' end as operations,
+ case when imaged then round(q + case when kind = 'screenshot' then 0.005e0 else 0.01e0 end, 4) end::double as mean_readiness, case when kind = 'real_pdf' then true when imaged then q + 0.01e0 >= 0.35e0 else false end as is_ready, case when kind = 'unknown' then 'unsupported_source_kind_for_preprocessing' else '' end as warnings from c""")
+def preprocessing_results(spark, d):
+    k = kinds(spark, d).withColumn("page_count", F.lit(2))
+    outputs = X.variants(k.select("input_id", "kind", "event_id", F.explode(F.array(F.lit(1), F.lit(2))).alias("page"))).withColumn("readiness", F.col("event_id") % 10 / 10 + F.col("ord") / 100)
+    out = X.results(k.drop("event_id"), outputs.drop("kind", "event_id"))
+    return out.select("input_id", "kind", "status", "page_count", "preferred", F.array_join("operations", ",").alias("operations"), "mean_readiness", "is_ready", F.array_join("warnings", ",").alias("warnings"))
+
+
+@query("preview_variants", f"with k as (select cast(event_id as varchar) as input_id, {KIND} as kind from events) select input_id, 'page_preview' as variant, 'debug_preview' as purpose, false as is_candidate, 'grayscale_preview,light_contrast_enhancement' as operations from k where kind = 'real_pdf'")
+def preview_variants(spark, d):
+    rows = X.preview_variants(kinds(spark, d).select("input_id", F.lit(1).alias("page"), "kind"))
+    return rows.select("input_id", "variant", "purpose", "is_candidate", F.array_join("operations", ",").alias("operations"))
+
+
+OCRED = """ocred as (select input_id, 1 as page, v as variant, 6 as psm, seq as line_no, strftime(txn_date, '%d/%m/%Y') || ' ' || description || ' ' || replace(cast(amount as varchar), '.', ',') || case when v = 'original' then ' TL' else ' USD' end as text, round(0.5 + seq % 50 / 100.0, 2)::double as ocr_confidence, seq % 5 as word_count
+ from txn, (values ('original'), ('thresholded')) x(v) where direction = 'debit' and (v = 'original' or seq % 2 = 0))"""
+SCORED = f"{TXN}, {OCRED}, scored as (select input_id, variant, round(count(*) * 11.5e0 + avg(ocr_confidence) * 15 + least((sum(length(text)) + count(*) - 1) / 500, 8), 4) as ocr_score from ocred group by all)"
+
+
+def ocred(spark, d) -> DataFrame:
+    t = txn(spark, d).where("direction = 'debit'").withColumn("variant", F.explode(F.array(F.lit("original"), F.lit("thresholded")))).where("variant = 'original' or seq % 2 = 0")
+    text = F.concat_ws(" ", F.date_format("txn_date", "dd/MM/yyyy"), "description", F.replace(F.col("amount").cast("string"), F.lit("."), F.lit(",")), F.when(F.col("variant") == "original", "TL").otherwise("USD"))
+    return t.select("input_id", F.lit(1).alias("page"), "variant", F.lit(6).alias("psm"), F.col("seq").alias("line_no"), text.alias("text"), F.round(F.lit(0.5) + F.col("seq") % 50 / 100, 2).alias("ocr_confidence"), (F.col("seq") % 5).alias("word_count"))
+
+
+@query("ocr_variant_scores", f"{SCORED} select input_id, variant, round(ocr_score, 3) as ocr_score from scored")
+def ocr_variant_scores(spark, d):
+    return P.variant_scores(ocred(spark, d)).select("input_id", "variant", F.round("ocr_score", 3).alias("ocr_score"))
+
+
+@query("ocr_document_currency", f"{TXN}, c as (select input_id, case when seq % 3 = 0 then 'USD' else 'TRY' end as cur, count(*) as n, min(seq) as f from txn group by all) select input_id, cur as document_currency from c qualify row_number() over (partition by input_id order by n desc, f) = 1")
+def ocr_document_currency(spark, d):
+    """Only the currencies of amounts count: EUR stands in each line, but at none."""
+    lines = txn(spark, d).select("input_id", F.col("seq").alias("line_no"), F.expr("concat('EUR hesap EUR 05 ', case when seq % 3 = 0 then 'USD' else 'TL' end, ' 12,50')").alias("text"))
+    return P.document_currency(lines, "ocr")
+
+
+@query("image_extraction", f"""{SCORED}, best as (select input_id, variant from scored qualify row_number() over (partition by input_id order by round(ocr_score + case variant when 'original' then 0.80 else 0.70 end, 4) desc, variant) = 1)
+select o.input_id, o.line_no as seq, strftime(t.txn_date, '%Y-%m-%d') as date, t.description, cast(t.amount as double) as price, case when o.variant = 'original' then 'TRY' else 'USD' end as currency, round(least(0.95e0 * 0.78e0 + o.ocr_confidence * 0.18e0 + case when o.word_count >= 3 then 0.04e0 else 0 end, 0.98e0), 2)::double as confidence
+from ocred o join best using (input_id, variant) join txn t on t.input_id = o.input_id and t.seq = o.line_no""")
+def image_extraction(spark, d):
+    rows = ocred(spark, d)
+    outputs = rows.select("input_id", "page", "variant").distinct().select("*", F.when(F.col("variant") == "original", 0).otherwise(1).alias("ord"), (F.col("variant") == "thresholded").alias("is_preferred"))
+    found, _ = P.extract_ocr(rows, outputs)
+    return found.select("input_id", F.col("line_no").alias("seq"), F.date_format("date", "yyyy-MM-dd").alias("date"), "description", "price", "currency", "confidence")
+
+
+@query("extraction_summary", f"""{TXN} select input_id, count(*) as transaction_count, round(avg(cast(case when installment_total is not null then 98 else 95 end as double)) / 100, 4) as average_confidence, cast(sum(case when direction = 'debit' then amount else 0 end) as double) as total_debit, cast(sum(case when direction = 'credit' then amount else 0 end) as double) as total_credit from txn group by input_id""")
+def extraction_summary(spark, d):
+    found, _ = P.extract(S.statement_lines(txn(spark, d)))
+    return P.extraction_summary(found).select("input_id", "transaction_count", F.round("average_confidence", 4).alias("average_confidence"), money("total_debit").alias("total_debit"), money("total_credit").alias("total_credit"))
+
+
+@query("normalized_extraction", f"""{TXN} select input_id, seq, strftime(txn_date, '%Y-%m-%d') as date, cast(amount as double) as amount, 'TRY' as currency, case when description like 'TRENDYOL%' then 'TRENDYOL' else description || case when direction = 'credit' then ' IADE' else '' end end as merchant, 'valid' as validation_status from txn""")
+def normalized_extraction(spark, d):
+    found, _ = P.extract(S.statement_lines(txn(spark, d)))
+    rows = N.normalized(found.select("input_id", F.col("line_no").alias("seq"), F.col("date").cast("string").alias("date"), "price", "currency", "description", "direction", "confidence", F.col("installment.current").alias("installment_current"), F.col("installment.total").alias("installment_total")))
+    return rows.select("input_id", "seq", F.date_format("date", "yyyy-MM-dd").alias("date"), money("amount").alias("amount"), "currency", "merchant", "validation_status")
+
+
+@query("singular_alias", "select conv_id, turn, case when turn % 2 = 0 then 'plural' when turn % 3 = 0 then 'singular' end as transactions from conversations")
+def singular_alias(spark, d):
+    rows = S.table(spark, d, "conversations").select("conv_id", "turn", F.when(F.col("turn") % 2 == 0, "plural").alias("transactions"), F.when(F.col("turn") % 3 == 0, "singular").alias("transaction"))
+    return R.singular_alias(rows)
+
+
+@query("text_matching", "select conv_id, turn, case turn % 4 when 0 then 'iade' when 1 then 'müşteri limiti' when 2 then 'kalem' else 'asgari ödeme' end as text, turn % 4 in (1, 3) as noise, case when turn % 4 in (0, 3) then 'credit' else 'debit' end as direction from conversations")
+def text_matching(spark, d):
+    """Full-width and decomposed forms, dotless i, no-break spaces."""
+    wide = "".join(chr(ord(c) + 0xFEE0) for c in "IADE").replace("Ｉ", "ｉ")
+    said = F.element_at(F.array(*(F.lit(x) for x in (wide, "Mu\u0308s\u0327teri\u00a0LiMiTi", "kalem", "asgarı o\u0308deme"))), (F.col("turn") % 4 + 1).cast("int"))
+    rows = S.table(spark, d, "conversations").select("conv_id", "turn", said.alias("said"))
+    return rows.select("conv_id", "turn", T.for_matching(F.col("said")).alias("text"), T.is_noise(F.col("said")).alias("noise"), T.direction(F.col("said")).alias("direction"))
+
+
+@query("currency_tokens", f"{TXN} select input_id, seq, 'x  y' as rest, case seq % 3 when 0 then 'TRY' when 1 then 'USD' else 'EUR' end as code from txn")
+def currency_tokens(spark, d):
+    token = F.element_at(F.array(F.lit("TL"), F.lit("us$"), F.lit("€")), (F.col("seq") % 3 + 1).cast("int"))
+    return txn(spark, d).select("input_id", "seq", T.without_currencies(F.concat(F.lit("x"), F.lit(" "), token, F.lit("y"))).alias("rest"), T.currency(token).alias("code"))
+
+
+@query("merchant_words", f"{TXN} select input_id, seq, lower(description) as words from txn")
+def merchant_words(spark, d):
+    return txn(spark, d).select("input_id", "seq", T.merchant_text(F.concat(F.lit("POS "), "description", F.lit(" REF:"), F.lit(12345), F.lit(" *Onay/"))).alias("words"))
 
 
-@query("health", "select 1 as ok")
-def health(spark, d):
-    return spark.sql("select 1 as ok")
+@query("ocr_lines_by_top", """with w as (select l_orderkey as o, l_quantity as q, 'w' || l_partkey || '_' || l_linenumber as text, (l_partkey * 8 + l_linenumber) as x from lineitem)
+select cast(o as varchar) as input_id, string_agg(text, ' ' order by x) as text, cast(count(*) as int) as word_count, 0.9::double as ocr_confidence from w group by o, q""")
+def ocr_lines_by_top(spark, d):
+    """Rows of words far apart, each word a pixel or two up or down: groups are known."""
+    place = (F.col("l_partkey") * 8 + F.col("l_linenumber")).cast("int")
+    rows = S.table(spark, d, "lineitem").select(F.col("l_orderkey").cast("string").alias("input_id"), F.lit(1).alias("page"), F.lit("original").alias("variant"), F.lit(6).alias("psm"), F.concat(F.lit("w"), F.col("l_partkey"), F.lit("_"), F.col("l_linenumber")).alias("text"), place.alias("left"), (F.col("l_quantity") * 20 + F.col("l_partkey") % 3).cast("int").alias("top"), F.lit(30).alias("width"), F.lit(10).alias("height"), F.lit(90.0).alias("conf"))
+    return P.words_to_lines(P.ocr_words(rows)).select("input_id", "text", "word_count", "ocr_confidence")

@@ -9,7 +9,13 @@ from ..functions import fixed
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over as many partitions as there are cores, if it has fewer: a file of one row group would keep one core busy."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 #: orders as transactions, one document for each customer; valid in Spark SQL and DuckDB alike.
@@ -66,6 +72,14 @@ def mime(content: Column) -> Column:
     )
 
 
+def is_pdf(kind: Column) -> Column:
+    return kind == "application/pdf"
+
+
+def is_image(kind: Column) -> Column:
+    return kind.startswith("image/")
+
+
 def reject_reason(length: Column, kind: Column) -> Column:
     return F.when(length == 0, "empty").when(length > fixed.MAX_UPLOAD_BYTES, "too_large").when(~kind.isin(*fixed.ALLOWED_MIME), "unsupported_type")
 

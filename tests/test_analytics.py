@@ -114,3 +114,99 @@ def test_plans_variants_and_gates(spark):
     done = spark.createDataFrame([("p", "native_pdf_text", True, None), ("s", "ocr_multi_variant", False, "x")], "input_id string, method string, is_ready boolean, preferred_url string")
     assert {(r["input_id"], r["refused"], r["path"]) for r in X.extraction_gate(inputs, kinds, done).collect()} == {("p", None, "url"), ("s", "wrong_kind", None), ("u", "wrong_kind", None), ("n", "not_classified", None)}
     assert {(r["input_id"], r["refused"]) for r in X.extraction_gate(inputs, kinds, done, native=False).collect()} >= {("s", "not_ready")}
+
+
+def test_history_with_overlapping_numbers_stays(contract):
+    """History and current are numbered per document alike; only equal identifiers meet."""
+    old = contract.withColumn("txn_date", F.add_months("txn_date", -1))
+    assert analyze(contract, old)["reference"].count() == 8 and analyze(contract, contract)["reference"].count() == 8
+    named = contract.withColumn("transaction_id", F.concat(F.lit("t"), "seq"))
+    kept = analyze(named, named.where("seq < 2").withColumn("amount", F.lit(1).cast("decimal(18,2)")))["reference"]
+    assert sorted((r["transaction_id"], float(r["amount"])) for r in kept.collect()) == [("t0", 450.0), ("t1", 1200.0), ("t2", 320.0), ("t3", 30000.0)]
+    assert analyze(contract, old)["forecast"].first()["months"] == 2
+
+
+def test_ecdf_flag_has_words(spark):
+    rows = spark.createDataFrame([(["pyod_outlier_score"],), (["unknown_flag"],)], "flags array<string>")
+    said = [r[0] for r in rows.select(A.anomaly_message(F.lit("X"), F.lit(5.0), F.lit("TRY"), F.col("flags"))).collect()]
+    assert said == ["X (5.00 TRY) işlemi dikkat çekiyor: İstatistiksel sapma.", "X (5.00 TRY) işlemi dikkat çekiyor: Olağan dışı işlem."]
+
+
+def test_dimensions_are_checked(spark, contract, monkeypatch):
+    monkeypatch.setattr(A, "DIMENSION_ROWS", 2)
+    with pytest.raises(ValueError):
+        A.first_rule_by_join(contract, spark.createDataFrame([(i, "c", "x") for i in range(3)], "ord int, category string, pattern string"))
+    with pytest.raises(ValueError):
+        A.similar_categories(spark.createDataFrame([(1, [1.0])], "vec_id long, embedding array<double>"), spark.createDataFrame([(i, [1.0]) for i in range(3)], "ref_id long, embedding array<double>"))
+
+
+def test_taxonomy_texts():
+    from ledgerloom.functions import taxonomy
+
+    texts = taxonomy.reference_texts()
+    assert len(texts) == 19 and texts[12][2] == "category=accommodation; subcategory=hotel_stay; examples=HOTEL, OTEL, BOOKING, AIRBNB, KONAKLAMA"
+    assert taxonomy.allowed_categories()[:3] == ["travel", "food", "groceries"] and len(taxonomy.allowed_categories()) == 18
+
+
+def test_rules_see_any_case(spark):
+    from ledgerloom.functions import taxonomy
+
+    said = ["İSTANBULKART yükleme", "ACIBADEM", "acıbadem", "Vatan Bilgisayar", "PARA ÇEKME", "marketplace", "MARTI", "LC WAIKIKI", "bimserver"]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(said)], "i int, c string")
+    got = [r[0] for r in rows.orderBy("i").select(taxonomy.rule(F.col("c"))["category"]).collect()]
+    assert got == ["transport", "health", "health", "shopping", "finance", None, "transport", "clothing", None]
+
+
+def test_quality_metrics(spark):
+    import numpy as np
+
+    g = np.full((40, 50), 20, np.uint8)
+    g[10:30, 15:35] = 240
+    found = X.edges(g)
+    # the outline of the square, a pixel thick, closed
+    assert 60 <= found.sum() <= 90 and not found[15:25, 20:30].any() and not found[:8].any()
+    faint = np.full((20, 20), 100, np.uint8)
+    faint[:, 10:] = 115
+    assert not X.edges(faint).any()
+    joined = np.full((20, 20), 100, np.uint8)
+    joined[:10, 10:] = 200  # strong above, weak below, one edge
+    joined[10:, 10:] = 130
+    assert X.edges(joined)[3:17].any(1).all()
+    weak = joined.copy()
+    weak[:10, 10:] = 100
+    assert not X.edges(weak)[14:].any()
+    rows = spark.createDataFrame([("a", 50, 40, bytearray(g.tobytes())), ("b", 3, 3, bytearray(b"xx"))], "input_id string, width int, height int, pixels binary")
+    got = {r["input_id"]: r for r in X.quality_metrics(rows).withColumn("quality", C.quality()).collect()}
+    assert got["a"]["dark_pixel_ratio"] == 0.8 and got["a"]["bright_pixel_ratio"] == 0.2 and got["a"]["edge_density"] == round(found.mean(), 4)
+    assert 0 < got["a"]["quality"] <= 1 and got["b"]["edge_density"] is None
+
+
+def test_image_without_votes_is_unknown(spark):
+    rows = spark.createDataFrame([("x", "image/gif", True, 1, 100, 100, 200.0, 0.0, False, 0.0, 0.0)], "input_id string, mime string, exif_present boolean, camera_exif_tag_count int, width int, height int, blur_score double, edge_density double, has_document_contour boolean, max_contour_area_ratio double, axis_aligned_line_score double")
+    r = C.image_kind(rows).first()
+    assert (r["kind"], r["confidence"], r["warnings"]) == ("unknown", 0.0, ["image_classification_failed", "low_confidence_image_classification"])
+
+
+def test_records_append_and_latest(spark, tmp_path):
+    path = str(tmp_path / "records")
+    for at in (1, 2):
+        R.append(spark.createDataFrame([("a", at, f"v{at}"), ("b", at, "x")][: 3 - at], "input_id string, at int, v string"), path)
+    assert {(r["input_id"], r["v"]) for r in R.latest(spark.read.parquet(path), "input_id", "at").collect()} == {("a", "v2"), ("b", "x")}
+
+
+def test_autoregression_equals_numpy(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    series = {"a": rng.uniform(10, 99, 14), "b": rng.uniform(1, 5, 6), "c": np.full(8, 7.0), "short": rng.uniform(1, 2, 5)}
+    rows = [(k, "TRY", datetime.date(2024 + (i // 12), i % 12 + 1, 1), float(x)) for k, xs in series.items() for i, x in enumerate(xs)]
+    got = {r["input_id"]: r for r in A.ar_forecast(spark.createDataFrame(rows, "input_id string, currency string, month date, spend double")).collect()}
+    assert got.keys() == {"a", "b", "c"}
+    for k, r in got.items():
+        x = series[k]
+        sd = x.std() or 1.0
+        z = (x - x.mean()) / sd
+        m = np.stack([z[i : len(z) - 3 + i] for i in range(3)] + [np.ones(len(z) - 3)], 1)
+        beta = np.linalg.solve(m.T @ m + 0.1 * np.eye(4), m.T @ z[3:])
+        blended = 0.6 * (np.append(z[-3:], 1.0) @ beta * sd + x.mean()) + 0.4 * np.average(x[-6:], weights=range(1, len(x[-6:]) + 1))
+        assert r["predicted"] == pytest.approx(min(max(blended, x.min() * 0.5), x.max() * 1.5), abs=0.006) and r["months"] == len(x)
