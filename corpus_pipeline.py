@@ -36,7 +36,7 @@ def repeated_spans_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated by their fitted rates: the whole part, and once more if a hash of doc_id and text falls under the rest.
 
-    Rates are fitted under the bound that none is below 1, for the least budget at which no domain has to shrink: mixing
+    Rates are fitted under the bound that none is below 1, for a budget at which no domain has to shrink: mixing
     adds copies of what is short, meets its targets and loses no clean document.
     """
     rows = docs.select(*COLUMNS)

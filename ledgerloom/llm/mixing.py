@@ -27,6 +27,8 @@ MAX_LABELLED = 50_000
 #: Words at which the evidence of a text has half the weight that it can reach.
 HALF_WORDS = 50.0
 MEMO_WORDS = 500_000
+#: Room above the least budget that leaves all domains whole.
+SLACK = 1.1
 #: Domains of the labels table, and the weights of the query.
 DOMAINS = ("good", "poor", "toxic")
 WEIGHTS = {"good": 0.80, "poor": 0.15, "toxic": 0.05}
@@ -137,9 +139,10 @@ class Fit(NamedTuple):
 def fit_rates(members: DataFrame, weights: list[float], budget: float | str = "supply", least: float = 0.0, tolerance: float = 1e-6) -> Fit:
     """Nonnegative rates, none below `least`, by projected-gradient least squares.
 
-    budget: tokens in all, "supply" for as many as there are, or "cover" for the least budget at which no wanted domain
-    has to shrink, so that no document's rate needs to fall below 1. The rounds end when the targets are met, or when
-    no step brings the squared gap down by half a per cent (the targets can't be met; `met` says so).
+    budget: tokens in all, "supply" for as many as there are, or "cover" for SLACK times the least budget at which no
+    wanted domain has to shrink: no document's rate needs to fall below 1, and copies of other domains' documents, which
+    bring a little of each domain, have room. The rounds end when the targets are met, or when no step brings the
+    squared gap down by a tenth (the targets can't be met; `met` says so).
     """
     k = len(weights)
     share = np.array(weights, float) / sum(weights)
@@ -158,7 +161,7 @@ def fit_rates(members: DataFrame, weights: list[float], budget: float | str = "s
     if budget == "supply":
         budget = float(have.sum())
     elif budget == "cover":
-        budget = float((have[share > 0] / share[share > 0]).max())
+        budget = SLACK * float((have[share > 0] / share[share > 0]).max())
     goal = share * budget
     met = lambda x: bool(np.abs(x - goal).max() <= tolerance * max(budget, 1.0))
     steps: list[list[float]] = []
@@ -170,7 +173,7 @@ def fit_rates(members: DataFrame, weights: list[float], budget: float | str = "s
         gap = float(((have - goal) ** 2).sum())
         for step in (newton, newton / 4, newton / 32, 8 * plain, plain, plain / 8):
             found = sums([*steps, step.tolist()])
-            if ((found[0] - goal) ** 2).sum() < 0.995 * gap:
+            if ((found[0] - goal) ** 2).sum() < 0.9 * gap:
                 break
         else:
             break

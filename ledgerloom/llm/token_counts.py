@@ -10,42 +10,43 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import kept_by, only, small_batches, table
-from .transducer import Transducer
+from .transducer import CHUNK_BYTES, CHUNK_CHARS, Transducer
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 LIMIT = 2048
 
-_compiled: dict[str, Transducer] = {}
+_compiled: dict[tuple, Transducer] = {}
 kept_by("token_counts", _compiled.clear)
 
 
-def transducer(path: str) -> Transducer:
+def transducer(path: str, chunk_chars: int, chunk_bytes: int) -> Transducer:
     """One per worker process; it keeps what it has compiled."""
-    if path not in _compiled:
-        _compiled[path] = Transducer(path)
-    return _compiled[path]
+    key = path, chunk_chars, chunk_bytes
+    if key not in _compiled:
+        _compiled[key] = Transducer(*key)
+    return _compiled[key]
 
 
-def token_counter(path: str, chunk_chars: int):
+def token_counter(path: str, chunk_chars: int, chunk_bytes: int):
     @F.pandas_udf("long")
     def count(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         only("token_counts")
-        t = transducer(path)
+        t = transducer(path, chunk_chars, chunk_bytes)
         for s in texts:
-            yield pd.Series([t.count(x, chunk_chars) for x in s], dtype="int64")
+            yield pd.Series([t.count(x) for x in s], dtype="int64")
 
     return count
 
 
-def count_tokens(docs: DataFrame, text: str = "text", vocabulary: str = VOCABULARY, chunk_chars: int = 1 << 16, out: str = "n_tokens") -> DataFrame:
+def count_tokens(docs: DataFrame, text: str = "text", vocabulary: str = VOCABULARY, chunk_chars: int = CHUNK_CHARS, chunk_bytes: int = CHUNK_BYTES, out: str = "n_tokens") -> DataFrame:
     """docs with the tokens of each whole text in column `out` (replaced if there).
 
-    A null text counts as empty: 0 tokens. Texts over chunk_chars are counted chunk by chunk, the chunks'
-    state maps being composed by a prefix scan; the result doesn't depend on chunk_chars. Rows stay as
-    they are: repeated rows and other columns are kept.
+    A null text counts as empty: 0 tokens. Each text is counted chunk by chunk, the chunks' state maps being composed
+    by a prefix scan; the result doesn't depend on the sizes of chunks. Rows stay as they are: repeated rows and
+    other columns are kept.
     """
     small_batches(docs.sparkSession)
-    return docs.withColumn(out, token_counter(vocabulary, chunk_chars)(F.coalesce(F.col(text), F.lit(""))))
+    return docs.withColumn(out, token_counter(vocabulary, chunk_chars, chunk_bytes)(F.coalesce(F.col(text), F.lit(""))))
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,9 +8,11 @@ neighbours, so the set is deterministic. Each transition carries the tokens that
 certain (the smallest count moves to the transition); the word's last symbol emits the rest.
 States and transitions are compiled when first met and kept.
 
-White space resets the transducer, whatever the state. The state map of a chunk of text is hence
-its open head, the count of its closed middle and its open tail. Such maps compose associatively,
-and `scan` composes the maps of all chunks as a balanced tree (a parallel prefix scan).
+A pre-token's end resets the transducer, whatever the state. Text is cut into chunks, long pre-tokens between
+any two bytes. A chunk's state map gives, for a state at its entry, the state at its exit and the tokens emitted
+between: by a constant from its first reset on, before that by a table of entry states. The table is filled ahead
+for the state that the bytes before the chunk lead to, and for others when they are met. Maps compose
+associatively, and `scan` composes the maps of all chunks of a text as a balanced tree (a parallel prefix scan).
 """
 
 from __future__ import annotations
@@ -34,6 +36,8 @@ SPACE_RUN = re.compile(f"[{SPACES}]+")
 ODD_SPACES = re.compile("[\x1c-\x1f]")
 #: Runs and compiled states that a worker keeps before it starts anew.
 MEMO_RUNS, MEMO_STATES = 250_000, 200_000
+#: Characters of a chunk of text, bytes of a chunk of a pre-token, and the bytes before it that its entry state is guessed from.
+CHUNK_CHARS, CHUNK_BYTES, WARM_BYTES = 4096, 1024, 64
 
 
 def byte_symbols() -> list[str]:
@@ -58,7 +62,8 @@ def pretokens(text: str) -> list[str]:
 
 
 class Transducer:
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, chunk_chars: int = CHUNK_CHARS, chunk_bytes: int = CHUNK_BYTES) -> None:
+        self.chunk_chars, self.chunk_bytes = chunk_chars, chunk_bytes
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -154,21 +159,61 @@ class Transducer:
         self.step[i << 8 | b] = j << 8 | emitted
         return j << 8 | emitted
 
-    def word(self, text: str) -> int:
-        """Tokens of one pre-token."""
-        step, data = self.step, text.encode("utf-8")
-        i = total = 0
-        for b in data[:-1]:
+    def walk(self, i: int, data: bytes) -> tuple[int, int]:
+        """The state after reading data from state i, and the tokens emitted."""
+        step, total = self.step, 0
+        for b in data:
             t = step.get(i << 8 | b)
             if t is None:
                 t = self.compile_step(i, b)
             i = t >> 8
             total += t & 255
+        return i, total
+
+    def finish(self, i: int, data: bytes) -> int:
+        """The tokens emitted from state i to the end of a pre-token of which data is the rest."""
+        i, total = self.walk(i, data[:-1])
         key = i << 8 | data[-1]
         final = self.last.get(key)
         if final is None:
             final = self.last[key] = self.advance(self.states[i], self.symbol[data[-1]] + self.end)[2]
-        total += final
+        return total + final
+
+    def chunk(self, before: bytes, data: bytes, ends: bool) -> StateMap:
+        """The state map of some bytes of a pre-token; ends: they are its last; before: those before them."""
+        guess = self.walk(0, before)[0]
+        m = StateMap(data, ends, 0, 0, {})
+        self.applied(m, guess)
+        return m
+
+    def applied(self, m: StateMap, i: int) -> tuple[int, int]:
+        """Exit state and tokens emitted for entry state i."""
+        found = m.table.get(i)
+        if found is None:
+            found = (m.exit, self.finish(i, m.head) + m.count if m.head else m.count) if m.resets else self.walk(i, m.head)
+            m.table[i] = found
+        return found
+
+    def compose(self, a: StateMap, b: StateMap) -> StateMap:
+        if a.resets:
+            state, count = self.applied(b, a.exit)
+            return StateMap(a.head, True, a.count + count, state, {i: (state, n + count) for i, (_, n) in a.table.items()})
+        table = {}
+        for i, (j, n) in a.table.items():
+            k, more = self.applied(b, j)
+            table[i] = (k, n + more)
+        return StateMap(a.head + b.head, b.resets, b.count, b.exit, table)
+
+    def scan(self, maps: list[StateMap]) -> StateMap:
+        while len(maps) > 1:
+            maps = [self.compose(*maps[i : i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
+        return maps[0]
+
+    def word(self, text: str) -> int:
+        """Tokens of one pre-token."""
+        data, size = text.encode("utf-8"), self.chunk_bytes
+        cuts = range(0, len(data), size)
+        total = self.applied(self.scan([self.chunk(data[max(0, i - WARM_BYTES) : i], data[i : i + size], i + size >= len(data)) for i in cuts]), 0)[1]
         if len(self.states) > MEMO_STATES:
             self.restart()
         if len(text) <= 32:
@@ -193,41 +238,32 @@ class Transducer:
                 self.runs[text] = found
         return found
 
-    def chunk(self, text: str) -> ChunkMap:
-        """The state map of a chunk of text."""
-        pieces = SPACE_RUN.split(text)
-        if len(pieces) == 1:
-            return ChunkMap(text, 0, None)
-        return ChunkMap(pieces[0], sum(map(self.run, pieces[1:-1])), pieces[-1])
-
-    def compose(self, a: ChunkMap, b: ChunkMap) -> ChunkMap:
-        if a.tail is None:
-            return ChunkMap(a.head + b.head, b.count, b.tail)
-        if b.tail is None:
-            return ChunkMap(a.head, a.count, a.tail + b.head)
-        return ChunkMap(a.head, a.count + self.run(a.tail + b.head) + b.count, b.tail)
-
-    def scan(self, maps: list[ChunkMap]) -> ChunkMap:
-        while len(maps) > 1:
-            maps = [self.compose(*maps[i : i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
-        return maps[0]
+    def chunks(self, text: str) -> list[StateMap]:
+        """The state maps of a text's chunks, cut at white space: each of them resets."""
+        runs = [x for x in SPACE_RUN.split(text) if x] if ODD_SPACES.search(text) else text.split()
+        get, run = self.runs.get, self.run
+        out, total, chars = [], 0, 0
+        for x in runs:
+            n = get(x)
+            total += run(x) if n is None else n
+            chars += len(x) + 1
+            if chars >= self.chunk_chars:
+                out.append(StateMap(b"", True, total, 0, {}))
+                total = chars = 0
+        out.append(StateMap(b"", True, total, 0, {}))
+        return out
 
-    def count(self, text: str, chunk_chars: int = 1 << 16) -> int:
+    def count(self, text: str) -> int:
         """Tokens of a whole text."""
-        if len(text) <= chunk_chars and not ODD_SPACES.search(text):
-            total, get, run = 0, self.runs.get, self.run
-            for x in text.split():
-                n = get(x)
-                total += run(x) if n is None else n
-            return total
-        m = self.scan([self.chunk(text[i : i + chunk_chars]) for i in range(0, max(1, len(text)), chunk_chars)])
-        return m.count + self.run(m.head) + (self.run(m.tail) if m.tail else 0)
+        return self.applied(self.scan(self.chunks(text)), 0)[1]
 
 
 @dataclass(frozen=True)
-class ChunkMap:
-    """head: before the first white space (continues the state at entry); count: of what is closed; tail: after the last white space, None if the chunk has none."""
+class StateMap:
+    """What a chunk does: head: bytes read in the entry state; resets: a pre-token ends in it, the first one after head; count, exit: tokens after that and the state at the end; table: exit state and tokens of entry states met."""
 
-    head: str
+    head: bytes
+    resets: bool
     count: int
-    tail: str | None
+    exit: int
+    table: dict[int, tuple[int, int]]
