@@ -3,6 +3,7 @@
 import base64
 import bisect
 import collections
+import gzip
 import hashlib
 import random
 import re
@@ -440,23 +441,48 @@ def test_warc_round_trip(spark, tmp_path):
     rows = [(1, "http://a/b", "x", "clash"), (2, None, "x", "c"), (3, "u\r\nX: y", evil, "c"), (9, "u", None, "c"), (12, "u", "", "c"), (15, "u", "x", "c"), (20, "http://é/", "ü" * 5000, "c"), (None, "u", "gone", "c")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, record string")
     path = f"file://{tmp_path}/warc"
-    warc.write_archives(warc.capture_records(pages), path, file_records=4)
+    warc.write_archives(warc.capture_records(pages), path, file_bytes=900)
     records = warc.read_archives(spark, path).cache()
     assert records.count() == 21
     got = {r["record_id"]: r for r in warc.assemble(records).collect()}
     assert len(got) == 7
     for k, _, html, _ in rows[:-1]:
-        r = got[warc.record_uri("response", k)]
+        sha = warc.digest_of((html or "").encode())
+        r = got[warc.record_uri("response", k, sha)]
         owner = {1: 15, 2: 15, 9: 12}.get(k)
         assert r["response"]["type"] == ("revisit" if owner else "response")
-        assert r["response"]["refers_to"] == (warc.record_uri("response", owner) if owner else None)
+        assert r["response"]["refers_to"] == (warc.record_uri("response", owner, sha) if owner else None)
         assert r["response"]["payload"] == (None if owner else (html or "").encode())
         assert r["response"]["payload_digest"] == "sha1:" + base64.b32encode(hashlib.sha1((html or "").encode()).digest()).decode()
         assert bytes(r["metadata"]["payload"]) == f"page-id: {k}".encode() and r["request"]["http"].startswith("GET ")
+    files = [f.read_bytes() for f in (tmp_path / "warc").glob("*.txt")]
+    assert len(files) >= 4 and sum(gzip.decompress(x).count(b"WARC/1.1\r\nWARC-Type") for x in files) == 21
+    assert all(x.startswith(b"WARC/1.1\r\n") and x.endswith(b"\r\n\r\n") for f in files for x in warc.members(f))  # a member for each record
     digest = spark.createDataFrame([("x",)], "c string").select(warc.base32(F.sha1(F.encode("c", "utf-8"))).alias("d")).first()["d"]
     assert digest == warc.digest_of(b"x")
 
 
+def test_warc_of_odd_pages(spark, tmp_path, monkeypatch):
+    """No pages; a record over a member's bytes; a page_id with two payloads; repeated rows."""
+    monkeypatch.setattr(warc, "MEMBER_BYTES", 1000)
+    data = warc.record({"WARC-Type": "response", "WARC-Record-ID": "<x>"}, b"ab" * 5000)
+    assert len(list(warc.members(data))) == 11 and [x[1] for x in warc.parsed(data * 2)] == [b"ab" * 5000] * 2
+    with pytest.raises(ValueError):
+        list(warc.parsed(data[:-30]))
+    pages = spark.createDataFrame([(7, "u", "one"), (7, "u", "two"), (7, "u", "two"), (8, None, "two"), (9, "u", "long " * 100_000)], "page_id long, url string, html string")
+    for name, rows, n in (("some", pages, 5), ("none", pages.where("false"), 0)):
+        path = f"file://{tmp_path}/{name}"
+        warc.write_archives(warc.capture_records(rows), path)
+        got = warc.assemble(warc.read_archives(spark, path)).collect()
+        assert len(got) == n and all(r["request"] and r["metadata"] for r in got)
+    pages.write.parquet(f"{tmp_path}/t/pages.parquet")
+    out = warc.op5_warc(spark, f"file://{tmp_path}/t")
+    assert out.columns[:5] == ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    d = lambda x: warc.digest_of(x.encode())
+    want = [(7, 3, d("one"), "response", None), (7, 3, d("two"), "revisit", 8), (7, 3, d("two"), "revisit", 8), (8, 3, d("two"), "response", None), (9, 500_000, d("long " * 100_000), "response", None)]
+    assert sorted(map(tuple, out.collect()), key=str) == sorted(want, key=str)
+
+
 def test_toxicity_learns_from_its_folds_only(spark):
     rng = random.Random(8)
     rows, labels = [], []
