@@ -22,7 +22,7 @@ from .common import small_batches, stored, table
 
 WIDTH = 64
 PREFIX = "sha256:"
-ITEM_SCHEMA = "position int, kind string, text string, digest string, caption string"
+ITEM_SCHEMA = "position int, kind string, text string, digest string, caption string, attributes map<string,string>"
 FEATURE_SCHEMA = "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 #: Elements that end a text item; elements whose text is none of the document's.
 BLOCKS = frozenset("address article aside blockquote body br dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section table tbody td th thead tr ul".split())
@@ -30,7 +30,7 @@ SILENT = frozenset(("script", "style", "template", "noscript"))
 
 
 class Interleaver(HTMLParser):
-    """items: (kind, text, digest or source, caption) in document order; a figure's caption goes to its media."""
+    """items: (kind, text, digest or source, caption, attributes) in document order; a figure's caption goes to its media."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
@@ -51,7 +51,7 @@ class Interleaver(HTMLParser):
             if not self.figure:
                 self.pending = text
         else:
-            self.items.append(["text", text, None, None])
+            self.items.append(["text", text, None, None, None])
 
     pending: str | None = None
 
@@ -70,7 +70,7 @@ class Interleaver(HTMLParser):
                 self.flush()
                 if self.figure is not None:
                     self.figure.append(len(self.items))
-                self.items.append(["media", None, a["src"], self.pending or a.get("alt")])
+                self.items.append(["media", None, a["src"], self.pending or a.get("alt"), [(k, v or "") for k, v in a.items() if k != "src"]])
 
     def handle_endtag(self, tag: str) -> None:
         if tag in SILENT:
@@ -96,7 +96,7 @@ def interleave(html: str) -> list[list]:
 
 
 def items_of(pages: DataFrame, key: str, html: str) -> DataFrame:
-    """(key, position, kind, text, digest, caption): the items of each page in order. digest: of references `sha256:...`, else the reference itself. A null html has no items."""
+    """(key, position, kind, text, digest, caption, attributes): the items of each page in order. digest: of references `sha256:...`, else the reference itself. A null html has no items."""
     kind = pages.schema[key].dataType.simpleString()
     small_batches(pages.sparkSession)
 
@@ -104,24 +104,25 @@ def items_of(pages: DataFrame, key: str, html: str) -> DataFrame:
         for b in batches:
             at, rows = [], []
             for i, h in enumerate(b.column(1).to_pylist()):
-                for n, (what, text, ref, caption) in enumerate(interleave(h or "")):
+                for n, (what, text, ref, caption, attributes) in enumerate(interleave(h or "")):
                     at.append(i)
-                    rows.append((n, what, text, ref.removeprefix(PREFIX) if ref else None, caption))
-            c = list(zip(*rows)) if rows else [[]] * 5
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(c[0], pa.int32()), *(pa.array(x, pa.string()) for x in c[1:])], names=[key, "position", "kind", "text", "digest", "caption"])
+                    rows.append((n, what, text, ref.removeprefix(PREFIX) if ref else None, caption, attributes))
+            c = list(zip(*rows)) if rows else [[]] * 6
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(c[0], pa.int32()), *(pa.array(x, pa.string()) for x in c[1:5]), pa.array(c[5], pa.map_(pa.string(), pa.string()))], names=[key, "position", "kind", "text", "digest", "caption", "attributes"])
 
     return pages.select(key, html).mapInArrow(parse, f"`{key}` {kind}, {ITEM_SCHEMA}")
 
 
 def resolve(items: DataFrame, media: DataFrame) -> DataFrame:
-    """items with the columns of media (a row for each digest); null where a reference is unknown or the item is text."""
-    return items.join(media, "digest", "left")
+    """items with the columns of media (a row for each digest); null where a reference is unknown or the item is text. Text items take no part in the join: their null digest would be one key."""
+    met = items.where("digest is not null").join(media, "digest", "left")
+    return met.unionByName(items.where("digest is null"), allowMissingColumns=True)
 
 
 def sequences(resolved: DataFrame, key: str) -> DataFrame:
     """(key, items): a page's items as one array of structs, by position."""
     rest = [c for c in resolved.columns if c not in (key, "position")]
-    return resolved.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("position", *rest))).alias("items"))
+    return resolved.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("position", *rest)), lambda a, b: a["position"] - b["position"]).alias("items"))
 
 
 def png(payload: bytes) -> bytes:
@@ -207,14 +208,26 @@ def read_media(media: DataFrame) -> DataFrame:
     return found.groupBy("digest").agg(*(F.min(c).alias(c) for c in found.columns if c != "digest"))
 
 
+def article(text: Column, figure: Column) -> Column:
+    """A page with each line of a text as a paragraph, the figure after the first."""
+    escaped = F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    lines = F.split(escaped, "\n")
+    rest = F.array_join(F.slice(lines, F.lit(2), F.size(lines)), "</p><p>")
+    return F.concat(F.lit("<article><p>"), lines[0], F.lit("</p>"), figure, F.lit("<p>"), rest, F.lit("</p></article>"))
+
+
 def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each whole text as a page with its payload as a figure; the columns come from the media item of the page's sequence. Of text items the sequence keeps the length only: the query returns no texts."""
     docs = table(spark, sf_dir, "documents")
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "lang", "source").withColumn("payload", padded(F.col("text")))
     media = stored(media_table(rows.select("payload")), "media")
-    caption = F.concat_ws(" ", F.octet_length("text"), F.coalesce("lang", F.lit("")), F.coalesce("source", F.lit("")))
-    escaped = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit('"'), F.lit("&quot;"))
-    pages = rows.select("doc_id", F.concat(F.lit("<article><p>"), escaped(F.substring_index("text", "\n", 1)), F.lit(f'</p><figure><img src="{PREFIX}'), F.sha2("payload", 256), F.lit('"><figcaption>'), escaped(caption), F.lit("</figcaption></figure></article>")).alias("html"))
-    items = items_of(pages, "doc_id", "html").where("kind = 'media'").drop("text")
-    found = resolve(items, stored(read_media(media), "features").hint("merge"))
-    n_bytes = F.substring_index("caption", " ", 1).cast("long")
-    return found.select("doc_id", n_bytes.alias("n_bytes"), "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")
+    quoted = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit('"'), F.lit("&quot;"))
+    figure = F.concat(F.lit(f'<figure><img src="{PREFIX}'), F.sha2("payload", 256), F.lit('" data-bytes="'), F.octet_length("text"), F.lit('"><figcaption>'), quoted(F.concat_ws(" ", "lang", "source")), F.lit("</figcaption></figure>"))
+    pages = rows.select("doc_id", F.monotonically_increasing_id().alias("_row"), article(F.col("text"), figure).alias("html"))
+    items = items_of(pages.select(F.struct("doc_id", "_row").alias("page"), "html"), "page", "html")
+    items = stored(items.withColumn("n_chars", F.length("text")).drop("text"), "items")  # read twice: media and text items
+    found = sequences(resolve(items, stored(read_media(media), "features").hint("merge")), "page")
+    m = F.filter("items", lambda x: x["kind"] == "media")[0]
+    found = found.select("page.doc_id", m.alias("m"), F.size("items").alias("n_items"), F.aggregate("items", F.lit(0).cast("long"), lambda n, x: n + F.coalesce(x["n_chars"], F.lit(0))).alias("text_chars"))
+    columns = [f"m.{c}" for c in ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")]
+    return found.select("doc_id", F.col("m.attributes")["data-bytes"].cast("long").alias("n_bytes"), *columns, "n_items", "text_chars")

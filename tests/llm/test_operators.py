@@ -434,6 +434,40 @@ def test_media_round_trip_and_captions(spark, docs, texts, empty):
     rows = docs.select("doc_id", media.padded(F.col("text")).alias("payload")).collect()
     assert all(len(r["payload"]) % 64 == 0 and len(r["payload"]) >= 64 and bytes(r["payload"]).startswith((texts[r["doc_id"]] or "").encode()) for r in rows)
     assert media.read_media(media.media_table(empty.select(media.padded(F.col("text")).alias("payload")))).count() == 0
+    attributes = {r["digest"]: r["attributes"] for r in media.items_of(spark.createDataFrame([(1, '<img src="a" alt="x" data-n=5><img src=b>')], "k long, html string"), "k", "html").collect()}
+    assert attributes == {"a": {"alt": "x", "data-n": "5"}, "b": {}}
+
+
+def test_media_query_against_plain_bytes(spark, docs, texts, empty, tmp_path):
+    """All of the contract's columns of the query, each text's feature by plain counting; repeated rows and an empty table."""
+    more = [(49, "a\0"), (51, '<p>"x" & y\n\n</p>'), (None, "no id")]
+    table = docs.select("doc_id", "text", "lang", "source").unionByName(spark.createDataFrame([(k, t, None, '"<s>') for k, t in more], "doc_id long, text string, lang string, source string"))
+    table.unionByName(table.where("doc_id = 3")).write.parquet(f"{tmp_path}/documents.parquet")
+    got = media.op6_media_columns(spark, f"file://{tmp_path}").collect()
+    rows = [*texts.items(), *more, (3, texts[3])]
+    assert len(got) == len(rows)
+    want = collections.Counter()
+    for k, t in rows:
+        raw = (t or "").encode()
+        payload = raw + bytes(max(64, -(-len(raw) // 64) * 64) - len(raw))
+        want[k, len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:])] += 1
+    assert collections.Counter((r["doc_id"], r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) for r in got) == want
+    by = {r["payload_sha256"]: r for r in got}
+    for k in (3, 11, 42, 45, 47):
+        raw = (texts[k] or "").encode()
+        payload = raw + bytes(max(64, -(-len(raw) // 64) * 64) - len(raw))
+        r = by[hashlib.sha256(payload).hexdigest()]
+        image = media.png(payload)
+        assert (r["media_bytes"], r["media_sha256"]) == (len(image), hashlib.sha256(image).hexdigest())
+        n, mean = len(payload), sum(payload) / len(payload)
+        sd = (sum((x - mean) ** 2 for x in payload) / n) ** 0.5
+        entropy = -sum(c / n * np.log2(c / n) for c in collections.Counter(payload).values())
+        size, *figures, _ = r["feature"].split(";")
+        assert size == f"64x{n // 64}" and [float(x.split("=")[1]) for x in figures] == pytest.approx([mean, sd, abs(entropy)], abs=2e-4)
+    r = next(r for r in got if r["doc_id"] == 51)
+    assert r["caption"] == '"<s>' and r["text_chars"] == len('<p>"x" & y</p>') and r["n_items"] == 3
+    empty.write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert media.op6_media_columns(spark, f"file://{tmp_path}/none").count() == 0
 
 
 def test_warc_round_trip(spark, tmp_path):
