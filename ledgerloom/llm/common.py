@@ -16,10 +16,12 @@ ARROW_ROWS = 256
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where the session names none."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local master gets a folder of its own; a cluster gets an error, as its machines share no local one."""
     conf = spark.sparkContext.getConf()
     found = conf.get("spark.checkpoint.dir", None) or spark.conf.get("ledgerloom.shared.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="ledgerloom-")
         spark.conf.set("ledgerloom.shared.dir", found)
     return found.rstrip("/")
@@ -31,13 +33,19 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it again: lineage is cut and survives lost executors."""
+    """Writes df to the shared folder and reads it again: lineage is cut and survives lost executors. The table goes when the application ends."""
     spark = df.sparkSession
     path = shared_path(spark, name)
     df.write.parquet(path)
+    ends_with_application(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def ends_with_application(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+
+
 #: How to empty what each operator's functions keep in a worker process, which Spark uses again for the next operator.
 _caches: dict[str, Callable[[], None]] = {}
 
@@ -54,7 +62,10 @@ def only(name: str) -> None:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A driver table, over as many partitions as there are cores if it has fewer: a file of one row group would keep one core busy."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def small_batches(spark: SparkSession) -> None:

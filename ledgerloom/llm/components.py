@@ -13,8 +13,8 @@ def star(edges: DataFrame, large: bool) -> DataFrame:
     sides = edges.select("u", "v")
     if large:
         sides = sides.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = sides.groupBy("u").agg(F.min("v").alias("m"))
-    met = sides.join(least, "u").select("u", "v", F.least("u", "m").alias("m") if large else F.col("m"))
+    least = stored(sides.groupBy("u").agg(F.min("v").alias("m")), "least")  # so that the join has plain shuffles on both sides, of which Spark splits that of a hot node
+    met = sides.join(least.hint("merge"), "u").select("u", "v", F.least("u", "m").alias("m") if large else F.col("m"))
     if large:
         out = met.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
@@ -22,15 +22,15 @@ def star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("u > v").distinct()
 
 
-def components(edges: DataFrame, most: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, class): the least node of each node's component, for nodes in edges (u, v), u > v.
 
-    Each round is written to the shared folder, so a lost executor costs a round at most. The stars
-    converge in a number of rounds that grows with the logarithm of the longest path.
+    Each round is written to the shared folder, so a lost executor costs a round at most. The rounds
+    end when the edges are stars and stay so, after a number of rounds that grows with the logarithm of the longest path.
     """
     edges = stored(edges.distinct(), "edges")
     before = None
-    for _ in range(most):
+    while True:
         edges = stored(star(star(edges, True), False), "edges")
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % 1_000_003)).first()
         if now == before or not now[0]:

@@ -11,18 +11,20 @@ Byte strings of `length` that start at two or more places are removed wherever t
    one residue of a difference cover (all rows start at the anchor, so one shift serves). Neighbours' common lengths then name, for each place of the
    anchor in a window, what stands before and after it; windows with equal names are equal.
 4. An anchor with over `HOT_BLOCKS` different blocks is split into buckets of one 400-byte prefix each:
-   windows are grouped by place and hash, which Spark sums before it shuffles. Nothing is dropped.
+   windows are grouped by place and 128-bit hash, which Spark sums before it shuffles. Nothing is dropped.
+
+Blocks and windows of hot anchors are equal by 128-bit hashes, all others by their bytes.
 
 A task holds a bucket of at most HOT_BLOCKS blocks of under 2 * length bytes.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,8 +36,9 @@ LENGTH, GRAM, PERIOD, HOT_BLOCKS = 400, 96, 32, 4000
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 5)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _BYTE = np.random.default_rng(9).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-#: Place bits of an anchor's sort key: texts up to 2**28 bytes.
-_PLACE = np.uint64((1 << 28) - 1)
+#: Bytes of a text that are read at once, and the bits of a place in them.
+SEGMENT = 1 << 25
+_PLACE = np.uint64((1 << 26) - 1)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -79,17 +82,27 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(back[: n - w + 1], ahead[w - 1 : n])
 
 
-def blocks_of(data: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """(anchor hash, hash of the block, first and last window start, anchor place) of each block; the text has at least length bytes."""
-    prefix = prefix_hashes(data)
-    at = np.arange(len(data) - gram + 1)
-    g = span_hash(prefix, at, at + gram)
-    place = (sliding_min((g & ~_PLACE) | at.astype(np.uint64), length - gram + 1) & _PLACE).astype(np.int64)
-    first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
-    last = np.append(first[1:], len(place)) - 1
-    p = place[first]
-    body = mixed(span_hash(prefix, first, last + length) * np.uint64(3) + ((p - first) * 4096 + p - last).astype(np.uint64))
-    return g[p], body, first, last, p
+def blocks_of(text: bytes, length: int, gram: int, segment: int = SEGMENT) -> list[np.ndarray]:
+    """[anchor hash, hash of the block in two numbers, first and last window start, anchor place] of each block; the text has at least length bytes.
+
+    A text is read in segments of `segment` window starts; a block that reaches into the next one is two.
+    """
+    out: list[list[np.ndarray]] = []
+    for low in range(0, len(text) - length + 1, segment):
+        part = text[low : low + segment + length - 1]
+        data = np.frombuffer(part, np.uint8)
+        prefix = prefix_hashes(data)
+        at = np.arange(len(data) - gram + 1)
+        g = span_hash(prefix, at, at + gram)
+        place = (sliding_min((g & ~_PLACE) | at.astype(np.uint64), length - gram + 1) & _PLACE).astype(np.int64)
+        first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
+        last = np.append(first[1:], len(place)) - 1
+        p = place[first]
+        # 128 bits of the bytes and of the anchor's places in the first and last window
+        body = b"".join([xxhash.xxh3_128_digest(part[i:j], seed=k) for i, j, k in zip(first.tolist(), (last + length).tolist(), ((p - first) * 4096 + p - last).tolist())])
+        hashes = np.frombuffer(body, "<i8").reshape(-1, 2)
+        out.append([g[p].view(np.int64), hashes[:, 0], hashes[:, 1], first + low, last + low, p + low])
+    return [np.concatenate(c) for c in zip(*out)]
 
 
 def difference_cover(v: int) -> list[int]:
@@ -207,20 +220,20 @@ def packed_texts(docs: DataFrame) -> DataFrame:
 
 
 def anchored_blocks(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """(anchor, block, doc, start, last, place) of docs (doc, data)."""
+    """(anchor, block, more, doc, start, last, place) of docs (doc, data)."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cols: list[list] = [[] for _ in range(6)]
+            cols: list[list] = [[] for _ in range(7)]
             for doc, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 if len(x) >= length:
-                    found = blocks_of(np.frombuffer(x, np.uint8), length, gram)
-                    for c, v in zip(cols, (found[0].view(np.int64), found[1].view(np.int64), np.full(len(found[0]), doc, np.int64), *(y.astype(np.int32) for y in found[2:]))):
+                    anchor, block, more, *places = blocks_of(x, length, gram)
+                    for c, v in zip(cols, (anchor, block, more, np.full(len(anchor), doc, np.int64), *(y.astype(np.int32) for y in places))):
                         c.append(v)
             if cols[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=["anchor", "block", "doc", "start", "last", "place"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=["anchor", "block", "more", "doc", "start", "last", "place"])
 
-    return docs.select("doc", "data").mapInArrow(find, "anchor long, block long, doc long, start int, last int, place int")
+    return docs.select("doc", "data").mapInArrow(find, "anchor long, block long, more long, doc long, start int, last int, place int")
 
 
 def bucket_hits(bodies: DataFrame, length: int, parts: int) -> DataFrame:
@@ -261,13 +274,13 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_
     spark = docs.sparkSession
     parts = shuffle_parts(spark)
     blocks = anchored_blocks(docs, length, gram)
-    anchors = blocks.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("block").alias("a"), F.max("block").alias("b")).where("n > 1").select("anchor", (F.col("a") != F.col("b")).alias("mixed"))
+    anchors = blocks.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("block").alias("a"), F.max("block").alias("b"), F.min("more").alias("c"), F.max("more").alias("d")).where("n > 1").select("anchor", ((F.col("a") != F.col("b")) | (F.col("c") != F.col("d"))).alias("mixed"))
     anchors = stored(anchors, "anchors")  # so that the join has plain shuffles on both sides, of which Spark splits the hot partitions
     met = stored(blocks.join(anchors.hint("merge"), "anchor"), "blocks")
-    classes = met.groupBy("anchor", "block", "mixed").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "start", "last", "place")).alias("r"))
+    classes = met.groupBy("anchor", "block", "more", "mixed").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "start", "last", "place")).alias("r"))
     classes = stored(classes, "classes")
     # 2. blocks equal to another
-    whole = met.join(classes.where("n > 1").select("anchor", "block"), ["anchor", "block"]).select("doc", "start", (F.col("last") + length).alias("end"))
+    whole = met.join(classes.where("n > 1").select("anchor", "block", "more").hint("merge"), ["anchor", "block", "more"]).select("doc", "start", (F.col("last") + length).alias("end"))
     # 3. and 4. one block for each distinct content, where an anchor has several
     kinds = classes.where("mixed").groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"))
     asked = classes.where("mixed").join(kinds, "anchor").select("r.*", "anchor", (F.col("n") > 1).alias("twice"), (F.col("kinds") > hot_blocks).alias("hot"))
@@ -288,18 +301,18 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cols: list[list] = [[] for _ in range(4)]
+            cols: list[list] = [[] for _ in range(5)]
             for anchor, doc, start, last, place, twice, data in zip(*(c.to_pylist() for c in b.columns)):
-                i = np.arange(last - start + 1)
-                h = span_hash(prefix_hashes(np.frombuffer(data, np.uint8)), i, i + length)
-                for c, x in zip(cols, (mixed(h ^ mixed(np.uint64(anchor & (1 << 64) - 1) + (place - start - i).astype(np.uint64))).view(np.int64), np.full(len(i), doc, np.int64), (i + start).astype(np.int32), np.full(len(i), 1 + twice, np.int32))):
+                n = last - start + 1
+                h = np.frombuffer(b"".join([xxhash.xxh3_128_digest(data[i : i + length], seed=(anchor ^ place - start - i) & (1 << 64) - 1) for i in range(n)]), "<i8").reshape(-1, 2)
+                for c, x in zip(cols, (h[:, 0], h[:, 1], np.full(n, doc, np.int64), np.arange(start, last + 1, dtype=np.int32), np.full(n, 1 + twice, np.int32))):
                     c.append(x)
             if cols[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=["window", "doc", "start", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=["window", "more", "doc", "start", "n"])
 
-    hot = bodies.where("hot").select("anchor", "doc", "start", "last", "place", "twice", "bytes").mapInArrow(windows, "window long, doc long, start int, n int")
-    often = hot.groupBy("window").agg(F.sum("n").alias("n")).where("n > 1").select("window")
-    split = hot.join(often, "window").select("doc", "start", (F.col("start") + length).alias("end"))
+    hot = bodies.where("hot").select("anchor", "doc", "start", "last", "place", "twice", "bytes").mapInArrow(windows, "window long, more long, doc long, start int, n int")
+    often = hot.groupBy("window", "more").agg(F.sum("n").alias("n")).where("n > 1").select("window", "more")
+    split = hot.join(often.hint("merge"), ["window", "more"]).select("doc", "start", (F.col("start") + length).alias("end"))
     return whole.unionAll(bucket_hits(bodies.where("not hot").drop("hot"), length, parts)).unionAll(split)
 
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_path, small_batches, stored, table
+from .common import ends_with_application, shared_path, small_batches, stored, table
 
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Bytes after which an archive ends; a reader holds one archive. Bytes of a record in one gzip member: the last byte of a member's length stays 0.
@@ -123,6 +123,7 @@ def write_archives(records: DataFrame, path: str, file_bytes: int = FILE_BYTES)
 
     rows = records.mapInArrow(gather, "archive binary").select(F.col("archive").cast("string"))
     rows.write.option("lineSep", "\0").option("maxRecordsPerFile", 1).text(path)
+    ends_with_application(records.sparkSession, path)
 
 
 def members(data: bytes) -> Iterator[bytes]:

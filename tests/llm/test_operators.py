@@ -244,6 +244,43 @@ def test_suffix_dedup_equals_brute_force(docs, texts, empty, hot):
     assert suffix_dedup.remove_repeats(empty).count() == 0
 
 
+def test_segments_of_a_text_give_the_same_anchors():
+    rng = random.Random(6)
+    x = (prose(rng, 300) * 2).encode()
+    found = []
+    for segment in (1 << 25, 100, 1):
+        anchor, block, more, first, last, place = suffix_dedup.blocks_of(x, 120, 40, segment)
+        found.append([(a, p) for a, i, j, p in zip(anchor, first, last, place) for _ in range(i, j + 1)])
+        bodies = {x[i : j + 120] for i, j in zip(first, last)}
+        assert len({(a, b) for a, b in zip(block, more)}) >= len(bodies)
+    assert found[0] == found[1] == found[2] and len(found[0]) == len(x) - 119
+
+
+def test_removal_of_repeated_and_null_ids(spark):
+    rng = random.Random(8)
+    a, b = prose(rng, 60), prose(rng, 60)
+    rows = [(1, a), (1, b), (2, b), (None, None), (None, a + b), (3, "short"), (3, "short")]
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").withColumn("kept", F.lit(1)), length=100, gram=30).collect()
+    kept = sorted((str(r["doc_id"]), bytes(r["data"]).decode(), bytes(r["kept"]).decode()) for r in got)
+    assert kept == sorted([("1", a, ""), ("1", b, ""), ("2", b, ""), ("None", "", ""), ("None", a + b, ""), ("3", "short", "short"), ("3", "short", "short")])
+
+
+def test_shared_folder_is_asked_for_on_a_cluster():
+    from types import SimpleNamespace
+
+    from ledgerloom.llm.common import shared_dir
+
+    def session(master, found):
+        conf = SimpleNamespace(get=lambda k, d=None: found)
+        return SimpleNamespace(sparkContext=SimpleNamespace(getConf=lambda: conf, master=master), conf=SimpleNamespace(get=lambda k, d=None: None, set=lambda k, v: None))
+
+    assert shared_dir(session("yarn", "hdfs://x/y/")) == "hdfs://x/y"
+    assert shared_dir(session("local[2]", None)).startswith("file://")
+    for master in ("yarn", "spark://x:1", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError):
+            shared_dir(session(master, None))
+
+
 def test_sorted_bucket_is_the_suffix_order():
     rng = np.random.default_rng(4)
     rows = rng.integers(97, 99, (60, 96), dtype=np.uint8)
