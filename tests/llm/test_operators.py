@@ -694,3 +694,60 @@ def test_mixing_rates_are_the_least_squares_solution(spark):
     for _ in range(200_000):
         r = np.maximum(1.0, r - a @ (r @ a - goal) / (a**2).sum())
     assert not bound.met and ((np.array(bound.reached) - goal) ** 2).sum() <= 2 * ((r @ a - goal) ** 2).sum() + 1e-6
+
+
+@pytest.fixture(scope="module")
+def tables(spark, docs, texts, tmp_path_factory):
+    """The driver's tables with the odd texts of this module, a repeated row and one without doc_id."""
+    d = f"file://{tmp_path_factory.mktemp('tables')}"
+    rows = docs.drop("n_tokens").where("doc_id != 48")
+    rows.unionByName(rows.where("doc_id = 5")).unionByName(rows.where("doc_id = 7").withColumn("doc_id", F.lit(None).cast("long"))).write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([(i, int(i % 3 > 0), int(i % 5 == 0)) for i in range(45)], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    return d
+
+
+CONTRACTS = {
+    "op1_ngram_jaccard_join": {"doc_id": "bigint", "class_id": "bigint", "n_links": "bigint"},
+    "op2_toxicity": {"doc_id": "bigint", "held_out": "boolean", "score": "double", "predicted": "int"},
+    "op3_mixing": {"doc_id": "bigint", "n_tokens": "bigint", "rate": "double"},
+    "op4_substring_dedup": {"doc_id": "bigint", "n_sentences": "bigint", "n_removed": "bigint", "kept_sha256": "string"},
+    "op7_merkle_fingerprints": {"doc_id": "bigint", "n_chars": "bigint", "edited_sha256": "string", "fingerprint": "string", "edited_fingerprint": "string", "near_edited": "double", "near_next": "double"},
+    "op8_best_fit_packing": {"doc_id": "bigint", "piece": "int", "start": "bigint", "length": "bigint", "ids_crc32": "bigint", "sequence_id": "bigint", "offset": "bigint"},
+    "op9_suffix_array_dedup": {"doc_id": "bigint", "n_bytes": "bigint", "n_removed": "bigint", "n_spans": "bigint", "kept_sha256": "string"},
+    "op10_token_counts": {"doc_id": "bigint", "n_bytes": "bigint", "n_tokens": "bigint", "over_limit": "boolean"},
+}
+
+
+@pytest.mark.parametrize("name", CONTRACTS)
+def test_registered_queries(spark, tables, texts, name):
+    """Each query over a table with null, empty, long and repeated rows: columns and types, and the columns that plain code gives."""
+    from ledgerloom.llm import registry
+
+    found = registry.QUERIES[name](spark, tables)
+    assert {c: t for c, t in found.dtypes if c in CONTRACTS[name]} == CONTRACTS[name]
+    got = found.collect()
+    rows = [*((k, t or "") for k, t in texts.items() if k != 48), (5, texts[5]), (None, texts[7])]
+    of = dict(rows)
+    if name == "op8_best_fit_packing":
+        assert {r["doc_id"] for r in got} == {k for k, _ in rows} and len({(r["sequence_id"], r["offset"]) for r in got}) == len(got)
+        return
+    assert collections.Counter(r["doc_id"] for r in got) == collections.Counter(k for k, _ in rows)
+    if name == "op2_toxicity":
+        assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) and r["predicted"] == (r["score"] >= 0.3) and 0 <= r["score"] <= 1 for r in got if r["doc_id"] is not None)
+    elif name == "op10_token_counts":
+        from tokenizers import Tokenizer
+
+        t = Tokenizer.from_file(token_counts.VOCABULARY)
+        assert all((r["n_bytes"], r["n_tokens"]) == (len(of[r["doc_id"]].encode()), len(t.encode(of[r["doc_id"]], add_special_tokens=False).ids)) and r["over_limit"] == (r["n_tokens"] > 2048) for r in got)
+    elif name == "op9_suffix_array_dedup":
+        data = {i: t.encode() for i, (_, t) in enumerate(rows)}
+        gone = removed_bytes(data, 400)
+        want = collections.Counter((rows[i][0], len(x), int(g.sum()), len(suffix_dedup.runs(g)), hashlib.sha256(np.frombuffer(x, np.uint8)[~g].tobytes()).hexdigest()) for (i, x), g in zip(data.items(), gone.values()))
+        assert collections.Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got) == want and sum(r["n_removed"] for r in got)
+    elif name == "op1_ngram_jaccard_join":
+        grams = [frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if (w := re.findall(r"\w+", t.lower())) else frozenset() for _, t in rows]
+        like = lambda a, b: a == b if not a or not b else len(a & b) / len(a | b) >= 0.8
+        want = collections.Counter((k, sum(like(grams[i], g) for j, g in enumerate(grams) if j != i and rows[j][0] is not None)) for i, (k, _) in enumerate(rows) if k is not None)
+        assert collections.Counter((r["doc_id"], r["n_links"]) for r in got if r["doc_id"] is not None) == want
+    elif name == "op7_merkle_fingerprints":
+        assert all(r["n_chars"] == len(of[r["doc_id"]]) and r["fingerprint"] == plain_fingerprint(of[r["doc_id"]]) for r in got)
