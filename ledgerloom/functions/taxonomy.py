@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from itertools import product
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -32,6 +35,34 @@ def rule(text: Column) -> Column:
     return F.transform(F.array(folded(text)), first)[0]  # bound by transform: the text is folded once
 
 
+def spellings(word: str) -> list[str] | None:
+    """All texts that a pattern of optional letters and groups matches; null if it has more to it than these."""
+    parts = re.findall(r"\(\?:([^()|\\]*)\)\?|(.)\?|([^()?\\.*+\[\]|])", word)
+    if "".join(f"(?:{g})?" if g else f"{o}?" if o else c for g, o, c in parts) != word:
+        return None
+    return ["".join(x) for x in product(*(["", g or o] if g or o else [c] for g, o, c in parts))]
+
+
+def token_index() -> tuple[list[tuple[str, int, int]], list[tuple[int, str]]]:
+    """(literal, first rule's place, tokens) of all that rules spell out, and (place, pattern) of what they don't. Places count TAXONOMY from 0."""
+    first: dict[str, int] = {}
+    rest: dict[int, list[str]] = {}
+    for i, (_, _, _, words) in enumerate(fixed.TAXONOMY):
+        for w in words:
+            w = w.replace("ı", "i")
+            for x in spellings(w) or [None]:
+                rest.setdefault(i, []).append(w) if x is None else first.setdefault(x, i)
+    return [(x, i, len(re.findall(r"\w+|\W+", x))) for x, i in first.items()], [(i, pattern(ws)) for i, ws in rest.items()]
+
+
+def token_runs(low: Column, longest: int) -> Column:
+    """Distinct runs of 1, 3, 5, ... up to `longest` tokens (words, and what stands between them as it is), a word at both ends."""
+    tokens = F.regexp_extract_all(low, F.lit(r"(?U)\w+|\W+"), F.lit(0))
+    runs = lambda t, n: F.transform(F.filter(F.sequence(F.lit(1), F.size(t)), lambda i: (i >= 1) & (i + n - 1 <= F.size(t))), lambda i: F.array_join(F.slice(t, i, F.lit(n)), ""))
+    words = lambda t: F.flatten(F.array(*(runs(t, n) for n in range(1, longest + 1, 2))))
+    return F.array_distinct(F.transform(F.array(tokens), words)[0])
+
+
 def allowed_categories() -> list[str]:
     """Categories in the taxonomy's order, each once."""
     return list(dict.fromkeys(c for c, *_ in fixed.TAXONOMY))

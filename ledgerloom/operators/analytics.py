@@ -52,16 +52,31 @@ def union_keep_last(history: DataFrame, current: DataFrame, key: str = "transact
 
 
 def categorized(txn: DataFrame, similar: DataFrame | None = None) -> DataFrame:
-    """txn with category, subcategory, category_confidence, method: credits are income or refund; else the first rule; else what similar (input_id, seq, category, similarity) says; else other."""
+    """txn with category, subcategory, category_confidence, method: credits are income or refund; else the first rule; else what similar says; else other.
+
+    similar (text, category, similarity, subcategory if it has one): of similarity.similar_texts(), or of another model
+    by row, with input_id and seq instead of text.
+    """
+    from .similarity import matched_text, said_of
+
     made = lambda c, sub, conf, m: F.struct(F.lit(c).alias("category"), F.lit(sub).cast("string").alias("subcategory"), F.lit(conf).alias("confidence"), F.lit(m).alias("method"))
-    text = F.concat_ws(" ", "description", T.merchant_text(F.col("description")))
-    near = F.lit(None)
+    columns, near, rows = txn.columns, F.lit(None), txn
     if similar is not None:
-        txn = txn.join(similar.select("input_id", "seq", F.col("category").alias("_near"), "similarity"), ["input_id", "seq"], "left")
-        near = F.when(F.col("similarity") >= 0.52, F.struct(F.col("_near").alias("category"), F.lit(None).cast("string").alias("subcategory"), F.least(F.lit(0.90), F.col("similarity")).alias("confidence"), F.lit("embedding").alias("method")))
-    picked = F.coalesce(F.when(F.col("direction") == "credit", made(fixed.INCOME[0], "credit_transaction", 0.97, "direction")), taxonomy.rule(text), near, made("other", None, 0.35, "fallback"))
-    out = txn.withColumn("_p", picked)
-    return out.select(*txn.columns, F.col("_p.category").alias("category"), F.col("_p.subcategory").alias("subcategory"), F.col("_p.confidence").alias("category_confidence"), F.col("_p.method").alias("method")).drop("_near", "similarity")
+        sub = F.col("subcategory") if "subcategory" in similar.columns else F.lit(None).cast("string")
+        found = F.struct("category", sub.alias("subcategory"), "similarity").alias("_near")
+        if "text" in similar.columns:
+            side = similar.select(F.col("text").alias("_text"), found)
+            rows = txn.withColumn("_text", said_of(txn)).join(F.broadcast(side) if small(side) else side, "_text", "left")
+        else:
+            rows = txn.join(similar.select("input_id", "seq", found), ["input_id", "seq"], "left")
+        near = F.when(F.col("_near.similarity") >= 0.52, F.struct(F.col("_near.category").alias("category"), F.col("_near.subcategory").alias("subcategory"), F.least(F.lit(0.90), F.col("_near.similarity")).alias("confidence"), F.lit("embedding").alias("method")))
+    picked = F.coalesce(F.when(F.col("direction") == "credit", made(fixed.INCOME[0], "credit_transaction", 0.97, "direction")), taxonomy.rule(matched_text(rows)), near, made("other", "uncategorized", 0.35, "fallback"))
+    return rows.withColumn("_p", picked).select(*columns, F.col("_p.category").alias("category"), F.col("_p.subcategory").alias("subcategory"), F.col("_p.confidence").alias("category_confidence"), F.col("_p.method").alias("method"))
+
+
+def category_counts(rows: DataFrame) -> DataFrame:
+    """(input_id, uncategorized_count, rule_assisted_count, embedding_assisted_count) of categorized rows: credits are decided by a rule, that of their direction."""
+    return rows.groupBy("input_id").agg(F.count_if(F.col("category") == "other").alias("uncategorized_count"), F.count_if(F.col("method").isin("rule", "direction")).alias("rule_assisted_count"), F.count_if(F.col("method") == "embedding").alias("embedding_assisted_count"))
 
 
 #: Rows of a dimension that may be broadcast, or travel as one array.
@@ -86,6 +101,31 @@ def first_rule_by_join(txn: DataFrame, rules: DataFrame) -> DataFrame:
     return txn.select("input_id", "seq", "description").join(met, "description", "left").select("input_id", "seq", F.coalesce("category", F.lit("other")).alias("category"))
 
 
+def first_rule_by_index(txn: DataFrame, literals: DataFrame | None = None, patterns: list[tuple[int, str]] | None = None) -> DataFrame:
+    """(input_id, seq, ord): the first rule of taxonomy.rule in matched_text(), found by an index of words: null if none.
+
+    literals (literal, ord) and patterns (ord, pattern) are those of taxonomy.token_index() unless given. Distinct texts are
+    cut into runs of words with what stands between them, and the runs meet the literals in an equi-join; only rules that no
+    literal can spell are tried as patterns. literals are a dimension, checked by its size.
+    """
+    from .similarity import matched_text
+
+    if literals is None:
+        rows, patterns = taxonomy.token_index()
+        literals = txn.sparkSession.createDataFrame(rows, "literal string, ord int, tokens int")
+    if not small(literals):
+        raise ValueError(f"more than {DIMENSION_ROWS} literals")
+    longest = literals.agg(F.max("tokens")).first()[0] or 1
+    said = txn.select("input_id", "seq", matched_text(txn).alias("_text"))
+    texts = said.select("_text").distinct()
+    runs = texts.select("_text", F.explode(taxonomy.token_runs(taxonomy.folded(F.col("_text")), longest)).alias("literal"))
+    hits = runs.join(F.broadcast(literals.select("literal", "ord")), "literal").groupBy("_text").agg(F.min("ord").alias("a"))
+    low = taxonomy.folded(F.col("_text"))
+    by_pattern = F.least(*(F.when(low.rlike(p), F.lit(o)) for o, p in patterns), F.lit(None).cast("int"), F.lit(None).cast("int"))
+    found = texts.join(hits, "_text", "left").select("_text", F.least("a", by_pattern).alias("ord")).where("ord is not null")
+    return said.join(F.broadcast(found) if small(found) else found, "_text", "left").select("input_id", "seq", "ord")
+
+
 def category_summary(rows: DataFrame) -> DataFrame:
     """Debits by category: count, total, share of the document's spending."""
     out = rows.where("direction = 'debit'").groupBy("input_id", "category").agg(F.count(F.lit(1)).alias("transaction_count"), F.sum("amount").alias("total_amount"))

@@ -144,13 +144,18 @@ def variant_priority(variant: Column) -> Column:
 
 
 def best_variant(outputs: DataFrame) -> DataFrame:
-    """One variant for each (input_id, page) of outputs (variant, psm, ord, ocr_score, is_preferred): highest final score at four decimals, first in order on ties."""
+    """One variant for each (input_id, page) of outputs (variant, psm, ord, ocr_score, is_preferred): highest final score at four decimals, on ties the first in order, and of one variant the first mode."""
     final = F.round(F.col("ocr_score") + variant_priority(F.col("variant")) / 100 + F.when(F.col("is_preferred"), 0.15).otherwise(0.0), 4)
     rows = outputs.withColumn("final_score", final)
-    best = rows.groupBy("input_id", "page").agg(F.max_by(F.struct("variant", "psm", "final_score"), F.struct("final_score", -F.col("ord"))).alias("b"))
+    best = rows.groupBy("input_id", "page").agg(F.max_by(F.struct("variant", "psm", "final_score"), F.struct("final_score", -F.col("ord"), -mode_order(F.col("psm")))).alias("b"))
     return best.select("input_id", "page", "b.*")
 
 
+def mode_order(psm: Column) -> Column:
+    """Place of an OCR mode among those that are tried in turn; others come last."""
+    return F.when(psm == 6, 0).when(psm == 11, 1).when(psm == 4, 2).otherwise(3 + F.coalesce(psm, F.lit(0)))
+
+
 def preferred_output(variants: DataFrame) -> DataFrame:
     """Per document: the candidate of the highest readiness (any variant if none is a candidate; the first on ties), the mean readiness, and whether it is ready."""
     best = variants.groupBy("input_id").agg(

@@ -93,10 +93,28 @@ def score_summary(scored: DataFrame, inputs: DataFrame | None = None) -> DataFra
 
 
 def summary(rows: DataFrame) -> DataFrame:
-    """Per document: count, debit, credit, net, currencies, primary currency (most frequent but UNKNOWN; first by date, description, amount on ties), invalid and warning counts."""
+    """Per document: count, debit, credit, debit less credit, currencies but UNKNOWN, primary currency (most frequent but UNKNOWN; first by date, description, amount on ties), invalid and warning counts."""
     of = lambda d: F.sum(F.when(F.col("direction") == d, F.col("amount")).otherwise(F.lit(0).cast("decimal(18,2)")))
-    out = rows.groupBy("input_id").agg(F.count(F.lit(1)).alias("transaction_count"), of("debit").alias("total_debit"), of("credit").alias("total_credit"), F.array_sort(F.collect_set("currency")).alias("currencies"), F.count_if(F.col("validation_status") == "invalid").alias("invalid_count"), F.count_if(F.col("validation_status") == "warning").alias("warning_count"))
-    return out.withColumn("net", F.col("total_credit") - F.col("total_debit")).join(primary_currency(rows), "input_id", "left")
+    out = rows.groupBy("input_id").agg(F.count(F.lit(1)).alias("transaction_count"), of("debit").alias("total_debit"), of("credit").alias("total_credit"), F.array_sort(F.collect_set(F.when(F.col("currency") != "UNKNOWN", F.col("currency")))).alias("currencies"), F.count_if(F.col("validation_status") == "invalid").alias("invalid_count"), F.count_if(F.col("validation_status") == "warning").alias("warning_count"))
+    return out.withColumn("net_amount", F.col("total_debit") - F.col("total_credit")).join(primary_currency(rows), "input_id", "left")
+
+
+def documents(raw: DataFrame, inputs: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Raw transactions normalised as a whole: transactions without duplicates, their score as confidence (rows' own as source_confidence), and a summary for each document.
+
+    summary has the columns of summary() and score_summary(), duplicate_removed_count and warnings; documents of inputs
+    without transactions have zero counts.
+    """
+    rows = normalized(raw)
+    kept = scores(keep_best(rows)).withColumn("source_confidence", F.col("confidence")).withColumn("confidence", F.col("score"))
+    before = rows.groupBy("input_id").agg(F.count(F.lit(1)).alias("_before"))
+    facts = summary(kept).join(score_summary(kept).drop("invalid_count", "warning_count"), "input_id").join(before, "input_id").withColumn("duplicate_removed_count", F.col("_before") - F.col("transaction_count")).drop("_before")
+    if inputs is not None:
+        facts = inputs.select("input_id").distinct().join(facts, "input_id", "left").fillna(0, ["transaction_count", "duplicate_removed_count", "low_confidence_count", "invalid_count", "warning_count"]).fillna(False, ["validation_passed"])
+        zero = F.lit(0).cast("decimal(28,2)")
+        facts = facts.withColumns({c: F.coalesce(c, zero) for c in ("total_debit", "total_credit", "net_amount")}).withColumn("currencies", F.coalesce("currencies", F.array().cast("array<string>")))
+    said = F.when(F.col("duplicate_removed_count") > 0, F.concat(F.lit("duplicates_removed:"), F.col("duplicate_removed_count")))
+    return {"transactions": kept, "summary": facts.withColumn("warnings", F.array_compact(F.array(said)))}
 
 
 def primary_currency(rows: DataFrame) -> DataFrame:

@@ -116,13 +116,25 @@ def extract_ocr(lines: DataFrame, outputs: DataFrame, date_mode: str = "strict")
     lines: as words_to_lines() gives them, for all variants; outputs (input_id, page, variant, ord, is_preferred):
     the images that were read. Each page goes on with the variant and mode of the highest final score.
     """
+    chosen = chosen_lines(lines, outputs, date_mode)
+    rows = parsed_ocr(chosen, document_currency(chosen, "ocr"), date_mode)
+    return rows.where("reject_reason is null").drop("reject_reason"), rows.where("reject_reason is not null")
+
+
+def readable(outputs: DataFrame) -> DataFrame:
+    """Images that OCR can take: those with a storage_url, if the column is there; a missing page is the first, a missing variant `unknown`."""
+    rows = outputs.where("coalesce(storage_url, '') != ''") if "storage_url" in outputs.columns else outputs
+    return rows.withColumn("page", F.when(F.coalesce("page", F.lit(0)) == 0, 1).otherwise(F.col("page"))).withColumn("variant", F.coalesce(F.nullif("variant", F.lit("")), F.lit("unknown")))
+
+
+def chosen_lines(lines: DataFrame, outputs: DataFrame, date_mode: str = "strict") -> DataFrame:
+    """Lines of the variant and mode that read best for each page: the highest final score, on ties the first variant and mode. Images in which nothing was found score -1."""
     from .classify import best_variant
 
-    scored = variant_scores(lines, date_mode).join(outputs.select("input_id", "page", "variant", "ord", "is_preferred"), ["input_id", "page", "variant"])
+    made = readable(outputs).select("input_id", "page", "variant", "ord", "is_preferred")
+    scored = made.join(variant_scores(lines, date_mode), ["input_id", "page", "variant"], "left").withColumn("ocr_score", F.coalesce("ocr_score", F.lit(-1.0)))
     best = best_variant(scored).select("input_id", "page", "variant", "psm")
-    chosen = lines.join(best, ["input_id", "page", "variant", "psm"], "left_semi")
-    rows = parsed_ocr(chosen, document_currency(chosen, "ocr"), date_mode)
-    return rows.where("reject_reason is null").drop("reject_reason"), rows.where("reject_reason is not null")
+    return lines.join(best, ["input_id", "page", "variant", "psm"], "left_semi")
 
 
 def variant_scores(lines: DataFrame, date_mode: str = "strict") -> DataFrame:

@@ -544,10 +544,11 @@ def merchant_fallback(spark, d):
     return rows.select("input_id", "seq", A.merchant_of(rows).alias("merchant"))
 
 
-@query("categorized_by_similarity", f"""{CAT}, c as (select *, seq % 3 = 0 and category = 'other' as asked, round(seq % 100 / 100.0, 2)::double as similarity from cat)
+@query("categorized_by_given_similarity", f"""{CAT}, c as (select *, seq % 3 = 0 and category = 'other' as asked, round(seq % 100 / 100.0, 2)::double as similarity from cat)
 select input_id, seq, case when asked and similarity >= 0.52 then 'education' else category end as category, case when direction = 'credit' then 0.97 when category <> 'other' then 0.94 when asked and similarity >= 0.52 then least(0.90, similarity) else 0.35 end::double as confidence,
  case when direction = 'credit' then 'direction' when category <> 'other' then 'rule' when asked and similarity >= 0.52 then 'embedding' else 'fallback' end as method from c""")
-def categorized_by_similarity(spark, d):
+def categorized_by_given_similarity(spark, d):
+    """Another model's similarities, by row."""
     t = txn(spark, d)
     near = t.where("seq % 3 = 0").select("input_id", "seq", F.lit("education").alias("category"), F.round(F.col("seq") % 100 / 100, 2).alias("similarity"))
     return A.categorized(t, near).select("input_id", "seq", "category", F.col("category_confidence").alias("confidence"), "method")
@@ -695,3 +696,6 @@ def ocr_lines_by_top(spark, d):
     place = (F.col("l_partkey") * 8 + F.col("l_linenumber")).cast("int")
     rows = S.table(spark, d, "lineitem").select(F.col("l_orderkey").cast("string").alias("input_id"), F.lit(1).alias("page"), F.lit("original").alias("variant"), F.lit(6).alias("psm"), F.concat(F.lit("w"), F.col("l_partkey"), F.lit("_"), F.col("l_linenumber")).alias("text"), place.alias("left"), (F.col("l_quantity") * 20 + F.col("l_partkey") % 3).cast("int").alias("top"), F.lit(30).alias("width"), F.lit(10).alias("height"), F.lit(90.0).alias("conf"))
     return P.words_to_lines(P.ocr_words(rows)).select("input_id", "text", "word_count", "ocr_confidence")
+
+
+from . import registry_records, registry_texts  # noqa: E402, F401  more queries of the same registry

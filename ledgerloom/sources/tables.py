@@ -37,6 +37,22 @@ def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(TRANSACTION_SQL.format(orders="{orders}"), orders=table(spark, sf_dir, "orders"))
 
 
+#: Merchants of all categories and aliases, some misspelt, some of no category.
+MERCHANT_TEXTS = [
+    "PEGASUS HAVA YOLLARI", "OBILET OTOBUS", "TURKISH AIRLINES 2351234567", "WIZZ AIRLINE", "YEMEKSEPETI ISTANBUL", "MCDONALDS KADIKOY", "DOMINO'S PIZZA", "SOK MARKET 1204", "CARREFOUR  EXPRESS",
+    "SHELL ISTASYON", "PO PETROL MALTEPE", "POPETROL", "UBER TRIP", "İSTANBULKART DOLUM", "ECZANE MERKEZ", "MEDICAL PARK", "LC WAIKIKI", "H&M", "PULL&BEAR 77", "STEAM GAMES", "NETFLIX.COM",
+    "TURKCELL FATURA", "TÜRK TELEKOM", "GOOGLE STORAGE", "GOOGLESTORAGE", "ICLOUD", "MEDIA MARKT", "IYZICO AMAZON", "IYZICO *AMAZON SIPARIS", "BKMKITAP SIPARIS", "AIRBNB", "UDEMY KURS", "KASKO YENILEME",
+    "VERGI DAIRESI", "DAIRE AIDAT", "ATM NAKIT CEKME", "HAVALE 123456", "KART ODEME", "ODEMENIZ ICIN TESEKKUR EDERIZ", "TRENDYOL", "OBİLET COM", "MIGRSO", "TURKCEL", "TEKNOSAA", "CARREFOURSA AVM",
+    "STARBUCK", "HASTANESI", "OTELI", "KIRTASIYE DUKKANI", "BIMSERVER", "XYZ 42", "marketplace",
+]
+
+
+def described(txn: DataFrame) -> DataFrame:
+    """txn with descriptions of MERCHANT_TEXTS in turn, by seq."""
+    texts = F.array(*(F.lit(x) for x in MERCHANT_TEXTS))
+    return txn.withColumn("description", F.element_at(texts, (F.col("seq") % len(MERCHANT_TEXTS) + 1).cast("int")))
+
+
 def statement_lines(txn: DataFrame) -> DataFrame:
     """(input_id, line_no, page, text): each transaction as one line of a statement, slash date, comma decimals."""
     amount = F.replace(F.col("amount").cast("string"), F.lit("."), F.lit(","))
@@ -53,7 +69,7 @@ def lines_of(texts: DataFrame, key: str = "input_id", text: str = "text") -> Dat
 
 
 def binary_files(spark: SparkSession, path: str) -> DataFrame:
-    """Files as (path, length, modificationTime, content), with mime and the reason for which an upload would be refused."""
+    """Files as (path, length, modificationTime, content), with mime and the reason for which an upload would be refused. Spark's reader leaves out files without bytes: reject_reason names them where a length comes from elsewhere."""
     files = spark.read.format("binaryFile").load(path)
     return files.withColumn("mime", mime(F.col("content"))).withColumn("reject_reason", reject_reason(F.col("length"), F.col("mime")))
 
