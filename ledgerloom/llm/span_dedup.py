@@ -1,9 +1,10 @@
 """Substring dedup by sliding sentence spans, and the query op4.
 
-Every run of at least two consecutive sentences that just reaches `SPAN_WORDS` words, from each sentence on and back
-from each, is hashed (128 bits, so that unequal runs don't meet: at 10^13 runs by a chance of 10^-13). A sentence of
-more than `UNIT_WORDS` words counts as several. The first place of each hash over all documents (least doc_id, then
-least sentence) keeps its sentences; at every other place they are covered, and covered sentences go.
+Every run of consecutive sentences that just reaches `SPAN_WORDS` words and `SPAN_SENTENCES` sentences, from each
+sentence on and back from each, is hashed (128 bits, so that unequal runs don't meet: at 10^13 runs by a chance of
+10^-13). A run may begin or end within a sentence of more than 2 * `UNIT_WORDS` words, after each UNIT_WORDS of it, but
+one sentence alone is no run, unless `LONE_WORDS` words of it are. The first place of each hash over all documents (least doc_id, then
+text, then place) keeps its sentences; at every other place they are covered, and what is covered goes.
 """
 
 from __future__ import annotations
@@ -23,7 +24,9 @@ from .common import only, small_batches, stored, table
 
 #: A run of sentences is a span once it has so many words and sentences.
 SPAN_WORDS, SPAN_SENTENCES = 20, 2
-#: Words after which a longer sentence is cut into another one.
+#: And a run within one sentence once it has so many words: a passage in a text without ends of sentences.
+LONE_WORDS = 48
+#: Words after each of which a run may begin or end within a longer sentence.
 UNIT_WORDS = 12
 
 SENTENCE = re.compile(r"[^.!?\n]*(?:[.!?]+\s*|\n\s*)|[^.!?\n]+")
@@ -38,11 +41,12 @@ def units(sentence: str) -> list[str]:
     return ["".join(ws[i : i + UNIT_WORDS]) for i in range(0, len(ws), UNIT_WORDS)]
 
 
-def sentences(text: str) -> tuple[list[str], np.ndarray, bytes]:
-    """Pieces that make up the text, the words of each and its 16-byte hash without case and spacing, joined; a piece without words belongs to the one before (at the start: to the next)."""
+def sentences(text: str) -> tuple[list[str], np.ndarray, bytes, np.ndarray]:
+    """Pieces that make up the text, the words of each, its 16-byte hash without case and spacing, joined, and the number of its sentence; a piece without words belongs to the one before (at the start: to the next)."""
     pieces: list[str] = []
     words: list[list[str]] = []
-    for sentence in SENTENCE.findall(text):
+    of: list[int] = []
+    for k, sentence in enumerate(SENTENCE.findall(text)):
         for p in units(sentence):
             w = p.lower().split()
             if pieces and (not w or not words[-1]):
@@ -51,18 +55,24 @@ def sentences(text: str) -> tuple[list[str], np.ndarray, bytes]:
             else:
                 pieces.append(p)
                 words.append(w)
-    return pieces, np.array([len(w) for w in words], np.int64), b"".join([xxhash.xxh3_128_digest(" ".join(w)) for w in words])
+                of.append(k)
+    number = np.unique(of, return_inverse=True)[1] if of else np.zeros(0, np.int64)
+    return pieces, np.array([len(w) for w in words], np.int64), b"".join([xxhash.xxh3_128_digest(" ".join(w)) for w in words]), number
 
 
-def spans_of(words: np.ndarray, hashes: bytes, least: int, sentences_: int = SPAN_SENTENCES) -> tuple[np.ndarray, np.ndarray]:
-    """(hash as two numbers, a row each; first and end, a row each) of the shortest runs with at least `least` words and `sentences_` sentences from each sentence on and back from each."""
+def spans_of(words: np.ndarray, hashes: bytes, number: np.ndarray, least: int, sentences_: int = SPAN_SENTENCES) -> tuple[np.ndarray, np.ndarray]:
+    """(hash as two numbers, a row each; first and end, a row each) of the shortest runs of pieces with at least `least` words that have to do with `sentences_` sentences, from each piece on and back from each."""
     total = np.concatenate([[0], np.cumsum(words)])
     n = len(words)
     first = np.arange(n)
-    end = np.maximum(np.searchsorted(total, total[:-1] + least, "left"), first + sentences_)
+    starts = np.searchsorted(number, np.arange(number[-1] + 2)) if n else np.zeros(1, np.int64)  # the first piece of each sentence, and n
+    beyond, before = number + sentences_ - 1, number - sentences_ + 2
+    end = np.maximum(np.searchsorted(total, total[:-1] + least, "left"), np.where(beyond < len(starts) - 1, starts[np.minimum(beyond, len(starts) - 1)], n) + 1)
+    end = np.minimum(end, np.searchsorted(total, total[:-1] + max(least, LONE_WORDS), "left"))
     on = end <= n
     last = np.arange(1, n + 1)
-    begin = np.minimum(np.searchsorted(total, total[1:] - least, "right") - 1, last - sentences_)
+    begin = np.minimum(np.searchsorted(total, total[1:] - least, "right") - 1, np.where(before > 0, starts[np.maximum(before, 0)], 0) - 1)
+    begin = np.maximum(begin, np.searchsorted(total, total[1:] - max(least, LONE_WORDS), "right") - 1)
     back = begin >= 0
     pairs = np.unique(np.concatenate([np.stack([first[on], end[on]]), np.stack([begin[back], last[back]])], 1), axis=1)
     digests = b"".join([xxhash.xxh3_128_digest(hashes[16 * i : 16 * j]) for i, j in pairs.T.tolist()])
@@ -72,9 +82,11 @@ def spans_of(words: np.ndarray, hashes: bytes, least: int, sentences_: int = SPA
 def span_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", span_words: int = SPAN_WORDS, carry: Sequence[str] = ()) -> DataFrame:
     """(doc_id, text, kept, n_sentences, n_removed) of each row of docs, and its columns named in carry.
 
-    kept is the text without covered sentences, all other bytes as they were. Null texts are empty; a text under
-    span_words words has no span and stays. Rows that repeat doc_id and text are one document to each other (none is
-    later than the other); rows that repeat a doc_id with another text are documents of their own. A row without
+    kept is the text without what is covered, all other bytes as they were; n_removed counts the sentences that lost
+    something. Null texts are empty; a text under span_words words has no span and stays, and so does what is repeated in
+    runs of fewer words, or as one sentence of fewer than LONE_WORDS. Rows that repeat doc_id and text are one document to each other (none is
+    later than the other); rows that repeat a doc_id with another text are documents of their own, in the order of a hash of
+    the text. A row without
     doc_id counts as before all others.
     """
     spark = docs.sparkSession
@@ -89,9 +101,9 @@ def span_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", span
         for b in batches:
             at, keys, places = [], [np.zeros((0, 2), np.int64)], [np.zeros((0, 2), np.int64)]
             for k, t in enumerate(b.column(2).to_pylist()):
-                _, words, hashes = sentences(t)
+                _, words, hashes, number = sentences(t)
                 if words.sum() >= span_words:
-                    h, p = spans_of(words, hashes, span_words)
+                    h, p = spans_of(words, hashes, number, span_words)
                     at.append(np.full(len(h), k))
                     keys.append(h)
                     places.append(p)
@@ -100,9 +112,9 @@ def span_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", span
             yield pa.RecordBatch.from_arrays([b.column(0).take(k), b.column(1).take(k), *(pa.array(np.ascontiguousarray(x)) for x in (h[:, 0], h[:, 1], p[:, 0], p[:, 1]))], names=["doc_id", "version", "hash", "more", "first", "end"])
 
     spans = rows.drop("rest").mapInArrow(find, f"doc_id {kind}, version long, hash long, more long, first int, end int")
-    places = spans.groupBy("hash", "more").agg(F.min(F.struct("doc_id", "first")).alias("keep"), F.max(F.struct("doc_id", "first")).alias("m")).where("keep != m or (keep is null) != (m is null)").select("hash", "more", "keep")
+    places = spans.groupBy("hash", "more").agg(F.min(F.struct("doc_id", "version", "first")).alias("keep"), F.max(F.struct("doc_id", "version", "first")).alias("m")).where("keep != m or (keep is null) != (m is null)").select("hash", "more", "keep")
     places = stored(places, "places")  # so that the join has plain shuffles on both sides, of which Spark splits the hot partitions
-    later = spans.join(places.hint("merge"), ["hash", "more"]).where(~F.struct("doc_id", "first").eqNullSafe(F.col("keep")))
+    later = spans.join(places.hint("merge"), ["hash", "more"]).where(~F.struct("doc_id", "version", "first").eqNullSafe(F.col("keep")))
     covered = later.groupBy("doc_id", "version").agg(F.collect_set(F.struct("first", "end")).alias("covered"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,13 +128,13 @@ def span_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", span
             out: list[tuple] = []
             for body, found in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
                 t = z.decompress(body).decode("utf-8", "surrogatepass")
-                pieces = sentences(t)[0]
+                pieces, _, _, number = sentences(t)
                 gone = np.zeros(len(pieces) + 1, np.int64)
                 for s in found or ():
                     gone[s["first"]] += 1
                     gone[s["end"]] -= 1
                 off = np.cumsum(gone)[:-1] > 0
-                out.append((t, "".join(p for p, o in zip(pieces, off) if not o) if off.any() else t, len(pieces), int(off.sum())))
+                out.append((t, "".join(p for p, o in zip(pieces, off) if not o) if off.any() else t, int(number[-1]) + 1 if len(number) else 0, len(np.unique(number[off]))))
             c = list(zip(*out)) if out else [[]] * 4
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(c[0], pa.string()), pa.array(c[1], pa.string()), pa.array(c[2], pa.int64()), pa.array(c[3], pa.int64()), b.column(3)], names=["doc_id", "text", "kept", "n_sentences", "n_removed", "rest"])
 
