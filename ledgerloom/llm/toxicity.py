@@ -104,7 +104,8 @@ def string_hashes(grams: list[str]) -> np.ndarray:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_chars: int = MAX_CHARS, held_out: int | None = 2) -> DataFrame:
-    """(doc_id, toxic, fold, weight): the sample, one row for each doc_id, least hash first within both bounds.
+    """(doc_id, toxic, fold, weight): the sample, one row for each doc_id, least hash first within both bounds. Texts of over a
+    sixteenth of max_chars come after all others, and a class always has its first, so that no long text ends a class.
 
     Of a doc_id's labels the worst counts; rows with nulls and those of the fold `held_out` don't. weight: labelled
     documents of the class (before the bound on characters) for each one sampled.
@@ -117,8 +118,9 @@ def labelled(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLE
     chars = docs.select("doc_id", F.length("text").alias("n")).join(F.broadcast(few), "doc_id").groupBy("doc_id", "toxic", "fold").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
     # at most max_labelled rows in the two windows
     by = Window.partitionBy("toxic")
-    rows = chars.select("*", F.sum("n").over(by.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)).alias("upto"), F.count(F.lit(1)).over(by).alias("all"))
-    kept = rows.where(F.col("upto") <= max_chars).withColumn("weight", F.col("all") / F.count(F.lit(1)).over(by))
+    turn = by.orderBy(F.col("n") > max_chars // 16, F.xxhash64("doc_id"), "doc_id")
+    rows = chars.select("*", F.sum("n").over(turn.rowsBetween(Window.unboundedPreceding, 0)).alias("upto"), F.row_number().over(turn).alias("turn"), F.count(F.lit(1)).over(by).alias("all"))
+    kept = rows.where((F.col("upto") <= max_chars) | (F.col("turn") == 1)).withColumn("weight", F.col("all") / F.count(F.lit(1)).over(by))
     return stored(kept.select("doc_id", "toxic", "fold", "weight"), "sample")
 
 
