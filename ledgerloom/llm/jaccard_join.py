@@ -4,7 +4,7 @@ Documents with equal n-gram sets are one class representative (the least doc_id)
 and row counts follow from the wanted recall at the threshold. The shuffle on band hashes yields stars
 (bucket member to the bucket's least representative), not pairs; their components are the candidate
 clusters. The n-gram sets travel to their cluster once, or to the block pairs of a cluster over
-`BLOCK_GRAMS` n-grams, where all pairs are verified by counting common n-grams. A block gives link
+`BLOCK_GRAMS` n-grams or `BLOCK_SETS` sets, where all pairs are verified by counting common n-grams. A block gives link
 counts and a spanning forest of the links, never the pairs.
 """
 
@@ -24,8 +24,8 @@ from .common import kept_by, only, shuffle_parts, small_batches, stored, table
 from .components import components
 
 WORDS, THRESHOLD, RECALL, ROWS = 5, 0.8, 0.9995, 4
-#: n-grams of a block, columns of the counting matrix, words whose hash a worker keeps.
-BLOCK_GRAMS, MATRIX_COLUMNS, MEMO_WORDS = 150_000, 4096, 500_000
+#: n-grams and sets of a block (its matrices have a row and a column for each set), columns of the counting matrix, words whose hash a worker keeps.
+BLOCK_GRAMS, BLOCK_SETS, MATRIX_COLUMNS, MEMO_WORDS = 150_000, 2000, 4096, 500_000
 
 WORD = re.compile(r"\w+")
 _MUL = np.uint64(0x9E3779B97F4A7C15)
@@ -217,7 +217,7 @@ def class_facts(docs: DataFrame, signed: DataFrame, n: int, threshold: float, pa
     stars = buckets.join(least, ["band", "hash"]).where("rep != v").select(F.col("rep").alias("u"), "v")
     clusters = components(stars).select(F.col("node").alias("rep"), F.col("class").alias("cluster"))
     met = stored(classes.join(clusters, "rep").select("rep", "key", "copies", "n_grams", "cluster"), "clusters")
-    sizes = met.groupBy("cluster").agg(F.ceil(F.sum("n_grams") / BLOCK_GRAMS).cast("int").alias("blocks"))
+    sizes = met.groupBy("cluster").agg(F.ceil(F.greatest(F.sum("n_grams") / BLOCK_GRAMS, F.count(F.lit(1)) / BLOCK_SETS)).cast("int").alias("blocks"))
     met = met.join(sizes, "cluster").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
