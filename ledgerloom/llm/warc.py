@@ -216,5 +216,8 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     page = lambda c: F.regexp_extract(c, r"(\d+|-\d+)\D*$", 1).cast("long")
     captures = stored(captures.select("record_id", page(F.col("metadata.fields")).alias("page_id"), "response.*"), "captures")
     originals = stored(captures.where("type = 'response'").dropDuplicates(["record_id"]), "originals").select(F.col("record_id").alias("refers_to"), F.col("n").alias("of_n"), F.col("digest").alias("of_digest"))
-    out = captures.join(originals.hint("merge"), "refers_to", "left")
+    # responses have their own digest and name no other record: only revisits are joined
+    revisits = captures.where("type = 'revisit'").join(originals.hint("merge"), "refers_to", "left")
+    responses = captures.where("type = 'response'").select(*captures.columns, F.lit(None).cast("long").alias("of_n"), F.lit(None).cast("string").alias("of_digest"))
+    out = responses.unionByName(revisits)
     return out.select("page_id", F.coalesce("n", "of_n").alias("payload_bytes"), F.coalesce("digest", "of_digest").alias("payload_digest"), F.col("type").alias("record_type"), page(F.col("refers_to")).alias("refers_to"))
