@@ -31,6 +31,8 @@ CAPACITY, END_ID = 4096, 1
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 #: Runs between white space whose ids a worker keeps, and rows of a length that are ranked in one group.
 MEMO_RUNS, RANK_ROWS = 600_000, 20_000
+#: Longer runs and pre-tokens are encoded each time.
+MEMO_CHARS = 64
 
 _memo: dict[str, Encoder] = {}
 kept_by("packing", _memo.clear)
@@ -73,7 +75,12 @@ class Encoder:
         for x in new - parts.keys():  # special strings, taken out before anything else
             runs[x] = b"".join([self.special[p] if p in self.special else np.asarray(self.library.encode(p, add_special_tokens=False).ids, "<u4").tobytes() for p in self.special_re.split(x) if p])
         get = runs.__getitem__
-        return [b"".join(map(get, s)) for s in split]
+        out = [b"".join(map(get, s)) for s in split]
+        for known, met in ((runs, new), (words, unknown)):
+            for x in met:
+                if len(x) > MEMO_CHARS:
+                    del known[x]
+        return out
 
 
 def encoder(path: str) -> Encoder:
