@@ -308,43 +308,43 @@ def plain_sentences(text):
         cut.append(text[at:end])
         at = end
     parts = []
-    for s in cut:
+    for k, s in enumerate(cut):
         ws = re.findall(r"\s*\S+\s*", s) if s.strip() else [s]
-        parts += [s] if len(ws) <= 24 else ["".join(ws[i : i + 12]) for i in range(0, len(ws), 12)]
+        parts += [(s, k)] if len(ws) <= 24 else [("".join(ws[i : i + 12]), k) for i in range(0, len(ws), 12)]
     out = []
-    for p in parts:
-        if out and (not p.strip() or not out[-1].strip()):
-            out[-1] += p
+    for p, k in parts:
+        if out and (not p.strip() or not out[-1][0].strip()):
+            out[-1] = out[-1][0] + p, out[-1][1]
         else:
-            out.append(p)
-    return out
+            out.append((p, k))
+    return [p for p, _ in out], [k for _, k in out]
 
 
 def plain_dedup(texts):
     """What stays of each text, by dictionaries over the words of runs."""
     first, info = {}, {}
     for k in sorted(texts):
-        pieces = plain_sentences(texts[k] or "")
+        pieces, of = plain_sentences(texts[k] or "")
         keys = [tuple(p.lower().split()) for p in pieces]
         spans = []
         for i in range(len(pieces)):
-            for ends in ([(i, j) for j in range(i + 2, len(pieces) + 1)], [(j, i + 1) for j in range(i - 1, -1, -1)]):
-                hit = next((e for e in ends if sum(map(len, keys[e[0] : e[1]])) >= 20), None)
+            for ends in ([(i, j) for j in range(i + 1, len(pieces) + 1)], [(j, i + 1) for j in range(i, -1, -1)]):
+                hit = next((e for e in ends if sum(map(len, keys[e[0] : e[1]])) >= (20 if of[e[0]] < of[e[1] - 1] else 48)), None)
                 if hit:
                     spans.append((tuple(keys[hit[0] : hit[1]]), *hit))
-        info[k] = pieces, spans
+        info[k] = pieces, of, spans
         for key, i, _ in spans:
             first[key] = min(first.get(key, (k, i)), (k, i))
     out = {}
-    for k, (pieces, spans) in info.items():
+    for k, (pieces, of, spans) in info.items():
         off = {x for key, i, j in spans if first[key] != (k, i) for x in range(i, j)}
-        out[k] = "".join(p for n, p in enumerate(pieces) if n not in off), len(pieces), len(off)
+        out[k] = "".join(p for n, p in enumerate(pieces) if n not in off), len(set(of)), len({of[n] for n in off})
     return out
 
 
 def test_span_dedup_equals_brute_force(docs, texts, empty):
     for t in texts.values():
-        assert span_dedup.sentences(t or "")[0] == plain_sentences(t or "") and "".join(plain_sentences(t or "")) == (t or "")
+        assert span_dedup.sentences(t or "")[0] == plain_sentences(t or "")[0] and "".join(plain_sentences(t or "")[0]) == (t or "")
     wanted = plain_dedup(texts)
     got = {r["doc_id"]: (r["kept"], r["n_sentences"], r["n_removed"]) for r in span_dedup.span_dedup(docs, carry=["lang"]).collect()}
     assert got == wanted and wanted[9][2] and wanted[40][2]
@@ -751,3 +751,42 @@ def test_registered_queries(spark, tables, texts, name):
         assert collections.Counter((r["doc_id"], r["n_links"]) for r in got if r["doc_id"] is not None) == want
     elif name == "op7_merkle_fingerprints":
         assert all(r["n_chars"] == len(of[r["doc_id"]]) and r["fingerprint"] == plain_fingerprint(of[r["doc_id"]]) for r in got)
+
+
+def test_spans_of_one_sentence_and_of_one_doc_id(spark):
+    words = [f"word{i}" for i in range(200)]
+    lone, long = " ".join(words[:28]) + ".", " ".join(words[:120])
+    rows = [(1, f"Start one. {lone} End one."), (2, f"Begin two. {lone} Stop two."), (3, long), (4, long), (5, "A first one. " + lone), (5, "A first one. " + lone + " And more here."), (6, " ".join(f"{' '.join(words[150 + 12 * i : 162 + 12 * i])}." for i in range(3)) + " x."), (7, "y. " + " ".join(f"{' '.join(words[150 + 12 * i : 162 + 12 * i])}." for i in range(3)))]
+    got = {(r["doc_id"], r["text"]): r for r in span_dedup.span_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[rows[i]]["n_removed"] for i in (0, 1)] == [0, 0]  # one sentence of 28 words is no run
+    assert (got[rows[2]]["n_removed"], got[rows[3]]["kept"]) == (0, "")  # but 120 words without an end are
+    assert sorted(got[rows[i]]["n_removed"] for i in (4, 5)) == [0, 2]  # two texts of one doc_id, the same span at the same place: one keeps it
+    assert got[rows[6]]["n_removed"] == 0 and got[rows[7]]["n_removed"] == 3
+
+
+def test_toxicity_keeps_a_class_with_a_long_text(spark):
+    docs = spark.createDataFrame([(i, f"text number {i} " * (2000 if i == 4 else 3)) for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(40)], "doc_id long, quality int, toxic int")
+    for bound in (2000, 30):
+        kept = toxicity.labelled(docs, labels, max_chars=bound, held_out=None).groupBy("toxic").count().collect()
+        assert {r["toxic"] for r in kept} == {0, 1}, bound
+    kept = {r["doc_id"] for r in toxicity.labelled(docs, labels, max_chars=2000, held_out=None).where("toxic = 0").collect()}
+    assert kept == set(range(0, 40, 2)) - {4}
+
+
+def test_short_near_copies_fall_in_blocks_of_bounded_sets(spark, monkeypatch):
+    """Many short texts of one template: a cluster is cut by sets too, and no link is lost."""
+    monkeypatch.setattr(jaccard_join, "BLOCK_SETS", 40)
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(30)]
+    rows = [(i, " ".join(base[: 30 - i % 3] + ["x" * (i % 5)] * (i % 2) + [rng.choice(["a", "b", "c"])])) for i in range(200)]
+    sets = {i: set(jaccard_join.gram_set(t).tolist()) for i, t in rows}
+    got = {r["doc_id"]: r["n_links"] for r in jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    alike = lambda a, b: len(a & b) >= 0.8 * len(a | b)
+    assert got == {i: sum(alike(s, sets[j]) for j in sets if j != i) for i, s in sets.items()}
+
+
+def test_long_runs_are_not_kept():
+    e = packing.Encoder(packing.VOCABULARY)
+    texts = ["short text", "y" * 5000 + " z", "y" * 5000]
+    assert e.ids(texts) == e.ids(texts) and max(map(len, [*e.runs, *e.words])) <= packing.MEMO_CHARS
