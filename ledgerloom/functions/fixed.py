@@ -128,6 +128,42 @@ SAYINGS = {
     "answer_general": "Size kategori dağılımınız, harcama profiliniz, dikkat çeken işlemler, harcama tahmininiz ve taksit seçenekleri hakkında yardımcı olabilirim.",
 }
 
+# Sentences of observations, explanations and chat contexts, and statuses.
+OBSERVATIONS = {
+    "no_spending": "Analiz için harcama işlemi bulunamadı.",
+    "heavy_category": "Harcama tutarının %%%s bölümü %s kategorisinde yoğunlaşıyor.",
+    "installments": "İşlemlerin %%%s bölümü taksitli.",
+    "foreign": "İşlemlerin %%%s bölümü yabancı para işlemi içeriyor.",
+    "large_purchase": "En yüksek harcama, ortalama işlem tutarının belirgin üzerinde.",
+    "balanced": "Belirgin tek bir harcama davranışı yoğunluğu tespit edilmedi.",
+    "no_debits": "Anomali analizi için harcama işlemi bulunamadı.",
+    "anomalies": "%d işlem inceleme gerektirebilecek anomali sinyali taşıyor.",
+    "no_anomalies": "Belirgin bir anomali sinyali tespit edilmedi.",
+    "few_rows": "PyOD modeli için yeterli geçmiş işlem olmadığı için istatistiksel fallback kullanıldı.",
+    "no_months": "Forecast için harcama verisi bulunamadı.",
+    "few_months": "Yeterli dönem olmadığından ağırlıklı hareketli ortalama kullanıldı.",
+}
+EXPLANATIONS = {
+    "not_requested": "Taksit değerlendirmesi için purchase_scenario gönderilmelidir.",
+    "insufficient_data": "Satın alma senaryosu için karşılaştırılabilir harcama tahmini bulunamadı.",
+    "completed": "%s %s tutarındaki alışveriş için %d ay taksit, aylık %s %s ödemeyle tahmini harcama seviyenize göre %s bir seçenek görünüyor.",
+}
+RISK_WORDS = {"low": "rahatça karşılayabileceğiniz", "medium": "orta düzeyde zorlayabilecek", "high": "bütçenizi yükleyebilecek"}
+CONTEXT = {
+    "primary": "- En yoğun harcama kategorisi: %s (toplam harcamanın %%%s'i).",
+    "labels": "- Harcama profili: %s.",
+    "categories": "- En çok harcanan kategoriler: %s.",
+    "anomalies": "- İşaretlenen anomali sayısı: %d.",
+    "anomaly": "  - %s: %s %s (%s önem).",
+    "forecast": "- Gelecek dönem harcama tahmini: %s %s.",
+    "installment": "- Önerilen taksit sayısı: %d ay (risk: %s).",
+}
+WARNINGS = {
+    "low_rows": "low_confidence_source_rows_present", "invalid_rows": "invalid_source_rows_present", "low": "analysis_contains_low_confidence_transactions", "invalid": "analysis_contains_invalid_transactions",
+    "no_forecast": "insufficient_forecast_for_installment_recommendation", "no_advice": "recommendation_is_spending_burden_estimate_not_credit_advice",
+}
+MIN_MODEL_MONTHS, PARTIAL = 6, 0.55
+
 # Image variants of each kind: (variant, purpose, for OCR, operations).
 VARIANTS = {
     "screenshot": [("normalized_original", "color_preservation", True, ["normalize_original"]), ("ocr_grayscale", "primary_ocr", True, ["grayscale", "soft_contrast_enhancement"])],

@@ -47,6 +47,11 @@ def rounded(c: Column, digits: int = 4) -> Column:
     return F.round(F.round(c, 10), digits)
 
 
+def percent(share: Column) -> Column:
+    """A share as a percentage with one decimal."""
+    return F.round(share.cast("decimal(6,4)") * 100, 1).cast("decimal(6,1)").cast("string")
+
+
 def collapse(c: Column) -> Column:
     """White space runs as one space, none at the ends."""
     return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))

@@ -146,8 +146,8 @@ def similar_categories(vectors: DataFrame, references: DataFrame, k: int = 2, fl
     return out.where(F.col("similarity") >= floor)
 
 
-def profile(rows: DataFrame) -> DataFrame:
-    """Spending profile of each document with debits: ratios, sizes, primary category and labels (rows: categorised features)."""
+def profile(rows: DataFrame, inputs: DataFrame | None = None) -> DataFrame:
+    """Spending profile of each document with debits: ratios, sizes, primary category, labels and observations (rows: categorised features). Documents of inputs (input_id) without debits have a row that says so, all figures 0."""
     debit = rows.where("direction = 'debit'")
     share = lambda c: F.round(F.count_if(F.col(c)) / F.count(F.lit(1)), 4)
     out = debit.groupBy("input_id").agg(
@@ -156,13 +156,21 @@ def profile(rows: DataFrame) -> DataFrame:
     )
     top = category_summary(rows).groupBy("input_id").agg(F.min_by(F.struct("category", "share_of_spend"), F.struct(-F.col("total_amount"), "category")).alias("p"))
     out = out.join(top, "input_id").withColumn("primary_category", taxonomy.label(F.col("p.category"))).withColumn("primary_share", F.col("p.share_of_spend")).drop("p")
-    labels = F.array_compact(
-        F.array(
-            F.when(F.col("primary_share") >= 0.40, F.concat("primary_category", F.lit("_heavy_spender"))), F.when(F.col("installment_ratio") >= 0.35, "installment_heavy_spender"),
-            F.when(F.col("foreign_ratio") >= 0.20, "international_spender"), F.when((F.col("largest_amount") >= F.col("average_amount") * 3) & (F.col("n") >= 3), "large_purchase_sensitive"),
-        )
-    )
-    return out.withColumn("labels", F.when(F.size(labels) > 0, labels).otherwise(F.array(F.lit("balanced_spender"))))
+    said, percent = fixed.OBSERVATIONS, lambda c: T.percent(F.col(c))
+    found = [
+        (F.col("primary_share") >= 0.40, F.concat("primary_category", F.lit("_heavy_spender")), F.format_string(said["heavy_category"], percent("primary_share"), F.col("primary_category"))),
+        (F.col("installment_ratio") >= 0.35, F.lit("installment_heavy_spender"), F.format_string(said["installments"], percent("installment_ratio"))),
+        (F.col("foreign_ratio") >= 0.20, F.lit("international_spender"), F.format_string(said["foreign"], percent("foreign_ratio"))),
+        ((F.col("largest_amount") >= F.col("average_amount") * 3) & (F.col("n") >= 3), F.lit("large_purchase_sensitive"), F.lit(said["large_purchase"])),
+    ]
+    lists = {name: F.array_compact(F.array(*(F.when(f[0], f[i]) for f in found))) for i, name in ((1, "labels"), (2, "observations"))}
+    other = {"labels": "balanced_spender", "observations": said["balanced"]}
+    out = out.withColumns({name: F.when(F.size(c) > 0, c).otherwise(F.array(F.lit(other[name]))) for name, c in lists.items()})
+    if inputs is None:
+        return out
+    none = {"labels": "insufficient_spending_data", "observations": said["no_spending"]}
+    out = inputs.select("input_id").distinct().join(out, "input_id", "left").fillna(0, ["n", "installment_ratio", "foreign_ratio", "average_amount", "largest_amount"])
+    return out.withColumns({name: F.coalesce(name, F.array(F.lit(x))) for name, x in none.items()})
 
 
 def with_flags(rows: DataFrame) -> DataFrame:
@@ -175,41 +183,87 @@ def severity(score: Column) -> Column:
 
 
 def robust_anomalies(rows: DataFrame) -> DataFrame:
-    """Debits whose distance from the document's median, in median absolute deviations, or whose flags reach the cutoff."""
-    x = F.col("amount").cast("double")
-    rows = with_flags(rows.where("direction = 'debit'")).withColumn("_x", x).withColumn("_med", F.median("_x").over(per_document())).withColumn("_n", F.count(F.lit(1)).over(per_document()))
-    rows = rows.withColumn("_mad", F.median(F.abs(F.col("_x") - F.col("_med"))).over(per_document()))
-    z = F.when(F.col("_mad") > 0, F.abs(F.col("_x") - F.col("_med")) / (F.col("_mad") * 1.4826))
+    """Debits whose distance from the document's median, in median absolute deviations, or whose flags reach the cutoff. Medians are aggregates over counts by value, so that a document's rows are never sorted together."""
+    rows = with_flags(rows.where("direction = 'debit'")).withColumn("_x", F.col("amount").cast("double"))
+    middle = rows.groupBy("input_id").agg(F.median("_x").alias("_med"), F.count(F.lit(1)).alias("_n"))
+    rows = rows.join(middle, "input_id").withColumn("_off", F.abs(F.col("_x") - F.col("_med")))
+    rows = rows.join(rows.groupBy("input_id").agg(F.median("_off").alias("_mad")), "input_id")
+    z = F.when(F.col("_mad") > 0, F.col("_off") / (F.col("_mad") * 1.4826))
     high = F.coalesce(z >= fixed.ROBUST_Z, (F.col("_mad") == 0) & (F.col("_n") >= 3) & (F.col("_x") > F.col("_med") * 3))
     score = F.least(F.lit(1.0), F.col("bonus") + F.when(high, F.when(F.col("_mad") > 0, F.least(F.lit(0.70), z / 10)).otherwise(0.55)).otherwise(0.0))
     rows = rows.withColumn("flags", F.when(high, F.array_append("flags", F.lit("unusually_high_amount"))).otherwise(F.col("flags"))).withColumn("score", F.round(score, 4))
-    return rows.where(score >= fixed.ROBUST_CUTOFF).drop("_x", "_med", "_n", "_mad").withColumn("severity", severity(F.col("score")))
+    return rows.where(score >= fixed.ROBUST_CUTOFF).drop("_x", "_med", "_n", "_off", "_mad").withColumn("severity", severity(F.col("score")))
+
+
+#: Yes or no features of outliers, beside the amount.
+OUTLIER_FLAGS = ["has_installment", "is_foreign_currency", "is_low_confidence", "is_weekend"]
+#: Steps of a logarithmic amount: a document's distinct amounts are summed up within each, and the steps among themselves.
+AMOUNT_STEPS = 16
+
+
+def amount_ranks(rows: DataFrame, key: str = "input_id", value: str = "log_amount") -> DataFrame:
+    """(key, value, below, above) of each distinct value: rows of the key up to it and from it on. Values are counted first; their sums run within steps and over steps, so that no window holds more than a step's distinct values or a key's steps."""
+    v = F.coalesce(F.col(value), F.lit(float("-inf")))
+    counts = rows.groupBy(key, F.coalesce(F.floor(F.col(value) * AMOUNT_STEPS), F.lit(-(1 << 40))).alias("_step"), v.alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    steps = counts.groupBy(key, "_step").agg(F.sum("_n").alias("_all"))
+    upto = F.sum("_all").over(Window.partitionBy(key).orderBy("_step"))
+    steps = steps.select(key, "_step", (upto - F.col("_all")).alias("_before"), F.sum("_all").over(Window.partitionBy(key)).alias("_total"))
+    within = F.sum("_n").over(Window.partitionBy(key, "_step").orderBy("_v"))
+    ranked = counts.withColumn("_in", within).join(steps, [key, "_step"])
+    below = F.col("_before") + F.col("_in")
+    return ranked.select(key, "_v", below.alias("below"), (F.col("_total") - below + F.col("_n")).alias("above"))
 
 
 def ecdf_anomalies(current: DataFrame, reference: DataFrame) -> DataFrame:
-    """Empirical-distribution outliers: per feature the larger negative log tail over reference and current debits, summed, scaled to 0..1 over the document's current rows, plus flags."""
-    columns = ["log_amount", "has_installment", "is_foreign_currency", "is_low_confidence", "is_weekend"]
-    both = reference.where("direction = 'debit'").withColumn("_now", F.lit(False)).unionByName(current.where("direction = 'debit'").withColumn("_now", F.lit(True)), allowMissingColumns=True)
-    score = F.lit(0.0)
-    for c in columns:
-        x = F.col(c).cast("double")
-        low, high = (F.cume_dist().over(per_document().orderBy(o)) for o in (x.asc(), x.desc()))
-        both = both.withColumn(f"_t_{c}", F.greatest(-F.log(low), -F.log(high)))
-        score = score + F.col(f"_t_{c}")
-    rows = both.withColumn("_raw", F.round(score, 9)).where("_now").drop("_now", *(f"_t_{c}" for c in columns))
-    least, most = F.min("_raw").over(per_document()), F.max("_raw").over(per_document())
-    rows = with_flags(rows).withColumn("_s", F.when(most > least, (F.col("_raw") - least) / (most - least)).otherwise(0.0))
+    """Empirical-distribution outliers: per feature the larger negative log tail over reference and current debits, summed, scaled to 0..1 over the document's current rows, plus flags.
+
+    A feature of yes or no has its tails from two counts of the document, the amount from amount_ranks(): rows meet
+    counts, and are nowhere sorted by document. A null feature counts as no.
+    """
+    names = ["input_id", "log_amount", *OUTLIER_FLAGS]
+    now = current.where("direction = 'debit'")
+    both = reference.where("direction = 'debit'").select(*names).unionByName(now.select(*names))
+    counts = both.groupBy("input_id").agg(F.count(F.lit(1)).alias("_n"), *(F.count_if(F.col(c)).alias(f"_y_{c}") for c in OUTLIER_FLAGS))
+    facts = amount_ranks(both).join(counts, "input_id")
+    rows = now.withColumn("_v", F.coalesce("log_amount", F.lit(float("-inf")))).join(facts, ["input_id", "_v"])
+    tail = lambda a, b: F.greatest(-F.log(a / F.col("_n")), -F.log(b / F.col("_n")))
+    score = tail(F.col("below"), F.col("above"))
+    for c in OUTLIER_FLAGS:
+        yes = F.coalesce(F.col(c), F.lit(False))
+        score = score + F.when(yes, tail(F.col("_n"), F.col(f"_y_{c}"))).otherwise(tail(F.col("_n") - F.col(f"_y_{c}"), F.col("_n")))
+    rows = rows.withColumn("_raw", F.round(score, 9)).select(*now.columns, "_raw")
+    ends = rows.groupBy("input_id").agg(F.min("_raw").alias("_least"), F.max("_raw").alias("_most"))
+    rows = with_flags(rows.join(ends, "input_id")).withColumn("_s", F.when(F.col("_most") > F.col("_least"), (F.col("_raw") - F.col("_least")) / (F.col("_most") - F.col("_least"))).otherwise(0.0))
     total = F.least(F.col("_s") + F.col("bonus"), F.lit(1.0))
     rows = rows.withColumn("score", F.round(total, 4)).withColumn("flags", F.when(F.size("flags") > 0, F.col("flags")).otherwise(F.array(F.lit("pyod_outlier_score"))))
-    return rows.where(total >= fixed.ECDF_CUTOFF).drop("_raw", "_s").withColumn("severity", severity(F.col("score")))
+    return rows.where(total >= fixed.ECDF_CUTOFF).drop("_raw", "_s", "_least", "_most").withColumn("severity", severity(F.col("score")))
+
+
+def detectors(inputs: DataFrame, current: DataFrame, reference: DataFrame) -> DataFrame:
+    """(input_id, detector) of each of inputs: ecdf where the reference has enough debits, robust with fewer, no_debit_data without a current debit."""
+    count = lambda df, c: df.where("direction = 'debit'").groupBy("input_id").agg(F.count(F.lit(1)).alias(c))
+    rows = inputs.select("input_id").distinct().join(count(current, "_now"), "input_id", "left").join(count(reference, "_all"), "input_id", "left")
+    return rows.select("input_id", F.when(F.col("_now").isNull(), "no_debit_data").when(F.col("_all") >= fixed.MIN_ECDF_ROWS, "ecdf").otherwise("robust").alias("detector"))
+
+
+def anomalies(current: DataFrame, reference: DataFrame, chosen: DataFrame | None = None) -> DataFrame:
+    """ECDF where a document's reference has enough debits, robust statistics elsewhere; with merchant and message."""
+    chosen = detectors(current, current, reference) if chosen is None else chosen
+    of = lambda df, name: df.join(chosen.where(F.col("detector") == name), "input_id", "left_semi")
+    a = ecdf_anomalies(of(current, "ecdf"), of(reference, "ecdf")).withColumn("detector", F.lit("ecdf"))
+    b = robust_anomalies(of(current, "robust")).withColumn("detector", F.lit("robust"))
+    rows = a.unionByName(b)
+    return rows.withColumn("merchant_text", merchant_of(rows)).withColumn("message", anomaly_message(F.col("merchant_text"), F.col("amount"), F.col("currency"), F.col("flags")))
 
 
-def anomalies(current: DataFrame, reference: DataFrame) -> DataFrame:
-    """ECDF where a document's reference has enough debits, robust statistics elsewhere."""
-    many = reference.where("direction = 'debit'").groupBy("input_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= fixed.MIN_ECDF_ROWS).select("input_id")
-    a = ecdf_anomalies(current.join(many, "input_id", "left_semi"), reference.join(many, "input_id", "left_semi")).withColumn("detector", F.lit("ecdf"))
-    b = robust_anomalies(current.join(many, "input_id", "left_anti")).withColumn("detector", F.lit("robust"))
-    return a.unionByName(b)
+def anomaly_results(chosen: DataFrame, found: DataFrame) -> DataFrame:
+    """(input_id, anomaly_count, detector, observations, worst) of each document of detectors(); worst is the message of the highest score, of equal ones the first."""
+    counts = found.groupBy("input_id").agg(F.count(F.lit(1)).alias("n"), F.max_by("message", F.struct("score", -F.col("seq"))).alias("worst"))
+    rows = chosen.join(counts, "input_id", "left").withColumn("anomaly_count", F.coalesce("n", F.lit(0))).drop("n")
+    said, none = fixed.OBSERVATIONS, F.col("detector") == "no_debit_data"
+    some = F.when(F.col("anomaly_count") > 0, F.format_string(said["anomalies"], F.col("anomaly_count"))).otherwise(said["no_anomalies"])
+    lists = F.array_compact(F.array(some, F.when(F.col("detector") == "robust", said["few_rows"])))
+    return rows.withColumn("observations", F.when(none, F.array(F.lit(said["no_debits"]))).otherwise(lists))
 
 
 def anomaly_message(merchant: Column, amount: Column, currency: Column, flags: Column) -> Column:
@@ -269,6 +323,66 @@ def ar_forecast(monthly: DataFrame, lags: int = 3, min_months: int = 6, ridge: f
     return out.select(*keys, F.col("n").alias("months"), F.round(value, 2).alias("predicted"), F.round(F.least(F.lit(0.65) + F.col("n") * 0.025, F.lit(0.90)), 4).alias("confidence"), F.lit("ar_moving_average_ensemble").alias("method"))
 
 
+def reference_currency(rows: DataFrame, inputs: DataFrame | None = None) -> DataFrame:
+    """(input_id, currency) of each document: the given primary_currency of inputs, else the most frequent of its rows (of equally frequent ones the first by name), else TRY."""
+    seen = rows.groupBy("input_id", "currency").agg(F.count(F.lit(1)).alias("n"))
+    out = seen.groupBy("input_id").agg(F.min_by("currency", F.struct(F.col("currency").isNull(), -F.col("n"), "currency")).alias("_mode"))
+    given = F.lit(None).cast("string")
+    if inputs is not None:
+        out = inputs.join(out, "input_id", "left")
+        given = F.nullif(F.col("primary_currency"), F.lit("")) if "primary_currency" in inputs.columns else given
+    return out.select("input_id", F.upper(F.coalesce(given, "_mode", F.lit("TRY"))).alias("currency"))
+
+
+def spending_forecast(currencies: DataFrame, monthly: DataFrame, model=ar_forecast) -> DataFrame:
+    """(input_id, currency, status, method, months, predicted, confidence, observations): one forecast for each document, in its reference currency.
+
+    Without a month there is none; below MIN_MODEL_MONTHS months it is the weighted average, from there on model(monthly), whose
+    blend with the average has a method label of its own.
+    """
+    own = monthly.join(currencies, ["input_id", "currency"], "left_semi")
+    columns = ["input_id", "currency", "months", "predicted", "confidence", "method"]
+    few = forecast(own).where(F.col("months") < fixed.MIN_MODEL_MONTHS).select(*columns)
+    found = few.unionByName(model(own).where(F.col("months") >= fixed.MIN_MODEL_MONTHS).select(*columns))
+    rows = currencies.join(found, ["input_id", "currency"], "left")
+    said = F.when(F.col("method").isNull(), fixed.OBSERVATIONS["no_months"]).when(F.col("months") < fixed.MIN_MODEL_MONTHS, fixed.OBSERVATIONS["few_months"]).otherwise("Tahmin, kapalı biçimli otoregresyon ile ağırlıklı hareketli ortalamanın harmanlanmasıyla üretildi.")
+    return rows.select("input_id", "currency", F.when(F.col("method").isNull(), "insufficient_data").otherwise("completed").alias("status"), F.coalesce("method", F.lit("no_data")).alias("method"), F.coalesce("months", F.lit(0)).alias("months"), "predicted", "confidence", F.array(said).alias("observations"))
+
+
+def installments(forecasts: DataFrame, scenarios: DataFrame | None) -> DataFrame:
+    """A recommendation for each document of spending_forecast(): status, requested_amount, currency, baseline, options, recommended option, explanation and warnings.
+
+    scenarios (input_id, amount, currency, max_months): at most one for each document. Options are worked out in their row.
+    """
+    rows = forecasts.select("input_id", F.col("currency").alias("_of"), "predicted", F.col("method").alias("forecast_method"), F.col("status").alias("_status"))
+    if scenarios is None:
+        rows = rows.select("*", F.lit(None).cast("double").alias("amount"), F.lit(None).cast("string").alias("currency"), F.lit(None).cast("int").alias("max_months"))
+    else:
+        rows = rows.join(scenarios.select("input_id", F.col("amount").cast("double").alias("amount"), F.upper("currency").alias("currency"), "max_months"), "input_id", "left")
+    asked = F.col("amount").isNotNull()
+    able = asked & (F.col("_status") == "completed") & F.col("predicted").isNotNull() & F.coalesce(F.col("_of") == F.col("currency"), F.lit(False))
+    status = F.when(~asked, "not_requested").when(able, "completed").otherwise("insufficient_data")
+
+    def option(m: Column) -> Column:
+        monthly = F.round(F.col("amount") / m, 2)
+        ratio = F.when(F.col("predicted") > 0, monthly / F.col("predicted"))
+        return F.struct(m.cast("int").alias("months"), monthly.alias("monthly_amount"), F.round(ratio, 4).alias("burden_ratio"), risk(ratio).alias("risk_level"))
+
+    rows = rows.withColumn("status", status).withColumn("options", F.when(F.col("status") == "completed", F.transform(F.sequence(F.lit(1), F.greatest("max_months", F.lit(1))), option)))
+    low = F.filter("options", lambda o: o["risk_level"] == "low")
+    rows = rows.withColumn("_best", F.when(F.size(low) > 0, F.get(low, F.lit(0))).otherwise(F.try_element_at("options", F.lit(-1))))
+    words = F.create_map(*(F.lit(x) for kv in fixed.RISK_WORDS.items() for x in kv))
+    money = lambda c: F.format_number(c, 2)
+    full = F.format_string(fixed.EXPLANATIONS["completed"], money(F.col("amount")), F.col("currency"), F.col("_best.months"), money(F.col("_best.monthly_amount")), F.col("currency"), F.try_element_at(words, F.col("_best.risk_level")))
+    explained = F.when(F.col("status") == "completed", full).when(asked, fixed.EXPLANATIONS["insufficient_data"]).otherwise(fixed.EXPLANATIONS["not_requested"])
+    warned = F.when(F.col("status") == "completed", F.array(F.lit(fixed.WARNINGS["no_advice"]))).when(asked, F.array(F.lit(fixed.WARNINGS["no_forecast"]))).otherwise(F.array().cast("array<string>"))
+    done = lambda c: F.when(F.col("status") == "completed", F.col(c))
+    return rows.select(
+        "input_id", "status", F.round("amount", 2).alias("requested_amount"), "currency", done("predicted").alias("baseline"), F.when(asked, F.col("forecast_method")).alias("forecast_method"), F.col("_best.months").alias("recommended_months"), F.col("_best.monthly_amount").alias("monthly_amount"),
+        F.col("_best.risk_level").alias("risk_level"), F.coalesce("options", F.array().cast("array<struct<months: int, monthly_amount: double, burden_ratio: double, risk_level: string>>")).alias("options"), explained.alias("explanation"), warned.alias("warnings"),
+    )
+
+
 def risk(ratio: Column) -> Column:
     return F.when(ratio <= 0.15, "low").when(ratio <= 0.30, "medium").otherwise("high")
 
@@ -289,10 +403,26 @@ def recommended(options: DataFrame) -> DataFrame:
     return best.select("input_id", "currency", F.col("b.months").alias("recommended_months"), F.col("b.monthly_amount").alias("monthly_amount"), F.col("b.risk_level").alias("risk_level"))
 
 
-def quality(rows: DataFrame) -> DataFrame:
-    """Confidence in a document's analysis: mean confidence less penalties for low-confidence and invalid rows."""
+def quality(rows: DataFrame, inputs: DataFrame | None = None) -> DataFrame:
+    """Confidence in a document's analysis: the overall_confidence that inputs give, else the mean confidence, less penalties for low-confidence and invalid rows; with status and warnings."""
     n = F.count(F.lit(1))
-    out = rows.groupBy("input_id").agg(T.rounded(F.avg("confidence")).alias("overall"), (n - F.count_if(F.col("validation_status") == "invalid")).alias("usable"), F.count_if(F.col("confidence") < fixed.LOW_CONFIDENCE).alias("low_count"), F.count_if(F.col("validation_status") == "invalid").alias("invalid_count"), n.alias("n"))
+    out = rows.groupBy("input_id").agg(T.rounded(F.avg("confidence")).alias("_mean"), (n - F.count_if(F.col("validation_status") == "invalid")).alias("usable"), F.count_if(F.col("confidence") < fixed.LOW_CONFIDENCE).alias("low_count"), F.count_if(F.col("validation_status") == "invalid").alias("invalid_count"), n.alias("n"))
+    given = inputs is not None and "overall_confidence" in inputs.columns
+    if given:
+        out = out.join(inputs.select("input_id", F.col("overall_confidence").cast("double").alias("_given")), "input_id", "left")
+    out = out.withColumn("overall", F.coalesce("_given", "_mean") if given else F.col("_mean"))
     value = F.col("overall") - F.col("low_count") / F.col("n") * 0.20 - F.col("invalid_count") / F.col("n") * 0.35
     out = out.withColumn("analysis_confidence", T.rounded(F.greatest(F.lit(0.0), F.least(F.lit(1.0), value))))
-    return out.withColumn("status", F.when((F.col("invalid_count") > 0) | (F.col("analysis_confidence") < 0.55), "partial").otherwise("completed")).drop("n")
+    warned = F.array_compact(F.array(F.when(F.col("low_count") > 0, fixed.WARNINGS["low_rows"]), F.when(F.col("invalid_count") > 0, fixed.WARNINGS["invalid_rows"])))
+    return out.withColumn("status", F.when((F.col("invalid_count") > 0) | (F.col("analysis_confidence") < fixed.PARTIAL), "partial").otherwise("completed")).withColumn("warnings", warned).drop("n", "_mean", "_given")
+
+
+def outcome(qualities: DataFrame, recommendations: DataFrame, inputs: DataFrame | None = None) -> DataFrame:
+    """(input_id, status, warnings) of each analysis: the warnings that inputs bring, and its own, distinct and sorted."""
+    rows = qualities.select("input_id", "status", "low_count", "invalid_count").join(recommendations.select("input_id", F.col("warnings").alias("_of")), "input_id", "left")
+    brought = inputs is not None and "warnings" in inputs.columns
+    if brought:
+        rows = rows.join(inputs.select("input_id", F.col("warnings").alias("_brought")), "input_id", "left")
+    none = F.array().cast("array<string>")
+    lists = [F.array_compact(F.array(F.when(F.col("low_count") > 0, fixed.WARNINGS["low"]), F.when(F.col("invalid_count") > 0, fixed.WARNINGS["invalid"]))), F.coalesce("_of", none), *([F.coalesce("_brought", none)] if brought else [])]
+    return rows.select("input_id", "status", F.array_sort(F.array_distinct(F.concat(*lists))).alias("warnings"))

@@ -5,31 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import fixed
+from ..functions import fixed, taxonomy
 from ..functions import text as T
 
 S = fixed.SAYINGS
-
-
-def percent(share: Column) -> Column:
-    return F.round(share.cast("decimal(6,4)") * 100, 1).cast("decimal(6,1)").cast("string")
+percent = T.percent
 
 
 def amount(c: Column) -> Column:
     return F.format_number(c, 2)
 
 
-def facts(profiles: DataFrame, anomalies: DataFrame, forecasts: DataFrame, recommended: DataFrame | None = None) -> DataFrame:
-    """One row for each document with what sentences need: profile, number of anomalies and the worst one's message, forecast, recommended months."""
-    from .analytics import anomaly_message
-
-    worst = F.max_by(anomaly_message(F.col("description"), F.col("amount"), F.col("currency"), F.col("flags")), F.struct("score", -F.col("seq")))
-    found = anomalies.groupBy("input_id").agg(F.count(F.lit(1)).alias("anomaly_count"), worst.alias("worst"))
-    rows = profiles.join(found, "input_id", "left").withColumn("anomaly_count", F.coalesce("anomaly_count", F.lit(0)))
+def facts(profiles: DataFrame, results: DataFrame, forecasts: DataFrame, recommended: DataFrame) -> DataFrame:
+    """One row for each document with what sentences need, from its profile, anomaly_results(), spending_forecast() and installments(), each of which has one row for a document."""
+    rows = profiles.join(results.select("input_id", "anomaly_count", "worst"), "input_id", "left").withColumn("anomaly_count", F.coalesce("anomaly_count", F.lit(0)))
     rows = rows.join(forecasts.select("input_id", "predicted", F.col("currency").alias("forecast_currency")), "input_id", "left")
-    if recommended is None:
-        return rows.withColumn("recommended_months", F.lit(None).cast("int"))
-    return rows.join(recommended.select("input_id", "recommended_months"), "input_id", "left")
+    return rows.join(recommended.select("input_id", "recommended_months", "risk_level"), "input_id", "left")
 
 
 def summary(rows: DataFrame) -> DataFrame:
@@ -63,14 +54,26 @@ def answers(questions: DataFrame, rows: DataFrame) -> DataFrame:
     return q.select("input_id", "question", "intent", said.alias("answer"))
 
 
-def context(categories: DataFrame, anomalies: DataFrame, k: int = 3) -> DataFrame:
-    """(input_id, lines): the k largest categories and the k worst anomalies of each document, as a model would be told them. Lists stay within k while they are gathered by rank."""
+def context(rows: DataFrame, categories: DataFrame, anomalies: DataFrame, k: int = 3) -> DataFrame:
+    """(input_id, lines): what a model would be told of each document in rows (of facts()): its profile, the k largest categories, the number of anomalies and the k worst, forecast and installment. Lists stay within k while they are gathered by rank."""
     from pyspark.sql.window import Window
 
+    C = fixed.CONTEXT
     top = lambda df, *order: df.withColumn("_r", F.row_number().over(Window.partitionBy("input_id").orderBy(*order))).where(F.col("_r") <= k)
-    a = top(categories, F.desc("total_amount"), "category").select("input_id", F.lit(0).alias("part"), "_r", F.format_string("%s (%s%%)", F.col("category"), percent(F.col("share_of_spend"))).alias("line"))
-    b = top(anomalies, F.desc("score"), "seq").select("input_id", F.lit(1).alias("part"), "_r", F.format_string("%s: %s %s (%s)", F.col("description"), amount(F.col("amount")), F.col("currency"), F.col("severity")).alias("line"))
-    return a.unionByName(b).groupBy("input_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("part", "_r", "line"))), lambda x: x["line"]).alias("lines"))
+    gather = lambda df, line, name: df.select("input_id", F.struct("_r", line.alias("line")).alias("x")).groupBy("input_id").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["line"]).alias(name))
+    a = gather(top(categories, F.desc("total_amount"), "category"), F.concat(taxonomy.label(F.col("category")), F.lit(" ("), percent(F.col("share_of_spend")), F.lit("%)")), "_categories")
+    plain = F.replace(amount(F.col("amount")), F.lit(","), F.lit(""))
+    b = gather(top(anomalies, F.desc("score"), "seq"), F.format_string(C["anomaly"], F.col("merchant_text"), plain, F.col("currency"), F.col("severity")), "_anomalies")
+    met = rows.join(a, "input_id", "left").join(b, "input_id", "left")
+    none = F.array().cast("array<string>")
+    one = lambda condition, line: F.when(condition, F.array(line)).otherwise(none)
+    lines = F.concat(
+        one(F.col("primary_share").isNotNull(), F.format_string(C["primary"], F.col("primary_category"), percent(F.col("primary_share")))), one(F.size("labels") > 0, F.format_string(C["labels"], F.array_join("labels", ", "))),
+        one(F.col("_categories").isNotNull(), F.format_string(C["categories"], F.array_join("_categories", ", "))), F.array(F.format_string(C["anomalies"], F.col("anomaly_count"))), F.coalesce("_anomalies", none),
+        one(F.col("predicted").isNotNull(), F.format_string(C["forecast"], F.replace(amount(F.col("predicted")), F.lit(","), F.lit("")), F.col("forecast_currency"))),
+        one(F.col("recommended_months").isNotNull(), F.format_string(C["installment"], F.col("recommended_months"), F.col("risk_level"))),
+    )
+    return met.select("input_id", lines.alias("lines"))
 
 
 def chat_target(questions: DataFrame, stored: DataFrame) -> DataFrame:

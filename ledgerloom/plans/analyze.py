@@ -3,27 +3,40 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from ..functions import taxonomy
 from ..operators import analytics as A
 from ..operators import report
+from ..operators.similarity import similar_texts
+from ..sources.shared import kept
 
 
-def analyze(current: DataFrame, history: DataFrame | None = None, scenarios: DataFrame | None = None) -> dict[str, DataFrame]:
-    """current, history: transactions as features() takes them, with a transaction_id or without; scenarios: (input_id, amount, currency, max_months).
+def analyze(current: DataFrame, history: DataFrame | None = None, scenarios: DataFrame | None = None, inputs: DataFrame | None = None) -> dict[str, DataFrame]:
+    """current, history: transactions as features() takes them, with a transaction_id or without; scenarios: (input_id, amount, currency, max_months), one for a document at most.
 
-    The reference that forecasts and outliers are measured by is history and current, of equal identifiers in a document the last.
+    inputs: (input_id) and what is known of a document from before, if anything: primary_currency, overall_confidence, warnings (a
+    list). Documents without a current transaction have no analysis. The reference that forecasts and outliers are measured by is
+    history and current, of equal identifiers in a document the last. Features and categories are worked out once and stored in
+    the shared folder; every result starts there.
     """
     now = A.features(A.with_ids(current, "current"))
-    reference = now if history is None else A.union_keep_last(A.features(A.with_ids(history, "history")), now)
-    rows = A.categorized(now)
+    rows = kept(A.categorized(now, similar_texts(now)), "features")
+    now = rows.drop("category", "subcategory", "category_confidence", "method")
+    reference = now if history is None else kept(A.union_keep_last(A.features(A.with_ids(history, "history")), now), "reference")
+    documents = A.quality(rows).select("input_id")
+    given = None if inputs is None else documents.join(inputs, "input_id", "left")
     monthly = A.monthly_spend(reference)
-    forecasts = A.forecast(monthly)
-    profiles, found = A.profile(rows), A.anomalies(now, reference)
-    out = {"transactions": rows, "reference": reference, "categories": A.category_summary(rows), "profile": profiles, "anomalies": found, "monthly": monthly, "forecast": forecasts, "quality": A.quality(now)}
-    if scenarios is not None:
-        out["options"] = A.installment_options(forecasts, scenarios)
-        out["recommended"] = A.recommended(out["options"])
-    out["facts"] = report.facts(profiles, found, forecasts, out.get("recommended"))
-    out["summary"] = report.summary(out["facts"])
-    out["context"] = report.context(out["categories"], found)
-    return out
+    currencies = A.reference_currency(rows, given)
+    forecasts = A.spending_forecast(currencies, monthly)
+    chosen = A.detectors(documents, now, reference)
+    found = kept(A.anomalies(now, reference, chosen), "anomalies")
+    results = A.anomaly_results(chosen, found)
+    profiles, quality, installments = A.profile(rows, documents), A.quality(rows, given), A.installments(forecasts, scenarios)
+    categories = A.category_summary(rows)
+    label = lambda df: df.withColumn("category_label", taxonomy.label(F.col("category")))
+    facts = report.facts(profiles, results, forecasts, installments)
+    return {
+        "transactions": label(rows), "reference": reference, "categories": label(categories), "category_counts": A.category_counts(rows), "profile": profiles, "anomalies": found, "anomaly_results": results, "monthly": monthly,
+        "forecast": forecasts, "installments": installments, "quality": quality, "outcome": A.outcome(quality, installments, given), "facts": facts, "summary": report.summary(facts), "context": report.context(facts, categories, found),
+    }

@@ -466,13 +466,32 @@ def anomaly_detector_switch(spark, d):
 @query("anomaly_messages", f"{ANOM} select input_id, seq, detector, message from anom")
 def anomaly_messages(spark, d):
     found = analysis(spark, d)["anomalies"]
-    return found.select("input_id", "seq", "detector", A.anomaly_message(F.col("description"), F.col("amount"), F.col("currency"), F.col("flags")).alias("message"))
+    return found.select("input_id", "seq", "detector", "message")
 
 
-FACTS = f"""{ANOM}, profile_ as (select * from ({{profile}})), fore_ as ({FORE} select input_id, currency, predicted from fc), cats as ({CAT}, s as (select input_id, category, sum(amount) as t from cat where direction = 'debit' group by all)
+AR = f"""{MONTHLY}, st as (select *, count(*) over w as n, avg(spend) over w as mean, stddev_pop(spend) over w as sd, min(spend) over w as lo, max(spend) over w as hi, row_number() over (partition by input_id order by m desc) as back from mon window w as (partition by input_id)),
+ z as (select *, (spend - mean) / case when sd > 0 then sd else 1 end as z from st where n >= 6), l as (select *, lag(z, 3) over w as a, lag(z, 2) over w as b, lag(z, 1) over w as c from z window w as (partition by input_id order by m)),
+ g as (select input_id, any_value(currency) as currency, any_value(n) as n, any_value(mean) as mean, any_value(sd) as sd, any_value(lo) as lo, any_value(hi) as hi, max(case when back = 1 then b end) as x1, max(case when back = 1 then c end) as x2, max(case when back = 1 then z end) as x3, sum(greatest(7 - back, 0) * spend) / sum(greatest(7 - back, 0)) as recent,
+  sum(a * a) + 0.1e0 as aa, sum(a * b) as ab, sum(a * c) as ac, sum(a) as a1, sum(b * b) + 0.1e0 as bb, sum(b * c) as bc, sum(b) filter (a is not null) as b1, sum(c * c) filter (a is not null) + 0.1e0 as cc, sum(c) filter (a is not null) as c1, count(a) + 0.1e0 as k, sum(a * z) as az, sum(b * z) filter (a is not null) as bz, sum(c * z) filter (a is not null) as cz, sum(z) filter (a is not null) as z1,
+  sum(b * b) filter (a is not null) + 0.1e0 as bb_, sum(b * c) filter (a is not null) as bc_ from l group by input_id),
+ -- Cramer's rule: without the intercept's row and column first, as k > 0
+ r as (select *, aa - a1 * a1 / k as p, ab - a1 * b1 / k as q, ac - a1 * c1 / k as s, bb_ - b1 * b1 / k as t, bc_ - b1 * c1 / k as u, cc - c1 * c1 / k as v, az - a1 * z1 / k as f, bz - b1 * z1 / k as h, cz - c1 * z1 / k as i from g),
+ dt as (select *, p * (t * v - u * u) - q * (q * v - u * s) + s * (q * u - t * s) as d from r),
+ be as (select *, (f * (t * v - u * u) - q * (h * v - u * i) + s * (h * u - t * i)) / d as e1, (p * (h * v - u * i) - f * (q * v - u * s) + s * (q * i - h * s)) / d as e2, (p * (t * i - h * u) - q * (q * i - h * s) + f * (q * u - t * s)) / d as e3 from dt),
+ y as (select *, (x1 * e1 + x2 * e2 + x3 * e3 + (z1 - a1 * e1 - b1 * e2 - c1 * e3) / k) * case when sd > 0 then sd else 1 end + mean as model from be)
+select input_id, currency, n as months, round(case when hi <= 0 then 0 else least(greatest(0.6e0 * model + 0.4e0 * recent, lo * 0.5), hi * 1.5) end, 2)::double as predicted, round(least(0.65e0 + n * 0.025e0, 0.90e0), 4)::double as confidence, 'ar_moving_average_ensemble' as method from y"""
+
+
+@query("ar_forecast", AR)
+def ar_forecast(spark, d):
+    return A.ar_forecast(A.monthly_spend(A.features(txn(spark, d))))
+
+
+FACTS = f"""{ANOM}, profile_ as (select * from ({{profile}})), fore_ as (select input_id, currency, months, predicted from ({FORE} select * from fc) where months < 6 union all select input_id, currency, months, predicted from ({AR})), cats as ({CAT}, s as (select input_id, category, sum(amount) as t from cat where direction = 'debit' group by all)
   select input_id, category, t, round(cast(t as double) / cast(sum(t) over (partition by input_id) as double), 4) as sh from s), main as (select input_id, sh, case category when 'food' then 'Yeme İçme' when 'groceries' then 'Market' when 'fuel' then 'Akaryakıt' when 'telecom' then 'İletişim' when 'shopping' then 'Alışveriş' else 'Diğer' end as label from cats qualify row_number() over (partition by input_id order by t desc, category) = 1),
- cnt as (select input_id, count(*) as n, max_by(message, (score, -seq)) as worst from anom group by input_id), said as (select p.input_id, label, cast(round(cast(sh as decimal(6,4)) * 100, 1) as varchar) as pct, labels, coalesce(cnt.n, 0) as n, worst, format('{{:,.2f}}', predicted) || ' ' || currency as next
-  from profile_ p join main using (input_id) left join cnt using (input_id) left join fore_ using (input_id))""".replace("{profile}", SQL["profile_labels"])
+ cnt as (select input_id, count(*) as n, max_by(message, (score, -seq)) as worst from anom group by input_id), every as (select distinct input_id from txn),
+ said as (select e.input_id, label, cast(round(cast(sh as decimal(6,4)) * 100, 1) as varchar) as pct, coalesce(labels, 'insufficient_spending_data') as labels, coalesce(cnt.n, 0) as n, worst, predicted, currency, months, format('{{:,.2f}}', predicted) || ' ' || currency as next
+  from every e left join profile_ p using (input_id) left join main using (input_id) left join cnt using (input_id) left join fore_ using (input_id))""".replace("{profile}", SQL["profile_labels"])
 
 
 @query("executive_summary", f"""{FACTS} select input_id, concat_ws(chr(10), 'Harcamalarınızın en büyük bölümü ' || label || ' kategorisinde (%' || pct || ').', 'Harcama profiliniz: ' || replace(labels, ',', ', ') || '.',
@@ -481,7 +500,7 @@ def executive_summary(spark, d):
     return analysis(spark, d)["summary"].select("input_id", F.array_join("sentences", "\n").alias("summary"))
 
 
-@query("report_answers", f"""{FACTS}, every as (select distinct input_id from txn), q as (select input_id, unnest(['En çok hangi kategori?', 'Anomali var mı?', 'Gelecek ay tahmin nedir?', 'Taksit?', 'Merhaba']) as question from every)
+@query("report_answers", f"""{FACTS}, q as (select input_id, unnest(['En çok hangi kategori?', 'Anomali var mı?', 'Gelecek ay tahmin nedir?', 'Taksit?', 'Merhaba']) as question from every)
 select input_id, question, case question when 'En çok hangi kategori?' then 'category_question' when 'Anomali var mı?' then 'anomaly_question' when 'Gelecek ay tahmin nedir?' then 'forecast_question' when 'Taksit?' then 'installment_question' else 'general_statement_question' end as intent,
  case when question = 'En çok hangi kategori?' and label is not null then 'En çok harcama yaptığınız kategori ' || label || '; bu kategori toplam harcamanızın yaklaşık %' || pct || chr(39) || 'ini oluşturuyor.' when question = 'Anomali var mı?' and n > 0 then 'İncelemenizde fayda olan ' || n || ' işlem var. En dikkat çekeni: ' || worst
  when question = 'Anomali var mı?' then 'Olağan dışı görünen bir işlem tespit edilmedi.' when question = 'Taksit?' then 'Taksit önerisi sunabilmem için alışveriş tutarını (purchase_scenario) paylaşmanız gerekiyor.' when question = 'Gelecek ay tahmin nedir?' and next is not null then 'Gelecek dönem için tahmini harcamanız yaklaşık ' || next || '.'
@@ -491,26 +510,15 @@ def report_answers(spark, d):
     return report.answers(asked, analysis(spark, d)["facts"])
 
 
-@query("chat_context", f"""{FACTS}, l as (select input_id, 0 as part, row_number() over (partition by input_id order by t desc, category) as r, category || ' (' || cast(round(cast(sh as decimal(6,4)) * 100, 1) as varchar) || '%)' as line from cats
- union all select input_id, 1, row_number() over (partition by input_id order by score desc, seq), description || ': ' || format('{{:,.2f}}', cast(amount as double)) || ' ' || currency || ' (' || case when score >= 0.70 then 'high' when score >= 0.45 then 'medium' else 'low' end || ')' from anom)
-select input_id, string_agg(line, chr(10) order by part, r) as lines from l where r <= 3 group by input_id""")
-def chat_context(spark, d):
-    return analysis(spark, d)["context"].select("input_id", F.array_join("lines", "\n").alias("lines"))
+CONTEXT = f"""{FACTS}, named as (select *, case category when 'food' then 'Yeme İçme' when 'groceries' then 'Market' when 'fuel' then 'Akaryakıt' when 'telecom' then 'İletişim' when 'shopping' then 'Alışveriş' else 'Diğer' end as label, row_number() over (partition by input_id order by t desc, category) as r from cats),
+ tops as (select input_id, string_agg(label || ' (' || cast(round(cast(sh as decimal(6,4)) * 100, 1) as varchar) || '%)', ', ' order by r) as tops from named where r <= 3 group by input_id),
+ ranked as (select *, row_number() over (partition by input_id order by score desc, seq) as r from anom), items as (select input_id, string_agg('  - ' || description || ': ' || format('{{:.2f}}', cast(amount as double)) || ' ' || currency || ' (' || case when score >= 0.70 then 'high' when score >= 0.45 then 'medium' else 'low' end || ' önem).', chr(10) order by r) as items from ranked where r <= 3 group by input_id)"""
 
 
-@query("ar_forecast", f"""{MONTHLY}, st as (select *, count(*) over w as n, avg(spend) over w as mean, stddev_pop(spend) over w as sd, min(spend) over w as lo, max(spend) over w as hi, row_number() over (partition by input_id order by m desc) as back from mon window w as (partition by input_id)),
- z as (select *, (spend - mean) / case when sd > 0 then sd else 1 end as z from st where n >= 6), l as (select *, lag(z, 3) over w as a, lag(z, 2) over w as b, lag(z, 1) over w as c from z window w as (partition by input_id order by m)),
- g as (select input_id, any_value(currency) as currency, any_value(n) as n, any_value(mean) as mean, any_value(sd) as sd, any_value(lo) as lo, any_value(hi) as hi, max(case when back = 1 then b end) as x1, max(case when back = 1 then c end) as x2, max(case when back = 1 then z end) as x3, sum(greatest(7 - back, 0) * spend) / sum(greatest(7 - back, 0)) as recent,
-  sum(a * a) + 0.1e0 as aa, sum(a * b) as ab, sum(a * c) as ac, sum(a) as a1, sum(b * b) + 0.1e0 as bb, sum(b * c) as bc, sum(b) filter (a is not null) as b1, sum(c * c) filter (a is not null) + 0.1e0 as cc, sum(c) filter (a is not null) as c1, count(a) + 0.1e0 as k, sum(a * z) as az, sum(b * z) filter (a is not null) as bz, sum(c * z) filter (a is not null) as cz, sum(z) filter (a is not null) as z1,
-  sum(b * b) filter (a is not null) + 0.1e0 as bb_, sum(b * c) filter (a is not null) as bc_ from l group by input_id),
- -- Cramer's rule: without the intercept's row and column first, as k > 0
- r as (select *, aa - a1 * a1 / k as p, ab - a1 * b1 / k as q, ac - a1 * c1 / k as s, bb_ - b1 * b1 / k as t, bc_ - b1 * c1 / k as u, cc - c1 * c1 / k as v, az - a1 * z1 / k as f, bz - b1 * z1 / k as h, cz - c1 * z1 / k as i from g),
- dt as (select *, p * (t * v - u * u) - q * (q * v - u * s) + s * (q * u - t * s) as d from r),
- be as (select *, (f * (t * v - u * u) - q * (h * v - u * i) + s * (h * u - t * i)) / d as e1, (p * (h * v - u * i) - f * (q * v - u * s) + s * (q * i - h * s)) / d as e2, (p * (t * i - h * u) - q * (q * i - h * s) + f * (q * u - t * s)) / d as e3 from dt),
- y as (select *, (x1 * e1 + x2 * e2 + x3 * e3 + (z1 - a1 * e1 - b1 * e2 - c1 * e3) / k) * case when sd > 0 then sd else 1 end + mean as model from be)
-select input_id, currency, n as months, round(case when hi <= 0 then 0 else least(greatest(0.6e0 * model + 0.4e0 * recent, lo * 0.5), hi * 1.5) end, 2)::double as predicted, round(least(0.65e0 + n * 0.025e0, 0.90e0), 4)::double as confidence, 'ar_moving_average_ensemble' as method from y""")
-def ar_forecast(spark, d):
-    return A.ar_forecast(A.monthly_spend(A.features(txn(spark, d))))
+@query("chat_context", f"""{CONTEXT} select input_id, concat_ws(chr(10), '- En yoğun harcama kategorisi: ' || label || ' (toplam harcamanın %' || pct || chr(39) || 'i).', '- Harcama profili: ' || replace(labels, ',', ', ') || '.', '- En çok harcanan kategoriler: ' || tops || '.',
+ '- İşaretlenen anomali sayısı: ' || n || '.', items, '- Gelecek dönem harcama tahmini: ' || format('{{:.2f}}', predicted) || ' ' || currency || '.') as lines from said left join tops using (input_id) left join items using (input_id)""")
+def chat_context(spark, d):
+    return analysis(spark, d)["context"].select("input_id", F.array_join("lines", "\n").alias("lines"))
 
 
 HIST = """hist as (select * exclude (seq), row_number() over (partition by input_id order by seq) - 1 as seq from txn where seq % 3 <> 0), cur as (select * exclude (seq), row_number() over (partition by input_id order by seq) - 1 as seq from txn where seq % 3 = 0)"""
@@ -527,7 +535,8 @@ def history_union(spark, d):
     return analyze(current, history)["reference"].select("input_id", "transaction_id", "seq", money("amount").alias("amount"))
 
 
-@query("history_forecast", f"{FORE} select input_id, months, predicted from fc")
+@query("history_forecast", f"""{TXN}, d as (select distinct input_id from txn where seq % 3 = 0), f as (select input_id, months, predicted from ({FORE} select * from fc) where months < 6 union all select input_id, months, predicted from ({AR}))
+select input_id, coalesce(months, 0) as months, predicted from d left join f using (input_id)""")
 def history_forecast(spark, d):
     """History and current rows split a document whose rows number from 0 in each: the forecast is that of all."""
     from .plans.analyze import analyze
@@ -698,4 +707,4 @@ def ocr_lines_by_top(spark, d):
     return P.words_to_lines(P.ocr_words(rows)).select("input_id", "text", "word_count", "ocr_confidence")
 
 
-from . import registry_records, registry_texts  # noqa: E402, F401  more queries of the same registry
+from . import registry_analysis, registry_records, registry_texts  # noqa: E402, F401  more queries of the same registry

@@ -37,14 +37,23 @@ def test_contract_fixture(contract):
     assert (f["predicted"], f["confidence"]) == (1970.0, 0.41)
     assert got["profile"].first()["labels"] == ["Akaryakıt_heavy_spender"]
     assert abs(sum(r["share_of_spend"] for r in got["categories"].collect()) - 1) < 1e-3
-    r = got["recommended"].first()
-    assert (r["recommended_months"], r["risk_level"]) == (4, "low")
+    r = got["installments"].first()
+    assert (r["status"], r["recommended_months"], r["monthly_amount"], r["risk_level"], len(r["options"])) == ("completed", 4, 250.0, "low", 6)
+    assert r["explanation"] == "1,000.00 TRY tutarındaki alışveriş için 4 ay taksit, aylık 250.00 TRY ödemeyle tahmini harcama seviyenize göre rahatça karşılayabileceğiniz bir seçenek görünüyor."
+    o = got["outcome"].first()
+    assert (o["status"], o["warnings"]) == ("completed", ["recommendation_is_spending_burden_estimate_not_credit_advice"])
+    labels = {r["seq"]: r["category_label"] for r in got["transactions"].collect()}
+    assert labels == {0: "Market", 1: "Akaryakıt", 2: "İletişim", 3: "Gelir ve İade"}
     assert len(got["summary"].first()["sentences"]) == 5
     assert got["summary"].first()["sentences"][3] == "Gelecek dönem için tahmini harcamanız yaklaşık 1,970.00 TRY."
     asked = contract.sparkSession.createDataFrame([("x", "en çok ne?"), ("x", "anomali var mı"), ("x", "merhaba")], "input_id string, question string")
     said = {r["intent"]: r["answer"] for r in report.answers(asked, got["facts"]).collect()}
     assert said["anomaly_question"].endswith("SHELL AKARYAKIT (1,200.00 TRY) işlemi dikkat çekiyor: Alışılmışın üzerinde tutar.")
-    assert len(got["context"].first()["lines"]) == 4
+    assert got["context"].first()["lines"] == [
+        "- En yoğun harcama kategorisi: Akaryakıt (toplam harcamanın %60.9'i).", "- Harcama profili: Akaryakıt_heavy_spender.", "- En çok harcanan kategoriler: Akaryakıt (60.9%), Market (22.8%), İletişim (16.2%).",
+        "- İşaretlenen anomali sayısı: 1.", "  - SHELL AKARYAKIT: 1200.00 TRY (low önem).", "- Gelecek dönem harcama tahmini: 1970.00 TRY.", "- Önerilen taksit sayısı: 4 ay (risk: low).",
+    ]
+    assert got["anomaly_results"].first()["observations"] == ["1 işlem inceleme gerektirebilecek anomali sinyali taşıyor.", "PyOD modeli için yeterli geçmiş işlem olmadığı için istatistiksel fallback kullanıldı."]
 
 
 def test_empty_document(spark):
@@ -210,3 +219,67 @@ def test_autoregression_equals_numpy(spark):
         beta = np.linalg.solve(m.T @ m + 0.1 * np.eye(4), m.T @ z[3:])
         blended = 0.6 * (np.append(z[-3:], 1.0) @ beta * sd + x.mean()) + 0.4 * np.average(x[-6:], weights=range(1, len(x[-6:]) + 1))
         assert r["predicted"] == pytest.approx(min(max(blended, x.min() * 0.5), x.max() * 1.5), abs=0.006) and r["months"] == len(x)
+
+
+def months_of(spark, n, name="x", currency="TRY", direction="debit", start=1):
+    rows = [(name, i, datetime.date(2024 + (start + i - 1) // 12, (start + i - 1) % 12 + 1, 3), "MIGROS", 100 + 10 * (i % 3), currency, None, direction, None, 0.9, "valid") for i in range(n)]
+    return spark.createDataFrame([(*r[:4], __import__("decimal").Decimal(r[4]), *r[5:]) for r in rows], SCHEMA)
+
+
+def test_forecast_switches_at_six_months(spark):
+    got = {}
+    for n in (0, 1, 5, 6, 8):
+        rows = months_of(spark, n) if n else months_of(spark, 2, direction="credit")
+        f = analyze(rows)["forecast"].collect()
+        assert len(f) == 1
+        got[n] = (f[0]["status"], f[0]["method"], f[0]["months"], f[0]["confidence"])
+    assert got == {0: ("insufficient_data", "no_data", 0, None), 1: ("completed", "weighted_moving_average", 1, 0.41), 5: ("completed", "weighted_moving_average", 5, 0.65), 6: ("completed", "ar_moving_average_ensemble", 6, 0.8), 8: ("completed", "ar_moving_average_ensemble", 8, 0.85)}
+
+
+def test_one_currency_of_reference_a_document(spark):
+    rows = months_of(spark, 3).unionByName(months_of(spark, 7, currency="USD").withColumn("seq", F.col("seq") + 100))
+    named = spark.createDataFrame([("x", "try", ["b", "b", "a"])], "input_id string, primary_currency string, warnings array<string>")
+    buy = spark.createDataFrame([("x", 100.0, "usd", 3)], "input_id string, amount double, currency string, max_months int")
+    for inputs, want in ((None, ("USD", 7)), (named, ("TRY", 3))):
+        a = analyze(rows, inputs=inputs, scenarios=buy)
+        f = a["forecast"].collect()
+        assert [(r["currency"], r["months"]) for r in f] == [want] and a["summary"].count() == a["context"].count() == 1
+        i = a["installments"].first()
+        assert i["status"] == ("completed" if want[0] == "USD" else "insufficient_data") and i["forecast_method"] == f[0]["method"]
+    assert a["outcome"].first()["warnings"] == ["a", "b", "insufficient_forecast_for_installment_recommendation"]
+    tie = months_of(spark, 2).unionByName(months_of(spark, 2, currency="EUR").withColumn("seq", F.col("seq") + 100))
+    assert analyze(tie)["forecast"].first()["currency"] == "EUR"
+
+
+def test_documents_with_credits_only(spark):
+    a = analyze(months_of(spark, 3, direction="credit").unionByName(months_of(spark, 9, "y")))
+    p = {r["input_id"]: r for r in a["profile"].collect()}
+    assert p["x"]["labels"] == ["insufficient_spending_data"] and p["x"]["observations"] == ["Analiz için harcama işlemi bulunamadı."] and p["x"]["average_amount"] == 0 and p["y"]["observations"] == ["Harcama tutarının %100.0 bölümü Market kategorisinde yoğunlaşıyor."]
+    r = {r["input_id"]: r for r in a["anomaly_results"].collect()}
+    assert (r["x"]["detector"], r["x"]["anomaly_count"], r["x"]["observations"], r["y"]["detector"]) == ("no_debit_data", 0, ["Anomali analizi için harcama işlemi bulunamadı."], "ecdf")
+    s = {r["input_id"]: r["sentences"] for r in a["summary"].collect()}
+    assert s["x"] == ["Harcama profiliniz: insufficient_spending_data.", "Dikkat çeken olağan dışı bir işlem görünmüyor."]
+    assert {r["input_id"]: r["status"] for r in a["installments"].collect()} == {"x": "not_requested", "y": "not_requested"}
+    c = {r["input_id"]: (r["uncategorized_count"], r["rule_assisted_count"]) for r in a["category_counts"].collect()}
+    assert c == {"x": (0, 3), "y": (0, 9)}
+
+
+def test_ecdf_ranks_equal_sorted_windows(spark):
+    """Counts by value against cumulative distributions of sorted rows, with ties, hot documents and few values."""
+    from pyspark.sql import Window
+
+    rows = spark.range(4000).select(F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("d"), F.col("id") % 40)).alias("input_id"), "id", F.log1p((F.pmod(F.xxhash64("id"), F.lit(900)) / 7).cast("decimal(18,2)").cast("double")).alias("log_amount"))
+    w = Window.partitionBy("input_id")
+    want = rows.select("id", F.count("*").over(w.orderBy("log_amount").rangeBetween(Window.unboundedPreceding, 0)).alias("a"), F.count("*").over(w.orderBy(F.desc("log_amount")).rangeBetween(Window.unboundedPreceding, 0)).alias("b"))
+    ranks = A.amount_ranks(rows)
+    got = rows.join(ranks, (rows["input_id"] == ranks["input_id"]) & (rows["log_amount"] == ranks["_v"])).select("id", "below", "above")
+    assert {tuple(r) for r in got.collect()} == {tuple(r) for r in want.collect()}
+
+
+def test_given_confidence_and_merchants(contract):
+    spark = contract.sparkSession
+    a = analyze(contract, inputs=spark.createDataFrame([("x", 0.5), ("unseen", 0.1)], "input_id string, overall_confidence double"))
+    q = a["quality"].collect()
+    assert [(r["overall"], r["analysis_confidence"], r["status"]) for r in q] == [(0.5, 0.5, "partial")]
+    named = contract.withColumn("merchant", F.struct(F.lit("raw").alias("raw"), F.lit("Shop").alias("normalized"), F.lit("").alias("display_name")))
+    assert analyze(named)["anomalies"].first()["message"].startswith("Shop (1,200.00 TRY)")
