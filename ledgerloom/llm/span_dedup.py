@@ -46,7 +46,9 @@ def sentences(text: str) -> tuple[list[str], np.ndarray, bytes, np.ndarray]:
     pieces: list[str] = []
     words: list[list[str]] = []
     of: list[int] = []
-    for k, sentence in enumerate(SENTENCE.findall(text)):
+    k = -1
+    for sentence in SENTENCE.findall(text):
+        begun = False
         for p in units(sentence):
             w = p.lower().split()
             if pieces and (not w or not words[-1]):
@@ -55,9 +57,9 @@ def sentences(text: str) -> tuple[list[str], np.ndarray, bytes, np.ndarray]:
             else:
                 pieces.append(p)
                 words.append(w)
+                k, begun = (k, True) if begun else (k + 1, True)
                 of.append(k)
-    number = np.unique(of, return_inverse=True)[1] if of else np.zeros(0, np.int64)
-    return pieces, np.array([len(w) for w in words], np.int64), b"".join([xxhash.xxh3_128_digest(" ".join(w)) for w in words]), number
+    return pieces, np.array([len(w) for w in words], np.int64), b"".join([xxhash.xxh3_128_digest(" ".join(w)) for w in words]), np.array(of, np.int64)
 
 
 def spans_of(words: np.ndarray, hashes: bytes, number: np.ndarray, least: int, sentences_: int = SPAN_SENTENCES) -> tuple[np.ndarray, np.ndarray]:
@@ -74,9 +76,11 @@ def spans_of(words: np.ndarray, hashes: bytes, number: np.ndarray, least: int, s
     begin = np.minimum(np.searchsorted(total, total[1:] - least, "right") - 1, np.where(before > 0, starts[np.maximum(before, 0)], 0) - 1)
     begin = np.maximum(begin, np.searchsorted(total, total[1:] - max(least, LONE_WORDS), "right") - 1)
     back = begin >= 0
-    pairs = np.unique(np.concatenate([np.stack([first[on], end[on]]), np.stack([begin[back], last[back]])], 1), axis=1)
-    digests = b"".join([xxhash.xxh3_128_digest(hashes[16 * i : 16 * j]) for i, j in pairs.T.tolist()])
-    return np.frombuffer(digests, "<i8").reshape(-1, 2), pairs.T
+    both = np.unique(np.concatenate([first[on] * (n + 1) + end[on], begin[back] * (n + 1) + last[back]]))
+    pairs = np.stack([both // (n + 1), both % (n + 1)], 1)
+    digest = xxhash.xxh3_128_digest
+    digests = b"".join([digest(hashes[i:j]) for i, j in (16 * pairs).tolist()])
+    return np.frombuffer(digests, "<i8").reshape(-1, 2), pairs
 
 
 def span_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", span_words: int = SPAN_WORDS, carry: Sequence[str] = ()) -> DataFrame:
