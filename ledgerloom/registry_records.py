@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .operators import preprocess as X
 from .operators import results as L
 from .registry import TXN, money, query, txn
 from .sources import tables as S
+from .streaming import worker as W
 
 HEADED = f"""{TXN}, per as (select input_id, count(*) as n, round(round(avg(case when installment_total is not null then 0.98e0 else 0.95e0 end), 10), 4) as c, sum(case when direction = 'debit' then amount else 0 end) as db, sum(case when direction = 'credit' then amount else 0 end) as cr from txn group by input_id)"""
 
@@ -48,3 +50,23 @@ def normalize_latest_extraction(spark, d):
     s = L.normalize_latest(old.unionByName(later), F.lit("2024-03-01 00:00:00"))["records"].where("part = 0")
     facts = F.from_json("result", "summary struct<total_debit: decimal(18,2), net_amount: decimal(18,2), currencies: array<string>>")["summary"]
     return s.withColumn("f", facts).select("input_id", "transaction_count", "duplicate_removed_count", money("f.total_debit").alias("total_debit"), money("f.net_amount").alias("net_amount"), F.array_join("f.currencies", ",").alias("currencies"), "overall_confidence", "low_confidence_count", F.array_join("warnings", ",").alias("warnings"))
+
+
+MESSAGES = """select cast(event_id as string) as message_id, case when event_id % 97 <> 0 then cast(user_id as string) end as input_id, ts as at, case when event_id % 4 = 0 then 'queued' when event_id % 41 = 0 then 'odd' else 'prepared' end as stage,
+ case event_id % 7 when 0 then 'real_pdf' when 1 then 'scanned_pdf' when 2 then 'screenshot' when 3 then 'camera_photo' when 4 then 'unknown' when 5 then null else 'hybrid_pdf' end as kind,
+ case when event_id % 5 <> 0 then array(named_struct('page', 1, 'ord', 0, 'variant', 'a', 'is_candidate', false, 'operations', array('x'), 'readiness', 0.9D), named_struct('page', 1, 'ord', 1, 'variant', 'b', 'is_candidate', true, 'operations', array('x'), 'readiness', event_id % 10 / 20.0D)) end as outputs,
+ case when event_id % 11 = 0 then 'boom' end as error from {events}"""
+
+
+@query("worker_status", """with m as (select event_id, cast(user_id as varchar) as input_id, epoch_us(ts) // 1000 as at_ms, event_id % 4 = 0 as queued, event_id % 7 as k, case when event_id % 11 = 0 then 'boom' when event_id % 7 = 5 then 'missing_classification_kind' when event_id % 4 <> 0 and event_id % 41 = 0 then 'unknown_stage' end as reason, event_id % 5 <> 0 as made, round((0.9e0 + event_id % 10 / 20.0e0) / 2, 4) as mean from events where event_id % 97 <> 0),
+ s as (select *, case when reason is not null then 'preprocessing_failed' when queued then 'preprocessing' when k = 0 or (k <> 4 and made and mean >= 0.35) then 'preprocessed' else 'preprocessing_needs_review' end as status from m), n as (select *, count(*) over (partition by input_id) as attempts from s)
+select input_id, cast(event_id as varchar) as message_id, at_ms, status, reason, case when status in ('preprocessed', 'preprocessing_needs_review') then case when k = 0 then 'original_pdf' when made then 'b' end end as preferred, attempts from n qualify row_number() over (partition by input_id order by at_ms desc, cast(event_id as varchar) desc) = 1""")
+def worker_status(spark, d):
+    """What the stateful worker's table is after all messages."""
+    return W.batch_statuses(spark.sql(MESSAGES.format(events="{events}"), events=S.table(spark, d, "events")))
+
+
+@query("input_status", "select cast(event_id as varchar) as input_id, case when event_id % 11 = 0 then 'preprocessing_failed' when event_id % 3 = 0 then 'preprocessed' else 'preprocessing_needs_review' end as status from events")
+def input_status(spark, d):
+    rows = S.table(spark, d, "events").select(F.col("event_id").cast("string").alias("input_id"), F.when(F.col("event_id") % 11 == 0, "boom").alias("error"), F.when(F.col("event_id") % 5 != 1, F.col("event_id") % 3 == 0).alias("is_ready"), "event_id")
+    return X.input_status(rows.withColumn("is_ready", F.when(F.col("event_id") % 3 == 0, True).otherwise(F.col("is_ready"))))

@@ -15,13 +15,13 @@ def landing(spark: SparkSession, path: str, schema: T.StructType, files_per_trig
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
-def staged(stream: DataFrame, step: Callable[[DataFrame], DataFrame], out: str, checkpoint: str) -> StreamingQuery:
-    """Each batch through step, written under its batch number: a batch that runs again replaces its own files."""
+def staged(stream: DataFrame, step: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, mode: str = "append", **trigger) -> StreamingQuery:
+    """Each batch through step, written under its batch number: a batch that runs again replaces its own files. Without a trigger it takes what there is and ends."""
 
     def write(batch: DataFrame, number: int) -> None:
         step(batch).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
 def tumbling(events: DataFrame, width: str = "1 day", late: str = "1 hour") -> DataFrame:
