@@ -31,3 +31,16 @@ def singular_alias(df: DataFrame, plural: str = "transactions", singular: str =
     if plural not in df.columns:
         return df.withColumnRenamed(singular, plural)
     return df.withColumn(plural, F.coalesce(plural, singular)).drop(singular)
+
+
+def reconciled(before: DataFrame, after: DataFrame, key: str = "input_id") -> DataFrame:
+    """(key, same, removed, added): rows of two versions of each document, compared as multisets of their common columns; a row that is there twice in one and once in the other is once the same."""
+    columns = [c for c in before.columns if c in after.columns]
+    a, b = before.select(*columns), after.select(*columns)
+    parts = [(a.intersectAll(b), "same"), (a.exceptAll(b), "removed"), (b.exceptAll(a), "added")]
+    rows = None
+    for df, name in parts:
+        counted = df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).withColumn("what", F.lit(name))
+        rows = counted if rows is None else rows.unionByName(counted)
+    of = lambda name: F.coalesce(F.sum(F.when(F.col("what") == name, F.col("n"))), F.lit(0).cast("long")).alias(name)
+    return rows.groupBy(key).agg(*(of(name) for _, name in parts))

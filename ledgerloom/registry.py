@@ -707,4 +707,4 @@ def ocr_lines_by_top(spark, d):
     return P.words_to_lines(P.ocr_words(rows)).select("input_id", "text", "word_count", "ocr_confidence")
 
 
-from . import registry_analysis, registry_records, registry_texts  # noqa: E402, F401  more queries of the same registry
+from . import registry_analysis, registry_records, registry_temporal, registry_texts  # noqa: E402, F401  more queries of the same registry
