@@ -35,31 +35,38 @@ WORD = re.compile(r"\s*\S+\s*|\s+")
 
 def units(sentence: str) -> list[str]:
     """A sentence, or the parts of one that has over twice UNIT_WORDS words."""
-    if len(sentence) < 4 * UNIT_WORDS or len(sentence.split()) <= 2 * UNIT_WORDS:
+    if len(sentence) < 4 * UNIT_WORDS or (sentence.count(" ") < 2 * UNIT_WORDS and sentence.isascii() and sentence.isprintable()) or len(sentence.split()) <= 2 * UNIT_WORDS:
         return [sentence]
     ws = WORD.findall(sentence)
     return ["".join(ws[i : i + UNIT_WORDS]) for i in range(0, len(ws), UNIT_WORDS)]
 
 
-def sentences(text: str) -> tuple[list[str], np.ndarray, bytes, np.ndarray]:
-    """Pieces that make up the text, the words of each, its 16-byte hash without case and spacing, joined, and the number of its sentence; a piece without words belongs to the one before (at the start: to the next)."""
+def pieces_of(text: str) -> tuple[list[str], list[int]]:
+    """Pieces that make up the text, and the number of each one's sentence; a piece without words belongs to the one before (at the start: to the next)."""
     pieces: list[str] = []
-    words: list[list[str]] = []
     of: list[int] = []
-    k = -1
+    k, blank = -1, True  # of the last piece
     for sentence in SENTENCE.findall(text):
         begun = False
         for p in units(sentence):
-            w = p.lower().split()
-            if pieces and (not w or not words[-1]):
+            empty = p.isspace()
+            if pieces and (empty or blank):
                 pieces[-1] += p
-                words[-1] += w
+                blank = blank and empty
             else:
                 pieces.append(p)
-                words.append(w)
+                blank = empty
                 k, begun = (k, True) if begun else (k + 1, True)
                 of.append(k)
-    return pieces, np.array([len(w) for w in words], np.int64), b"".join([xxhash.xxh3_128_digest(" ".join(w)) for w in words]), np.array(of, np.int64)
+    return pieces, of
+
+
+def sentences(text: str) -> tuple[list[str], np.ndarray, bytes, np.ndarray]:
+    """pieces_of(text) with the words of each piece and its 16-byte hash without case and spacing, joined: (pieces, words, hashes, numbers)."""
+    pieces, of = pieces_of(text)
+    words = [p.split() for p in pieces] if text.islower() else [p.lower().split() for p in pieces]
+    digest = xxhash.xxh3_128_digest
+    return pieces, np.fromiter(map(len, words), np.int64, len(words)), b"".join([digest(" ".join(w)) for w in words]), np.array(of, np.int64)
 
 
 def spans_of(words: np.ndarray, hashes: bytes, number: np.ndarray, least: int, sentences_: int = SPAN_SENTENCES) -> tuple[np.ndarray, np.ndarray]:
@@ -132,13 +139,17 @@ def span_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", span
             out: list[tuple] = []
             for body, found in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
                 t = z.decompress(body).decode("utf-8", "surrogatepass")
-                pieces, _, _, number = sentences(t)
+                pieces, of = pieces_of(t)
+                if not found:
+                    out.append((t, t, of[-1] + 1 if of else 0, 0))
+                    continue
+                number = np.array(of, np.int64)
                 gone = np.zeros(len(pieces) + 1, np.int64)
                 for s in found or ():
                     gone[s["first"]] += 1
                     gone[s["end"]] -= 1
                 off = np.cumsum(gone)[:-1] > 0
-                out.append((t, "".join(p for p, o in zip(pieces, off) if not o) if off.any() else t, int(number[-1]) + 1 if len(number) else 0, len(np.unique(number[off]))))
+                out.append((t, "".join(p for p, o in zip(pieces, off) if not o) if off.any() else t, of[-1] + 1, len(np.unique(number[off]))))
             c = list(zip(*out)) if out else [[]] * 4
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(c[0], pa.string()), pa.array(c[1], pa.string()), pa.array(c[2], pa.int64()), pa.array(c[3], pa.int64()), b.column(3)], names=["doc_id", "text", "kept", "n_sentences", "n_removed", "rest"])
 
