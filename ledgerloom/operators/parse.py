@@ -153,7 +153,7 @@ def ocr_words(raw: DataFrame) -> DataFrame:
 
 
 def words_to_lines(words: DataFrame) -> DataFrame:
-    """Lines of each (input_id, page, variant, psm): words by (y0, x0) join the nearest group whose moving centre is within the tolerance.
+    """Lines of each (input_id, page, variant, psm): words by (y0, x0, text) join the nearest group whose moving centre is within the tolerance.
 
     The centre moves with each word, so a page's words are taken in turn. Pages are dealt out by key and
     streamed in order; a task holds one page's words.
@@ -197,5 +197,5 @@ def words_to_lines(words: DataFrame) -> DataFrame:
     def frame(out: list[tuple]) -> pd.DataFrame:
         return pd.DataFrame(out, columns=[*keys, "line_no", "text", "x0", "y0", "x1", "y1", "ocr_confidence", "word_count"])
 
-    placed = words.repartition(*keys).sortWithinPartitions(*keys, "y0", "x0").select(*keys, "y0", "x0", "y1", "x1", "text", "confidence")
+    placed = words.repartition(*keys).sortWithinPartitions(*keys, "y0", "x0", "text").select(*keys, "y0", "x0", "y1", "x1", "text", "confidence")
     return placed.mapInPandas(run, "input_id string, page int, variant string, psm int, line_no int, text string, x0 int, y0 int, x1 int, y1 int, ocr_confidence double, word_count int")

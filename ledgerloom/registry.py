@@ -355,8 +355,11 @@ def variant_select_top1(spark, d):
     return C.best_variant(rows).select("input_id", "variant", "final_score")
 
 
-@query("ocr_words_to_lines")
+@query("ocr_words_to_lines", """with recursive w as (select l_orderkey as o, 'w' || l_partkey as text, cast(l_partkey % 500 as int) as x, cast(floor(l_quantity * 2) as int) as y, row_number() over (partition by l_orderkey order by cast(floor(l_quantity * 2) as int), l_partkey % 500, 'w' || l_partkey) as i from lineitem),
+ s as (select o, i, y + 5.0e0 as total, 1 as n, 0 as g from w where i = 1 union all select w.o, w.i, case when abs(total / n - (y + 5.0e0)) <= 6 then total else 0 end + y + 5.0e0, case when abs(total / n - (y + 5.0e0)) <= 6 then n else 0 end + 1, g + case when abs(total / n - (y + 5.0e0)) <= 6 then 0 else 1 end from s join w on w.o = s.o and w.i = s.i + 1)
+select cast(o as varchar) as input_id, 1 as page, 'original' as variant, 6 as psm, g as line_no, string_agg(text, ' ' order by x, i) as text, min(x) as x0, min(y) as y0, max(x) + 30 as x1, max(y) + 10 as y1, 0.9e0 as ocr_confidence, cast(count(*) as int) as word_count from s join w using (o, i) group by o, g""")
 def ocr_words_to_lines(spark, d):
+    """Words in the order of their tops: a word joins the last line if it is within 6 of its moving centre, which no earlier line can be nearer to."""
     rows = S.table(spark, d, "lineitem").select(F.col("l_orderkey").cast("string").alias("input_id"), F.lit(1).alias("page"), F.lit("original").alias("variant"), F.lit(6).alias("psm"), F.concat(F.lit("w"), F.col("l_partkey")).alias("text"), (F.col("l_partkey") % 500).cast("int").alias("left"), (F.col("l_quantity") * 2).cast("int").alias("top"), F.lit(30).alias("width"), F.lit(10).alias("height"), F.lit(90.0).alias("conf"))
     return P.words_to_lines(P.ocr_words(rows))
 

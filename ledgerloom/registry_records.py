@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from .operators import preprocess as X
 from .operators import results as L
+from .operators import store as B
 from .registry import TXN, money, query, txn
 from .sources import tables as S
 from .streaming import worker as W
@@ -70,3 +71,15 @@ def worker_status(spark, d):
 def input_status(spark, d):
     rows = S.table(spark, d, "events").select(F.col("event_id").cast("string").alias("input_id"), F.when(F.col("event_id") % 11 == 0, "boom").alias("error"), F.when(F.col("event_id") % 5 != 1, F.col("event_id") % 3 == 0).alias("is_ready"), "event_id")
     return X.input_status(rows.withColumn("is_ready", F.when(F.col("event_id") % 3 == 0, True).otherwise(F.col("is_ready"))))
+
+
+@query("bucketed_gate", """with c as (select cast(o_custkey as varchar) as input_id, o_orderkey as id, o_orderdate, o_totalprice, o_orderstatus from orders), x as (select * from c where o_orderstatus <> 'P' qualify row_number() over (partition by input_id order by o_orderdate desc, id desc) = 1), n as (select * from c where o_orderstatus = 'P' qualify row_number() over (partition by input_id order by o_orderdate desc, id desc) = 1)
+select x.input_id, x.id, coalesce(n.o_totalprice > 100000, false) as ready from x left join n using (input_id)""")
+def bucketed_gate(spark, d):
+    """Orders as records of two stages: the latest of one, and whether the latest of the other lets it through; the second stage is written twice, the second time in the place of the first."""
+    rows = S.table(spark, d, "orders").select(F.col("o_custkey").cast("string").alias("input_id"), F.col("o_orderkey").alias("id"), F.col("o_orderdate").cast("timestamp").alias("at"), F.col("o_totalprice").alias("value"), "o_orderstatus")
+    store = B.BucketStore(spark, "id bigint, at timestamp, value double")
+    store.put(rows.where("o_orderstatus != 'P'"), "extraction")
+    store.put(rows.where("o_orderstatus = 'P'").withColumn("value", F.lit(0.0)), "normalization")
+    store.put(rows.where("o_orderstatus = 'P'"), "normalization", replace=True)
+    return store.gate("extraction", "normalization", "value > 100000", "at", "id").select("input_id", "id", "ready")

@@ -103,3 +103,19 @@ def test_binary_files(spark, tmp_path):
         (tmp_path / name).write_bytes(data)
     got = {r["path"].rsplit("/", 1)[1]: (r["mime"], r["reject_reason"]) for r in S.binary_files(spark, str(tmp_path)).collect()}
     assert got == {"a.pdf": ("application/pdf", None), "b.png": ("image/png", None), "c.txt": ("application/octet-stream", "unsupported_type")}
+
+
+def test_bucketed_store_needs_no_shuffle(spark, tmp_path):
+    from ledgerloom.operators import store as B
+
+    s = B.BucketStore(spark, "at int, v string", buckets=4, path="file://" + str(tmp_path / "store"))
+    make = lambda rows: spark.createDataFrame(rows, "input_id string, at int, v string")
+    s.put(make([("a", 1, "x"), ("a", 2, "y"), ("b", 1, "x"), ("c", 1, "x")]), "extraction")
+    s.put(make([("a", 1, "old"), ("b", 1, "old")]), "normalization")
+    s.put(make([("a", 3, "no"), ("a", 2, "ok"), ("b", 1, "ok")]), "normalization", replace=True)
+    s.put(make([("c", 9, "z")]), "extraction")
+    gate = s.gate("extraction", "normalization", "v = 'ok'", "at")
+    assert sorted(map(tuple, gate.collect())) == [("a", 2, "y", False), ("b", 1, "x", True), ("c", 9, "z", False)]
+    assert "Exchange" not in gate._jdf.queryExecution().executedPlan().toString()
+    assert s.of("normalization").count() == 3 and s.of("extraction").count() == 5
+    s.drop()
