@@ -203,7 +203,7 @@ def coded(vectors: DataFrame, book: np.ndarray) -> DataFrame:
 
 
 def compress(rows: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", label: str = "label", parts: int = PARTS, entries: int = ENTRIES, rounds: int = ROUNDS, scale: int = SCALE) -> tuple[DataFrame, np.ndarray, list[int]]:
-    """((id, label, code, error) of each vector, the codebook as (parts, entries, width) integers, parts moved in each round).
+    """((id, label, code, error) of each vector, the codebook as (parts, entries, width) integers, and for each round by how many parts the entries' counts changed).
 
     Vectors that are null, hold null or not finite components, or cannot be cut into equal parts go; so do those of
     another length than that of the smallest id. The codebook starts as the vectors of the smallest ids (null ids last,
