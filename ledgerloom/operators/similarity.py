@@ -61,7 +61,7 @@ def top_similar(texts: DataFrame, references: DataFrame, k: int = 1, floor: floa
     """
     if not small(references):
         raise ValueError("too many references to broadcast")
-    index, total = inverted(references, "example", "example")
+    index, total = inverted(references.coalesce(1), "example", "example")
     order = references.select("example", "ord")
     rows = counted(texts.select("text").where("text is not null").distinct(), "text", "text")
     rare = index.select("piece", "rarity").distinct()

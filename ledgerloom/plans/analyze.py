@@ -21,7 +21,7 @@ def analyze(current: DataFrame, history: DataFrame | None = None, scenarios: Dat
     the shared folder; every result starts there.
     """
     now = A.features(A.with_ids(current, "current"))
-    rows = kept(A.categorized(now, similar_texts(now)), "features")
+    rows = kept(A.categorized(now, kept(similar_texts(now), "similar")), "features")
     now = rows.drop("category", "subcategory", "category_confidence", "method")
     reference = now if history is None else kept(A.union_keep_last(A.features(A.with_ids(history, "history")), now), "reference")
     documents = A.quality(rows).select("input_id")
