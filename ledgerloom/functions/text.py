@@ -47,6 +47,13 @@ def rounded(c: Column, digits: int = 4) -> Column:
     return F.round(F.round(c, 10), digits)
 
 
+def rounded_money(c: Column, digits: int = 2) -> Column:
+    """A double rounded as SQL engines do it: half away from zero of c times a power of ten. F.round() looks at the shortest decimal that names the double instead, and rounds 71237.135 up, whose hundredfold is below the half."""
+    scale = float(10**digits)
+    up = lambda x: F.floor(x) + F.when(x - F.floor(x) >= 0.5, 1).otherwise(0)
+    return F.transform(F.array(F.abs(c) * scale), lambda x: up(x) / scale)[0] * F.when(c < 0, -1.0).otherwise(1.0)
+
+
 def percent(share: Column) -> Column:
     """A share as a percentage with one decimal."""
     return F.round(share.cast("decimal(6,4)") * 100, 1).cast("decimal(6,1)").cast("string")

@@ -5,6 +5,7 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerloom.functions import text as T
 from ledgerloom.operators import analytics as A
 from ledgerloom.operators import classify as C
 from ledgerloom.operators import preprocess as X
@@ -283,3 +284,25 @@ def test_given_confidence_and_merchants(contract):
     assert [(r["overall"], r["analysis_confidence"], r["status"]) for r in q] == [(0.5, 0.5, "partial")]
     named = contract.withColumn("merchant", F.struct(F.lit("raw").alias("raw"), F.lit("Shop").alias("normalized"), F.lit("").alias("display_name")))
     assert analyze(named)["anomalies"].first()["message"].startswith("Shop (1,200.00 TRY)")
+
+
+def test_money_is_rounded_as_in_sql(spark):
+    import duckdb
+
+    values = [71237.135, -71237.135, 1.005, 617.285, 260791.64499999996, 118014.67499999999, 0.125, 0.0, 8388607.995, 100000.015]
+    rows = spark.createDataFrame([(x,) for x in values], "x double").select("x", T.rounded_money(F.col("x")).alias("r"))
+    want = {x: duckdb.sql(f"select round({x!r}::double, 2)").fetchall()[0][0] for x in values}
+    assert {r["x"]: r["r"] for r in rows.collect()} == want
+
+
+def test_forecast_of_a_half_cent(spark):
+    months = [(datetime.date(2024, m, 1), x) for m, x in ((1, 71237.13), (2, 71237.13), (3, 71237.14))]
+    monthly = spark.createDataFrame([("x", "TRY", m, s) for m, s in months], "input_id string, currency string, month date, spend double")
+    assert A.forecast(monthly).first()["predicted"] == 71237.13  # 71237.135, whose hundredfold is below the half
+
+
+def test_half_an_area_is_half_in_any_order(spark):
+    areas = [0.5, 0.7000000000000001, 0.3]  # as doubles more than 1.5 in this order, 1.5 from the other end
+    rows = [(name, p, 0, 0, a, 1.0) for name, of in (("x", areas), ("y", areas[::-1])) for p, a in enumerate(of)]
+    pages = spark.createDataFrame(rows, "input_id string, page int, char_count int, word_count int, image_area double, page_area double").coalesce(1)
+    assert {r["input_id"]: r["global_image_area_ratio"] for r in C.pdf_features(pages).collect()} == {"x": 0.5, "y": 0.5}
