@@ -9,13 +9,14 @@ from ..functions import fixed
 
 
 def pdf_features(pages: DataFrame) -> DataFrame:
-    """Per document from pages (input_id, page, char_count, word_count, image_area, page_area): averages and page shares."""
+    """Per document from pages (input_id, page, char_count, word_count, image_area, page_area): averages and page shares. Areas are summed as decimals of ten places, so that a ratio of just 0.5 doesn't depend on the order of pages."""
     share = lambda c: F.sum(F.when(c, 1).otherwise(0)) / F.count(F.lit(1))
     ratio = F.when(F.col("page_area") > 0, F.col("image_area") / F.col("page_area")).otherwise(0.0)
+    area = lambda c: F.sum(F.col(c).cast("decimal(28,10)")).cast("double")
     return pages.groupBy("input_id").agg(
         F.count(F.lit(1)).alias("page_count"), F.avg("char_count").alias("avg_text_chars"), F.avg("word_count").alias("avg_words"),
         share(F.col("char_count") >= 80).alias("text_page_ratio"), share(ratio >= 0.65).alias("large_image_page_ratio"),
-        F.when(F.sum("page_area") > 0, F.sum("image_area") / F.sum("page_area")).otherwise(0.0).alias("global_image_area_ratio"),
+        F.when(area("page_area") > 0, area("image_area") / area("page_area")).otherwise(0.0).alias("global_image_area_ratio"),
     )
 
 
