@@ -36,7 +36,7 @@ def candidates(lines: DataFrame, date_mode: str = "strict") -> DataFrame:
 def document_currency(lines: DataFrame, source: str = "pdf", default: str = "TRY") -> DataFrame:
     """(input_id, document_currency): the most frequent currency, first seen on ties. pdf: tokens anywhere, inside words too; ocr: those of amounts."""
     if source == "pdf":
-        found = F.regexp_extract_all(F.col("text"), F.lit(f"(?iu)({T.currency_pattern()})"), F.lit(1))
+        found = F.regexp_extract_all(F.col("text"), F.lit(f"({T.currency_pattern()})"), F.lit(1))
         codes = F.transform(found, T.currency)
     else:
         codes = F.transform(T.find_money(F.col("text")), lambda m: m["currency"])

@@ -97,3 +97,25 @@ def test_normalised_nulls_and_duplicates(spark):
 def test_mime(spark):
     rows = spark.createDataFrame([(bytearray(b"%PDF-1.7"),), (bytearray(b"\x00\x00\x00\x18ftypheic"),), (bytearray(b"zz"),)], "c binary")
     assert [r[0] for r in rows.select(S.mime(F.col("c"))).collect()] == ["application/pdf", "image/heic", "application/octet-stream"]
+
+
+@pytest.mark.parametrize("text,number", [("+-5", -5.0), ("-+5", -5.0), ("--5", None), ("1.234.567", 1234567.0), ("1,2,3", None), ("12.34\n", 1234.0), ("1,234.50", 1234.5), ("1.234,50", 1234.5), (".5", 5.0), ("", None), (None, None)])
+def test_money_number_signs_and_marks(spark, text, number):
+    row = spark.createDataFrame([(text,)], "t string")
+    assert row.select(T.money_number(F.col("t"))).first()[0] == number
+
+
+def test_expressions_stay_small(spark):
+    """What an expression names several times is worked out once: its text is not repeated over and over."""
+    row = spark.createDataFrame([("05/01/2024 MIGROS 12,50 TL",)], "t string")
+    for made, most in ((T.money_number, 6), (T.find_date, 3)):
+        plan = row.select(made(F.col("t")).alias("x"))._jdf.queryExecution().analyzed().toString()
+        assert len(plan.split("regexp_")) - 1 + len(plan.split("RLIKE")) - 1 <= most, plan
+
+
+def test_currencies_in_any_case_as_with_flags(spark):
+    folded = f"(?iu){T.joined_pattern(T.currency_tokens())}"
+    texts = [x for w in T.currency_tokens() for x in (w, w.lower(), w.upper(), w.title(), f"a{w}b 1,00", w.replace("I", "ı"), w.replace("I", "İ"), w.replace("S", "ſ"), w.replace("K", "\u212a"))]
+    rows = spark.createDataFrame([(x,) for x in texts], "t string")
+    assert "(?iu)" not in T.currency_pattern()
+    assert rows.select(F.regexp_replace("t", folded, "#").alias("a"), F.regexp_replace("t", T.currency_pattern(), "#").alias("b")).where("a != b").collect() == []
