@@ -5,12 +5,16 @@ from __future__ import annotations
 import re
 from functools import cache
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import fixed
 
 
+#: White space but the space itself, as `(?U)\\s` takes it. Single characters below 256 are looked up, not compared; the rest is far from most texts.
+ODD_SPACE = r"(?:[\t\n\x0b\f\r\x85\xa0]|(?=[\u1680-\u3000])[\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000])"
+
+
 @cache
 def iso_codes() -> tuple[str, ...]:
     """Currency codes of the running JVM (ISO 4217)."""
@@ -24,6 +28,10 @@ def currency_tokens() -> list[str]:
     return sorted({*iso_codes(), *fixed.CURRENCY_SIGNS}, key=lambda t: (-len(t), t))
 
 
+#: Beginnings that a pattern tries one by one.
+HEADS = 6
+
+
 def joined_pattern(words: list[str], spelled=re.escape) -> str:
     """One pattern for all words, shared beginnings once, longer words first: a match fails after a character or two."""
     heads: dict[str, list[str]] = {}
@@ -33,6 +41,12 @@ def joined_pattern(words: list[str], spelled=re.escape) -> str:
     if not heads:
         return ""
     parts = [spelled(h) + joined_pattern(rest, spelled) for h, rest in sorted(heads.items())]
+    if len(parts) > HEADS:  # in groups behind a look at the next character: a few comparisons instead of one for each beginning
+        plain = [(spelled(h), p) for h, p in zip(sorted(heads), parts) if h.isascii()]
+        groups = [plain[i : i + HEADS] for i in range(0, len(plain), HEADS)]
+        seen = lambda g: "".join(h[1:-1] if h.startswith("[") else h for h, _ in g)
+        rare = [p for h, p in zip(sorted(heads), parts) if not h.isascii()]
+        parts = [f"(?=[{seen(g)}])(?:" + "|".join(p for _, p in g) + ")" for g in groups] + (["(?=[^\\x00-\\x7f])(?:" + "|".join(rare) + ")"] if rare else [])
     body = parts[0] if len(parts) == 1 and "" not in words else "(?:" + "|".join(parts) + ")"
     return body + "?" if "" in words else body
 
@@ -69,8 +83,8 @@ def percent(share: Column) -> Column:
 
 
 def collapse(c: Column) -> Column:
-    """White space runs as one space, none at the ends."""
-    return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
+    """White space runs as one space, none at the ends. Only what isn't a lone space is replaced: most texts have nothing else."""
+    return F.trim(F.regexp_replace(c, rf"{ODD_SPACE}(?: |{ODD_SPACE})*| (?: |{ODD_SPACE})+", " "))
 
 
 def without_artifacts(c: Column) -> Column:
@@ -107,13 +121,17 @@ def composed(c: Column) -> Column:
     pattern, table, rare = compatibility_forms()
     forms = F.str_to_map(F.lit(table), F.lit("\x01"), F.lit("\x02"))  # a constant of the plan
     parts = F.transform(F.regexp_extract_all(c, F.lit(f"(?s){pattern}|."), F.lit(0)), lambda x: F.coalesce(F.try_element_at(forms, x), x))
-    # what may be such a character is cheap to see; Latin letters are not
-    return F.when(c.rlike(rare) & c.rlike(pattern), F.array_join(parts, "")).otherwise(c)
+    # what may be such a character is cheap to see, as no text of ASCII has one; Latin letters are not
+    return F.when((F.octet_length(c) > F.char_length(c)) & c.rlike(rare) & c.rlike(pattern), F.array_join(parts, "")).otherwise(c)
 
 
 def for_matching(c: Column) -> Column:
     """Lower case, dotless i as i, no-break space as space, compatibility forms composed."""
-    return composed(F.translate(F.lower(c), "ı\u00a0", "i "))
+    return composed(lowered(c))
+
+
+def lowered(c: Column) -> Column:
+    return F.replace(F.replace(F.lower(c), F.lit("ı"), F.lit("i")), F.lit("\u00a0"), F.lit(" "))
 
 
 def contains_any(c: Column, words: list[str]) -> Column:
@@ -158,7 +176,9 @@ def money_number(c: Column) -> Column:
         )
 
     unsigned = bound(F.trim(c), lambda v: F.when(F.contains(v, F.lit("+")), F.regexp_replace(v, sign, "$1")).otherwise(v))
-    return bound(bound(unsigned, read), lambda x: F.when(x.rlike(r"^-?(\d+(\.\d*)?|\.\d+)$"), x)).try_cast("double")
+    general = bound(bound(unsigned, read), lambda x: F.when(x.rlike(r"^-?(\d+(\.\d*)?|\.\d+)$"), x)).try_cast("double")
+    # most numbers have one mark before two digits: these need no steps
+    return F.when(c.rlike(r"^\d+[.,]\d{2}\z"), F.replace(c, F.lit(","), F.lit(".")).try_cast("double")).when(c.isNotNull(), general)
 
 
 def _date(y: Column, m: Column, d: Column) -> Column:
@@ -169,48 +189,95 @@ def _date(y: Column, m: Column, d: Column) -> Column:
     return F.when((day >= 1) & (day <= F.dayofmonth(F.last_day(start))), F.date_add(start, day - 1))
 
 
+def month_numbers() -> Column:
+    return F.create_map(*(F.lit(x) for k, v in fixed.MONTHS.items() for x in (k, str(v))))
+
+
+def date_patterns(mode: str = "strict") -> dict[str, str]:
+    """Patterns of dates by the order of their parts, as they are tried. compat tries day-first before year-first and lets either start inside a longer number; strict takes whole numbers only."""
+    names = "|".join(sorted(fixed.MONTHS, key=len, reverse=True))
+    whole = (r"(?=\d)(?<![\d./-])", r"(?!\d)") if mode == "strict" else ("", "")
+    numeric = {"year": whole[0] + f"(?:{fixed.YEAR_FIRST})" + whole[1], "day": whole[0] + f"(?:{fixed.DAY_FIRST})" + whole[1]}
+    order = ["year", "day"] if mode == "strict" else ["day", "year"]
+    return {"name": rf"(?iu)\d{{1,2}}\s+(?:{names})\s+\d{{4}}"} | {k: numeric[k] for k in order}
+
+
 def find_date(c: Column, mode: str = "strict") -> Column:
     """struct(raw, date) of the first pattern whose leftmost match is a real date; null without one.
 
     compat tries day-first before year-first and lets either start inside a longer number, as the reference
     system reads `2025-01-05` as 25 January 2005. strict takes whole numbers only, year-first before day-first.
     """
-    names = "|".join(sorted(fixed.MONTHS, key=len, reverse=True))
-    months = F.create_map(*(F.lit(x) for k, v in fixed.MONTHS.items() for x in (k, str(v))))
-    whole = (r"(?<![\d./-])", r"(?!\d)") if mode == "strict" else ("", "")
     get = lambda p, i: F.get(p, F.lit(i))
     day_first = lambda p: _date(get(p, 2), get(p, 1), get(p, 0))
     year_first = lambda p: _date(get(p, 0), get(p, 1), get(p, 2))
-    by_name = lambda p: _date(get(p, 2), F.try_element_at(months, F.lower(get(p, 1))), get(p, 0))
+    by_name = lambda p: _date(get(p, 2), F.try_element_at(month_numbers(), F.lower(get(p, 1))), get(p, 0))
+    ways = {"name": (r"\s+", by_name), "year": ("[./-]", year_first), "day": ("[./-]", day_first)}
 
     def found(text: Column, pattern: str, marks: str, read) -> Column:
         # each step bound: one match, one split, one reading
         of = lambda raw: bound(bound(F.split(raw, marks), read), lambda d: F.when(d.isNotNull(), F.struct(raw.alias("raw"), d.alias("date"))))
         return bound(F.regexp_extract(text, pattern, 0), lambda raw: F.when(raw != "", of(raw)))
 
-    numeric = [(whole[0] + f"(?:{fixed.YEAR_FIRST})" + whole[1], year_first), (whole[0] + f"(?:{fixed.DAY_FIRST})" + whole[1], day_first)]
-    ways = [(rf"(?iu)\d{{1,2}}\s+(?:{names})\s+\d{{4}}", r"\s+", by_name), *((p, "[./-]", read) for p, read in (numeric if mode == "strict" else numeric[::-1]))]
-    return bound(c, lambda text: F.coalesce(*(found(text, *w) for w in ways)))
+    return bound(c, lambda text: F.coalesce(*(found(text, p, *ways[k]) for k, p in date_patterns(mode).items())))
 
 
-def find_money(c: Column) -> Column:
-    """array<struct(raw, amount, currency)> of all amounts with two decimals; a currency before wins over one after."""
+def with_date(rows: DataFrame, text: str, out: str, mode: str = "strict") -> DataFrame:
+    """rows with the column out: find_date() of the column text, in plain columns, which Spark compiles. Only a text whose first match is no real date goes on to the other patterns in find_date()."""
+    (a, p), (b, q), (c, r) = date_patterns(mode).items()
+    got = lambda i: F.get("_parts", F.lit(i))
+    named, year_first = F.col(f"_{a}") != "", F.col("_year") != ""
+    rows = rows.withColumn(f"_{a}", F.regexp_extract(text, p, 0))
+    rows = rows.withColumn(f"_{b}", F.when(~named, F.regexp_extract(text, q, 0)).otherwise(""))
+    rows = rows.withColumn(f"_{c}", F.when(~named & (F.col(f"_{b}") == ""), F.regexp_extract(text, r, 0)).otherwise(""))
+    rows = rows.withColumn("_raw", F.concat("_name", "_year", "_day")).withColumn("_parts", F.split("_raw", r"\s+|[./-]"))
+    rows = rows.withColumn("_y", F.when(year_first, got(0)).otherwise(got(2)).try_cast("int"))
+    month = F.when(named, F.try_element_at(month_numbers(), F.lower(got(1)))).otherwise(got(1))
+    iso = F.concat(F.lpad(F.when(F.col("_y") < 100, F.col("_y") + 2000).otherwise(F.col("_y")).cast("string"), 4, "0"), F.lit("-"), month, F.lit("-"), F.when(year_first, got(2)).otherwise(got(0)))
+    rows = rows.withColumn("_real", iso.try_cast("date"))
+    found = F.when(F.col("_real").isNotNull(), F.struct(F.col("_raw").alias("raw"), F.col("_real").alias("date"))).when(F.col("_raw") != "", find_date(F.col(text), mode))
+    return rows.withColumn(out, found).drop("_name", "_year", "_day", "_raw", "_parts", "_y", "_real")
+
+
+@cache
+def money_pattern() -> str:
     cur = currency_pattern()
-    pattern = rf"({cur})?\s*({fixed.AMOUNT})\s*({cur})?"
-    raws = F.regexp_extract_all(c, F.lit(pattern), F.lit(0))
+    # a look at the few characters before the first number: elsewhere no currency is tried
+    near = rf"(?=[^\d\s]{{0,{max(map(len, currency_tokens()))}}}+\s*+[-+]?\d++[.,]\d\d)"
+    return rf"{near}({cur})?\s*({fixed.AMOUNT})\s*({cur})?"
 
-    def one(raw: Column) -> Column:
-        # the groups, parted by a character that no amount holds, in one match
-        parts = F.split(F.regexp_replace(raw, pattern, "$1\x01$2\x01$3"), "\x01")
-        return F.transform(F.array(parts), lambda p: F.struct(raw.alias("raw"), money_number(p[1]).alias("amount"), F.coalesce(currency(F.nullif(p[0], F.lit(""))), currency(F.nullif(p[2], F.lit("")))).alias("currency")))[0]
 
+def money_texts(c: Column) -> Column:
+    """All amounts with two decimals as they stand, with the currencies around them."""
     # a line without digits before two decimals has no amount: that is cheap to see
-    return F.when(has_amount(c), F.transform(raws, one)).otherwise(F.array().cast("array<struct<raw:string,amount:double,currency:string>>"))
+    return F.when(has_amount(c), F.regexp_extract_all(c, F.lit(money_pattern()), F.lit(0))).otherwise(F.array().cast("array<string>"))
+
+
+def _groups(raw: Column) -> Column:
+    """Currency, amount and currency of an amount as it stands, parted by a character that no amount holds: one match."""
+    return F.split(F.regexp_replace(raw, money_pattern(), "$1\x01$2\x01$3"), "\x01")
+
+
+def _money(raw: Column, p: Column) -> Column:
+    return F.struct(raw.alias("raw"), money_number(p[1]).alias("amount"), F.coalesce(*(F.when(p[i] != "", currency(p[i])) for i in (0, 2))).alias("currency"))
+
+
+def find_money(c: Column) -> Column:
+    """array<struct(raw, amount, currency)> of all amounts with two decimals; a currency before wins over one after."""
+    return F.transform(money_texts(c), lambda raw: bound(_groups(raw), lambda p: _money(raw, p)))
+
+
+def with_money(rows: DataFrame, text: str, out: str) -> DataFrame:
+    """rows with the column out: find_money() of the column text; a lone amount is read in plain columns, which Spark compiles."""
+    several = F.transform("_raws", lambda raw: bound(_groups(raw), lambda p: _money(raw, p)))
+    rows = rows.withColumn("_raws", money_texts(F.col(text))).withColumn("_lone", F.when(F.size("_raws") == 1, F.get("_raws", F.lit(0))))
+    rows = rows.withColumn("_parts", F.when(F.col("_lone").isNotNull(), _groups(F.col("_lone"))))
+    return rows.withColumn(out, F.when(F.col("_lone").isNotNull(), F.array(_money(F.col("_lone"), F.col("_parts")))).otherwise(several)).drop("_raws", "_lone", "_parts")
 
 
 def has_amount(c: Column) -> Column:
-    """Whether find_money() finds any: currencies around an amount are optional."""
-    return F.coalesce(c.rlike(fixed.AMOUNT), F.lit(False))
+    """Whether find_money() finds any: currencies, signs and thousands are optional, and what is left of an amount is a digit, a mark and two digits."""
+    return F.coalesce(c.rlike(r"\d[.,]\d{2}"), F.lit(False))
 
 
 def find_installment(c: Column) -> Column:
@@ -229,9 +296,14 @@ def find_installment(c: Column) -> Column:
             money_number(get(product, 3)).alias("total_amount"),
         )
 
+    part = lambda i: F.regexp_extract(c, fixed.INSTALLMENT_FRACTION, i)
+    null, none = F.lit(None).cast("double"), F.array().cast("array<string>")
+    plain = lambda current, total, raws: F.struct(current.try_cast("int").alias("current"), total.try_cast("int").alias("total"), raws.alias("raws"), null.alias("unit_amount"), null.alias("total_amount"))
+    fraction = plain(part(1), part(2), F.when(part(0) != "", F.array(part(0))).otherwise(none))
     product = rf"(?i){a}\s*x\s*(\d{{1,2}})\s*=\s*{a}"
     met = lambda text: F.struct(F.when(F.contains(text, F.lit("=")), groups(text, product, 3)).alias("product"), groups(text, fixed.INSTALLMENT_CURRENT, 1).alias("current"), groups(text, fixed.INSTALLMENT_FRACTION, 2).alias("fraction"))
-    return bound(bound(c, met), made)
+    # most lines have none of the three, or a fraction alone: these need no steps
+    return F.when(c.isNull() | c.rlike(r"=|(?i:taksit)"), bound(bound(c, met), made)).when(F.contains(c, F.lit("(")), fraction).otherwise(plain(F.lit(None).cast("string"), F.lit(None).cast("string"), none))
 
 
 def direction(c: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import fixed
 from ..functions import text as T
 
 
@@ -20,38 +21,42 @@ def candidates(lines: DataFrame, date_mode: str = "strict") -> DataFrame:
     w = Window.partitionBy("input_id").orderBy("line_no")
     nxt = lambda c, k: F.lead(c, k).over(w)
     rows = lines.select("input_id", "line_no", "page", "text", *(nxt(c, k).alias(f"{c}{k}") for k in (1, 2) for c in ("page", "text")))
-    one = T.collapse(F.concat_ws(" ", "text", "text1"))
-    two = T.collapse(F.concat_ws(" ", "text", "text1", "text2"))
     bare = lambda c: ~T.has_amount(c)
-    open_ = T.find_date(F.col("text"), date_mode).isNotNull() & bare(F.col("text"))
-    first = open_ & F.col("page1").eqNullSafe(F.col("page"))
-    second = first & F.col("page2").eqNullSafe(F.col("page")) & bare(one)
-    made = lambda c, n: F.struct(c.alias("text"), F.lit(n).alias("merged"))
-    all_ = F.array_compact(F.array(made(F.col("text"), 0), F.when(first, made(one, 1)), F.when(second, made(two, 2))))
+    # a column a step: each is worked out once, and only for lines that may go on
+    rows = T.with_date(rows.withColumn("_bare", F.when(bare(F.col("text")), F.col("text"))), "_bare", "_date", date_mode)
+    rows = rows.withColumn("_one", F.when(F.col("_date").isNotNull() & F.col("page1").eqNullSafe(F.col("page")), T.collapse(F.concat_ws(" ", "text", "text1"))))
+    rows = rows.withColumn("_two", F.when(F.col("_one").isNotNull() & F.col("page2").eqNullSafe(F.col("page")) & bare(F.col("_one")), T.collapse(F.concat_ws(" ", "text", "text1", "text2"))))
+    made = lambda c, n: F.struct(F.col(c).alias("text"), F.lit(n).alias("merged"))
+    own, one, two = made("text", 0), made("_one", 1), made("_two", 2)
+    all_ = F.when(F.col("_two").isNotNull(), F.array(own, one, two)).when(F.col("_one").isNotNull(), F.array(own, one)).otherwise(F.array(own))
     out = rows.select("input_id", "line_no", "page", F.explode(all_).alias("_c")).select("input_id", "line_no", "page", "_c.text", "_c.merged")
-    order = Window.partitionBy("input_id", "page", "text").orderBy("line_no", "merged")
-    return out.withColumn("_r", F.row_number().over(order)).where("_r = 1").drop("_r")
+    # the first by line and merged lines as one number, so that it is found by hashing and nothing is sorted
+    first = out.groupBy("input_id", "page", "text").agg(F.min(F.col("line_no").cast("long") * 4 + F.col("merged")).alias("_at"))
+    return first.select("input_id", F.shiftright("_at", 2).cast(lines.schema["line_no"].dataType).alias("line_no"), "page", "text", F.col("_at").bitwiseAND(3).cast("int").alias("merged"))
 
 
 def document_currency(lines: DataFrame, source: str = "pdf", default: str = "TRY") -> DataFrame:
     """(input_id, document_currency): the most frequent currency, first seen on ties. pdf: tokens anywhere, inside words too; ocr: those of amounts."""
     if source == "pdf":
-        found = F.regexp_extract_all(F.col("text"), F.lit(f"({T.currency_pattern()})"), F.lit(1))
-        codes = F.transform(found, T.currency)
+        found = lines.select("input_id", "line_no", F.regexp_extract_all(F.col("text"), F.lit(f"({T.currency_pattern()})"), F.lit(1)).alias("_found"))
     else:
-        codes = F.transform(T.find_money(F.col("text")), lambda m: m["currency"])
-    rows = lines.select("input_id", "line_no", F.posexplode_outer(codes).alias("pos", "currency"))
-    counted = rows.groupBy("input_id", "currency").agg(F.count("currency").alias("n"), F.min(F.struct("line_no", "pos")).alias("first"))
+        found = T.with_money(lines.select("input_id", "line_no", "text"), "text", "_money").select("input_id", "line_no", F.col("_money.currency").alias("_found"))
+    rows = found.select("input_id", "line_no", F.posexplode_outer("_found").alias("pos", "currency"))
+    rows = rows.withColumn("currency", T.currency(F.col("currency"))) if source == "pdf" else rows
+    # line and place as one number, so that counts are made by hashing
+    place = F.col("line_no").cast("decimal(20,0)") * F.lit(10**10).cast("decimal(11,0)") + F.col("pos")
+    counted = rows.groupBy("input_id", "currency").agg(F.count("currency").alias("n"), F.min(place).alias("first"))
     best = counted.groupBy("input_id").agg(F.min_by("currency", F.struct(F.col("currency").isNull(), -F.col("n"), "first")).alias("c"))
     return best.select("input_id", F.coalesce("c", F.lit(default)).alias("document_currency"))
 
 
 def _description(text: Column, date_raw: Column, money: Column, installment: Column) -> Column:
     longest = F.array_sort(F.transform(money, lambda m: m["raw"]), lambda a, b: F.length(b) - F.length(a))
-    gone = lambda acc, x: F.replace(acc, x, F.lit(" "))
+    gone = lambda acc, x: F.replace(acc, F.coalesce(x, F.lit("")), F.lit(" "))
     c = F.replace(text, date_raw, F.lit(" "))
-    c = F.aggregate(longest, c, gone)
-    c = F.aggregate(installment["raws"], c, gone)
+    c = F.when(F.size(money) > 1, F.aggregate(longest, c, gone)).otherwise(gone(c, F.get(money, F.lit(0))["raw"]))
+    for i in range(3):  # as many as an installment has
+        c = gone(c, F.get(installment["raws"], F.lit(i)))
     return T.collapse(T.strip_edges(T.without_artifacts(T.without_currencies(c))))
 
 
@@ -63,27 +68,32 @@ def parsed(lines: DataFrame, currencies: DataFrame, date_mode: str = "strict") -
     """
     rows = lines.join(currencies, "input_id", "left").withColumn("document_currency", F.coalesce("document_currency", F.lit("TRY")))
     rows = rows.withColumn("clean", T.without_artifacts(F.col("text")))
-    rows = rows.withColumn("found_date", T.find_date(F.col("clean"), date_mode)).withColumn("installment", T.find_installment(F.col("clean")))
-    filled = F.transform(T.find_money(F.col("clean")), lambda m: F.struct(m["raw"].alias("raw"), m["amount"].alias("amount"), F.coalesce(m["currency"], F.col("document_currency")).alias("currency")))
-    rows = rows.withColumn("money", filled)
+    rows = T.with_date(rows, "clean", "found_date", date_mode).withColumn("installment", T.find_installment(F.col("clean")))
+    filled = F.transform("_found", lambda m: F.struct(m["raw"].alias("raw"), m["amount"].alias("amount"), F.coalesce(m["currency"], F.col("document_currency")).alias("currency")))
+    one = F.col("_found")[0]
+    lone = F.array(F.struct(one["raw"].alias("raw"), one["amount"].alias("amount"), F.coalesce(one["currency"], F.col("document_currency")).alias("currency")))
+    rows = T.with_money(rows, "clean", "_found").withColumn("money", F.when(F.size("_found") == 1, lone).otherwise(filled)).drop("_found")
     last = F.try_element_at(F.col("money"), F.lit(-1))
     own = F.filter("money", lambda m: m["currency"] == F.col("document_currency"))
-    several = F.size(F.array_distinct(F.transform("money", lambda m: m["currency"]))) >= 2
+    several = (F.size("money") > 1) & (F.size(F.array_distinct(F.col("money.currency"))) >= 2)
     split = F.col("installment.current").isNotNull() | F.col("installment.total").isNotNull()
     rows = rows.withColumn("_price", F.when(~split & several, F.coalesce(F.try_element_at(own, F.lit(-1)), last)).otherwise(last))
-    other = F.try_element_at(F.filter("money", lambda m: m["currency"] != F.col("_price.currency")), F.lit(1))
+    other = F.when(F.size("money") > 1, F.try_element_at(F.filter("money", lambda m: m["currency"] != F.col("_price.currency")), F.lit(1)))
+    rows = rows.withColumn("_several", several).withColumn("_other", F.when(F.col("_several"), other))
     rows = rows.withColumn("description", _description(F.col("clean"), F.coalesce("found_date.raw", F.lit("")), F.col("money"), F.col("installment")))
+    rows = rows.withColumn("_low", T.lowered(F.col("clean"))).withColumn("_low", T.composed(F.col("_low")))
+    rows = rows.withColumn("_noise", T.contains_any(F.col("_low"), fixed.NOISE_WORDS)).withColumn("direction", F.when(T.contains_any(F.col("_low"), fixed.CREDIT_WORDS), "credit").otherwise("debit"))
     reject = (
-        F.when(T.is_noise(F.col("clean")), "noise").when(F.col("found_date").isNull(), "no_date").when(F.size("money") == 0, "no_amount").when(F.col("description") == "", "no_description")
+        F.when(F.col("_noise"), "noise").when(F.col("found_date").isNull(), "no_date").when(F.size("money") == 0, "no_amount").when(F.col("description") == "", "no_description")
     )
     confidence = F.round(F.least(F.lit(0.75) + F.when(F.length("description") >= 3, 0.20).otherwise(0.0) + F.when(F.col("installment.current").isNotNull(), 0.03).otherwise(0.0), F.lit(0.98)), 2)
-    # exploded as one struct: filters on its fields stay above, and each line is parsed once
     one = F.struct(
         "input_id", "line_no", "page", "text", reject.alias("reject_reason"), F.col("found_date.date").alias("date"), "description", F.abs(F.col("_price.amount")).alias("price"), F.col("_price.currency").alias("currency"),
-        F.abs(F.when(split, F.col("installment.total_amount")).when(several, other["amount"])).alias("original_price"), F.when(split, F.col("_price.currency")).when(several, other["currency"]).alias("original_currency"),
-        "installment", T.direction(F.col("clean")).alias("direction"), confidence.alias("confidence"),
+        F.abs(F.when(split, F.col("installment.total_amount")).when(F.col("_several"), F.col("_other.amount"))).alias("original_price"), F.when(split, F.col("_price.currency")).when(F.col("_several"), F.col("_other.currency")).alias("original_currency"),
+        "installment", "direction", confidence.alias("confidence"),
     )
-    return rows.select(F.explode(F.array(one)).alias("_t")).select("_t.*")
+    # exploded as one struct: filters on its fields stay above, and each line is parsed once; the struct is made below, where it is compiled
+    return rows.select(one.alias("_t")).select(F.explode(F.array("_t")).alias("_t")).select("_t.*")
 
 
 def extract(lines: DataFrame, date_mode: str = "strict") -> tuple[DataFrame, DataFrame]:
@@ -139,8 +149,8 @@ def chosen_lines(lines: DataFrame, outputs: DataFrame, date_mode: str = "strict"
 
 def variant_scores(lines: DataFrame, date_mode: str = "strict") -> DataFrame:
     """(input_id, page, variant, psm, ocr_score) of OCR lines (text, ocr_confidence)."""
-    dated, money = T.find_date(F.col("text"), date_mode).isNotNull(), F.size(T.find_money(F.col("text")))
-    rows = lines.select("input_id", "page", "variant", "psm", "text", "ocr_confidence", dated.alias("dated"), money.alias("money"))
+    rows = T.with_date(lines, "text", "_date", date_mode)
+    rows = rows.select("input_id", "page", "variant", "psm", "text", "ocr_confidence", F.col("_date").isNotNull().alias("dated"), F.size(T.money_texts(F.col("text"))).alias("money"))
     score = F.count_if(F.col("dated") & (F.col("money") > 0)) * 8 + F.count_if("dated") * 2 + F.sum("money") * 1.5 + F.avg("ocr_confidence") * 15 + F.least((F.sum(F.length("text")) + F.count(F.lit(1)) - 1) / 500, F.lit(8.0))
     return rows.groupBy("input_id", "page", "variant", "psm").agg(F.round(score, 4).alias("ocr_score"))
 
