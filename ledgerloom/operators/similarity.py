@@ -13,7 +13,8 @@ from pyspark.sql.window import Window
 
 from ..functions import fixed, taxonomy
 from ..functions import text as T
-from .analytics import merchant_of, small
+from ..sources.shared import kept
+from .analytics import distinct_texts, merchant_of, small
 
 #: Letters of a piece. Words shorter than this have one piece, with the marks at both ends.
 PIECE = 3
@@ -77,8 +78,8 @@ def similar_texts(txn: DataFrame, references: DataFrame | None = None, threshold
     """(text, category, subcategory, similarity, matched_reference): what categorized() takes for the debits of txn that no rule decides; text is said_of()."""
     spark = txn.sparkSession
     references = examples(spark) if references is None else references
-    open_ = txn.where("direction != 'credit'").select(said_of(txn).alias("text"), matched_text(txn).alias("all")).distinct().where(taxonomy.rule(F.col("all")).isNull())
-    best = top_similar(open_, references, 1, threshold)
+    open_ = distinct_texts(txn.where("direction != 'credit'")).where(taxonomy.rule(F.col("matched")).isNull()).select(F.col("said").alias("text")).distinct()
+    best = top_similar(kept(open_, "open"), references, 1, threshold)
     known = references.groupBy("example").agg(F.min_by(F.struct("category", "subcategory", "reference"), "ord").alias("r"))
     return best.join(F.broadcast(known), "example").select("text", "r.category", "r.subcategory", "similarity", F.col("r.reference").alias("matched_reference"))
 

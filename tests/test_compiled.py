@@ -56,3 +56,24 @@ def test_lines_are_sorted_once_and_parsed_once(spark):
     plan = heads._jdf.queryExecution().optimizedPlan().toString()
     assert plan.lower().count("regexp_replace") == 0  # what was parsed is read, not parsed again for each branch
     assert heads.first().transaction_count == 3
+
+
+def test_rules_meet_texts_not_rows(spark):
+    from ledgerloom.operators import analytics as A
+
+    rows = spark.createDataFrame([("a", i, x, d) for i, (x, d) in enumerate([("SHELL 1", "debit"), ("SHELL 1", "credit"), (None, "debit"), ("xyz", "debit"), ("TRENDYOL YEMEK", "debit")])], "input_id string, seq int, description string, direction string")
+    found = A.categorized(rows)
+    assert "rlike" not in found._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert [(r.category, r.method) for r in found.orderBy("seq").collect()] == [("fuel", "rule"), ("income_or_refund", "direction"), ("other", "fallback"), ("other", "fallback"), ("food", "rule")]
+
+
+def test_an_analysis_works_out_what_is_asked_for(spark, monkeypatch):
+    from ledgerloom.operators import analytics as A
+    from ledgerloom.plans.analyze import analyze
+
+    schema = "input_id string, seq long, txn_date date, description string, amount decimal(18,2), currency string, original_currency string, direction string, installment_total int, confidence double, validation_status string"
+    rows = spark.createDataFrame([("a", 1, None, "SHELL", None, "TRY", None, "debit", None, 0.9, "valid")], schema)
+    for name in ("text_categories", "anomalies"):
+        monkeypatch.setattr(A, name, lambda *a: pytest.fail("not asked for"))
+    assert analyze(rows, rows)["reference"].count() == 2
+    assert analyze(rows)["quality"].count() == 1
