@@ -15,6 +15,7 @@ import re
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -31,18 +32,72 @@ CAPACITY, END_ID = 4096, 1
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 #: Runs between white space whose ids a worker keeps, and rows of a length that are ranked in one group.
 MEMO_RUNS, RANK_ROWS = 600_000, 20_000
-#: Longer runs and pre-tokens are encoded each time.
-MEMO_CHARS = 64
+#: Longer runs and pre-tokens are encoded each time. Ids that a worker keeps, of runs and of pre-tokens.
+MEMO_CHARS, MEMO_IDS = 64, 8 * MEMO_RUNS
+#: Characters of the texts that are encoded together (a longer text alone), and new pre-tokens that the library gets as one text.
+GROUP_CHARS, JOINED_WORDS = 1 << 17, 1024
 
 _memo: dict[str, Encoder] = {}
 kept_by("packing", _memo.clear)
 
 
+class Places(dict):
+    """Numbers strings as they are met: `places[x]` is x's number, and an x without one joins `new`."""
+
+    def __init__(self) -> None:
+        self.met, self.new = 0, []
+
+    def __missing__(self, x: str) -> int:
+        n = self[x] = self.met
+        self.met += 1
+        self.new.append(x)
+        return n
+
+    def of(self, groups: list[list[str]]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, chain.from_iterable(groups)), np.int64, sum(map(len, groups)))
+
+
+class IdStore:
+    """The ids of each number, end to end in one array."""
+
+    def __init__(self) -> None:
+        self.ids, self.start, self.n = np.zeros(1 << 16, "<u4"), np.zeros(1 << 12, np.int64), 0
+        self.used = 0
+
+    def add(self, ids: np.ndarray, ends: np.ndarray) -> None:
+        """The next numbers' ids; ends are where each stops in ids."""
+        self.ids = self._room(self.ids, self.used + len(ids))
+        self.start = self._room(self.start, self.n + len(ends) + 1)
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.start[self.n + 1 : self.n + 1 + len(ends)] = self.used + ends
+        self.n += len(ends)
+        self.used += len(ids)
+
+    @staticmethod
+    def _room(a: np.ndarray, need: int) -> np.ndarray:
+        return a if need <= len(a) else np.concatenate([a, np.zeros(max(need, 2 * len(a)) - len(a), a.dtype)])
+
+    def take(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(the ids of the numbers in turn, where each stops)."""
+        start = self.start[numbers]
+        size = self.start[numbers + 1] - start
+        ends = np.cumsum(size)
+        at = np.repeat(start - ends + size, size)
+        at += np.arange(len(at))
+        return self.ids[at], ends
+
+
+def stops(ends: np.ndarray, counts: list[int]) -> np.ndarray:
+    """Where each group stops, groups of counts[i] things that stop at ends."""
+    return np.concatenate([[0], ends])[np.cumsum(np.asarray(counts, np.int64))]
+
+
 class Encoder:
     """ids(texts): for each text its ids as little-endian unsigned 32-bit bytes.
 
     White space always ends a token of this vocabulary, and so does the end of a pre-token: each is
-    encoded once by the library and kept, as is each run between white space.
+    encoded once by the library and kept, as is each run between white space. Both are numbered as they are met,
+    so that a text is a list of numbers, whose ids are gathered at once.
     """
 
     def __init__(self, path: str) -> None:
@@ -50,37 +105,84 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.special = {t.content: np.asarray([i], "<u4").tobytes() for i, t in self.library.get_added_tokens_decoder().items()}
+        self.special = {t.content: np.asarray([i], "<u4") for i, t in self.library.get_added_tokens_decoder().items()}
         self.special_re = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
         self.mark = os.path.commonprefix([*self.special])
-        self.runs: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        suffix = getattr(self.library.model, "end_of_word_suffix", None)
+        #: Which ids end a pre-token.
+        self.ends = np.zeros(self.library.get_vocab_size(), bool)
+        if suffix:
+            self.ends[[i for x, i in self.library.get_vocab(with_added_tokens=False).items() if x.endswith(suffix)]] = True
+        self._forget_runs()
+        self._forget_words()
+
+    def _forget_runs(self) -> None:
+        self.runs, self.run_ids = Places(), IdStore()
+
+    def _forget_words(self) -> None:
+        self.words, self.word_ids = Places(), IdStore()
 
     def ids(self, texts: list[str]) -> list[bytes]:
+        out: list[bytes] = []
+        group: list[str] = []
+        chars = 0
+        for t in texts:
+            group.append(t)
+            chars += len(t)
+            if chars >= GROUP_CHARS:
+                out += self._ids(group)
+                group, chars = [], 0
+        return out + self._ids(group)
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        if self.runs.met > MEMO_RUNS or self.run_ids.used > MEMO_IDS:
+            self._forget_runs()
+        if self.words.met > MEMO_RUNS or self.word_ids.used > MEMO_IDS:
+            self._forget_words()
         split = [[x for x in SPACE_RUN.split(t) if x] if ODD_SPACES.search(t) else t.split() for t in texts]
-        runs, words = self.runs, self.words
-        if len(runs) > MEMO_RUNS:
-            runs.clear()
-        if len(words) > MEMO_RUNS:
-            words.clear()
-        new = {x for s in split for x in s if x not in runs}
-        parts = {x: pretokens(x) for x in new if self.mark not in x}
-        unknown = list({w for ws in parts.values() for w in ws if w not in words})
-        for i in range(0, len(unknown), 4096):
-            part = unknown[i : i + 4096]
-            words.update({w: np.asarray(e.ids, "<u4").tobytes() for w, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False))})
-        get = words.__getitem__
-        for x, ws in parts.items():
-            runs[x] = get(ws[0]) if len(ws) == 1 else b"".join(map(get, ws))
-        for x in new - parts.keys():  # special strings, taken out before anything else
-            runs[x] = b"".join([self.special[p] if p in self.special else np.asarray(self.library.encode(p, add_special_tokens=False).ids, "<u4").tobytes() for p in self.special_re.split(x) if p])
-        get = runs.__getitem__
-        out = [b"".join(map(get, s)) for s in split]
-        for known, met in ((runs, new), (words, unknown)):
-            for x in met:
+        numbers = self.runs.of(split)
+        if new := self.runs.new:
+            self.run_ids.add(*self._encoded(new))
+            for x in new:
                 if len(x) > MEMO_CHARS:
-                    del known[x]
-        return out
+                    del self.runs[x]
+            self.runs.new = []
+        ids, ends = self.run_ids.take(numbers)
+        data = ids.tobytes()
+        at = [0, *(4 * stops(ends, [len(s) for s in split])).tolist()]
+        return [data[a:b] for a, b in zip(at, at[1:])]
+
+    def _encoded(self, runs: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the runs in turn, where each stops)."""
+        parts = [[] if self.mark in x else pretokens(x) for x in runs]
+        numbers = self.words.of(parts)
+        new, self.words.new = self.words.new, []
+        for i in range(0, len(new), JOINED_WORDS):
+            self.word_ids.add(*self._words(new[i : i + JOINED_WORDS]))
+        for w in new:
+            if len(w) > MEMO_CHARS:
+                del self.words[w]
+        ids, ends = self.word_ids.take(numbers)
+        ends = stops(ends, [len(ws) for ws in parts])
+        odd = {i: self._with_special(x) for i, x in enumerate(runs) if self.mark in x}
+        if odd:
+            each = np.split(ids, ends[:-1])
+            each = [odd.get(i, own) for i, own in enumerate(each)]
+            ids, ends = np.concatenate(each), np.cumsum([len(e) for e in each])
+        return ids, ends
+
+    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same of pre-tokens, encoded as one text: a pre-token's last id is one that ends it."""
+        ids = np.asarray(self.library.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        if len(ends) == len(words) and ends[-1] == len(ids):
+            return ids, ends
+        each = [np.asarray(e.ids, "<u4") for e in self.library.encode_batch_fast(words, add_special_tokens=False)]
+        return np.concatenate(each), np.cumsum([len(e) for e in each])
+
+    def _with_special(self, run: str) -> np.ndarray:
+        """Special strings are taken out before anything else."""
+        return np.concatenate([self.special[p] if p in self.special else np.asarray(self.library.encode(p, add_special_tokens=False).ids, "<u4") for p in self.special_re.split(run) if p])
 
 
 def encoder(path: str) -> Encoder:

@@ -29,8 +29,9 @@ import regex
 SPACES = "\t\n\x0b\x0c\r \x85\xa0                　"
 PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 
-#: The pre-token pattern for lower-case ASCII.
-ASCII_PRETOKEN = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[a-z]+|[0-9]|[^\sa-z0-9]+")
+#: The pre-token pattern for lower-case Latin-1, which NFC leaves as it is, and what is not of it (or an odd space).
+LATIN_PRETOKEN = re.compile("'(?:s|t|re|ve|m|ll|d)|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^\\sa-z0-9\xaa\xb5\xba\xdf-\xf6\xf8-\xff\xb2\xb3\xb9\xbc-\xbe]+")
+NOT_LATIN = re.compile("[\x1c-\x1f\u0100-\U0010ffff]")
 SPACE_RUN = re.compile(f"[{SPACES}]+")
 #: Python's split() also splits on these, the vocabulary's normaliser does not.
 ODD_SPACES = re.compile("[\x1c-\x1f]")
@@ -52,8 +53,8 @@ def byte_symbols() -> list[str]:
 
 def pretokens(text: str) -> list[str]:
     """The normalised pre-tokens of a run without special strings."""
-    if text.isascii() and not ODD_SPACES.search(text):
-        return ASCII_PRETOKEN.findall(text.lower())
+    if not NOT_LATIN.search(text):
+        return LATIN_PRETOKEN.findall(text.lower())
     plain = unicodedata.normalize("NFC", text)
     low = plain.lower()
     if "\u03c2" in low:  # the vocabulary's lower-casing knows no final sigma

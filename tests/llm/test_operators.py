@@ -126,6 +126,35 @@ def test_packing_is_whole_and_gapless(docs, texts, empty):
     assert packing.pack(packing.pieces(empty)).count() == 0
 
 
+def test_new_words_are_encoded_together():
+    """The library gets new pre-tokens as a few texts, not one by one, and the ids are its own, whatever the text and whatever is forgotten."""
+    from tokenizers import Tokenizer
+
+    own, handed = packing.Encoder(packing.VOCABULARY), []
+
+    class Counted:
+        def encode_batch_fast(self, texts, **options):
+            handed.extend(texts)
+            return t.encode_batch_fast(texts, **options)
+
+        def encode(self, text, **options):
+            return t.encode(text, **options)
+
+    own.library = t = Tokenizer.from_file(packing.VOCABULARY)
+    own.library = Counted()
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdefghijäöü") for _ in range(9)) for _ in range(3000)]
+    alphabet = [chr(c) for c in range(1, 256)] + list("ΣσςİıŁşğ\u0301\u0307\u3000\U0001f600中'<|>")
+    odd = ["", " ", "<|endoftext|>", "a<|endoftext|>b <|x <|startoftext|>", "'s don't I'LL", "x\x1cy z\x1f", "a" * 200 + " b" + "c" * 70] + ["".join(rng.choice(alphabet) for _ in range(rng.randrange(1, 60))) for _ in range(500)]
+    want = lambda texts: [np.asarray(e.ids, "<u4").tobytes() for e in t.encode_batch(texts, add_special_tokens=False)]
+    assert own.ids([" ".join(words[:2000]), " ".join(words)]) == want([" ".join(words[:2000]), " ".join(words)])
+    assert len(handed) <= 6
+    assert own.ids(odd) == want(odd)
+    assert own.ids(odd) == want(odd)
+    own._forget_words()
+    assert own.ids([*odd, " ".join(reversed(words))]) == want([*odd, " ".join(reversed(words))])
+
+
 def test_packed_histograms():
     rng = random.Random(2)
     for top in (50, 4096):
