@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
+from ..sources import shared
 
 
 def normal_date(c: Column) -> Column:
@@ -64,10 +65,12 @@ def normalized(raw: DataFrame) -> DataFrame:
     return rows.withColumn("amount", F.coalesce("_amount", F.lit(0).cast("decimal(18,2)"))).withColumn("currency", F.coalesce("_currency", F.lit("UNKNOWN"))).drop("_amount", "_currency")
 
 
-def keep_best(rows: DataFrame) -> DataFrame:
-    """Per document and (date, merchant, amount, currency, direction) the row of the highest confidence, the first on ties."""
+def keep_best(rows: DataFrame, count: str | None = None) -> DataFrame:
+    """Per document and (date, merchant, amount, currency, direction) the row of the highest confidence, the first on ties; how many rows it stands for, if count names a column for it."""
     key = ["input_id", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("date", "merchant", "amount", "currency", "direction"))]
     w = Window.partitionBy(*key).orderBy(F.desc("confidence"), "seq")
+    if count:
+        rows = rows.withColumn(count, F.count(F.lit(1)).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
     return rows.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
 
@@ -105,9 +108,10 @@ def documents(raw: DataFrame, inputs: DataFrame | None = None) -> dict[str, Data
     summary has the columns of summary() and score_summary(), duplicate_removed_count and warnings; documents of inputs
     without transactions have zero counts.
     """
-    rows = normalized(raw)
-    kept = scores(keep_best(rows)).withColumn("source_confidence", F.col("confidence")).withColumn("confidence", F.col("score"))
-    before = rows.groupBy("input_id").agg(F.count(F.lit(1)).alias("_before"))
+    # stored: counts, scores, currencies and records start here, and raw rows are read and normalised once
+    best = shared.kept(scores(keep_best(normalized(raw), "_n")).withColumn("source_confidence", F.col("confidence")).withColumn("confidence", F.col("score")), "normalized")
+    kept = best.drop("_n")
+    before = best.groupBy("input_id").agg(F.sum("_n").alias("_before"))
     facts = summary(kept).join(score_summary(kept).drop("invalid_count", "warning_count"), "input_id").join(before, "input_id").withColumn("duplicate_removed_count", F.col("_before") - F.col("transaction_count")).drop("_before")
     if inputs is not None:
         facts = inputs.select("input_id").distinct().join(facts, "input_id", "left").fillna(0, ["transaction_count", "duplicate_removed_count", "low_confidence_count", "invalid_count", "warning_count"]).fillna(False, ["validation_passed"])

@@ -111,7 +111,13 @@ def body(result: Column) -> Column:
 
 def transactions_of(records: DataFrame, kind: str = TRANSACTION) -> DataFrame:
     """(record_id, input_id, method, the fields of kind) of each transaction of the records, under either key; a null or missing list has none."""
-    rows = records.withColumn("_t", F.explode(F.from_json(body(F.col("result")), f"transactions array<{kind}>")["transactions"]))
+    # both places are read in one pass; only where neither has a list, or the inner one has, is it asked which keys there are
+    both = F.from_json("result", f"transactions array<{kind}>, result struct<transactions: array<{kind}>>")
+    outer, inner = F.col("_p.transactions"), F.col("_p.result.transactions")
+    keyed = F.coalesce(F.array_contains(F.json_object_keys("result"), "transactions"), F.lit(False))
+    odd = F.from_json(body(F.col("result")), f"transactions array<{kind}>")["transactions"]
+    listed = F.when(outer.isNotNull(), outer).when(inner.isNotNull(), F.when(~keyed, inner)).otherwise(odd)
+    rows = records.withColumn("_p", both).withColumn("_t", F.explode(listed))
     return rows.select("record_id", "input_id", "method", "_t.*")
 
 

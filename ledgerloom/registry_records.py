@@ -9,6 +9,7 @@ from .operators import results as L
 from .operators import store as B
 from .registry import TXN, money, query, txn
 from .sources import tables as S
+from .sources.shared import kept
 from .streaming import worker as W
 
 HEADED = f"""{TXN}, per as (select input_id, count(*) as n, round(round(avg(case when installment_total is not null then 0.98e0 else 0.95e0 end), 10), 4) as c, sum(case when direction = 'debit' then amount else 0 end) as db, sum(case when direction = 'credit' then amount else 0 end) as cr from txn group by input_id)"""
@@ -48,7 +49,8 @@ def normalize_latest_extraction(spark, d):
     now = t.where(k % 3 != 0)
     twice = now.unionByName(now.where("seq % 5 = 0").withColumn("seq", F.col("seq") + 10**12))
     later = L.extraction_records(*extracted(twice), F.lit("2024-02-01 00:00:00")).withColumn("result", F.when(k % 3 == 1, F.concat(F.lit('{"result":'), "result", F.lit("}"))).otherwise(F.col("result")))
-    s = L.normalize_latest(old.unionByName(later), F.lit("2024-03-01 00:00:00"))["records"].where("part = 0")
+    records = kept(old.unionByName(later), "extractions")  # the table that both extractions were appended to
+    s = L.normalize_latest(records, F.lit("2024-03-01 00:00:00"))["records"].where("part = 0")
     facts = F.from_json("result", "summary struct<total_debit: decimal(18,2), net_amount: decimal(18,2), currencies: array<string>>")["summary"]
     return s.withColumn("f", facts).select("input_id", "transaction_count", "duplicate_removed_count", money("f.total_debit").alias("total_debit"), money("f.net_amount").alias("net_amount"), F.array_join("f.currencies", ",").alias("currencies"), "overall_confidence", "low_confidence_count", F.array_join("warnings", ",").alias("warnings"))
 

@@ -58,6 +58,19 @@ def test_keys_under_which_transactions_lie(spark):
     assert sorted(r["input_id"] for r in L.transactions_of(rows).collect()) == ["both", "inner", "own"]
 
 
+def test_records_are_read_and_normalised_once(spark):
+    t = '[{"line_no":1,"date":"2025-01-05","description":"x","price":1.5},{"line_no":2,"date":"2025-01-05","description":"x","price":1.5},{"line_no":"odd","price":"y"}]'
+    said = [f'{{"transactions":{t}}}', f'{{"result":{{"transactions":{t}}}}}', f'{{"transactions":null,"result":{{"transactions":{t}}}}}', f'{{"result":{json.dumps(json.dumps({"transactions": json.loads(t)}))}}}', '{"transactions":[],"result":{"transactions":[{"line_no":5}]}}', '{"result":{"x":1}}', '{"result":[1]}', "[]", "oops", None, f'{{"transactions":{{}},"result":{{"transactions":{t}}}}}']
+    rows = spark.createDataFrame([(f"r{i}", str(i), 0, 1, "2025-01-01", "m", ["w"], x) for i, x in enumerate(said)], "record_id string, input_id string, part int, parts int, created_at string, method string, warnings array<string>, result string")
+    plain = rows.select("input_id", F.explode(F.from_json(L.body(F.col("result")), f"transactions array<{L.TRANSACTION}>")["transactions"]).alias("t")).select("input_id", "t.*")
+    got = L.transactions_of(rows).drop("record_id", "method")
+    assert sorted(map(str, got.collect())) == sorted(map(str, plain.collect())) and got.count() >= 6
+    out = L.normalize_latest(rows, F.lit("2025-02-02 00:00:00"))
+    assert "from_json" not in out["records"]._jdf.queryExecution().optimizedPlan().toString().lower()  # what was normalised is read, not parsed again for each branch
+    facts = {r["input_id"]: (r["transaction_count"], r["duplicate_removed_count"], r["warnings"]) for r in out["records"].collect()}
+    assert facts["0"] == facts["1"] == facts["3"] == (2, 1, ["w", "duplicates_removed:1"]) and facts["8"] == (0, 0, ["w"])
+
+
 def test_large_documents_have_parts(spark, monkeypatch):
     monkeypatch.setattr(L, "PART_ROWS", 10)
     text = spark.range(95).select(F.when(F.col("id") < 90, "big").otherwise("small").alias("input_id"), F.col("id").cast("int").alias("line_no"), F.lit(1).alias("page"), F.concat(F.lit("05.01.2025 SHOP "), "id", F.lit("x 1"), (F.col("id") % 9).cast("string"), F.lit(",00 TL")).alias("text"))
