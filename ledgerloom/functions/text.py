@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import string
 from functools import cache
 
 from pyspark.sql import Column, DataFrame
@@ -306,6 +307,54 @@ def find_installment(c: Column) -> Column:
     return F.when(c.isNull() | c.rlike(r"=|(?i:taksit)"), bound(bound(c, met), made)).when(F.contains(c, F.lit("(")), fraction).otherwise(plain(F.lit(None).cast("string"), F.lit(None).cast("string"), none))
 
 
+def usual_pattern(mode: str = "strict") -> str:
+    """A line as most are: a date of whole numbers, words without a digit, a fraction at most, one amount, a currency at most. Its groups are these."""
+    # single characters below 256 are looked up, not compared; the others stand apart
+    word = f"(?:[{string.ascii_letters}ÇÖÜçöü.*&'/_]++|[ĞİŞğış]++)++"
+    year_first = r"|[12]\d{3}-\d\d-\d\d" if mode == "strict" else ""  # compat reads it otherwise
+    amount = r"\d{1,3}(?:[.,]\d{3})++[.,]\d\d|\d++[.,]\d\d"
+    months = joined_pattern(sorted(fixed.MONTHS), any_case)  # after the date's last number they would be a date by name
+    return rf"^(\d\d[/-]\d\d[/-][12]\d{{3}}{year_first}) (?!{months} )({word}(?: {word})*+)(?: (\(\d{{1,2}}/\d{{1,2}}\)))? ({amount})(?: ([A-Z]{{2,3}}|[₺€$£]))?\z"
+
+
+USUAL = ["_usual", "_usual_date", "_usual_fraction", "_usual_amount", "_usual_token", "_usual_currency"]
+
+
+def with_usual(rows: DataFrame, text: str, mode: str = "strict") -> DataFrame:
+    """rows with the columns USUAL, all null unless the column text is a line as most are: its description, date, fraction, amount, and the currency as it stands and as a code.
+
+    One match parts such a line. It is taken only where the expressions over any text must find the same: the date is real, and no currency,
+    artifact or installment stands among the words. So the words are the description, and what is found elsewhere is all there is.
+    """
+    got = lambda i: F.get("_parts", F.lit(i))
+    rows = rows.withColumn("_parts", F.regexp_replace(text, usual_pattern(mode), "$1\x01$2\x01$3\x01$4\x01$5"))
+    rows = rows.withColumn("_parts", F.when(F.col("_parts") != F.col(text), F.split("_parts", "\x01")))  # a text that matched has changed
+    rows = rows.withColumns({"_words": got(1), "_day": got(0), "_usual_token": F.nullif(got(4), F.lit(""))})
+    piece = lambda at, n: F.substring("_day", at, n)
+    iso = F.when(F.substring("_day", 5, 1) == "-", F.col("_day")).otherwise(F.concat(piece(7, 4), F.lit("-"), piece(4, 2), F.lit("-"), piece(1, 2)))
+    token = F.col("_usual_token")
+    code = F.when(token == "TL", "TRY").when(token.isin(*iso_codes()), token)
+    for sign in "₺€$£":
+        code = code.when(token == sign, fixed.CURRENCY_SIGNS[sign])
+    rows = rows.withColumns({"_usual_date": iso.try_cast("date"), "_usual_currency": code})
+    # of the currencies only codes and TL are made of what words have
+    rows = rows.withColumn("_upper", F.replace(F.upper("_words"), F.lit("İ"), F.lit("I")))
+    coded = F.exists(F.sequence(F.lit(1), F.length("_upper") - 2), lambda i: F.col("_upper").substr(i, F.lit(3)).isin(*iso_codes())) | F.contains("_upper", F.lit("TL"))
+    odd = contains_any(F.col("_words"), fixed.ARTIFACTS) | F.contains("_upper", F.lit("TAKSIT"))
+    fits = F.col("_usual_date").isNotNull() & (token.isNull() | F.col("_usual_currency").isNotNull()) & ~odd & ~coded
+    rows = rows.withColumn("_usual", F.when(fits, F.col("_words")))
+    usual = F.col("_usual").isNotNull()
+    rows = rows.withColumns({"_usual_fraction": F.when(usual, F.nullif(got(2), F.lit(""))), "_usual_amount": F.when(usual, got(3))} | {c: F.when(usual, F.col(c)) for c in ("_usual_date", "_usual_token", "_usual_currency")})
+    return rows.drop("_parts", "_words", "_upper", "_day")
+
+
+def fraction_installment(raw: Column) -> Column:
+    """find_installment() of a fraction `(k/n)` alone, or of none (null)."""
+    part = lambda i: F.when(raw.isNotNull(), F.substring_index(F.substring_index(F.btrim(raw, F.lit("()")), "/", i), "/", 1)).try_cast("int")
+    null, none = F.lit(None).cast("double"), F.array().cast("array<string>")
+    return F.struct(part(1).alias("current"), part(-1).alias("total"), F.when(raw.isNotNull(), F.array(raw)).otherwise(none).alias("raws"), null.alias("unit_amount"), null.alias("total_amount"))
+
+
 def direction(c: Column) -> Column:
     return F.when(matching_any(c, fixed.CREDIT_WORDS), "credit").otherwise("debit")
 

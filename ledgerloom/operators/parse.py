@@ -37,10 +37,14 @@ def candidates(lines: DataFrame, date_mode: str = "strict") -> DataFrame:
 
 def document_currency(lines: DataFrame, source: str = "pdf", default: str = "TRY") -> DataFrame:
     """(input_id, document_currency): the most frequent currency, first seen on ties. pdf: tokens anywhere, inside words too; ocr: those of amounts."""
+    rows = T.with_usual(lines.select("input_id", "line_no", "text"), "text")
+    usual = F.col("_usual").isNotNull()
     if source == "pdf":
-        found = lines.select("input_id", "line_no", F.regexp_extract_all(F.col("text"), F.lit(f"({T.currency_pattern()})"), F.lit(1)).alias("_found"))
+        tokens = F.regexp_extract_all(F.col("text"), F.lit(f"({T.currency_pattern()})"), F.lit(1))
+        found = rows.select("input_id", "line_no", F.when(usual & F.col("_usual_token").isNotNull(), F.array("_usual_token")).when(usual, F.array().cast("array<string>")).otherwise(tokens).alias("_found"))
     else:
-        found = T.with_money(lines.select("input_id", "line_no", "text"), "text", "_money").select("input_id", "line_no", F.col("_money.currency").alias("_found"))
+        rows = T.with_money(rows.withColumn("text", F.when(~usual, F.col("text"))), "text", "_money")
+        found = rows.select("input_id", "line_no", F.when(usual, F.array("_usual_currency")).otherwise(F.col("_money.currency")).alias("_found"))
     rows = found.select("input_id", "line_no", F.posexplode_outer("_found").alias("pos", "currency"))
     rows = rows.withColumn("currency", T.currency(F.col("currency"))) if source == "pdf" else rows
     # line and place as one number, so that counts are made by hashing
@@ -64,11 +68,14 @@ def parsed(lines: DataFrame, currencies: DataFrame, date_mode: str = "strict") -
     """Lines with the fields of a transaction and reject_reason (null: it is one).
 
     With an installment, or one currency, the last amount is the price; with several currencies the last one in the
-    document's currency, the first in another being the original amount.
+    document's currency, the first in another being the original amount. Most lines are parted by one match
+    (T.with_usual); for these the expressions over any text get null and do nothing.
     """
     rows = lines.join(currencies, "input_id", "left").withColumn("document_currency", F.coalesce("document_currency", F.lit("TRY")))
-    rows = rows.withColumn("clean", T.without_artifacts(F.col("text")))
-    rows = T.with_date(rows, "clean", "found_date", date_mode).withColumn("installment", T.find_installment(F.col("clean")))
+    rows = T.with_usual(rows, "text", date_mode)
+    usual = F.col("_usual").isNotNull()
+    rows = rows.withColumn("clean", F.when(~usual, T.without_artifacts(F.col("text"))))
+    rows = T.with_date(rows, "clean", "found_date", date_mode).withColumn("installment", F.when(usual, T.fraction_installment(F.col("_usual_fraction"))).otherwise(T.find_installment(F.col("clean"))))
     filled = F.transform("_found", lambda m: F.struct(m["raw"].alias("raw"), m["amount"].alias("amount"), F.coalesce(m["currency"], F.col("document_currency")).alias("currency")))
     one = F.col("_found")[0]
     lone = F.array(F.struct(one["raw"].alias("raw"), one["amount"].alias("amount"), F.coalesce(one["currency"], F.col("document_currency")).alias("currency")))
@@ -77,18 +84,20 @@ def parsed(lines: DataFrame, currencies: DataFrame, date_mode: str = "strict") -
     own = F.filter("money", lambda m: m["currency"] == F.col("document_currency"))
     several = (F.size("money") > 1) & (F.size(F.array_distinct(F.col("money.currency"))) >= 2)
     split = F.col("installment.current").isNotNull() | F.col("installment.total").isNotNull()
-    rows = rows.withColumn("_price", F.when(~split & several, F.coalesce(F.try_element_at(own, F.lit(-1)), last)).otherwise(last))
+    only = F.struct(F.col("_usual_amount").alias("raw"), T.money_number(F.col("_usual_amount")).alias("amount"), F.coalesce("_usual_currency", "document_currency").alias("currency"))
+    rows = rows.withColumn("_price", F.when(usual, only).when(~split & several, F.coalesce(F.try_element_at(own, F.lit(-1)), last)).otherwise(last))
     other = F.when(F.size("money") > 1, F.try_element_at(F.filter("money", lambda m: m["currency"] != F.col("_price.currency")), F.lit(1)))
     rows = rows.withColumn("_several", several).withColumn("_other", F.when(F.col("_several"), other))
-    rows = rows.withColumn("description", _description(F.col("clean"), F.coalesce("found_date.raw", F.lit("")), F.col("money"), F.col("installment")))
-    rows = rows.withColumn("_low", T.lowered(F.col("clean"))).withColumn("_low", T.composed(F.col("_low")))
+    rows = rows.withColumn("description", F.when(usual, F.col("_usual")).otherwise(_description(F.col("clean"), F.coalesce("found_date.raw", F.lit("")), F.col("money"), F.col("installment"))))
+    rows = rows.withColumn("_date", F.coalesce("_usual_date", "found_date.date"))
+    rows = rows.withColumn("_low", T.lowered(F.coalesce("_usual", "clean"))).withColumn("_low", T.composed(F.col("_low")))
     rows = rows.withColumn("_noise", T.contains_any(F.col("_low"), fixed.NOISE_WORDS)).withColumn("direction", F.when(T.contains_any(F.col("_low"), fixed.CREDIT_WORDS), "credit").otherwise("debit"))
     reject = (
-        F.when(F.col("_noise"), "noise").when(F.col("found_date").isNull(), "no_date").when(F.size("money") == 0, "no_amount").when(F.col("description") == "", "no_description")
+        F.when(F.col("_noise"), "noise").when(F.col("_date").isNull(), "no_date").when(~usual & (F.size("money") == 0), "no_amount").when(F.col("description") == "", "no_description")
     )
     confidence = F.round(F.least(F.lit(0.75) + F.when(F.length("description") >= 3, 0.20).otherwise(0.0) + F.when(F.col("installment.current").isNotNull(), 0.03).otherwise(0.0), F.lit(0.98)), 2)
     one = F.struct(
-        "input_id", "line_no", "page", "text", reject.alias("reject_reason"), F.col("found_date.date").alias("date"), "description", F.abs(F.col("_price.amount")).alias("price"), F.col("_price.currency").alias("currency"),
+        "input_id", "line_no", "page", "text", reject.alias("reject_reason"), F.col("_date").alias("date"), "description", F.abs(F.col("_price.amount")).alias("price"), F.col("_price.currency").alias("currency"),
         F.abs(F.when(split, F.col("installment.total_amount")).when(F.col("_several"), F.col("_other.amount"))).alias("original_price"), F.when(split, F.col("_price.currency")).when(F.col("_several"), F.col("_other.currency")).alias("original_currency"),
         "installment", "direction", confidence.alias("confidence"),
     )
@@ -149,8 +158,10 @@ def chosen_lines(lines: DataFrame, outputs: DataFrame, date_mode: str = "strict"
 
 def variant_scores(lines: DataFrame, date_mode: str = "strict") -> DataFrame:
     """(input_id, page, variant, psm, ocr_score) of OCR lines (text, ocr_confidence)."""
-    rows = T.with_date(lines, "text", "_date", date_mode)
-    rows = rows.select("input_id", "page", "variant", "psm", "text", "ocr_confidence", F.col("_date").isNotNull().alias("dated"), F.size(T.money_texts(F.col("text"))).alias("money"))
+    rows = T.with_usual(lines.select("input_id", "page", "variant", "psm", "text", "ocr_confidence"), "text", date_mode)
+    usual = F.col("_usual").isNotNull()  # with a date and one amount
+    rows = T.with_date(rows.withColumn("_rest", F.when(~usual, F.col("text"))), "_rest", "_date", date_mode)
+    rows = rows.select("input_id", "page", "variant", "psm", "text", "ocr_confidence", (usual | F.col("_date").isNotNull()).alias("dated"), F.when(usual, 1).otherwise(F.size(T.money_texts(F.col("_rest")))).alias("money"))
     score = F.count_if(F.col("dated") & (F.col("money") > 0)) * 8 + F.count_if("dated") * 2 + F.sum("money") * 1.5 + F.avg("ocr_confidence") * 15 + F.least((F.sum(F.length("text")) + F.count(F.lit(1)) - 1) / 500, F.lit(8.0))
     return rows.groupBy("input_id", "page", "variant", "psm").agg(F.round(score, 4).alias("ocr_score"))
 

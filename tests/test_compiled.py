@@ -77,3 +77,33 @@ def test_an_analysis_works_out_what_is_asked_for(spark, monkeypatch):
         monkeypatch.setattr(A, name, lambda *a: pytest.fail("not asked for"))
     assert analyze(rows, rows)["reference"].count() == 2
     assert analyze(rows)["quality"].count() == 1
+
+
+def test_usual_lines_are_parted_by_one_match_with_the_same_result(spark, monkeypatch):
+    dates = ["05/01/2025", "31/12/1999", "01-02/2024", "2025-01-05", "31/02/2024", "5/1/2025", "05.01.2025", "05/01/25", "05/01/0025"]
+    words = ["MIGROS ATASEHIR", "A", "İade İstanbul ŞOK", "ıade", "OUTLET", "MALL", "allı", "top", "X TL", "Tl", "ſek", "OCAK", "Ocak X", "ocak", "OCAKTAN X", "KASIM", "kasım", "AĞUSTOS X", "TAKSIT", "X Taksit", "taksİt", "A bosluk B", "BOŞLUK", "A  B", "A, B", "-A", "A -", "H&M *X/Y.Z_", "KART LIMITI", "Asgari Ödeme X", "A 7 B", "A x 3", "CAFÉ", "A\u0301", "A\x01B", "ŸX"]
+    ends = ["12,50 TL", "1.234,56", "1,234,567.89 USD", "1234.56 ₺", "(1/6) 12,50 TL", "(12/36) 1.234,56 EUR", "( 1/6) 12,50", "12,50 TLX", "12,50 AB", "12,50 usd", "12,50TL", "-12,50 TL", "12,505 TL", "1.23.456,78", "12,50 TL X", "12,50 TL\n", "100,00 x 6 = 600,00", "99.12.2024 1,00 TL", "2024,50", "2024,50 $"]
+    texts = [f"{d} {w} {e}" for d in dates for w in words for e in ends if d in dates[:4] or w == words[0] or e == ends[0]] + ["", " 05/01/2025 A 12,50 TL", "05/01/2025 12,50 TL", "05/01/2025 A", "A 12,50 TL", "\x0105/01/2025 A 12,50", None]
+    lines = spark.createDataFrame([(f"d{i % 97}", i, 1, "v", 6, 0.5, x) for i, x in enumerate(texts)], "input_id string, line_no long, page int, variant string, psm int, ocr_confidence double, text string").repartition(4)
+    usual = T.with_usual(lines, "text").where("_usual is not null")
+    assert {"MIGROS ATASEHIR", "A", "ıade", "H&M *X/Y.Z_", "İade İstanbul ŞOK"} <= {r._usual for r in usual.select("_usual").distinct().collect()}
+    assert 200 < usual.count() < len(texts) / 2
+    row = T.with_usual(spark.createDataFrame([("05/01/2025 MIGROS (1/6) 1.234,56 TL",)], "text string"), "text").first()
+    assert (row._usual, str(row._usual_date), row._usual_fraction, row._usual_amount, row._usual_token, row._usual_currency) == ("MIGROS", "2025-01-05", "(1/6)", "1.234,56", "TL", "TRY")
+    one = spark.createDataFrame([(f"d{i}", "EUR") for i in range(0, 97, 2)], "input_id string, document_currency string")
+    base = lines.select("input_id", "line_no", "page", "text")
+
+    def results():
+        out = [P.parsed(base, one, mode) for mode in ("strict", "compat")]
+        # a document a line: nothing is outvoted
+        alone = lines.withColumn("input_id", F.col("line_no").cast("string"))
+        out += [P.document_currency(alone, kind, "none") for kind in ("pdf", "ocr")] + [P.document_currency(lines, kind) for kind in ("pdf", "ocr")]
+        out += [P.variant_scores(alone, mode) for mode in ("strict", "compat")]
+        return [sorted(map(repr, df.collect())) for df in out]
+
+    found = results()
+    fields = dict(zip(T.USUAL, ("string", "date", "string", "string", "string", "string")))
+    monkeypatch.setattr(T, "with_usual", lambda rows, *_: rows.withColumns({c: F.lit(None).cast(t) for c, t in fields.items()}))
+    for a, b in zip(found, results()):
+        assert [x for x, y in zip(a, b) if x != y] == []
+        assert len(a) == len(b)
