@@ -64,8 +64,8 @@ def _description(text: Column, date_raw: Column, money: Column, installment: Col
     return T.collapse(T.strip_edges(T.without_artifacts(T.without_currencies(c))))
 
 
-def parsed(lines: DataFrame, currencies: DataFrame, date_mode: str = "strict") -> DataFrame:
-    """Lines with the fields of a transaction and reject_reason (null: it is one).
+def parsed(lines: DataFrame, currencies: DataFrame, date_mode: str = "strict", carried: tuple[str, ...] = ()) -> DataFrame:
+    """Lines with the fields of a transaction, reject_reason (null: it is one) and the carried columns.
 
     With an installment, or one currency, the last amount is the price; with several currencies the last one in the
     document's currency, the first in another being the original amount. Most lines are parted by one match
@@ -99,7 +99,7 @@ def parsed(lines: DataFrame, currencies: DataFrame, date_mode: str = "strict") -
     one = F.struct(
         "input_id", "line_no", "page", "text", reject.alias("reject_reason"), F.col("_date").alias("date"), "description", F.abs(F.col("_price.amount")).alias("price"), F.col("_price.currency").alias("currency"),
         F.abs(F.when(split, F.col("installment.total_amount")).when(F.col("_several"), F.col("_other.amount"))).alias("original_price"), F.when(split, F.col("_price.currency")).when(F.col("_several"), F.col("_other.currency")).alias("original_currency"),
-        "installment", "direction", confidence.alias("confidence"),
+        "installment", "direction", confidence.alias("confidence"), *carried,
     )
     # exploded as one struct: filters on its fields stay above, and each line is parsed once; the struct is made below, where it is compiled
     return rows.select(one.alias("_t")).select(F.explode(F.array("_t")).alias("_t")).select("_t.*")
@@ -124,9 +124,9 @@ def ocr_confidence(base: Column, ocr: Column, words: Column) -> Column:
 
 def parsed_ocr(lines: DataFrame, currencies: DataFrame, date_mode: str = "strict") -> DataFrame:
     """OCR lines (input_id, page, line_no, text, ocr_confidence, word_count) with the fields of parsed(); a transaction's confidence weighs that of its line and words in."""
-    known = lines.select("input_id", "page", "line_no", F.col("ocr_confidence").alias("_ocr"), F.col("word_count").alias("_words"))
-    rows = parsed(lines.select("input_id", "page", "line_no", "text"), currencies, date_mode).join(known, ["input_id", "page", "line_no"])
-    return rows.withColumn("confidence", ocr_confidence(F.col("confidence"), F.col("_ocr"), F.col("_words"))).drop("_ocr", "_words")
+    carried = ("ocr_confidence", "word_count")
+    rows = parsed(lines.select("input_id", "page", "line_no", "text", *carried), currencies, date_mode, carried)
+    return rows.withColumn("confidence", ocr_confidence(F.col("confidence"), *map(F.col, carried))).drop(*carried)
 
 
 def extract_ocr(lines: DataFrame, outputs: DataFrame, date_mode: str = "strict") -> tuple[DataFrame, DataFrame]:

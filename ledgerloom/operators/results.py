@@ -24,7 +24,7 @@ TRANSACTION = "struct<line_no: bigint, page: int, date: string, description: str
 
 def extraction(inputs: DataFrame, lines: DataFrame, date_mode: str = "strict") -> tuple[DataFrame, DataFrame]:
     """((transactions as TRANSACTION's columns and input_id), a header for each input) of statement lines; inputs (input_id) without lines or transactions have a header too."""
-    currencies = P.document_currency(lines)
+    currencies = kept(P.document_currency(lines), "currencies")  # a row a document, for parsing and for the header
     rows = kept(P.parsed(P.candidates(lines, date_mode), currencies, date_mode), "parsed")  # transactions, counts and rejected lines start here
     return of_parsed(rows), headers(inputs, rows, currencies, lines.groupBy("input_id").agg(F.count(F.lit(1)).alias("total_lines")), "pdf")
 
@@ -32,7 +32,7 @@ def extraction(inputs: DataFrame, lines: DataFrame, date_mode: str = "strict") -
 def image_extraction(inputs: DataFrame, lines: DataFrame, outputs: DataFrame, date_mode: str = "strict") -> tuple[DataFrame, DataFrame]:
     """The same of OCR lines: those of each page's best variant. A header's warnings say what was missing, from the outputs on."""
     chosen = kept(P.chosen_lines(lines, outputs, date_mode), "chosen")
-    currencies = P.document_currency(chosen, "ocr")
+    currencies = kept(P.document_currency(chosen, "ocr"), "currencies")
     rows = kept(P.parsed_ocr(chosen, currencies, date_mode), "parsed")
     made = P.readable(outputs).select("input_id").distinct().withColumn("_made", F.lit(True))
     total = chosen.groupBy("input_id").agg(F.count(F.lit(1)).alias("total_lines"))

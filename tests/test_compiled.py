@@ -107,3 +107,11 @@ def test_usual_lines_are_parted_by_one_match_with_the_same_result(spark, monkeyp
     for a, b in zip(found, results()):
         assert [x for x, y in zip(a, b) if x != y] == []
         assert len(a) == len(b)
+
+
+def test_ocr_lines_keep_their_confidence_without_a_join(spark):
+    lines = spark.createDataFrame([("a", 1, 1, "05/01/2025 SHOP 12,50 TL", 0.5, 3), ("a", 1, 2, "no line", 0.9, 2)], "input_id string, page int, line_no long, text string, ocr_confidence double, word_count int")
+    one = spark.createDataFrame([("a", "TRY")], "input_id string, document_currency string")
+    rows = P.parsed_ocr(lines, one)
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1  # that with the document's currency
+    assert [(r.line_no, r.reject_reason, r.confidence) for r in rows.orderBy("line_no").collect()] == [(1, None, 0.87), (2, "no_date", 0.9)]
